@@ -112,3 +112,8 @@ PART_QUERIES = """part_queries AS (
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+def first_n_words(e: str, n: int, missing: str = "error101") -> str:
+    t = split_ws(e)
+    return f"(CASE WHEN len({t}) < {n} THEN '{missing}' ELSE array_to_string({t}[1:{n}], ' ') END)"

@@ -66,3 +66,122 @@ def q_clean_measures(spark, sf_dir):
 def q_camel_split(spark, sf_dir):
     d = T.documents(spark, sf_dir, ("doc_id", "text"))
     return d.select("doc_id", tx.split_glued_words("text").alias("split_text"))
+
+
+# ------------------------------------------------------------------ assembly ---
+
+from relevo.operators import assemble as asm  # noqa: E402
+from relevo.operators import profile as prof  # noqa: E402
+from relevo.sources import fixtures as fx  # noqa: E402
+
+
+def _catalog(spark, sf_dir):
+    p = fx.pairs(spark, sf_dir)
+    return asm.assemble_catalog(p.where("is_train"), p.where("NOT is_train"),
+                                fx.attributes(spark, sf_dir), fx.products(spark, sf_dir))
+
+
+@register("assemble_catalog")
+def q_assemble_catalog(spark, sf_dir):
+    return _catalog(spark, sf_dir)
+
+
+@register("attr_concat")
+def q_attr_concat(spark, sf_dir):
+    return asm.attribute_text(fx.attributes(spark, sf_dir), fill_null=True)
+
+
+@register("attr_concat_rows")
+def q_attr_concat_rows(spark, sf_dir):
+    return asm.attribute_text_rows(fx.attributes(spark, sf_dir))
+
+
+@register("brand_impute")
+def q_brand_impute(spark, sf_dir):
+    """P10 over every product: brand rows joined, missing brands imputed from titles."""
+    a = fx.attributes(spark, sf_dir)
+    prods = fx.products(spark, sf_dir).select("product_uid", "product_title")
+    cat = prods.join(asm.brand_rows(a), "product_uid", "left")
+    return asm.impute_brand(cat).select("product_uid", "brand")
+
+
+@register("dedupe_first")
+def q_dedupe_first(spark, sf_dir):
+    """U1 + W1: train rows then test rows, first row kept per product."""
+    p = fx.pairs(spark, sf_dir)
+    both = (p.where("is_train").select("id", "product_uid", "search_term", F.lit(0).alias("src"))
+            .unionByName(p.where("NOT is_train").select("id", "product_uid", "search_term", F.lit(1).alias("src"))))
+    return asm.first_row_per_key(both, "product_uid", [F.col("src"), F.col("id")]).drop("src")
+
+
+@register("assemble_pairs")
+def q_assemble_pairs(spark, sf_dir):
+    return asm.assemble_pairs(fx.pairs(spark, sf_dir).drop("is_train"), fx.attributes(spark, sf_dir),
+                              fx.products(spark, sf_dir))
+
+
+@register("bucket_relevance")
+def q_bucket_relevance(spark, sf_dir):
+    """P11 on relevance shifted by a third of the gap to make ties and rounding matter."""
+    p = fx.pairs(spark, sf_dir)
+    s = (F.col("relevance") + (F.col("id") % 7 - 3) * F.lit(0.11)).alias("score")
+    x = p.select("id", s)
+    return x.select("id", F.round("score", 6).alias("score"), asm.relevance_class(F.col("score")).alias("relevance_class"))
+
+
+@register("clip_predictions")
+def q_clip_predictions(spark, sf_dir):
+    p = fx.pairs(spark, sf_dir)
+    raw = F.col("relevance") * 1.4 - 0.9
+    return p.select("id", F.round(asm.clip(raw), 6).alias("relevance"))
+
+
+# ----------------------------------------------------------------- profiling ---
+
+@register("null_profile")
+def q_null_profile(spark, sf_dir):
+    a = fx.attributes(spark, sf_dir)
+    c = _catalog(spark, sf_dir)
+    return prof.null_profile(a, "attributes").unionByName(prof.null_profile(c, "catalog"))
+
+
+@register("describe_numeric")
+def q_describe_numeric(spark, sf_dir):
+    d = T.documents(spark, sf_dir, ("doc_id", "n_chars"))
+    return prof.describe(d, ["n_chars", "doc_id"])
+
+
+@register("distinct_dups")
+def q_distinct_dups(spark, sf_dir):
+    p = fx.pairs(spark, sf_dir)
+    return prof.distinct_and_duplicates(p, [["product_uid"], ["search_term"], ["product_title"],
+                                            ["search_term", "product_uid"]])
+
+
+@register("value_counts")
+def q_value_counts(spark, sf_dir):
+    a = fx.attributes(spark, sf_dir).where(F.col("value").isNotNull())
+    return prof.value_counts(a, "value")
+
+
+@register("histogram_len")
+def q_histogram_len(spark, sf_dir):
+    p = fx.pairs(spark, sf_dir)
+    return prof.equal_width_histogram(p, F.length("search_term"), 10)
+
+
+@register("class_hist")
+def q_class_hist(spark, sf_dir):
+    return prof.value_counts(fx.pairs(spark, sf_dir), "relevance")
+
+
+@register("set_overlap")
+def q_set_overlap(spark, sf_dir):
+    p = fx.pairs(spark, sf_dir)
+    tr, te = p.where("is_train"), p.where("NOT is_train")
+    a = fx.attributes(spark, sf_dir)
+    return (prof.set_overlap(tr, te, ["product_uid"], "product_uid")
+            .unionByName(prof.set_overlap(tr, te, ["search_term"], "search_term"))
+            .unionByName(prof.set_overlap(tr, te, ["search_term", "product_uid"], "pair"))
+            .unionByName(prof.set_overlap(a.where(F.col("name") == "MFG Brand Name"),
+                                          fx.products(spark, sf_dir), ["product_uid"], "brand_vs_desc")))

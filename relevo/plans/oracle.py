@@ -34,3 +34,142 @@ ORACLE["clean_units"] = f"SELECT doc_id, {S.units('lower(text)')} AS units FROM
 ORACLE["strip_stopwords"] = f"SELECT doc_id, {S.strip_stopwords(S.clean('text'))} AS stripped FROM documents"
 ORACLE["clean_measures"] = f"SELECT doc_id, {S.measures(S.remove_special('text'))} AS measured FROM documents"
 ORACLE["camel_split"] = f"SELECT doc_id, {S.glued('text')} AS split_text FROM documents"
+
+# ------------------------------------------------------------------ assembly ---
+
+_BOTH = """both_ AS (
+  SELECT id, product_uid, product_title, search_term, 0 AS src FROM pairs WHERE is_train
+  UNION ALL SELECT id, product_uid, product_title, search_term, 1 FROM pairs WHERE NOT is_train)"""
+
+_IMPUTE = f"""known AS (SELECT DISTINCT brand AS cand FROM cat WHERE brand IS NOT NULL),
+miss AS (SELECT product_uid, n, CASE n WHEN 4 THEN {S.first_n_words('product_title', 4)}
+                                     WHEN 3 THEN {S.first_n_words('product_title', 3)}
+                                     ELSE {S.first_n_words('product_title', 2)} END AS cand
+         FROM (SELECT product_uid, product_title, unnest([4, 3, 2]) AS n FROM cat WHERE brand IS NULL)),
+best AS (SELECT product_uid, arg_max(cand, n) AS imp FROM miss WHERE cand IN (SELECT cand FROM known) GROUP BY product_uid),
+imputed AS (SELECT c.*, coalesce(c.brand, b.imp, {S.first_n_words('c.product_title', 1)}) AS brand_i
+            FROM cat c LEFT JOIN best b USING (product_uid))"""
+
+_CATALOG = S.with_(
+    S.PRODUCTS, S.ATTRIBUTES, S.PAIRS, _BOTH,
+    "present AS (SELECT DISTINCT product_uid FROM both_)",
+    "attrs AS (SELECT * FROM attributes WHERE product_uid IN (SELECT product_uid FROM present))",
+    """at_ AS (SELECT product_uid, string_agg(coalesce(name, '') || ' ' || coalesce(value, ''), ' ' ORDER BY pos) AS combined_attr
+             FROM attrs WHERE product_uid IS NOT NULL GROUP BY product_uid)""",
+    "br AS (SELECT product_uid, (list(value ORDER BY pos))[1] AS brand FROM attrs WHERE name = 'MFG Brand Name' GROUP BY product_uid)",
+    f"desc_ AS (SELECT product_uid, {S.glued('product_description')} AS product_description FROM products)",
+    """first_ AS (SELECT product_uid, product_title FROM
+                (SELECT *, row_number() OVER (PARTITION BY product_uid ORDER BY src, id) AS rn FROM both_) WHERE rn = 1)""",
+    """cat AS (SELECT f.product_uid, f.product_title, a.combined_attr, b.brand, d.product_description
+             FROM first_ f LEFT JOIN at_ a USING (product_uid) LEFT JOIN br b USING (product_uid)
+             LEFT JOIN desc_ d USING (product_uid))""",
+    _IMPUTE,
+    f"""catalog AS (SELECT product_uid, product_title, coalesce(combined_attr, product_description) AS combined_attr,
+                  brand_i AS brand, product_description,
+                  {S.clean("product_title || ' ' || brand_i || ' ' || product_description")} AS text FROM imputed)""",
+)
+
+ORACLE["assemble_catalog"] = _CATALOG + "SELECT * FROM catalog"
+
+ORACLE["attr_concat"] = S.with_(S.ATTRIBUTES) + """SELECT product_uid,
+  string_agg(coalesce(name, '') || ' ' || coalesce(value, ''), ' ' ORDER BY pos) AS combined_attr
+FROM attributes WHERE product_uid IS NOT NULL GROUP BY product_uid"""
+
+ORACLE["attr_concat_rows"] = S.with_(S.ATTRIBUTES) + """SELECT product_uid, pos,
+  string_agg(coalesce(name, '') || ' ' || coalesce(value, ''), ' ' ORDER BY pos) OVER (PARTITION BY product_uid) AS combined_attr
+FROM attributes"""
+
+ORACLE["brand_impute"] = S.with_(
+    S.PRODUCTS, S.ATTRIBUTES,
+    "br AS (SELECT product_uid, (list(value ORDER BY pos))[1] AS brand FROM attributes WHERE name = 'MFG Brand Name' GROUP BY product_uid)",
+    "cat AS (SELECT p.product_uid, p.product_title, b.brand FROM products p LEFT JOIN br b USING (product_uid))",
+    _IMPUTE,
+) + "SELECT product_uid, brand_i AS brand FROM imputed"
+
+ORACLE["dedupe_first"] = S.with_(S.PAIRS, _BOTH) + """SELECT id, product_uid, search_term FROM
+  (SELECT *, row_number() OVER (PARTITION BY product_uid ORDER BY src, id) AS rn FROM both_) WHERE rn = 1"""
+
+ORACLE["assemble_pairs"] = S.with_(
+    S.PRODUCTS, S.ATTRIBUTES, S.PAIRS,
+    "a AS (SELECT * FROM attributes WHERE product_uid IS NOT NULL AND name IS NOT NULL AND value IS NOT NULL)",
+    "summ AS (SELECT product_uid, string_agg(name || ' ' || value, ' ' ORDER BY pos) AS attribute_summary FROM a GROUP BY product_uid)",
+    "br AS (SELECT product_uid, (list(value ORDER BY pos))[1] AS brand FROM a WHERE name = 'MFG Brand Name' GROUP BY product_uid)",
+) + """SELECT p.id, p.product_uid, p.product_title, p.search_term, p.relevance, d.product_description,
+  coalesce(s.attribute_summary, 'NoAttribute') AS attribute_summary, coalesce(b.brand, 'NoBrand') AS brand
+FROM pairs p LEFT JOIN products d USING (product_uid) LEFT JOIN summ s USING (product_uid) LEFT JOIN br b USING (product_uid)"""
+
+ORACLE["bucket_relevance"] = S.with_(S.PAIRS) + """SELECT id, round(score, 6) AS score,
+  ([3.00, 2.33, 2.67, 2.00, 1.67, 1.33, 1.00]::DOUBLE[])[list_position(d, list_min(d))] AS relevance_class
+FROM (SELECT id, score, list_transform([3.00, 2.33, 2.67, 2.00, 1.67, 1.33, 1.00]::DOUBLE[], lambda v: abs(score - v)) AS d
+      FROM (SELECT id, relevance + (id % 7 - 3) * 0.11::DOUBLE AS score FROM pairs))"""
+
+ORACLE["clip_predictions"] = S.with_(S.PAIRS) + """SELECT id,
+  round(greatest(1.0::DOUBLE, least(3.0::DOUBLE, relevance * 1.4::DOUBLE - 0.9::DOUBLE)), 6) AS relevance FROM pairs"""
+
+# ----------------------------------------------------------------- profiling ---
+
+
+def _nulls(table, cols):
+    return " UNION ALL ".join(
+        f"SELECT '{table}' AS table_name, '{c}' AS column_name, CAST(count(*) - count({c}) AS BIGINT) AS null_count FROM {table}"
+        for c in cols)
+
+
+ORACLE["null_profile"] = _CATALOG + _nulls(
+    "attributes", ["product_uid", "pos", "name", "value"]) + " UNION ALL " + _nulls(
+    "catalog", ["product_uid", "product_title", "combined_attr", "brand", "product_description", "text"])
+
+
+def _describe(cols):
+    parts = []
+    for c in cols:
+        x = f"CAST({c} AS DOUBLE)"
+        for stat, e in [("count", f"CAST(count({x}) AS DOUBLE)"), ("mean", f"avg({x})"), ("std", f"stddev_samp({x})"),
+                        ("min", f"min({x})"), ("p25", f"quantile_cont({x}, 0.25)"), ("p50", f"quantile_cont({x}, 0.5)"),
+                        ("p75", f"quantile_cont({x}, 0.75)"), ("max", f"max({x})")]:
+            parts.append(f"SELECT '{c}' AS column_name, '{stat}' AS stat, round({e}, 6) AS value FROM documents")
+    return " UNION ALL ".join(parts)
+
+
+ORACLE["describe_numeric"] = _describe(["n_chars", "doc_id"])
+
+ORACLE["distinct_dups"] = S.with_(S.PAIRS) + " UNION ALL ".join(
+    f"SELECT '{name}' AS key_name, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT {k}) AS BIGINT) AS n_distinct, "
+    f"CAST(count(*) - count(DISTINCT {k}) AS BIGINT) AS n_duplicates FROM pairs"
+    for name, k in [("product_uid", "product_uid"), ("search_term", "search_term"), ("product_title", "product_title"),
+                    ("search_term+product_uid", "(search_term, product_uid)")])
+
+ORACLE["value_counts"] = S.with_(S.ATTRIBUTES) + \
+    "SELECT value, CAST(count(*) AS BIGINT) AS cnt FROM attributes WHERE value IS NOT NULL GROUP BY value"
+
+ORACLE["histogram_len"] = S.with_(
+    S.PAIRS,
+    "v AS (SELECT CAST(length(search_term) AS DOUBLE) AS v FROM pairs)",
+    "mm AS (SELECT min(v) AS lo, max(v) AS hi, CASE WHEN max(v) > min(v) THEN max(v) - min(v) ELSE 1.0 END AS w FROM v)",
+) + """SELECT CAST(bin AS BIGINT) AS bin, round(any_value(lo) + bin * (any_value(w) / 10.0), 6) AS lower_edge,
+  CAST(count(*) AS BIGINT) AS cnt
+FROM (SELECT least(floor((v - lo) * 10.0 / w), 9) AS bin, lo, w FROM v, mm) GROUP BY bin"""
+
+ORACLE["class_hist"] = S.with_(S.PAIRS) + \
+    "SELECT relevance, CAST(count(*) AS BIGINT) AS cnt FROM pairs GROUP BY relevance"
+
+
+def _overlap(name, l, r, keys):
+    on = " AND ".join(f"l.{k} IS NOT DISTINCT FROM r.{k}" for k in keys)
+    ks = ", ".join(keys)
+    return f"""SELECT '{name}' AS key_name,
+  CAST(sum(CASE WHEN r.{keys[0]}_x IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS left_only,
+  CAST(sum(CASE WHEN l.{keys[0]}_x IS NOT NULL AND r.{keys[0]}_x IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS both_sides,
+  CAST(sum(CASE WHEN l.{keys[0]}_x IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS right_only
+FROM (SELECT DISTINCT {ks}, 1 AS {keys[0]}_x FROM {l}) l FULL OUTER JOIN (SELECT DISTINCT {ks}, 1 AS {keys[0]}_x FROM {r}) r ON {on}"""
+
+
+ORACLE["set_overlap"] = S.with_(
+    S.PRODUCTS, S.ATTRIBUTES, S.PAIRS,
+    "tr AS (SELECT * FROM pairs WHERE is_train)", "te AS (SELECT * FROM pairs WHERE NOT is_train)",
+    "brands AS (SELECT * FROM attributes WHERE name = 'MFG Brand Name')",
+) + " UNION ALL ".join([
+    _overlap("product_uid", "tr", "te", ["product_uid"]),
+    _overlap("search_term", "tr", "te", ["search_term"]),
+    _overlap("pair", "tr", "te", ["search_term", "product_uid"]),
+    _overlap("brand_vs_desc", "brands", "products", ["product_uid"])])
