@@ -117,3 +117,42 @@ def with_(*ctes: str) -> str:
 def first_n_words(e: str, n: int, missing: str = "error101") -> str:
     t = split_ws(e)
     return f"(CASE WHEN len({t}) < {n} THEN '{missing}' ELSE array_to_string({t}[1:{n}], ' ') END)"
+
+
+def nb(e: str) -> str:
+    """Notebook cleaning: special characters, then measurement units."""
+    return measures(remove_special(e))
+
+
+def digits(l: str) -> str:
+    return f"list_distinct(list_filter({l}, lambda t: regexp_full_match(t, '[0-9]+')))"
+
+
+def n_bigrams(l: str) -> str:
+    return f"len(list_distinct(list_transform(range(1, len({l})), lambda i: {l}[i] || ' ' || {l}[i + 1])))"
+
+
+def char_set(w: str) -> str:
+    return f"(CASE WHEN length({w}) = 0 THEN []::VARCHAR[] ELSE list_distinct(string_split({w}, '')) END)"
+
+
+def jaccard(a: str, b: str) -> str:
+    u = f"len(list_distinct(list_concat({a}, {b})))"
+    return f"(CASE WHEN {u} = 0 THEN NULL ELSE ({u} - len(list_intersect({a}, {b})))::DOUBLE / {u} END)"
+
+
+def pairwise_min(qa: str, fa: str, fn) -> str:
+    return f"list_min(flatten(list_transform({qa}, lambda x: list_transform({fa}, lambda y: {fn('x', 'y')}))))"
+
+
+NB_INPUTS = f"""nb_pairs AS (
+  SELECT id AS pair_id, product_uid, {nb('search_term')} AS q, relevance, is_train FROM pairs),
+nb_a AS (SELECT * FROM attributes WHERE product_uid IS NOT NULL AND name IS NOT NULL AND value IS NOT NULL),
+nb_summ AS (SELECT product_uid, string_agg(name || ' ' || value, ' ' ORDER BY pos) AS attribute_summary FROM nb_a GROUP BY product_uid),
+nb_br AS (SELECT product_uid, (list(value ORDER BY pos))[1] AS brand FROM nb_a WHERE name = 'MFG Brand Name' GROUP BY product_uid),
+nb_products AS (
+  SELECT p.product_uid, {nb('p.product_title')} AS title, {nb('p.product_description')} AS description,
+         {nb("coalesce(s.attribute_summary, 'NoAttribute')")} AS attributes, coalesce(b.brand, 'NoBrand') AS brand
+  FROM products p LEFT JOIN nb_summ s USING (product_uid) LEFT JOIN nb_br b USING (product_uid)
+  WHERE p.product_uid IN (SELECT product_uid FROM pairs)),
+nb_j AS (SELECT * FROM nb_pairs JOIN nb_products USING (product_uid))"""

@@ -185,3 +185,69 @@ def q_set_overlap(spark, sf_dir):
             .unionByName(prof.set_overlap(tr, te, ["search_term", "product_uid"], "pair"))
             .unionByName(prof.set_overlap(a.where(F.col("name") == "MFG Brand Name"),
                                           fx.products(spark, sf_dir), ["product_uid"], "brand_vs_desc")))
+
+
+# ------------------------------------------------------------ pair features ---
+
+from relevo.operators import features as ft  # noqa: E402
+from relevo.operators import tfidf as tfx  # noqa: E402
+from relevo.plans import featurize as fz  # noqa: E402
+
+
+def _rounded(df: DataFrame, key: str = "pair_id") -> DataFrame:
+    return df.select(key, *[F.round(F.col(c).cast("double"), 6).alias(c) for c in df.columns if c != key])
+
+
+@register("feat_basic")
+def q_feat_basic(spark, sf_dir):
+    pairs, prods = fz.notebook_inputs(spark, sf_dir)
+    return _rounded(ft.basic_features(fz.joined(pairs, prods)))
+
+
+@register("feat_similarity")
+def q_feat_similarity(spark, sf_dir):
+    pairs, prods = fz.notebook_inputs(spark, sf_dir)
+    return _rounded(ft.similarity_features(fz.joined(pairs, prods)))
+
+
+@register("feat_mean_jaccard")
+def q_feat_mean_jaccard(spark, sf_dir):
+    pairs, prods = fz.notebook_inputs(spark, sf_dir)
+    out = ft.mean_char_jaccard(pairs, prods, "title", "mean_jcc_product_title_with_search_term")
+    out = out.join(ft.mean_char_jaccard(pairs, prods, "description", "mean_jcc_product_desc_with_search_term"), "pair_id")
+    out = out.join(ft.mean_char_jaccard(pairs, prods, "attributes", "mean_jcc_attr_with_search_term"), "pair_id")
+    return _rounded(out)
+
+
+@register("bm25_pair_score")
+def q_bm25_pair_score(spark, sf_dir):
+    pairs, prods = fz.notebook_inputs(spark, sf_dir)
+    return _rounded(fz.bm25_features(pairs, prods))
+
+
+@register("tfidf_minmax")
+def q_tfidf_minmax(spark, sf_dir):
+    pairs, prods = fz.notebook_inputs(spark, sf_dir)
+    return _rounded(fz.tfidf_features(pairs, prods))
+
+
+@register("tfidf_weights")
+def q_tfidf_weights(spark, sf_dir):
+    """V1: the fitted vocabulary with document frequency and idf."""
+    pairs, prods = fz.notebook_inputs(spark, sf_dir)
+    v = fz.title_desc_vocab(pairs, prods)
+    return v.idf.select("term", F.col("df").cast("bigint"), F.round("idf", 6).alias("idf"),
+                        F.col("term_index").cast("bigint"))
+
+
+@register("tfidf_cosine")
+def q_tfidf_cosine(spark, sf_dir):
+    """V2 + V5: cosine of the search term's and the title+description's TF-IDF vectors."""
+    pairs, prods = fz.notebook_inputs(spark, sf_dir)
+    v = fz.title_desc_vocab(pairs, prods)
+    td = pairs.join(prods, "product_uid").select("pair_id", F.concat("title", F.lit(". "), "description").alias("td"))
+    a = tfx.weights(pairs, "pair_id", "q", v)
+    b = tfx.weights(td, "pair_id", "td", v)
+    cos = tfx.cosine(a, b, "pair_id")
+    return (pairs.select("pair_id").join(cos, "pair_id", "left")
+                 .select("pair_id", F.round(F.coalesce("cos", F.lit(0.0)), 6).alias("cosine_tfidf")))

@@ -173,3 +173,154 @@ ORACLE["set_overlap"] = S.with_(
     _overlap("search_term", "tr", "te", ["search_term"]),
     _overlap("pair", "tr", "te", ["search_term", "product_uid"]),
     _overlap("brand_vs_desc", "brands", "products", ["product_uid"])])
+
+# ------------------------------------------------------------ pair features ---
+
+_NB = S.with_(S.PRODUCTS, S.ATTRIBUTES, S.PAIRS, S.NB_INPUTS)
+
+
+def _r(e, name):
+    return f"round(CAST({e} AS DOUBLE), 6) AS {name}"
+
+
+def _last_in(f):
+    return f"(CASE WHEN len({S.split_ws('q')}) = 0 THEN 0 ELSE list_contains({S.split_ws(f)}, {S.split_ws('q')}[-1])::INT END)"
+
+
+def _setcos(f):
+    a, b = f"list_distinct({S.split_ws('q')})", f"list_distinct({S.split_ws(f)})"
+    return (f"(CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE "
+            f"len(list_intersect({a}, {b})) / (sqrt(len({a})) * sqrt(len({b}))) END)")
+
+
+def _n1(f):
+    return f"len(list_distinct(string_split({f}, ' ')))"
+
+
+def _n2(f):
+    return S.n_bigrams(f"string_split({f}, ' ')")
+
+
+def _dig(f):
+    return S.digits(f"string_split({f}, ' ')")
+
+
+ORACLE["feat_basic"] = _NB + "SELECT pair_id, " + ", ".join([
+    _r("length(q)", "search_term_length"),
+    _r(_last_in("title"), "last_word_in_title"), _r(_last_in("description"), "last_word_in_desc"),
+    _r("(brand <> 'NoBrand')::INT", "have_brand_or_not"), _r("(attributes <> 'noattribute')::INT", "have_attr_or_not"),
+    _r(f"len(list_intersect({_dig('q')}, {_dig('attributes')}))", "numbers_in_attr"),
+    _r(f"len(list_intersect({_dig('q')}, {_dig('title')}))", "numbers_in_title"),
+    _r(f"len(list_intersect({_dig('q')}, {_dig('description')}))", "numbers_in_desc"),
+    _r(f"{_n1('q')} * {_n1('title')}", "title_common_word_count"),
+    _r(f"{_n1('q')} * {_n1('description')}", "desc_common_word_count"),
+    _r(f"{_n1('q')} * {_n1('attributes')}", "attr_common_words_count"),
+    _r(f"{_n2('q')} * {_n2('title')}", "title_common_word_count_bigram"),
+    _r(f"{_n2('q')} * {_n2('description')}", "desc_common_word_count_bigram"),
+    _r(f"{_n2('q')} * {_n2('attributes')}", "attr_common_word_count_bigram"),
+]) + " FROM nb_j"
+
+_QS, _BS, _TS = "string_split(trim(q), ' ')", "string_split(trim(brand), ' ')", "string_split(trim(title), ' ')"
+_QB, _BB, _TB = "string_split(q, ' ')", "string_split(brand, ' ')", "string_split(title, ' ')"
+
+
+def _cj(x, y):
+    return S.jaccard(S.char_set(x), S.char_set(y))
+
+
+ORACLE["feat_similarity"] = _NB + "SELECT pair_id, " + ", ".join([
+    _r(_setcos("title"), "cosine_search_term_Title"), _r(_setcos("description"), "cosine_search_term_desc"),
+    _r(f"list_sum(list_transform({_QB}, lambda x: len(list_filter({_BB}, lambda y: y = x))))", "search_term_contains_brand"),
+    _r(S.pairwise_min(_QS, _BS, _cj), "min_jcc_brand_with_search_term"),
+    _r(S.pairwise_min(_QB, _BB, lambda x, y: f"levenshtein({x}, {y})"), "min_edit_brand_with_search_term"),
+    _r(S.pairwise_min(_QS, _TS, _cj), "min_jcc_title_with_search_term"),
+    _r(S.pairwise_min(_QB, _TB, lambda x, y: f"levenshtein({x}, {y})"), "min_edit_title_with_search_term"),
+    _r(S.jaccard(f"list_distinct({_QS})", f"list_distinct({_TS})"), "sum_jaccard_product_title_with_search_term"),
+    _r("levenshtein(q, title)", "sum_edit_product_title_with_search_term"),
+    _r(S.jaccard(f"list_distinct({_QS})", "list_distinct(string_split(trim(description), ' '))"),
+       "sum_jcc_prod_desc_with_search_term"),
+]) + " FROM nb_j"
+
+
+def _mean_jcc(field, out):
+    return f"""{out}_qw AS (SELECT pair_id, product_uid, x FROM (SELECT pair_id, product_uid, unnest({_QS}) AS x FROM nb_pairs) WHERE x <> ''),
+{out}_fw AS (SELECT DISTINCT product_uid, y FROM (SELECT product_uid, unnest(string_split(trim({field}), ' ')) AS y FROM nb_products) WHERE y <> ''),
+{out}_best AS (SELECT q.product_uid, q.x, min({S.jaccard(S.char_set('q.x'), S.char_set('f.y'))}) AS m
+   FROM (SELECT DISTINCT product_uid, x FROM {out}_qw) q JOIN {out}_fw f ON q.product_uid = f.product_uid GROUP BY q.product_uid, q.x),
+{out}_s AS (SELECT w.pair_id, sum(coalesce(b.m, 99999.0)) AS s FROM {out}_qw w LEFT JOIN {out}_best b
+   ON w.product_uid = b.product_uid AND w.x = b.x GROUP BY w.pair_id),
+{out} AS (SELECT p.pair_id, coalesce(s.s, 0.0) / len({_QS}) AS {out} FROM nb_pairs p LEFT JOIN {out}_s s USING (pair_id))"""
+
+
+ORACLE["feat_mean_jaccard"] = S.with_(
+    S.PRODUCTS, S.ATTRIBUTES, S.PAIRS, S.NB_INPUTS,
+    _mean_jcc("title", "mean_jcc_product_title_with_search_term"),
+    _mean_jcc("description", "mean_jcc_product_desc_with_search_term"),
+    _mean_jcc("attributes", "mean_jcc_attr_with_search_term"),
+) + """SELECT pair_id, round(mean_jcc_product_title_with_search_term, 6) AS mean_jcc_product_title_with_search_term,
+  round(mean_jcc_product_desc_with_search_term, 6) AS mean_jcc_product_desc_with_search_term,
+  round(mean_jcc_attr_with_search_term, 6) AS mean_jcc_attr_with_search_term
+FROM mean_jcc_product_title_with_search_term JOIN mean_jcc_product_desc_with_search_term USING (pair_id)
+JOIN mean_jcc_attr_with_search_term USING (pair_id)"""
+
+
+def _bm25(field, name):
+    return f"""{name}_c AS (SELECT {field} AS t FROM nb_j WHERE is_train),
+{name}_st AS (SELECT count(*) AS n, avg(len({S.split_ws('t')})) AS avgdl FROM {name}_c),
+{name}_idf AS (SELECT term, ln((SELECT n FROM {name}_st) / count(*)) + 1 AS idf FROM
+   (SELECT unnest(list_distinct(regexp_extract_all(lower(t), '\\w+'))) AS term FROM {name}_c) GROUP BY term),
+{name}_w AS (SELECT pair_id, unnest({S.split_ws('q')}) AS term FROM nb_j),
+{name}_sc AS (SELECT w.pair_id, sum(coalesce(i.idf, ln((SELECT n FROM {name}_st) + 1)) * ({S.substring_count('j.' + field, 'w.term')} * 2.2)
+     / ({S.substring_count('j.' + field, 'w.term')} + 1.2 * 0.25 + 0.75 * len({S.split_ws('j.' + field)}) / (SELECT avgdl FROM {name}_st))) AS s
+   FROM {name}_w w JOIN nb_j j ON w.pair_id = j.pair_id LEFT JOIN {name}_idf i ON i.term = w.term GROUP BY w.pair_id),
+{name} AS (SELECT j.pair_id, coalesce(s.s, 0.0) AS {name} FROM nb_j j LEFT JOIN {name}_sc s USING (pair_id))"""
+
+
+ORACLE["bm25_pair_score"] = S.with_(
+    S.PRODUCTS, S.ATTRIBUTES, S.PAIRS, S.NB_INPUTS,
+    _bm25("title", "bm25_ST"), _bm25("description", "bm25_SD"), _bm25("brand", "bm25_SB"),
+) + """SELECT pair_id, round(bm25_ST, 6) AS bm25_ST, round(bm25_SD, 6) AS bm25_SD, round(bm25_SB, 6) AS bm25_SB
+FROM bm25_ST JOIN bm25_SD USING (pair_id) JOIN bm25_SB USING (pair_id)"""
+
+_STOP = S.sql_list()
+
+
+def _v1_tokens(e):
+    return f"list_filter(regexp_extract_all(lower({e}), '\\b\\w\\w+\\b'), lambda t: NOT list_contains({_STOP}, t))"
+
+
+_VOCAB = f"""v_docs AS (SELECT DISTINCT title || '. ' || description AS t FROM nb_j),
+v_toks AS (SELECT {_v1_tokens('t')} AS toks FROM v_docs),
+v_n AS (SELECT count(*) AS n FROM v_docs),
+v_tot AS (SELECT term, count(*) AS tf_total FROM (SELECT unnest(toks) AS term FROM v_toks) GROUP BY term),
+v_df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(toks)) AS term FROM v_toks) GROUP BY term),
+v_kept AS (SELECT d.term, d.df FROM v_df d JOIN v_tot t USING (term) WHERE d.df >= 2 ORDER BY t.tf_total DESC, d.term LIMIT 10000),
+vocab AS (SELECT term, df, ln((1.0 + (SELECT n FROM v_n)) / (1.0 + df)) + 1.0 AS idf,
+          row_number() OVER (ORDER BY term) - 1 AS term_index FROM v_kept)"""
+
+ORACLE["tfidf_weights"] = _NB[:-1] + ",\n" + _VOCAB + """
+SELECT term, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf, CAST(term_index AS BIGINT) AS term_index FROM vocab"""
+
+ORACLE["tfidf_minmax"] = _NB[:-1] + ",\n" + _VOCAB + f""",
+w AS (SELECT pair_id, title, unnest({S.split_ws('q')}) AS term FROM nb_j),
+v AS (SELECT w.pair_id, CAST({S.substring_count('w.title', 'w.term')} AS DOUBLE) AS tf,
+             coalesce(vocab.idf, ln((SELECT n FROM v_n) + 1)) AS idf FROM w LEFT JOIN vocab USING (term)),
+agg AS (SELECT pair_id, max(tf) AS max_tf_ST, max(idf) AS max_idf_ST, max(tf * idf) AS max_tfidf_ST,
+               min(tf) AS min_tf_ST, min(idf) AS min_idf_ST, min(tf * idf) AS min_tfidf_ST,
+               sum(tf) AS sum_tf_ST, sum(idf) AS sum_idf_ST, sum(tf * idf) AS sum_tfidf_ST FROM v GROUP BY pair_id)
+SELECT p.pair_id, {", ".join(f"round({c}, 6) AS {c}" for c in ["max_tf_ST", "max_idf_ST", "max_tfidf_ST", "min_tf_ST", "min_idf_ST", "min_tfidf_ST"])},
+  round(coalesce(sum_tf_ST, 0.0), 6) AS sum_tf_ST, round(coalesce(sum_idf_ST, 0.0), 6) AS sum_idf_ST,
+  round(coalesce(sum_tfidf_ST, 0.0), 6) AS sum_tfidf_ST
+FROM nb_pairs p LEFT JOIN agg USING (pair_id)"""
+
+
+def _weights(src, key, text, name):
+    return f"""{name}_occ AS (SELECT {key} AS k, unnest({_v1_tokens(text)}) AS term FROM {src}),
+{name}_w AS (SELECT k, term, count(*) * any_value(idf) AS w FROM {name}_occ JOIN vocab USING (term) GROUP BY k, term),
+{name} AS (SELECT k, term, w / sqrt(sum(w * w) OVER (PARTITION BY k)) AS weight FROM {name}_w)"""
+
+
+ORACLE["tfidf_cosine"] = _NB[:-1] + ",\n" + _VOCAB + ",\n" + _weights("nb_pairs", "pair_id", "q", "wa") + ",\n" + \
+    _weights("nb_j", "pair_id", "title || '. ' || description", "wb") + """,
+cos AS (SELECT a.k AS pair_id, sum(a.weight * b.weight) AS c FROM wa a JOIN wb b ON a.k = b.k AND a.term = b.term GROUP BY a.k)
+SELECT p.pair_id, round(coalesce(c, 0.0), 6) AS cosine_tfidf FROM nb_pairs p LEFT JOIN cos USING (pair_id)"""
