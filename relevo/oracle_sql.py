@@ -156,3 +156,13 @@ nb_products AS (
   FROM products p LEFT JOIN nb_summ s USING (product_uid) LEFT JOIN nb_br b USING (product_uid)
   WHERE p.product_uid IN (SELECT product_uid FROM pairs)),
 nb_j AS (SELECT * FROM nb_pairs JOIN nb_products USING (product_uid))"""
+
+UNICODE_WORD = r"[\pL\pM\p{Nd}\p{Nl}\p{Pc}\x{200C}\x{200D}]+"
+
+
+def edits_sql(src: str) -> str:
+    """All one-edit strings of column ``s`` of CTE ``src`` (carrying ``word``), as (word, x)."""
+    return f"""SELECT word, substr(s, 1, i - 1) || substr(s, i + 1) AS x FROM (SELECT word, s, unnest(range(1, length(s) + 1)) AS i FROM {src})
+UNION ALL SELECT word, substr(s, 1, i - 1) || substr(s, i + 1, 1) || substr(s, i, 1) || substr(s, i + 2) FROM (SELECT word, s, unnest(range(1, length(s))) AS i FROM {src})
+UNION ALL SELECT word, substr(s, 1, i - 1) || c || substr(s, i + 1) FROM (SELECT word, s, unnest(range(1, length(s) + 1)) AS i FROM {src}) CROSS JOIN letters
+UNION ALL SELECT word, substr(s, 1, i) || c || substr(s, i + 1) FROM (SELECT word, s, unnest(range(0, length(s) + 1)) AS i FROM {src}) CROSS JOIN letters"""

@@ -251,3 +251,66 @@ def q_tfidf_cosine(spark, sf_dir):
     cos = tfx.cosine(a, b, "pair_id")
     return (pairs.select("pair_id").join(cos, "pair_id", "left")
                  .select("pair_id", F.round(F.coalesce("cos", F.lit(0.0)), 6).alias("cosine_tfidf")))
+
+
+# ------------------------------------------------------------------ spelling ---
+
+from relevo.operators import spell  # noqa: E402
+
+
+def part_vocab(spark, sf_dir):
+    """R8 + G10: vocabulary of the part catalog (cleaned title + brand, stop words removed)."""
+    return spell.word_counts(spell.corpus_lines(fx.part_products(spark, sf_dir)))
+
+
+@register("word_freq")
+def q_word_freq(spark, sf_dir):
+    v = part_vocab(spark, sf_dir)
+    return v.select("word", F.col("cnt").cast("bigint"), F.round("freq", 6).alias("freq"))
+
+
+def _part_query_words(spark, sf_dir):
+    q = fx.part_queries(spark, sf_dir)
+    return q.select(F.explode(tx.split_ws(F.lower(tx.clean_search("text")))).alias("word"))
+
+
+@register("spell_correct")
+def q_spell_correct(spark, sf_dir):
+    out = spell.correct_words(_part_query_words(spark, sf_dir), part_vocab(spark, sf_dir))
+    return out.select("word", "corrected", F.col("level").cast("int"))
+
+
+@register("spell_text")
+def q_spell_text(spark, sf_dir):
+    q = fx.part_queries(spark, sf_dir).select("query_id", tx.clean_search("text").alias("text"))
+    return spell.correct_text(q, "query_id", "text", part_vocab(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- embeddings ---
+
+from relevo.operators import vectors as vx  # noqa: E402
+
+
+@register("emb_max_cosine")
+def q_emb_max_cosine(spark, sf_dir):
+    p = vx.sentence_pairs(fx.word_vectors(spark, sf_dir))
+    out = vx.max_cosine_per_word(p)
+    return out.select(F.col("pair_id").cast("bigint"), F.round("max_cosine_sim_per_word", 6).alias("max_cosine_sim_per_word"))
+
+
+@register("emb_centroid")
+def q_emb_centroid(spark, sf_dir):
+    p = vx.sentence_pairs(fx.word_vectors(spark, sf_dir))
+    out = vx.centroid_features(p)
+    return out.select(F.col("pair_id").cast("bigint"), F.round("w2v_n_similarity", 6).alias("w2v_n_similarity"),
+                      F.round("w2v_centroid_rmse", 6).alias("w2v_centroid_rmse"))
+
+
+@register("emb_neighbors")
+def q_emb_neighbors(spark, sf_dir):
+    """O3: the 10 vectors nearest to each label centroid."""
+    wv = fx.word_vectors(spark, sf_dir)
+    c = vx.centroid(wv, "sentence_id", "vector", "qvec").withColumnRenamed("sentence_id", "query_id")
+    top = vx.nearest(c, wv, 10)
+    return top.select(F.col("query_id").cast("bigint"), F.col("word_id").cast("bigint"),
+                      F.col("rank").cast("bigint"), F.round("cosine", 6).alias("cosine"))

@@ -324,3 +324,77 @@ ORACLE["tfidf_cosine"] = _NB[:-1] + ",\n" + _VOCAB + ",\n" + _weights("nb_pairs"
     _weights("nb_j", "pair_id", "title || '. ' || description", "wb") + """,
 cos AS (SELECT a.k AS pair_id, sum(a.weight * b.weight) AS c FROM wa a JOIN wb b ON a.k = b.k AND a.term = b.term GROUP BY a.k)
 SELECT p.pair_id, round(coalesce(c, 0.0), 6) AS cosine_tfidf FROM nb_pairs p LEFT JOIN cos USING (pair_id)"""
+
+# ------------------------------------------------------------------ spelling ---
+
+_VOCAB_PART = f"""lines AS (SELECT {S.strip_stopwords(S.clean('product_title') + " || ' ' || " + S.clean('brand'))} AS line FROM part_products),
+pvocab AS (SELECT word, count(*) AS cnt FROM (SELECT unnest(regexp_extract_all(lower(line), '{S.UNICODE_WORD}')) AS word FROM lines) GROUP BY word)"""
+
+ORACLE["word_freq"] = S.with_(S.PART_PRODUCTS, _VOCAB_PART) + \
+    "SELECT word, CAST(cnt AS BIGINT) AS cnt, round(cnt / (SELECT sum(cnt) FROM pvocab), 6) AS freq FROM pvocab"
+
+_SPELL = S.with_(
+    S.PART_PRODUCTS, S.PART_QUERIES, _VOCAB_PART,
+    "letters AS (SELECT unnest(string_split('abcdefghijklmnopqrstuvwxyz', '')) AS c)",
+    f"qtok AS (SELECT query_id, unnest({S.split_ws('lower(' + S.clean('text', True) + ')')}) AS word, "
+    f"generate_subscripts({S.split_ws('lower(' + S.clean('text', True) + ')')}, 1) AS pos FROM part_queries)",
+    "toks AS (SELECT DISTINCT word FROM qtok)",
+    "k0 AS (SELECT word, word AS corrected, 0 AS level FROM toks WHERE word IN (SELECT word FROM pvocab))",
+    "r1 AS (SELECT word, word AS s FROM toks WHERE word NOT IN (SELECT word FROM pvocab))",
+    f"e1 AS ({S.edits_sql('r1')})",
+    """k1 AS (SELECT e.word, (list(v.word ORDER BY v.cnt DESC, v.word))[1] AS corrected, 1 AS level
+            FROM (SELECT DISTINCT word, x FROM e1) e JOIN pvocab v ON e.x = v.word GROUP BY e.word)""",
+    "r2 AS (SELECT word, word AS s FROM r1 WHERE word NOT IN (SELECT word FROM k1))",
+    f"e2a AS (SELECT DISTINCT word, x AS s FROM ({S.edits_sql('r2')}))",
+    f"e2 AS ({S.edits_sql('e2a')})",
+    """k2 AS (SELECT e.word, (list(v.word ORDER BY v.cnt DESC, v.word))[1] AS corrected, 2 AS level
+            FROM (SELECT DISTINCT word, x FROM e2) e JOIN pvocab v ON e.x = v.word GROUP BY e.word)""",
+    """fixed AS (SELECT * FROM k0 UNION ALL SELECT * FROM k1 UNION ALL SELECT * FROM k2
+              UNION ALL SELECT word, word, -1 FROM r2 WHERE word NOT IN (SELECT word FROM k2))""",
+)
+
+ORACLE["spell_correct"] = _SPELL + "SELECT word, corrected, CAST(level AS INTEGER) AS level FROM fixed"
+
+ORACLE["spell_text"] = _SPELL + """SELECT p.query_id, coalesce(t.corrected, '') AS corrected FROM part_queries p LEFT JOIN
+  (SELECT query_id, string_agg(f.corrected, ' ' ORDER BY q.pos) AS corrected FROM qtok q JOIN fixed f USING (word) GROUP BY query_id) t
+  USING (query_id)"""
+
+# ---------------------------------------------------------------- embeddings ---
+
+
+def _cos(a, b):
+    d = f"(sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})))"
+    return f"(CASE WHEN {d} = 0 THEN 0.0 ELSE list_dot_product({a}, {b}) / {d} END)"
+
+
+_SP = S.with_(
+    "wv AS (SELECT vec_id AS word_id, CAST(embedding AS DOUBLE[]) AS vector, label AS sentence_id FROM embeddings)",
+    """s AS (SELECT CAST(floor(word_id / 8) AS BIGINT) AS pair_id, 'a' AS side, word_id, vector FROM wv
+          UNION ALL SELECT CAST(floor(word_id / 8) AS BIGINT) - 1, 'b', word_id, vector FROM wv)""",
+    "sp AS (SELECT * FROM s WHERE pair_id IN (SELECT pair_id FROM s GROUP BY pair_id HAVING count(DISTINCT side) = 2))",
+)
+
+ORACLE["emb_max_cosine"] = _SP + f"""SELECT pair_id, round(avg(m), 6) AS max_cosine_sim_per_word FROM
+  (SELECT a.pair_id, a.word_id, max({_cos('a.vector', 'b.vector')}) AS m
+   FROM sp a JOIN sp b ON a.pair_id = b.pair_id AND a.side = 'a' AND b.side = 'b' GROUP BY a.pair_id, a.word_id)
+GROUP BY pair_id"""
+
+_CENTROID = """cen AS (SELECT pair_id, side, list(x ORDER BY dim) AS c FROM
+  (SELECT pair_id, side, dim, avg(x) AS x FROM
+     (SELECT pair_id, side, unnest(vector) AS x, generate_subscripts(vector, 1) AS dim FROM sp) GROUP BY pair_id, side, dim)
+  GROUP BY pair_id, side)"""
+
+ORACLE["emb_centroid"] = _SP[:-1] + ",\n" + _CENTROID + f"""
+SELECT a.pair_id, round({_cos('a.c', 'b.c')}, 6) AS w2v_n_similarity,
+  round(list_sum(list_transform(list_zip(a.c, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / len(a.c), 6) AS w2v_centroid_rmse
+FROM cen a JOIN cen b ON a.pair_id = b.pair_id AND a.side = 'a' AND b.side = 'b'"""
+
+ORACLE["emb_neighbors"] = _SP[:-1] + """,
+lc AS (SELECT sentence_id AS query_id, list(x ORDER BY dim) AS q FROM
+  (SELECT sentence_id, dim, avg(x) AS x FROM
+     (SELECT sentence_id, unnest(vector) AS x, generate_subscripts(vector, 1) AS dim FROM wv) GROUP BY sentence_id, dim)
+  GROUP BY sentence_id),
+sc AS (SELECT lc.query_id, wv.word_id, round(""" + _cos("lc.q", "wv.vector") + """, 9) AS cosine FROM lc CROSS JOIN wv)
+SELECT CAST(query_id AS BIGINT) AS query_id, CAST(word_id AS BIGINT) AS word_id, CAST(rank AS BIGINT) AS rank,
+  round(cosine, 6) AS cosine FROM
+  (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, word_id) AS rank FROM sc) WHERE rank <= 10"""
