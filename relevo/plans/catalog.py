@@ -314,3 +314,128 @@ def q_emb_neighbors(spark, sf_dir):
     top = vx.nearest(c, wv, 10)
     return top.select(F.col("query_id").cast("bigint"), F.col("word_id").cast("bigint"),
                       F.col("rank").cast("bigint"), F.round("cosine", 6).alias("cosine"))
+
+
+# -------------------------------------------------------------------- models ---
+
+from relevo.operators import models as mx  # noqa: E402
+
+BASIC = ["search_term_length", "last_word_in_title", "last_word_in_desc", "have_brand_or_not", "have_attr_or_not",
+         "numbers_in_attr", "numbers_in_title", "numbers_in_desc", "title_common_word_count",
+         "desc_common_word_count", "attr_common_words_count", "title_common_word_count_bigram",
+         "desc_common_word_count_bigram", "attr_common_word_count_bigram"]
+
+
+@register("pair_features")
+def q_pair_features(spark, sf_dir):
+    return fz.feature_table(spark, sf_dir)
+
+
+@register("standard_scale")
+def q_standard_scale(spark, sf_dir):
+    pairs, prods = fz.notebook_inputs(spark, sf_dir)
+    fb = ft.basic_features(fz.joined(pairs, prods))
+    s = mx.standard_scale(fb, BASIC)
+    return s.select("pair_id", *[F.round(c, 6).alias(c) for c in BASIC])
+
+
+@register("stratified_split")
+def q_stratified_split(spark, sf_dir):
+    p = fx.pairs(spark, sf_dir).select("id", "relevance")
+    p = p.withColumn("relevance_class", asm.relevance_class(F.col("relevance")))
+    s = mx.split(p, "id", 0.8, seed=122)
+    return s.groupBy("relevance_class", "split").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"))
+
+
+@register("corr_matrix")
+def q_corr_matrix(spark, sf_dir):
+    pairs, prods = fz.notebook_inputs(spark, sf_dir)
+    fb = ft.basic_features(fz.joined(pairs, prods)).join(pairs.select("pair_id", "relevance"), "pair_id")
+    return prof.correlation_long(fb, ["relevance", "search_term_length", "numbers_in_title",
+                                      "title_common_word_count", "desc_common_word_count", "last_word_in_title"])
+
+
+@register("corr_rank")
+def q_corr_rank(spark, sf_dir):
+    pairs, prods = fz.notebook_inputs(spark, sf_dir)
+    fb = ft.basic_features(fz.joined(pairs, prods)).join(pairs.select("pair_id", "relevance"), "pair_id")
+    cols = ["search_term_length", "last_word_in_title", "last_word_in_desc", "numbers_in_title",
+            "title_common_word_count", "desc_common_word_count", "title_common_word_count_bigram"]
+    return prof.rank_by_abs_correlation(fb, cols, "relevance")
+
+
+@register("error_box")
+def q_error_box(spark, sf_dir):
+    """G13 + P15 on a fixed predictor: the mean training relevance applied to the holdout."""
+    p = fx.pairs(spark, sf_dir)
+    mean = p.where("is_train").agg(F.avg("relevance")).first()[0]
+    diff = p.where("NOT is_train").select((F.col("relevance") - F.lit(mean)).alias("diff"))
+    return prof.box_stats(diff, "diff")
+
+
+def _features_split(spark, sf_dir):
+    ftab = fz.feature_table(spark, sf_dir)
+    return ftab.where("is_train").drop("is_train"), ftab.where("NOT is_train").drop("is_train")
+
+
+@register("fit_linear")
+def q_fit_linear(spark, sf_dir):
+    """M3 + M7-M9: coefficients of ridge / lasso / elastic net on scaled features."""
+    tr, _ = _features_split(spark, sf_dir)
+    s = mx.assemble(mx.standard_scale(tr, ft.FEATURE_ORDER), ft.FEATURE_ORDER)
+    out = None
+    for name in ("M1_ridge", "M1_lasso", "M1_en"):
+        m = mx.base_learners()[name].fit(s)
+        t = mx.importance_table(m, ft.FEATURE_ORDER, name)
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+@register("fit_trees")
+def q_fit_trees(spark, sf_dir):
+    """Tree ensembles and their feature importances."""
+    tr, _ = _features_split(spark, sf_dir)
+    f = mx.assemble(tr, ft.FEATURE_ORDER)
+    out = None
+    for name in ("M1_xgb", "M1_rf", "M1_dt"):
+        m = mx.base_learners(gbt_iter=50)[name].fit(f)
+        t = mx.importance_table(m, ft.FEATURE_ORDER, name)
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+@register("blend_predict")
+def q_blend_predict(spark, sf_dir):
+    """M16 + M19: two-level blend fitted on the training pairs, clipped predictions for the holdout."""
+    tr, te = _features_split(spark, sf_dir)
+    blend = mx.fit_blend(tr, ft.FEATURE_ORDER, gbt_iter=50)
+    return mx.predict_blend(blend, te, ft.FEATURE_ORDER)
+
+
+@register("rmse_table")
+def q_rmse_table(spark, sf_dir):
+    """Holdout RMSE of every base model and of the blend."""
+    tr, te = _features_split(spark, sf_dir)
+    blend = mx.fit_blend(tr, ft.FEATURE_ORDER, gbt_iter=50)
+    p = mx.predict_blend(blend, te, ft.FEATURE_ORDER)
+    aggs = [mx.rmse_expr("relevance", n).alias(n) for n in blend["names"]] + [mx.rmse_expr().alias("blend")]
+    wide = p.agg(*aggs)
+    names = blend["names"] + ["blend"]
+    return wide.unpivot([], names, "model", "rmse_test").select("model", F.round("rmse_test", 6).alias("rmse_test"))
+
+
+@register("error_analysis")
+def q_error_analysis(spark, sf_dir):
+    """Holdout predictions joined to their labels, error = relevance - prediction, box statistics."""
+    tr, te = _features_split(spark, sf_dir)
+    blend = mx.fit_blend(tr, ft.FEATURE_ORDER, gbt_iter=50)
+    p = mx.predict_blend(blend, te.drop("relevance"), ft.FEATURE_ORDER, label=None)
+    lab = fx.pairs(spark, sf_dir).select(F.col("id").alias("pair_id"), "relevance")
+    d = p.join(lab, "pair_id", "left").select((F.col("relevance") - F.col("prediction")).alias("diff"))
+    return prof.box_stats(d, "diff")
+
+
+@register("cv_report")
+def q_cv_report(spark, sf_dir):
+    tr, _ = _features_split(spark, sf_dir)
+    return mx.cv_ridge(mx.standard_scale(tr, ft.FEATURE_ORDER), ft.FEATURE_ORDER)

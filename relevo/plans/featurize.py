@@ -66,3 +66,42 @@ def tfidf_features(pairs: DataFrame, products: DataFrame, vocab: tfidf.TfidfVoca
     qw = bm25.query_word_idf(pairs, "pair_id", "q", vocab.idf, vocab.n_docs)
     j = pairs.join(products.select("product_uid", "title"), "product_uid")
     return ft.tf_idf_stats(j, qw, "title")
+
+
+def latent_cosine_features(pairs: DataFrame, products: DataFrame, vocab: tfidf.TfidfVocab) -> DataFrame:
+    """F28/F29 in the TF-IDF space of the shared vocabulary: search vs title+description and
+    search vs description (cosine of L2-normalised TF-IDF rows)."""
+    j = pairs.join(products, "product_uid")
+    q = tfidf.weights(pairs, "pair_id", "q", vocab)
+    td = tfidf.weights(j.select("pair_id", F.concat("title", F.lit(". "), "description").alias("td")),
+                       "pair_id", "td", vocab)
+    d = tfidf.weights(j.select("pair_id", "description"), "pair_id", "description", vocab)
+    c1 = tfidf.cosine(q, td, "pair_id").withColumnRenamed("cos", "cosine_similarity_tfidf_search_title_des")
+    c2 = tfidf.cosine(q, d, "pair_id").withColumnRenamed("cos", "cosine_similarity_tfidf_search_des")
+    return (pairs.select("pair_id").join(c1, "pair_id", "left").join(c2, "pair_id", "left")
+                 .na.fill(0.0, subset=["cosine_similarity_tfidf_search_title_des", "cosine_similarity_tfidf_search_des"]))
+
+
+def feature_table(spark: SparkSession, sf_dir: str, persist: bool = True) -> DataFrame:
+    """All 41 features per pair plus ``relevance`` and ``is_train``, written once to the
+    checkpoint folder so model fitting reads a compact table instead of re-running text work."""
+    from relevo.session import materialize
+    pairs, prods = notebook_inputs(spark, sf_dir)
+    if persist:
+        pairs = materialize(pairs, "nb-pairs")
+        prods = materialize(prods, "nb-products")
+    j = joined(pairs, prods)
+    vocab = title_desc_vocab(pairs, prods)
+    parts = [
+        ft.basic_features(j), ft.similarity_features(j),
+        ft.mean_char_jaccard(pairs, prods, "title", "mean_jcc_product_title_with_search_term"),
+        ft.mean_char_jaccard(pairs, prods, "description", "mean_jcc_product_desc_with_search_term"),
+        ft.mean_char_jaccard(pairs, prods, "attributes", "mean_jcc_attr_with_search_term"),
+        latent_cosine_features(pairs, prods, vocab),
+        bm25_features(pairs, prods), tfidf_features(pairs, prods, vocab),
+    ]
+    out = pairs.select("pair_id", "relevance", "is_train")
+    for p in parts:
+        out = out.join(p, "pair_id", "left")
+    out = out.select("pair_id", "relevance", "is_train", *[F.col(c).cast("double").alias(c) for c in ft.FEATURE_ORDER])
+    return materialize(out, "features") if persist else out

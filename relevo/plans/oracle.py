@@ -398,3 +398,47 @@ sc AS (SELECT lc.query_id, wv.word_id, round(""" + _cos("lc.q", "wv.vector") + "
 SELECT CAST(query_id AS BIGINT) AS query_id, CAST(word_id AS BIGINT) AS word_id, CAST(rank AS BIGINT) AS rank,
   round(cosine, 6) AS cosine FROM
   (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, word_id) AS rank FROM sc) WHERE rank <= 10"""
+
+# -------------------------------------------------------------------- models ---
+
+_BASIC = ["search_term_length", "last_word_in_title", "last_word_in_desc", "have_brand_or_not", "have_attr_or_not",
+          "numbers_in_attr", "numbers_in_title", "numbers_in_desc", "title_common_word_count",
+          "desc_common_word_count", "attr_common_words_count", "title_common_word_count_bigram",
+          "desc_common_word_count_bigram", "attr_common_word_count_bigram"]
+
+ORACLE["standard_scale"] = f"WITH fb AS ({ORACLE['feat_basic']})\nSELECT pair_id, " + ", ".join(
+    f"round((CAST({c} AS DOUBLE) - avg({c}) OVER ()) / coalesce(nullif(stddev_pop({c}) OVER (), 0), 1.0), 6) AS {c}"
+    for c in _BASIC) + " FROM fb"
+
+_HASH = "(CAST(('0x' || substr(md5('122:' || CAST(id AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0)"
+
+ORACLE["stratified_split"] = S.with_(S.PAIRS) + f"""SELECT relevance_class, split, CAST(count(*) AS BIGINT) AS n_rows FROM
+  (SELECT ([3.00, 2.33, 2.67, 2.00, 1.67, 1.33, 1.00]::DOUBLE[])[list_position(d, list_min(d))] AS relevance_class,
+          CASE WHEN {_HASH} < 0.8 THEN 'train' ELSE 'test' END AS split
+   FROM (SELECT id, list_transform([3.00, 2.33, 2.67, 2.00, 1.67, 1.33, 1.00]::DOUBLE[], lambda v: abs(relevance - v)) AS d FROM pairs))
+GROUP BY ALL"""
+
+_FB_REL = f"WITH fb0 AS ({ORACLE['feat_basic']}), " + S.PAIRS + \
+    ", fb AS (SELECT fb0.*, p.relevance FROM fb0 JOIN pairs p ON p.id = fb0.pair_id)\n"
+_CORR_COLS = ["relevance", "search_term_length", "numbers_in_title", "title_common_word_count",
+              "desc_common_word_count", "last_word_in_title"]
+ORACLE["corr_matrix"] = _FB_REL + " UNION ALL ".join(
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(covar_samp(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) / nullif(stddev_samp(CAST({a} AS DOUBLE)) * stddev_samp(CAST({b} AS DOUBLE)), 0), 6) AS corr FROM fb"
+    for i, a in enumerate(_CORR_COLS) for b in _CORR_COLS[i + 1:])
+
+_RANK_COLS = ["search_term_length", "last_word_in_title", "last_word_in_desc", "numbers_in_title",
+              "title_common_word_count", "desc_common_word_count", "title_common_word_count_bigram"]
+ORACLE["corr_rank"] = _FB_REL + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, round(covar_samp(CAST({c} AS DOUBLE), CAST(relevance AS DOUBLE)) / nullif(stddev_samp(CAST({c} AS DOUBLE)) * stddev_samp(CAST(relevance AS DOUBLE)), 0), 6) AS corr FROM fb"
+    for c in _RANK_COLS)
+
+ORACLE["error_box"] = S.with_(
+    S.PAIRS,
+    "d AS (SELECT relevance - (SELECT avg(relevance) FROM pairs WHERE is_train) AS diff FROM pairs WHERE NOT is_train)",
+    "q AS (SELECT quantile_cont(diff, 0.25) AS q1, quantile_cont(diff, 0.5) AS med, quantile_cont(diff, 0.75) AS q3 FROM d)",
+) + """SELECT round(min(diff), 6) AS min_v, round(max(diff), 6) AS max_v, round(any_value(q1), 6) AS q1,
+  round(any_value(med), 6) AS median, round(any_value(q3), 6) AS q3,
+  round(min(diff) FILTER (WHERE diff >= q1 - 1.5 * (q3 - q1)), 6) AS whisker_lo,
+  round(max(diff) FILTER (WHERE diff <= q3 + 1.5 * (q3 - q1)), 6) AS whisker_hi,
+  CAST(sum(CASE WHEN diff < q1 - 1.5 * (q3 - q1) OR diff > q3 + 1.5 * (q3 - q1) THEN 1 ELSE 0 END) AS BIGINT) AS n_outliers
+FROM d, q"""
