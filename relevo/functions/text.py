@@ -155,6 +155,19 @@ def ngrams(tokens, n: int) -> Column:
                     lambda i: F.array_join(F.slice(t, i, n), " ")))
 
 
+def bigrams(tokens) -> Column:
+    """Adjacent token pairs joined by a blank (a blank never occurs inside a token), as
+    strings so ``array_distinct`` can hash them; one cheap lambda per pair."""
+    t = _c(tokens)
+    m = F.greatest(F.size(t) - 1, F.lit(0))
+    return F.zip_with(F.slice(t, 1, m), F.slice(t, 2, m), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
+def digit_tokens(c) -> Column:
+    """Tokens of ``str.split(' ')`` made only of ASCII digits (a regex, not a per-token lambda)."""
+    return F.regexp_extract_all(_c(c), F.lit(r"(?<![^ ])[0-9]+(?![^ ])"), 0)
+
+
 def substring_count(doc, word) -> Column:
     """Non-overlapping occurrences of ``word`` inside ``doc`` (counts inside words)."""
     d, w = _c(doc), _c(word)

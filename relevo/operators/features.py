@@ -45,9 +45,9 @@ def prepare_products(products: DataFrame, fields=("title", "description", "attri
             F.col(f),
             ws.alias(f"{f}_ws"),
             F.array_distinct(ws).alias(f"{f}_wset"),
-            F.array_distinct(F.filter(sp, tx.is_digit_token)).alias(f"{f}_digits"),
+            F.array_distinct(tx.digit_tokens(f)).alias(f"{f}_digits"),
             F.size(F.array_distinct(sp)).alias(f"{f}_n1"),
-            F.size(F.array_distinct(tx.ngrams(sp, 2))).alias(f"{f}_n2"),
+            F.size(F.array_distinct(tx.bigrams(sp))).alias(f"{f}_n2"),
             F.array_distinct(tx.split_blank(F.trim(F.col(f)))).alias(f"{f}_jset"),
         ]
     cols.append(F.col("brand"))
@@ -60,9 +60,9 @@ def prepare_queries(pairs: DataFrame, q: str = "q") -> DataFrame:
     return pairs.select(
         "*",
         ws.alias("q_ws"), F.array_distinct(ws).alias("q_wset"),
-        F.array_distinct(F.filter(sp, tx.is_digit_token)).alias("q_digits"),
+        F.array_distinct(tx.digit_tokens(q)).alias("q_digits"),
         F.size(F.array_distinct(sp)).alias("q_n1"),
-        F.size(F.array_distinct(tx.ngrams(sp, 2))).alias("q_n2"),
+        F.size(F.array_distinct(tx.bigrams(sp))).alias("q_n2"),
         F.array_distinct(tx.split_blank(F.trim(F.col(q)))).alias("q_jset"),
     )
 

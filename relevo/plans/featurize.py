@@ -16,14 +16,19 @@ from relevo.operators import bm25
 from relevo.operators import features as ft
 from relevo.operators import tfidf
 from relevo.sources import fixtures as fx
+from relevo.session import materialize
 
 
 def _nb(c):
     return tx.standardize_measures(tx.remove_special_char(c))
 
 
-def notebook_inputs(spark: SparkSession, sf_dir: str):
-    """(pairs(pair_id, product_uid, q, relevance, is_train), products(product_uid, title, description, attributes, brand))."""
+def notebook_inputs(spark: SparkSession, sf_dir: str, persist: bool = True):
+    """(pairs(pair_id, product_uid, q, relevance, is_train), products(product_uid, title, description, attributes, brand)).
+
+    Both are written once to the checkpoint folder: every feature group reads the
+    cleaned text instead of re-running the cleaning rules.
+    """
     p = fx.pairs(spark, sf_dir)
     pairs = p.select(F.col("id").alias("pair_id"), "product_uid", _nb("search_term").alias("q"),
                      "relevance", "is_train")
@@ -36,6 +41,8 @@ def notebook_inputs(spark: SparkSession, sf_dir: str):
     products = prods.select("product_uid", _nb("product_title").alias("title"),
                             _nb("product_description").alias("description"),
                             _nb("attribute_summary").alias("attributes"), "brand")
+    if persist:
+        pairs, products = materialize(pairs, "nb-pairs"), materialize(products, "nb-products")
     return pairs, products
 
 
@@ -85,11 +92,7 @@ def latent_cosine_features(pairs: DataFrame, products: DataFrame, vocab: tfidf.T
 def feature_table(spark: SparkSession, sf_dir: str, persist: bool = True) -> DataFrame:
     """All 41 features per pair plus ``relevance`` and ``is_train``, written once to the
     checkpoint folder so model fitting reads a compact table instead of re-running text work."""
-    from relevo.session import materialize
-    pairs, prods = notebook_inputs(spark, sf_dir)
-    if persist:
-        pairs = materialize(pairs, "nb-pairs")
-        prods = materialize(prods, "nb-products")
+    pairs, prods = notebook_inputs(spark, sf_dir, persist=persist)
     j = joined(pairs, prods)
     vocab = title_desc_vocab(pairs, prods)
     parts = [
