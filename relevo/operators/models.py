@@ -19,6 +19,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relevo.session import materialize
+
 
 def hash_fraction(key: Column, seed: int) -> Column:
     """A uniform value in [0, 1) from md5(seed || key): stable across engines and re-runs."""
@@ -105,7 +107,7 @@ def fit_blend(train: DataFrame, feature_cols: list[str], key: str = "pair_id", l
             sd = a.agg(F.stddev_samp(label)).first()[0] or 1.0
             est = est.setRegParam(ridge_reg_param(6.715, a.count(), sd))
         models[name] = est.fit(fa_s if name in SCALED else fa)
-    meta_in = base_predictions(models, b, b_s, feature_cols, key, label)
+    meta_in = materialize(base_predictions(models, b, b_s, feature_cols, key, label), "meta-input")
     names = list(models)
     meta_s = standard_scale(meta_in, names)
     sd = meta_in.agg(F.stddev_samp(label)).first()[0] or 1.0
@@ -128,7 +130,7 @@ def base_predictions(models: dict, df: DataFrame, df_scaled: DataFrame, feature_
 def predict_blend(blend: dict, df: DataFrame, feature_cols, key: str = "pair_id", label: str | None = "relevance"):
     """Base predictions -> meta scaling -> ridge -> clipped relevance."""
     df_s = standard_scale(df, feature_cols, fit_on=blend["scale_base"])
-    meta_in = base_predictions(blend["models"], df, df_s, feature_cols, key, label)
+    meta_in = materialize(base_predictions(blend["models"], df, df_s, feature_cols, key, label), "base-predictions")
     meta_s = standard_scale(meta_in, blend["names"], fit_on=blend["scale_meta"])
     p = blend["meta"].transform(assemble(meta_s, blend["names"]))
     keep = [key] + ([label] if label and label in meta_in.columns else [])

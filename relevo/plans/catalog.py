@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from relevo.functions import text as tx
 from relevo.plans import search
+from relevo.operators import bm25
 from relevo.sources import tables as T
 
 QUERIES: dict = {}
@@ -439,3 +440,26 @@ def q_error_analysis(spark, sf_dir):
 def q_cv_report(spark, sf_dir):
     tr, _ = _features_split(spark, sf_dir)
     return mx.cv_ridge(mx.standard_scale(tr, ft.FEATURE_ORDER), ft.FEATURE_ORDER)
+
+
+# ------------------------------------------------------------ end-to-end search ---
+
+@register("search_candidates")
+def q_search_candidates(spark, sf_dir):
+    """Cleaned + corrected query -> BM25 top 100 -> candidate products with their text."""
+    from relevo.operators import spell as sp
+    catalog = fx.products(spark, sf_dir).join(
+        fx.attributes(spark, sf_dir).where(F.col("name") == fx.BRAND_NAME)
+          .select("product_uid", F.col("value").alias("brand")), "product_uid", "left")
+    vocab = sp.word_counts(sp.corpus_lines(catalog.na.fill({"brand": ""})))
+    q = fx.queries(spark, sf_dir).select("query_id", tx.clean_search("text").alias("text"))
+    q = sp.correct_text(q, "query_id", "text", vocab, out="search_term")
+    idx = search.document_index(spark, sf_dir)
+    top = bm25.top_n(idx, q.withColumnRenamed("search_term", "text"), n=100)
+    return (top.join(q, "query_id").join(catalog, "product_uid")
+               .select("query_id", "rank", "product_uid", "product_title", "search_term", "brand"))
+
+
+@register("search_top10")
+def q_search_top10(spark, sf_dir):
+    return search.search_top10(spark, sf_dir)

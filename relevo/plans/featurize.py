@@ -89,22 +89,60 @@ def latent_cosine_features(pairs: DataFrame, products: DataFrame, vocab: tfidf.T
                  .na.fill(0.0, subset=["cosine_similarity_tfidf_search_title_des", "cosine_similarity_tfidf_search_des"]))
 
 
-def feature_table(spark: SparkSession, sf_dir: str, persist: bool = True) -> DataFrame:
-    """All 41 features per pair plus ``relevance`` and ``is_train``, written once to the
-    checkpoint folder so model fitting reads a compact table instead of re-running text work."""
-    pairs, prods = notebook_inputs(spark, sf_dir, persist=persist)
+def notebook_products(spark: SparkSession, sf_dir: str, restrict_to: DataFrame | None = None) -> DataFrame:
+    """Cleaned products (notebook rules), optionally only those whose uid occurs in ``restrict_to``."""
+    a = fx.attributes(spark, sf_dir).na.drop("any", subset=["product_uid", "name", "value"])
+    summ = asm.attribute_text(a, fill_null=False).withColumnRenamed("combined_attr", "attribute_summary")
+    br = asm.brand_rows(a)
+    p = fx.products(spark, sf_dir)
+    if restrict_to is not None:
+        p = p.join(restrict_to.select("product_uid"), "product_uid", "left_semi")
+    p = (p.join(summ, "product_uid", "left").join(br, "product_uid", "left")
+          .na.fill({"attribute_summary": "NoAttribute", "brand": "NoBrand"}))
+    return p.select("product_uid", _nb("product_title").alias("title"), _nb("product_description").alias("description"),
+                    _nb("attribute_summary").alias("attributes"), "brand")
+
+
+class FeatureParams:
+    """Everything fitted on training data that the features need: BM25 parameters per field
+    (R1, fitted on training rows) and the TF-IDF vocabulary (V1)."""
+
+    def __init__(self, bm25_params: dict, vocab: tfidf.TfidfVocab):
+        self.bm25_params = bm25_params
+        self.vocab = vocab
+
+
+def fit_feature_params(pairs: DataFrame, products: DataFrame) -> FeatureParams:
+    j = pairs.join(products, "product_uid")
+    train = j.where("is_train")
+    params = {f: bm25.fit_params(train, f) for f in ("title", "description", "brand")}
+    return FeatureParams(params, title_desc_vocab(pairs, products))
+
+
+def compute_features(pairs: DataFrame, prods: DataFrame, fp: FeatureParams, keep=("relevance", "is_train")) -> DataFrame:
+    """All 41 features for ``pairs(pair_id, product_uid, q, ...)`` with fitted parameters ``fp``."""
     j = joined(pairs, prods)
-    vocab = title_desc_vocab(pairs, prods)
+    jb = pairs.join(prods, "product_uid")
+    bm = jb.select("pair_id")
+    for field, name in (("title", "bm25_ST"), ("description", "bm25_SD"), ("brand", "bm25_SB")):
+        bm = bm.join(bm25.pair_score(jb, fp.bm25_params[field], "pair_id", "q", field, name), "pair_id")
     parts = [
         ft.basic_features(j), ft.similarity_features(j),
         ft.mean_char_jaccard(pairs, prods, "title", "mean_jcc_product_title_with_search_term"),
         ft.mean_char_jaccard(pairs, prods, "description", "mean_jcc_product_desc_with_search_term"),
         ft.mean_char_jaccard(pairs, prods, "attributes", "mean_jcc_attr_with_search_term"),
-        latent_cosine_features(pairs, prods, vocab),
-        bm25_features(pairs, prods), tfidf_features(pairs, prods, vocab),
+        latent_cosine_features(pairs, prods, fp.vocab), bm, tfidf_features(pairs, prods, fp.vocab),
     ]
-    out = pairs.select("pair_id", "relevance", "is_train")
+    keep = [c for c in keep if c in pairs.columns]
+    out = pairs.select("pair_id", *keep)
     for p in parts:
         out = out.join(p, "pair_id", "left")
-    out = out.select("pair_id", "relevance", "is_train", *[F.col(c).cast("double").alias(c) for c in ft.FEATURE_ORDER])
+    return out.select("pair_id", *keep, *[F.col(c).cast("double").alias(c) for c in ft.FEATURE_ORDER])
+
+
+def feature_table(spark: SparkSession, sf_dir: str, persist: bool = True) -> DataFrame:
+    """All 41 features per labelled pair plus ``relevance`` and ``is_train``, written once to the
+    checkpoint folder so model fitting reads a compact table instead of re-running text work."""
+    pairs, prods = notebook_inputs(spark, sf_dir, persist=persist)
+    out = compute_features(pairs, prods, fit_feature_params(pairs, prods))
     return materialize(out, "features") if persist else out

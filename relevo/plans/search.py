@@ -32,3 +32,52 @@ def bm25_topn(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame:
     top = bm25.top_n(idx, q, n=n)
     return top.select(F.col("query_id").cast("bigint"), F.col("product_uid").cast("bigint"),
                       F.col("rank").cast("bigint"), F.col("score").cast("double"))
+
+
+def search_top10(spark: SparkSession, sf_dir: str, candidates: int = 100, k: int = 10,
+                 gbt_iter: int = 50) -> DataFrame:
+    """R6 + R9 + R10 for the whole table of benchmark queries.
+
+    clean -> spelling correction against the catalog vocabulary -> BM25 top ``candidates``
+    -> features (parameters fitted on labelled pairs) -> two-level blend -> top ``k``.
+    """
+    from relevo.operators import models as mx
+    from relevo.operators import spell
+    from relevo.operators import features as ft
+    from relevo.operators.topn import top_n_per_group
+    from relevo.plans import featurize as fz
+    from relevo.session import materialize
+
+    # 1. model and feature parameters from the labelled pairs
+    pairs, prods = fz.notebook_inputs(spark, sf_dir)
+    fp = fz.fit_feature_params(pairs, prods)
+    ftab = materialize(fz.compute_features(pairs, prods, fp), "features")
+    blend = mx.fit_blend(ftab.where("is_train").drop("is_train"), ft.FEATURE_ORDER, gbt_iter=gbt_iter)
+
+    # 2. queries: app cleaning, then spelling correction against the catalog's title+brand vocabulary
+    catalog = fx.products(spark, sf_dir).join(
+        fx.attributes(spark, sf_dir).where(F.col("name") == fx.BRAND_NAME)
+          .select("product_uid", F.col("value").alias("brand")), "product_uid", "left")
+    vocab = spell.word_counts(spell.corpus_lines(catalog.na.fill({"brand": ""})))
+    q = fx.queries(spark, sf_dir).select("query_id", tx.clean_search("text").alias("text"))
+    q = spell.correct_text(q, "query_id", "text", vocab, out="text")
+    q = materialize(q, "corrected-queries")
+
+    # 3. BM25 candidates over the cleaned catalog text
+    idx = document_index(spark, sf_dir)
+    cand = bm25.top_n(idx, q, n=candidates).select("query_id", "product_uid", F.col("rank").alias("bm25_rank"))
+    cand = cand.join(q, "query_id").select(
+        (F.col("query_id") * 1000 + F.col("bm25_rank")).cast("bigint").alias("pair_id"),
+        "query_id", "product_uid", tx.standardize_measures(tx.remove_special_char("text")).alias("q"))
+    cand = materialize(cand, "candidates")
+
+    # 4. features of the candidate pairs, blend prediction, top k per query
+    cprods = materialize(fz.notebook_products(spark, sf_dir, restrict_to=cand), "candidate-products")
+    feats = materialize(fz.compute_features(cand.select("pair_id", "product_uid", "q"), cprods, fp, keep=()),
+                        "candidate-features")
+    pred = mx.predict_blend(blend, feats, ft.FEATURE_ORDER, label=None)
+    scored = (pred.select("pair_id", F.round("prediction", 6).alias("relevance"))
+                  .join(cand.select("pair_id", "query_id", "product_uid"), "pair_id")
+                  .join(fx.products(spark, sf_dir).select("product_uid", "product_title"), "product_uid"))
+    top = top_n_per_group(scored, "query_id", [F.desc("relevance"), F.asc("product_uid")], k, salt_cols=["product_uid"])
+    return top.select("query_id", "rank", "product_uid", "product_title", "relevance")
