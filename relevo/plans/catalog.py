@@ -463,3 +463,13 @@ def q_search_candidates(spark, sf_dir):
 @register("search_top10")
 def q_search_top10(spark, sf_dir):
     return search.search_top10(spark, sf_dir)
+
+
+# ----------------------------------------------------------------- streaming ---
+
+@register("stream_bm25_topn")
+def q_stream_bm25_topn(spark, sf_dir):
+    """The flagship search as a stream: benchmark query rows arrive as files and are scored per micro-batch."""
+    from relevo.streaming import search_stream
+    idx = search.document_index(spark, sf_dir)
+    return search_stream.run_once(spark, idx, sf_dir, n=10, glob="benchmark.parquet")

@@ -442,3 +442,7 @@ ORACLE["error_box"] = S.with_(
   round(max(diff) FILTER (WHERE diff <= q3 + 1.5 * (q3 - q1)), 6) AS whisker_hi,
   CAST(sum(CASE WHEN diff < q1 - 1.5 * (q3 - q1) OR diff > q3 + 1.5 * (q3 - q1) THEN 1 ELSE 0 END) AS BIGINT) AS n_outliers
 FROM d, q"""
+
+# ----------------------------------------------------------------- streaming ---
+
+ORACLE["stream_bm25_topn"] = ORACLE["bm25_topn"]
