@@ -473,3 +473,40 @@ def q_stream_bm25_topn(spark, sf_dir):
     from relevo.streaming import search_stream
     idx = search.document_index(spark, sf_dir)
     return search_stream.run_once(spark, idx, sf_dir, n=10, glob="benchmark.parquet")
+
+
+# ------------------------------------------------------------- sources/sinks ---
+
+import uuid as _uuid  # noqa: E402
+
+from relevo.session import checkpoint_dir as _ckpt  # noqa: E402
+from relevo.sources import io as sio  # noqa: E402
+
+
+def _scratch(spark, name):
+    return f"{_ckpt(spark).rstrip('/')}/{name}-{_uuid.uuid4().hex[:10]}"
+
+
+@register("csv_roundtrip")
+def q_csv_roundtrip(spark, sf_dir):
+    """S5 then S1: products written as ISO-8859-1 CSV and read back with a declared schema."""
+    path = _scratch(spark, "products-csv")
+    sio.write_csv(fx.products(spark, sf_dir), path, encoding="ISO-8859-1")
+    return sio.read_csv(spark, path, "product_uid BIGINT, product_title STRING, product_description STRING",
+                        encoding="ISO-8859-1")
+
+
+@register("corpus_roundtrip")
+def q_corpus_roundtrip(spark, sf_dir):
+    """R8 -> S4 -> S3 -> G10: the spelling corpus written as text, read back and counted."""
+    path = _scratch(spark, "corpus-txt")
+    sio.write_text(spell.corpus_lines(fx.part_products(spark, sf_dir)), "line", path)
+    v = spell.word_counts(sio.read_text(spark, path))
+    return v.select("word", F.col("cnt").cast("bigint"), F.round("freq", 6).alias("freq"))
+
+
+@register("json_records")
+def q_json_records(spark, sf_dir):
+    """The flagship result rows as JSON records."""
+    top = search.bm25_topn(spark, sf_dir, n=10).select("query_id", "product_uid", "rank")
+    return sio.json_records(top)

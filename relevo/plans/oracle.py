@@ -446,3 +446,10 @@ FROM d, q"""
 # ----------------------------------------------------------------- streaming ---
 
 ORACLE["stream_bm25_topn"] = ORACLE["bm25_topn"]
+
+# ------------------------------------------------------------- sources/sinks ---
+
+ORACLE["csv_roundtrip"] = S.with_(S.PRODUCTS) + "SELECT * FROM products"
+ORACLE["corpus_roundtrip"] = ORACLE["word_freq"]
+ORACLE["json_records"] = "SELECT CAST(to_json({'query_id': query_id, 'product_uid': product_uid, 'rank': rank}) AS VARCHAR) AS json FROM (" + \
+    ORACLE["bm25_topn"] + ")"
