@@ -69,3 +69,64 @@ def cosine(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     dot = (a.alias("a").join(b.alias("b"), [key, "term"])
              .groupBy(key).agg(F.sum(F.col("a.weight") * F.col("b.weight")).alias("cos")))
     return dot
+
+
+# ---------------------------------------------------------------------------------
+# V3 / V4 / V6: truncated SVD of the TF-IDF matrix and latent projection
+# ---------------------------------------------------------------------------------
+
+def fit_svd(w: DataFrame, key: str, vocab: TfidfVocab, k: int):
+    """V3: uncentred truncated SVD of the L2-normalised TF-IDF rows (MLlib ``RowMatrix``).
+
+    Rows are sparse vectors; with k well below the vocabulary size MLlib runs the
+    distributed ARPACK mode (no n x n Gramian on the driver). Returns
+    ``(components DataFrame(term, comp, v), singular values)``; the component table
+    is vocabulary x k (bounded by ``max_features``).
+    """
+    from pyspark.mllib.linalg import Vectors
+    from pyspark.mllib.linalg.distributed import RowMatrix
+
+    n_terms = vocab.idf.count()
+    idx = w.join(vocab.idf.select("term", "term_index"), "term")
+    rows = idx.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("term_index", "weight"))).alias("e"))
+    # ARPACK makes one pass per iteration: read the rows from a written table, keep them cached
+    rows = materialize(rows.select("e"), "svd-rows")
+    rdd = rows.rdd.map(
+        lambda r: Vectors.sparse(n_terms, [x[0] for x in r[0]], [x[1] for x in r[0]])).cache()
+    svd = RowMatrix(rdd).computeSVD(k, computeU=False)
+    rdd.unpersist()
+    v = svd.V.toArray()
+    spark = w.sparkSession
+    terms = {r["term_index"]: r["term"] for r in vocab.idf.select("term", "term_index").collect()}
+    comps = spark.createDataFrame(
+        [(terms[i], j, float(v[i, j])) for i in range(v.shape[0]) for j in range(v.shape[1])],
+        "term string, comp int, v double")
+    return comps, [float(s) for s in svd.s.toArray()]
+
+
+def project(w: DataFrame, key: str, comps: DataFrame) -> DataFrame:
+    """V4: latent coordinates ``X · V`` as a long table (key, comp, x)."""
+    c = F.broadcast(comps) if comps.count() <= 2_000_000 else comps
+    return (w.join(c, "term").groupBy(key, "comp")
+             .agg(F.sum(F.col("weight") * F.col("v")).alias("x")))
+
+
+def latent_cosine(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """V5 on long latent tables: cosine per key; keys missing on a side have a zero vector."""
+    dot = a.alias("a").join(b.alias("b"), [key, "comp"]).groupBy(key).agg(
+        F.sum(F.col("a.x") * F.col("b.x")).alias("d"))
+    na = a.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("na"))
+    nb = b.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("nb"))
+    j = dot.join(na, key).join(nb, key)
+    return j.select(key, F.when(F.col("na") * F.col("nb") == 0, F.lit(0.0))
+                    .otherwise(F.col("d") / (F.col("na") * F.col("nb"))).alias("cos"))
+
+
+def explained_variance_ratio(w: DataFrame, latent: DataFrame, key: str, n_rows: int) -> float:
+    """V6: summed variance of the projected columns over the total column variance of X
+    (population variances over all rows; absent entries are zeros)."""
+    def total_var(df, col, by):
+        s = df.groupBy(by).agg(F.sum(col).alias("s1"), F.sum(F.col(col) * F.col(col)).alias("s2"))
+        return s.agg(F.sum(F.col("s2") / n_rows - (F.col("s1") / n_rows) ** 2)).first()[0] or 0.0
+    tot = total_var(w, "weight", "term")
+    return (total_var(latent, "x", "comp") / tot) if tot else 0.0

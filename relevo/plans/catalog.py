@@ -510,3 +510,24 @@ def q_json_records(spark, sf_dir):
     """The flagship result rows as JSON records."""
     top = search.bm25_topn(spark, sf_dir, n=10).select("query_id", "product_uid", "rank")
     return sio.json_records(top)
+
+
+@register("svd_cosine")
+def q_svd_cosine(spark, sf_dir):
+    """V3 + V4 + V5 + V6 (F28 latent form): truncated SVD (20 components) of the distinct
+    title+description TF-IDF rows; cosine of search vs title+description in that basis,
+    with the explained variance ratio of the fit on every row."""
+    pairs, prods = fz.notebook_inputs(spark, sf_dir)
+    v = fz.title_desc_vocab(pairs, prods)
+    td = pairs.join(prods, "product_uid").select("pair_id", F.concat("title", F.lit(". "), "description").alias("td"))
+    docs = td.select("td").distinct().withColumn("doc", F.xxhash64("td"))
+    wdocs = tfx.weights(docs, "doc", "td", v)
+    comps, _ = tfx.fit_svd(wdocs, "doc", v, k=20)
+    n_docs = docs.count()
+    evr = tfx.explained_variance_ratio(wdocs, tfx.project(wdocs, "doc", comps), "doc", n_docs)
+    a = tfx.project(tfx.weights(pairs, "pair_id", "q", v), "pair_id", comps)
+    b = tfx.project(tfx.weights(td, "pair_id", "td", v), "pair_id", comps)
+    cos = tfx.latent_cosine(a, b, "pair_id")
+    return (pairs.select("pair_id").join(cos, "pair_id", "left")
+                 .select("pair_id", F.round(F.coalesce("cos", F.lit(0.0)), 6).alias("cosine_similarity_tfidf_search_title_des"),
+                         F.lit(round(evr, 6)).alias("explained_variance_ratio")))
