@@ -89,3 +89,22 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, qkey: str = "qu
         q = F.broadcast(q)
     s = vectors.select(key, vec).join(q).select(qkey, key, F.round(cosine(F.col(qvec), F.col(vec)), 9).alias("cosine"))
     return top_n_per_group(s, qkey, [F.desc("cosine"), F.asc(key)], k, salt_cols=[key])
+
+
+def fit_word2vec(texts: DataFrame, col: str = "text", size: int = 100, window: int = 5, min_count: int = 1,
+                 iters: int = 20, seed: int = 122):
+    """V7: Word2Vec on whitespace tokens of distinct texts (MLlib; skip-gram, so vectors differ
+    from a CBOW fit and compare by neighbourhood, not by value). Returns the fitted model."""
+    from pyspark.ml.feature import Word2Vec
+    docs = texts.select(F.split(F.trim(F.col(col)), r"\s+").alias("tokens")).distinct()
+    # one training partition per core (MLlib's default of 1 trains on a single thread)
+    parts = texts.sparkSession.sparkContext.defaultParallelism
+    w2v = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, maxIter=iters, seed=seed,
+                   numPartitions=parts, inputCol="tokens", outputCol="vec")
+    return w2v.fit(docs)
+
+
+def word_vectors_table(model) -> DataFrame:
+    """V8: (word, vector ARRAY<DOUBLE>) from a fitted Word2Vec model."""
+    from pyspark.ml.functions import vector_to_array
+    return model.getVectors().select("word", vector_to_array("vector").alias("vector"))

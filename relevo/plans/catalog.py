@@ -531,3 +531,21 @@ def q_svd_cosine(spark, sf_dir):
     return (pairs.select("pair_id").join(cos, "pair_id", "left")
                  .select("pair_id", F.round(F.coalesce("cos", F.lit(0.0)), 6).alias("cosine_similarity_tfidf_search_title_des"),
                          F.lit(round(evr, 6)).alias("explained_variance_ratio")))
+
+
+@register("w2v_neighbors")
+def q_w2v_neighbors(spark, sf_dir):
+    """V7 + V8 + O3: Word2Vec on the distinct descriptions, searches and titles of the labelled pairs
+    (100 dims, window 5, min count 1, 20 passes); the 10 nearest words to each search word."""
+    pairs, prods = fz.notebook_inputs(spark, sf_dir)
+    texts = (prods.select(F.col("description").alias("text"))
+             .unionByName(pairs.select(F.col("q").alias("text")))
+             .unionByName(prods.select(F.col("title").alias("text"))))
+    model = vx.fit_word2vec(texts)
+    wv = vx.word_vectors_table(model)
+    qwords = (pairs.select(F.explode(tx.split_ws("q")).alias("word")).distinct()
+              .join(wv, "word").select(F.col("word").alias("query_id"), F.col("vector").alias("qvec")))
+    top = vx.nearest(qwords, wv.withColumnRenamed("word", "word_id"), k=11)
+    return (top.where(F.col("word_id") != F.col("query_id"))
+               .select(F.col("query_id").alias("word"), F.col("word_id").alias("neighbor"),
+                       F.round("cosine", 6).alias("cosine")))
