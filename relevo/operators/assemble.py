@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from relevo.functions import text as tx
 from relevo.operators.topn import fits
+from relevo.session import materialize
 
 BRAND_NAME = "MFG Brand Name"
 BROADCAST_BRANDS = 1_000_000
@@ -89,11 +90,17 @@ def impute_brand(catalog: DataFrame, title: str = "product_title", brand: str =
 
 
 def assemble_catalog(train: DataFrame, test: DataFrame, attributes: DataFrame,
-                     descriptions: DataFrame) -> DataFrame:
-    """One row per product with title, attribute text, brand, description and cleaned text."""
+                     descriptions: DataFrame, persist: bool = True) -> DataFrame:
+    """One row per product with title, attribute text, brand, description and cleaned text.
+
+    The unioned pair rows and the joined (pre-imputation) catalog are each read by
+    several later steps; they are written once so the plan does not repeat the
+    upstream joins for every reader.
+    """
+    cut = (lambda df, name: materialize(df, name)) if persist else (lambda df, name: df)
     cols = ["id", "product_uid", "product_title", "search_term"]
-    both = (train.select(*cols, F.lit(0).alias("src"))
-            .unionByName(test.select(*cols, F.lit(1).alias("src"))))
+    both = cut(train.select(*cols, F.lit(0).alias("src"))
+               .unionByName(test.select(*cols, F.lit(1).alias("src"))), "catalog-pairs")
     # attributes / brands only of products present (the source filters by hand; a semi join here)
     present = both.select("product_uid").distinct()
     attrs = attributes.join(present, "product_uid", "left_semi")
@@ -106,7 +113,7 @@ def assemble_catalog(train: DataFrame, test: DataFrame, attributes: DataFrame,
                 .join(at, "product_uid", "left")
                 .join(br, "product_uid", "left")
                 .join(desc, "product_uid", "left"))
-    cat = impute_brand(cat)
+    cat = impute_brand(cut(cat, "catalog-joined"))
     cat = cat.withColumn("combined_attr", F.coalesce("combined_attr", "product_description"))
     text = F.concat(F.col("product_title"), F.lit(" "), F.col("brand"), F.lit(" "), F.col("product_description"))
     return cat.select("product_uid", "product_title", "combined_attr", "brand", "product_description",
