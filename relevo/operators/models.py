@@ -71,6 +71,23 @@ def base_learners(label: str = "relevance", features: str = "features", gbt_iter
 
 SCALED = {"M1_ridge", "M1_lasso", "M1_en"}
 
+# --- fixed values: sampling seeds of the base models, in the source's order ------
+SAMPLE_SEEDS = {"M1_xgb": 101, "M1_rf": 102, "M1_ridge": 103, "M1_lasso": 104, "M1_en": 105, "M1_dt": 107}
+# ----------------------------------------------------------------------------------
+
+
+def extra_learners(label: str = "relevance", features: str = "features", iters: int = 100):
+    """Approach-2 learners: histogram-style boosting (M5: binned features, depth 8, rate .05) and the
+    extra-trees stand-in (M11: no bootstrap, all features; MLlib has no random thresholds)."""
+    return {
+        "hgb": GBTRegressor(labelCol=label, featuresCol=features, maxIter=iters, stepSize=0.05, maxDepth=8,
+                            maxBins=255, seed=122),
+        "extra_trees": RandomForestRegressor(labelCol=label, featuresCol=features, numTrees=100, bootstrap=False,
+                                             featureSubsetStrategy="all", seed=122),
+        "rf_a2": RandomForestRegressor(labelCol=label, featuresCol=features, numTrees=100, maxDepth=8,
+                                       minInstancesPerNode=3, seed=122),
+    }
+
 
 def ridge_reg_param(alpha: float, n: int, label_sd: float) -> float:
     """M7: MLlib's regParam equivalent to a least-squares ridge penalty ``alpha * ||w||^2``."""
@@ -106,7 +123,8 @@ def fit_blend(train: DataFrame, feature_cols: list[str], key: str = "pair_id", l
         if name == "M1_ridge":
             sd = a.agg(F.stddev_samp(label)).first()[0] or 1.0
             est = est.setRegParam(ridge_reg_param(6.715, a.count(), sd))
-        models[name] = est.fit(fa_s if name in SCALED else fa)
+        # M2: every base model sees its own 85 % sample of half A (features and label in one frame)
+        models[name] = est.fit(sample_rows(fa_s if name in SCALED else fa, 0.85, SAMPLE_SEEDS[name]))
     meta_in = materialize(base_predictions(models, b, b_s, feature_cols, key, label), "meta-input")
     names = list(models)
     meta_s = standard_scale(meta_in, names)
@@ -169,3 +187,74 @@ def cv_ridge(df: DataFrame, feature_cols: list[str], label: str = "relevance", r
 
 def sqrt_ratio(n: int) -> float:
     return math.sqrt((n - 1) / n) if n > 1 else 1.0
+
+
+def fold_of(key: Column, folds: int, seed: int = 5) -> Column:
+    """Fold id in [0, folds) from the key's md5 (stable, no global sort)."""
+    return F.floor(hash_fraction(key, seed) * folds).cast("int")
+
+
+def stack_oof(df: DataFrame, feature_cols: list[str], key: str = "pair_id", label: str = "relevance",
+              folds: int = 5, iters: int = 50, reg_params=(0.1, 1.0, 10.0)):
+    """Out-of-fold stacking. For each fold, the base learners are fitted on the other folds
+    and predict the held-out fold; the union of those predictions trains the final ridge
+    (strength picked by k-fold CV, M12). Base learners are then refitted on all rows.
+    Returns (base models on all rows, final model, out-of-fold table)."""
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    learners = {"hgb": extra_learners(label, "features", iters)["hgb"],
+                "extra_trees": extra_learners(label, "features", iters)["extra_trees"],
+                "rf_a2": extra_learners(label, "features", iters)["rf_a2"],
+                "ridge": LinearRegression(labelCol=label, featuresCol="features", elasticNetParam=0.0, regParam=1.0)}
+    f = materialize(assemble(df, feature_cols).withColumn("_fold", fold_of(F.col(key), folds)), "stack-input")
+    oof = None
+    for k in range(folds):
+        tr, te = f.where(F.col("_fold") != k), f.where(F.col("_fold") == k)
+        part = te.select(key, label)
+        for name, est in learners.items():
+            p = est.fit(tr).transform(te).select(key, F.col("prediction").alias(name))
+            part = part.join(p, key)
+        oof = part if oof is None else oof.unionByName(part)
+    oof = materialize(oof, "stack-oof")
+    names = list(learners)
+    lr = LinearRegression(labelCol=label, featuresCol="features", elasticNetParam=0.0)
+    grid = ParamGridBuilder().addGrid(lr.regParam, list(reg_params)).build()
+    final = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=label),
+                           numFolds=folds, seed=122).fit(assemble(oof, names)).bestModel
+    bases = {name: est.fit(f) for name, est in learners.items()}
+    return bases, final, oof
+
+
+def predict_stack(bases: dict, final, df: DataFrame, feature_cols, key: str = "pair_id") -> DataFrame:
+    f = assemble(df, feature_cols)
+    out = df.select(key)
+    for name, m in bases.items():
+        out = out.join(m.transform(f).select(key, F.col("prediction").alias(name)), key)
+    p = final.transform(assemble(out, list(bases)))
+    return p.select(key, clip(F.col("prediction")).alias("prediction"))
+
+
+def random_search(df: DataFrame, feature_cols: list[str], label: str = "relevance", draws: int = 20,
+                  folds: int = 3, seed: int = 122) -> DataFrame:
+    """M14 + M15: seeded random draws of (regParam log-uniform, elasticNetParam uniform) for a
+    linear model, k-fold CV; report test and train RMSE per draw, rank by test RMSE and flag
+    draws whose train/test gap is below 0.1 (the source's filter)."""
+    import numpy as np
+    from pyspark.sql import Window
+    rng = np.random.default_rng(seed)
+    draws_ = [(float(10 ** rng.uniform(-5, 1)), float(rng.uniform(0, 1))) for _ in range(draws)]
+    f = materialize(assemble(df, feature_cols).withColumn("_fold", fold_of(F.col("pair_id"), folds, seed)),
+                    "search-input")
+    rows = []
+    for i, (reg, mix) in enumerate(draws_):
+        te_err, tr_err = [], []
+        for k in range(folds):
+            tr, te = f.where(F.col("_fold") != k), f.where(F.col("_fold") == k)
+            m = LinearRegression(labelCol=label, featuresCol="features", regParam=reg, elasticNetParam=mix).fit(tr)
+            ev = RegressionEvaluator(labelCol=label, metricName="rmse")
+            te_err.append(ev.evaluate(m.transform(te)))
+            tr_err.append(m.summary.rootMeanSquaredError)
+        rows.append((i, reg, mix, float(np.mean(te_err)), float(np.mean(tr_err))))
+    spark = df.sparkSession
+    out = spark.createDataFrame(rows, "draw int, reg_param double, elastic_net double, rmse_test double, rmse_train double")
+    return (out.withColumn("rank_test_score", F.rank().over(Window.orderBy("rmse_test")))
+               .withColumn("small_gap", (F.abs(F.col("rmse_test") - F.col("rmse_train")) < 0.1)))

@@ -549,3 +549,42 @@ def q_w2v_neighbors(spark, sf_dir):
     return (top.where(F.col("word_id") != F.col("query_id"))
                .select(F.col("query_id").alias("word"), F.col("word_id").alias("neighbor"),
                        F.round("cosine", 6).alias("cosine")))
+
+
+@register("app_features")
+def q_app_features(spark, sf_dir):
+    """F1-F21, F23-F25 with the app cleaning pipeline (P8, P9, T1, T2, T4, T5) on the part catalog."""
+    pairs, prods = fz.app_inputs(spark, sf_dir)
+    j = fz.joined(pairs, prods)
+    out = ft.basic_features(j).join(ft.similarity_features(j), "pair_id")
+    return _rounded(out)
+
+
+@register("fit_trees_a2")
+def q_fit_trees_a2(spark, sf_dir):
+    """M5, M6 (approach 2), M11: histogram-style boosting, random forest, extra-trees stand-in; holdout RMSE."""
+    tr, te = _features_split(spark, sf_dir)
+    ftr, fte = mx.assemble(tr, ft.FEATURE_ORDER), mx.assemble(te, ft.FEATURE_ORDER)
+    rows = []
+    for name, est in mx.extra_learners(iters=50).items():
+        m = est.fit(ftr)
+        rows.append(m.transform(fte).agg(mx.rmse_expr().alias("rmse_test")).select(F.lit(name).alias("model"), "rmse_test"))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out.select("model", F.round("rmse_test", 6).alias("rmse_test"))
+
+
+@register("stack_oof")
+def q_stack_oof(spark, sf_dir):
+    """M17 + M19: out-of-fold stacking fitted on the training pairs, clipped holdout predictions."""
+    tr, te = _features_split(spark, sf_dir)
+    bases, final, _ = mx.stack_oof(tr, ft.FEATURE_ORDER, iters=30)
+    return mx.predict_stack(bases, final, te, ft.FEATURE_ORDER)
+
+
+@register("random_search")
+def q_random_search(spark, sf_dir):
+    """M14 + M15: seeded random search over linear-model strength and mix, CV report with rank and gap flag."""
+    tr, _ = _features_split(spark, sf_dir)
+    return mx.random_search(mx.standard_scale(tr, ft.FEATURE_ORDER), ft.FEATURE_ORDER, draws=12)

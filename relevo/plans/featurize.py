@@ -146,3 +146,27 @@ def feature_table(spark: SparkSession, sf_dir: str, persist: bool = True) -> Dat
     pairs, prods = notebook_inputs(spark, sf_dir, persist=persist)
     out = compute_features(pairs, prods, fit_feature_params(pairs, prods))
     return materialize(out, "features") if persist else out
+
+
+def app_inputs(spark: SparkSession, sf_dir: str, persist: bool = True):
+    """Pairs and products cleaned with the app rules (T1/T2, stop words T4, bullets T5,
+    empty-field sentinels P9), on the part catalog: each misspelled part-name query is paired
+    with every part of that name. Attributes fall back to the description (P8)."""
+    from relevo.functions import text as tx
+    q = fx.part_queries(spark, sf_dir)
+    p = fx.part_products(spark, sf_dir)
+    pairs = (q.join(p.select("product_uid", F.col("product_title").alias("truth")), "truth")
+              .select(F.concat_ws("#", "query_id", F.col("product_uid").cast("string")).alias("pair_id"),
+                      "product_uid", tx.strip_stopwords(tx.clean_search("text")).alias("q0")))
+    pairs = pairs.select("pair_id", "product_uid",
+                         F.when(F.col("q0") == "", F.lit("missing_search")).otherwise(F.col("q0")).alias("q"))
+    b = tx.strip_stopwords(tx.clean_text("brand"))
+    prods = p.select(
+        "product_uid",
+        tx.strip_stopwords(tx.clean_text("product_title")).alias("title"),
+        tx.remove_bullets(tx.strip_stopwords(tx.clean_text("product_description"))).alias("description"),
+        tx.remove_bullets(tx.strip_stopwords(tx.clean_text("product_description"))).alias("attributes"),
+        F.when(b == "", F.lit("missing_brand")).otherwise(b).alias("brand"))
+    if persist:
+        pairs, prods = materialize(pairs, "app-pairs"), materialize(prods, "app-products")
+    return pairs, prods

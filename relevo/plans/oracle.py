@@ -453,3 +453,27 @@ ORACLE["csv_roundtrip"] = S.with_(S.PRODUCTS) + "SELECT * FROM products"
 ORACLE["corpus_roundtrip"] = ORACLE["word_freq"]
 ORACLE["json_records"] = "SELECT CAST(to_json({'query_id': query_id, 'product_uid': product_uid, 'rank': rank}) AS VARCHAR) AS json FROM (" + \
     ORACLE["bm25_topn"] + ")"
+
+# -------------------------------------------------------------- app features ---
+
+_APP = S.with_(
+    S.PART_PRODUCTS, S.PART_QUERIES,
+    f"""app_pairs AS (SELECT pair_id, product_uid, CASE WHEN q0 = '' THEN 'missing_search' ELSE q0 END AS q FROM
+      (SELECT q.query_id || '#' || CAST(p.product_uid AS VARCHAR) AS pair_id, p.product_uid,
+              {S.strip_stopwords(S.clean('q.text', True))} AS q0
+       FROM part_queries q JOIN part_products p ON q.truth = p.product_title))""",
+    f"""app_products AS (SELECT product_uid, {S.strip_stopwords(S.clean('product_title'))} AS title,
+       regexp_replace({S.strip_stopwords(S.clean('product_description'))}, 'bullet [0-9][0-9] ', '', 'g') AS description,
+       regexp_replace({S.strip_stopwords(S.clean('product_description'))}, 'bullet [0-9][0-9] ', '', 'g') AS attributes,
+       CASE WHEN {S.strip_stopwords(S.clean('brand'))} = '' THEN 'missing_brand' ELSE {S.strip_stopwords(S.clean('brand'))} END AS brand
+     FROM part_products)""",
+    "nb_j AS (SELECT * FROM app_pairs JOIN app_products USING (product_uid))",
+)
+
+
+def _cols_of(sql_select):
+    return sql_select[sql_select.index("SELECT pair_id, ") + len("SELECT pair_id, "):sql_select.rindex(" FROM nb_j")]
+
+
+ORACLE["app_features"] = _APP + "SELECT pair_id, " + _cols_of(ORACLE["feat_basic"]) + ", " + \
+    _cols_of(ORACLE["feat_similarity"]) + " FROM nb_j"
