@@ -329,7 +329,9 @@ BASIC = ["search_term_length", "last_word_in_title", "last_word_in_desc", "have_
 
 @register("pair_features")
 def q_pair_features(spark, sf_dir):
-    return fz.feature_table(spark, sf_dir)
+    """All 41 features per labelled pair (values rounded to 6 places for comparison)."""
+    t = fz.feature_table(spark, sf_dir)
+    return t.select("pair_id", "relevance", "is_train", *[F.round(c, 6).alias(c) for c in ft.FEATURE_ORDER])
 
 
 @register("standard_scale")

@@ -477,3 +477,41 @@ def _cols_of(sql_select):
 
 ORACLE["app_features"] = _APP + "SELECT pair_id, " + _cols_of(ORACLE["feat_basic"]) + ", " + \
     _cols_of(ORACLE["feat_similarity"]) + " FROM nb_j"
+
+# ------------------------------------------------------- full feature table ---
+
+_FEATURE_ORDER = [
+    "search_term_length", "last_word_in_title", "last_word_in_desc", "have_brand_or_not", "have_attr_or_not",
+    "numbers_in_attr", "numbers_in_title", "numbers_in_desc", "title_common_word_count",
+    "desc_common_word_count", "attr_common_words_count", "title_common_word_count_bigram",
+    "desc_common_word_count_bigram", "attr_common_word_count_bigram",
+    "cosine_search_term_Title", "cosine_search_term_desc", "search_term_contains_brand",
+    "min_jcc_brand_with_search_term", "min_edit_brand_with_search_term", "min_jcc_title_with_search_term",
+    "min_edit_title_with_search_term", "mean_jcc_product_title_with_search_term",
+    "sum_jaccard_product_title_with_search_term", "sum_edit_product_title_with_search_term",
+    "sum_jcc_prod_desc_with_search_term", "mean_jcc_product_desc_with_search_term", "mean_jcc_attr_with_search_term",
+    "cosine_similarity_tfidf_search_title_des", "cosine_similarity_tfidf_search_des",
+    "bm25_ST", "bm25_SD", "bm25_SB",
+    "max_tf_ST", "max_idf_ST", "max_tfidf_ST", "min_tf_ST", "min_idf_ST", "min_tfidf_ST",
+    "sum_tf_ST", "sum_idf_ST", "sum_tfidf_ST",
+]
+
+_LATENT = _NB[:-1] + ",\n" + _VOCAB + ",\n" + _weights("nb_pairs", "pair_id", "q", "wa") + ",\n" + \
+    _weights("nb_j", "pair_id", "title || '. ' || description", "wb") + ",\n" + \
+    _weights("nb_j", "pair_id", "description", "wd") + """,
+c1 AS (SELECT a.k AS pair_id, sum(a.weight * b.weight) AS c FROM wa a JOIN wb b ON a.k = b.k AND a.term = b.term GROUP BY a.k),
+c2 AS (SELECT a.k AS pair_id, sum(a.weight * d.weight) AS c FROM wa a JOIN wd d ON a.k = d.k AND a.term = d.term GROUP BY a.k)
+SELECT p.pair_id, round(coalesce(c1.c, 0.0), 6) AS cosine_similarity_tfidf_search_title_des,
+  round(coalesce(c2.c, 0.0), 6) AS cosine_similarity_tfidf_search_des
+FROM nb_pairs p LEFT JOIN c1 USING (pair_id) LEFT JOIN c2 USING (pair_id)"""
+
+ORACLE["pair_features"] = f"""WITH fb AS ({ORACLE['feat_basic']}),
+fs AS ({ORACLE['feat_similarity']}),
+fm AS ({ORACLE['feat_mean_jaccard']}),
+fl AS ({_LATENT}),
+f25 AS ({ORACLE['bm25_pair_score']}),
+ftf AS ({ORACLE['tfidf_minmax']}),
+lab AS ({S.with_(S.PAIRS)} SELECT id AS pair_id, relevance, is_train FROM pairs)
+SELECT lab.pair_id, lab.relevance, lab.is_train, {", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in _FEATURE_ORDER)}
+FROM lab JOIN fb USING (pair_id) JOIN fs USING (pair_id) JOIN fm USING (pair_id) JOIN fl USING (pair_id)
+JOIN f25 USING (pair_id) JOIN ftf USING (pair_id)"""
