@@ -29,8 +29,8 @@ class TfidfVocab:
 
 
 def _tokens(text, stop_words):
-    stop = F.array(*[F.lit(w) for w in stop_words])
-    return F.filter(tx.word_tokens_min2(text), lambda t: ~F.array_contains(stop, t))
+    # `isin` over many literals becomes a hash set lookup (InSet) per token
+    return F.filter(tx.word_tokens_min2(text), lambda t: ~t.isin(*stop_words))
 
 
 def fit_vocab(texts: DataFrame, text: str = "text", min_df: int = 2, max_features: int = 10000,
