@@ -590,3 +590,27 @@ def q_random_search(spark, sf_dir):
     """M14 + M15: seeded random search over linear-model strength and mix, CV report with rank and gap flag."""
     tr, _ = _features_split(spark, sf_dir)
     return mx.random_search(mx.standard_scale(tr, ft.FEATURE_ORDER), ft.FEATURE_ORDER, draws=12)
+
+
+@register("model_roundtrip")
+def q_model_roundtrip(spark, sf_dir):
+    """A fitted model written with the MLlib writer to the checkpoint folder, loaded back, used to predict."""
+    from pyspark.ml.regression import LinearRegressionModel
+    tr, te = _features_split(spark, sf_dir)
+    s_tr = mx.standard_scale(tr, ft.FEATURE_ORDER)
+    m = mx.base_learners()["M1_lasso"].fit(mx.assemble(s_tr, ft.FEATURE_ORDER))
+    path = _scratch(spark, "model-lasso")
+    sio.save_model(m, path)
+    loaded = LinearRegressionModel.load(path)
+    s_te = mx.standard_scale(te, ft.FEATURE_ORDER, fit_on=tr)
+    p = loaded.transform(mx.assemble(s_te, ft.FEATURE_ORDER))
+    return p.select("pair_id", F.round(mx.clip(F.col("prediction")), 6).alias("prediction"))
+
+
+@register("shared_pairs")
+def q_shared_pairs(spark, sf_dir):
+    """Labelled and unlabelled pairs joined on (product_title, search_term); the source finds none."""
+    p = fx.pairs(spark, sf_dir)
+    tr = p.where("is_train").select("product_title", "search_term", F.col("id").alias("id_x"), "relevance")
+    te = p.where("NOT is_train").select("product_title", "search_term", F.col("id").alias("id_y"))
+    return tr.join(te, ["product_title", "search_term"], "inner")

@@ -515,3 +515,7 @@ lab AS ({S.with_(S.PAIRS)} SELECT id AS pair_id, relevance, is_train FROM pairs)
 SELECT lab.pair_id, lab.relevance, lab.is_train, {", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in _FEATURE_ORDER)}
 FROM lab JOIN fb USING (pair_id) JOIN fs USING (pair_id) JOIN fm USING (pair_id) JOIN fl USING (pair_id)
 JOIN f25 USING (pair_id) JOIN ftf USING (pair_id)"""
+
+ORACLE["shared_pairs"] = S.with_(S.PAIRS) + """SELECT a.product_title, a.search_term, a.id AS id_x, a.relevance, b.id AS id_y
+FROM pairs a JOIN pairs b ON a.product_title = b.product_title AND a.search_term = b.search_term
+WHERE a.is_train AND NOT b.is_train"""
