@@ -614,3 +614,58 @@ def q_shared_pairs(spark, sf_dir):
     tr = p.where("is_train").select("product_title", "search_term", F.col("id").alias("id_x"), "relevance")
     te = p.where("NOT is_train").select("product_title", "search_term", F.col("id").alias("id_y"))
     return tr.join(te, ["product_title", "search_term"], "inner")
+
+
+@register("attr_null_rows")
+def q_attr_null_rows(spark, sf_dir):
+    """Attribute rows by NULL pattern (uid present / value missing, name missing, all present)."""
+    a = fx.attributes(spark, sf_dir)
+    return a.agg(
+        F.sum((F.col("product_uid").isNotNull() & F.col("value").isNull()).cast("long")).alias("uid_no_value"),
+        F.sum((F.col("product_uid").isNull() & F.col("name").isNull()).cast("long")).alias("no_uid_no_name"),
+        F.sum((F.col("product_uid").isNotNull() & F.col("name").isNotNull() & F.col("value").isNotNull())
+              .cast("long")).alias("complete"))
+
+
+@register("catalog_preview")
+def q_catalog_preview(spark, sf_dir):
+    """The first five catalog rows (by product id)."""
+    return _catalog(spark, sf_dir).orderBy("product_uid").limit(5).select("product_uid", "product_title", "brand")
+
+
+@register("feat_ngram_overlap")
+def q_feat_ngram_overlap(spark, sf_dir):
+    """Exact n-gram overlap (threshold 0): |distinct n-grams of the search ∩ of the field|, n = 1, 2."""
+    pairs, prods = fz.notebook_inputs(spark, sf_dir)
+    j = pairs.join(prods, "product_uid")
+    q1, t1, d1 = tx.split_blank("q"), tx.split_blank("title"), tx.split_blank("description")
+    return j.select(
+        "pair_id",
+        F.size(F.array_intersect(q1, t1)).alias("title_unigram_overlap"),
+        F.size(F.array_intersect(q1, d1)).alias("desc_unigram_overlap"),
+        F.size(F.array_intersect(tx.bigrams(q1), tx.bigrams(t1))).alias("title_bigram_overlap"),
+        F.size(F.array_intersect(tx.bigrams(q1), tx.bigrams(d1))).alias("desc_bigram_overlap"))
+
+
+@register("tfidf_cosine_title")
+def q_tfidf_cosine_title(spark, sf_dir):
+    """TF-IDF cosine of the search term and the title (shared vocabulary)."""
+    pairs, prods = fz.notebook_inputs(spark, sf_dir)
+    v = fz.title_desc_vocab(pairs, prods)
+    t = pairs.join(prods, "product_uid").select("pair_id", "title")
+    cos = tfx.cosine(tfx.weights(pairs, "pair_id", "q", v), tfx.weights(t, "pair_id", "title", v), "pair_id")
+    return (pairs.select("pair_id").join(cos, "pair_id", "left")
+                 .select("pair_id", F.round(F.coalesce("cos", F.lit(0.0)), 6).alias("cosine_similarity_tfidf_search_title")))
+
+
+@register("gbt_early_stop")
+def q_gbt_early_stop(spark, sf_dir):
+    """Boosting with early stopping on a hash-selected validation fifth of the training pairs."""
+    from pyspark.ml.regression import GBTRegressor
+    tr, te = _features_split(spark, sf_dir)
+    f = mx.assemble(tr, ft.FEATURE_ORDER).withColumn("is_val", mx.hash_fraction(F.col("pair_id"), 11) < 0.2)
+    m = GBTRegressor(labelCol="relevance", featuresCol="features", maxIter=200, stepSize=0.05, maxDepth=6,
+                     validationIndicatorCol="is_val", validationTol=0.001, seed=122).fit(f)
+    p = m.transform(mx.assemble(te, ft.FEATURE_ORDER))
+    return p.agg(mx.rmse_expr().alias("rmse_test")).select(
+        F.lit(m.getNumTrees).alias("n_trees"), F.round("rmse_test", 6).alias("rmse_test"))

@@ -519,3 +519,28 @@ JOIN f25 USING (pair_id) JOIN ftf USING (pair_id)"""
 ORACLE["shared_pairs"] = S.with_(S.PAIRS) + """SELECT a.product_title, a.search_term, a.id AS id_x, a.relevance, b.id AS id_y
 FROM pairs a JOIN pairs b ON a.product_title = b.product_title AND a.search_term = b.search_term
 WHERE a.is_train AND NOT b.is_train"""
+
+ORACLE["attr_null_rows"] = S.with_(S.ATTRIBUTES) + """SELECT
+  CAST(sum(CASE WHEN product_uid IS NOT NULL AND value IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS uid_no_value,
+  CAST(sum(CASE WHEN product_uid IS NULL AND name IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS no_uid_no_name,
+  CAST(sum(CASE WHEN product_uid IS NOT NULL AND name IS NOT NULL AND value IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS complete
+FROM attributes"""
+
+ORACLE["catalog_preview"] = _CATALOG + "SELECT product_uid, product_title, brand FROM catalog ORDER BY product_uid LIMIT 5"
+
+
+def _bigr(l):
+    return f"list_transform(range(1, len({l})), lambda i: {l}[i] || ' ' || {l}[i + 1])"
+
+
+ORACLE["feat_ngram_overlap"] = _NB + f"""SELECT pair_id,
+  len(list_intersect(string_split(q, ' '), string_split(title, ' '))) AS title_unigram_overlap,
+  len(list_intersect(string_split(q, ' '), string_split(description, ' '))) AS desc_unigram_overlap,
+  len(list_intersect({_bigr("string_split(q, ' ')")}, {_bigr("string_split(title, ' ')")})) AS title_bigram_overlap,
+  len(list_intersect({_bigr("string_split(q, ' ')")}, {_bigr("string_split(description, ' ')")})) AS desc_bigram_overlap
+FROM nb_j"""
+
+ORACLE["tfidf_cosine_title"] = _NB[:-1] + ",\n" + _VOCAB + ",\n" + _weights("nb_pairs", "pair_id", "q", "wa") + ",\n" + \
+    _weights("nb_j", "pair_id", "title", "wt") + """,
+cos AS (SELECT a.k AS pair_id, sum(a.weight * b.weight) AS c FROM wa a JOIN wt b ON a.k = b.k AND a.term = b.term GROUP BY a.k)
+SELECT p.pair_id, round(coalesce(c, 0.0), 6) AS cosine_similarity_tfidf_search_title FROM nb_pairs p LEFT JOIN cos USING (pair_id)"""
