@@ -14,7 +14,10 @@ FAST = ["bm25_topn", "clean_text", "clean_search", "clean_measures", "camel_spli
         "describe_numeric", "distinct_dups", "histogram_len", "set_overlap", "feat_basic", "feat_similarity",
         "feat_mean_jaccard", "bm25_pair_score", "tfidf_minmax", "tfidf_cosine", "word_freq", "spell_correct",
         "spell_text", "emb_max_cosine", "emb_centroid", "emb_neighbors", "standard_scale", "stratified_split",
-        "corr_rank", "error_box"]
+        "corr_rank", "error_box", "app_features", "feat_ngram_overlap", "tfidf_cosine_title", "attr_null_rows",
+        "shared_pairs", "catalog_preview", "csv_roundtrip", "corpus_roundtrip", "json_records", "stream_bm25_topn",
+        "pair_features", "null_profile", "value_counts", "class_hist", "clip_predictions", "attr_concat_rows",
+        "clean_units", "tfidf_weights", "corr_matrix"]
 
 
 def _norm(v):
