@@ -21,22 +21,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns=None) -> Dat
     return df.select(*columns) if columns else df
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     """Give CPU-heavy text work at least one partition per core.
 
     A small file with one row group scans as one task; on a cluster the scan
     already yields many more partitions than cores and this is a no-op, so the
-    extra round-robin shuffle only happens where it pays for itself.
+    extra shuffle only happens where it pays for itself. Spreading by ``key``
+    (hash) lets later per-key aggregations reuse the partitioning.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
+        return df.repartition(cores, key) if key else df.repartition(cores)
     return df
 
 
 def documents(spark, sf_dir, columns=("doc_id", "text", "lang", "source", "n_chars")):
     df = read_table(spark, sf_dir, "documents", list(columns))
-    return spread(df) if "text" in columns else df
+    return spread(df, "doc_id") if "text" in columns else df
 
 
 def labels(spark, sf_dir):
