@@ -116,15 +116,30 @@ class Bm25Params:
     avgdl: float
 
 
-def fit_params(corpus: DataFrame, text: str) -> Bm25Params:
-    """idf = ln(N/df) + 1 over lower-cased ``\\b\\w+\\b`` tokens; avgdl over whitespace tokens."""
+def fit_params(corpus: DataFrame, text: str, stats=None, persist: bool = True) -> Bm25Params:
+    """idf = ln(N/df) + 1 over lower-cased ``\\b\\w+\\b`` tokens; avgdl over whitespace tokens.
+
+    ``stats`` = (N, avgdl) when already computed (``fit_params_many`` does all fields in one pass).
+    The idf table is written once: it is read by the size check and by the join.
+    """
     c = corpus.select(F.col(text).alias("t"))
-    st = c.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tx.split_ws("t"))).alias("avgdl")).first()
-    n_docs = int(st["n"])
+    if stats is None:
+        st = c.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tx.split_ws("t"))).alias("avgdl")).first()
+        stats = (int(st["n"]), float(st["avgdl"] or 0.0))
+    n_docs, avgdl = stats
     idf = (c.select(F.explode(F.array_distinct(tx.word_tokens("t"))).alias("term"))
             .groupBy("term").agg(F.count(F.lit(1)).alias("df"))
             .select("term", (F.log(F.lit(n_docs) / F.col("df")) + 1).alias("idf")))
-    return Bm25Params(idf, n_docs, float(st["avgdl"] or 0.0))
+    if persist:
+        idf = materialize(idf, f"bm25-params-{text}")
+    return Bm25Params(idf, n_docs, avgdl)
+
+
+def fit_params_many(corpus: DataFrame, fields) -> dict:
+    """R1 for several text columns of the same corpus; N and every avgdl in one aggregation."""
+    st = corpus.agg(F.count(F.lit(1)).alias("n"),
+                    *[F.avg(F.size(tx.split_ws(f))).alias(f"avgdl_{f}") for f in fields]).first()
+    return {f: fit_params(corpus, f, (int(st["n"]), float(st[f"avgdl_{f}"] or 0.0))) for f in fields}
 
 
 def query_word_idf(pairs: DataFrame, key: str, query: str, idf: DataFrame, n_docs: int,

@@ -55,9 +55,9 @@ def bm25_features(pairs: DataFrame, products: DataFrame) -> DataFrame:
     j = pairs.join(products, "product_uid")
     train = j.where("is_train")
     out = j.select("pair_id")
+    params = bm25.fit_params_many(train, ("title", "description", "brand"))
     for field, name in (("title", "bm25_ST"), ("description", "bm25_SD"), ("brand", "bm25_SB")):
-        params = bm25.fit_params(train, field)
-        out = out.join(bm25.pair_score(j, params, "pair_id", "q", field, name), "pair_id")
+        out = out.join(bm25.pair_score(j, params[field], "pair_id", "q", field, name), "pair_id")
     return out
 
 
@@ -115,7 +115,7 @@ class FeatureParams:
 def fit_feature_params(pairs: DataFrame, products: DataFrame) -> FeatureParams:
     j = pairs.join(products, "product_uid")
     train = j.where("is_train")
-    params = {f: bm25.fit_params(train, f) for f in ("title", "description", "brand")}
+    params = bm25.fit_params_many(train, ("title", "description", "brand"))
     return FeatureParams(params, title_desc_vocab(pairs, products))
 
 
