@@ -66,10 +66,16 @@ def brand_rows(attributes: DataFrame, dedupe: bool = True) -> DataFrame:
     return b.groupBy("product_uid").agg(F.min(F.struct("pos", "value"))["value"].alias("brand"))
 
 
-def first_row_per_key(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """Keep the first row of each key under an explicit total order."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+def first_row_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Keep the first row of each key under an explicit total (ascending) order.
+
+    ``min(struct(order..., row...))`` is an aggregate, so it is pre-aggregated on the
+    map side: a key holding a third of all rows costs one row per partition in the
+    shuffle, where a ``row_number`` window would sort all of them in one task.
+    """
+    rest = [c for c in df.columns if c != key and c not in order]
+    best = df.groupBy(key).agg(F.min(F.struct(*[F.col(c) for c in order + rest])).alias("_b"))
+    return best.select(key, *[F.col("_b")[c].alias(c) for c in order + rest]).select(*df.columns)
 
 
 def impute_brand(catalog: DataFrame, title: str = "product_title", brand: str = "brand") -> DataFrame:
@@ -108,7 +114,7 @@ def assemble_catalog(train: DataFrame, test: DataFrame, attributes: DataFrame,
     br = brand_rows(attrs, dedupe=True)
     desc = descriptions.select("product_uid", tx.split_glued_words("product_description")
                                .alias("product_description"))
-    first = first_row_per_key(both, "product_uid", [F.col("src"), F.col("id")])
+    first = first_row_per_key(both, "product_uid", ["src", "id"])
     cat = (first.select("product_uid", "product_title")
                 .join(at, "product_uid", "left")
                 .join(br, "product_uid", "left")

@@ -112,7 +112,7 @@ def q_dedupe_first(spark, sf_dir):
     p = fx.pairs(spark, sf_dir)
     both = (p.where("is_train").select("id", "product_uid", "search_term", F.lit(0).alias("src"))
             .unionByName(p.where("NOT is_train").select("id", "product_uid", "search_term", F.lit(1).alias("src"))))
-    return asm.first_row_per_key(both, "product_uid", [F.col("src"), F.col("id")]).drop("src")
+    return asm.first_row_per_key(both, "product_uid", ["src", "id"]).drop("src")
 
 
 @register("assemble_pairs")
