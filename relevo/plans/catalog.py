@@ -641,10 +641,10 @@ def q_feat_ngram_overlap(spark, sf_dir):
     q1, t1, d1 = tx.split_blank("q"), tx.split_blank("title"), tx.split_blank("description")
     return j.select(
         "pair_id",
-        F.size(F.array_intersect(q1, t1)).alias("title_unigram_overlap"),
-        F.size(F.array_intersect(q1, d1)).alias("desc_unigram_overlap"),
-        F.size(F.array_intersect(tx.bigrams(q1), tx.bigrams(t1))).alias("title_bigram_overlap"),
-        F.size(F.array_intersect(tx.bigrams(q1), tx.bigrams(d1))).alias("desc_bigram_overlap"))
+        F.size(F.array_intersect(q1, t1)).cast("bigint").alias("title_unigram_overlap"),
+        F.size(F.array_intersect(q1, d1)).cast("bigint").alias("desc_unigram_overlap"),
+        F.size(F.array_intersect(tx.bigrams(q1), tx.bigrams(t1))).cast("bigint").alias("title_bigram_overlap"),
+        F.size(F.array_intersect(tx.bigrams(q1), tx.bigrams(d1))).cast("bigint").alias("desc_bigram_overlap"))
 
 
 @register("tfidf_cosine_title")

@@ -534,10 +534,10 @@ def _bigr(l):
 
 
 ORACLE["feat_ngram_overlap"] = _NB + f"""SELECT pair_id,
-  len(list_intersect(string_split(q, ' '), string_split(title, ' '))) AS title_unigram_overlap,
-  len(list_intersect(string_split(q, ' '), string_split(description, ' '))) AS desc_unigram_overlap,
-  len(list_intersect({_bigr("string_split(q, ' ')")}, {_bigr("string_split(title, ' ')")})) AS title_bigram_overlap,
-  len(list_intersect({_bigr("string_split(q, ' ')")}, {_bigr("string_split(description, ' ')")})) AS desc_bigram_overlap
+  CAST(len(list_intersect(string_split(q, ' '), string_split(title, ' '))) AS BIGINT) AS title_unigram_overlap,
+  CAST(len(list_intersect(string_split(q, ' '), string_split(description, ' '))) AS BIGINT) AS desc_unigram_overlap,
+  CAST(len(list_intersect({_bigr("string_split(q, ' ')")}, {_bigr("string_split(title, ' ')")})) AS BIGINT) AS title_bigram_overlap,
+  CAST(len(list_intersect({_bigr("string_split(q, ' ')")}, {_bigr("string_split(description, ' ')")})) AS BIGINT) AS desc_bigram_overlap
 FROM nb_j"""
 
 ORACLE["tfidf_cosine_title"] = _NB[:-1] + ",\n" + _VOCAB + ",\n" + _weights("nb_pairs", "pair_id", "q", "wa") + ",\n" + \
