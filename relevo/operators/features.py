@@ -90,8 +90,11 @@ def _char_jaccard(x: Column, y: Column) -> Column:
 
 def basic_features(j: DataFrame, q: str = "q") -> DataFrame:
     """F1-F14 (``j`` = prepared queries joined with prepared products)."""
-    return j.select(
-        "pair_id",
+    return j.select("pair_id", *basic_columns(q))
+
+
+def basic_columns(q: str = "q") -> list:
+    return [
         F.length(q).alias("search_term_length"),
         _last_word_in("title").alias("last_word_in_title"),
         _last_word_in("description").alias("last_word_in_desc"),
@@ -108,19 +111,22 @@ def basic_features(j: DataFrame, q: str = "q") -> DataFrame:
         (F.col("q_n2") * F.col("title_n2")).alias("title_common_word_count_bigram"),
         (F.col("q_n2") * F.col("description_n2")).alias("desc_common_word_count_bigram"),
         (F.col("q_n2") * F.col("attributes_n2")).alias("attr_common_word_count_bigram"),
-    )
+    ]
 
 
 def similarity_features(j: DataFrame, q: str = "q") -> DataFrame:
     """F15-F21, F23-F25 (everything of part 2 except the mean Jaccard features)."""
+    return j.select("pair_id", *similarity_columns(q))
+
+
+def similarity_columns(q: str = "q") -> list:
     qb = tx.split_blank(q)
     bb = tx.split_blank("brand")
     qs = tx.split_blank(F.trim(F.col(q)))
     bs = tx.split_blank(F.trim(F.col("brand")))
     ts = tx.split_blank(F.trim(F.col("title")))
     tb = tx.split_blank("title")
-    return j.select(
-        "pair_id",
+    return [
         _set_cosine("title").alias("cosine_search_term_Title"),
         _set_cosine("description").alias("cosine_search_term_desc"),
         F.aggregate(qb, F.lit(0), lambda acc, x: acc + F.size(F.filter(bb, lambda y: y == x)))
@@ -132,7 +138,7 @@ def similarity_features(j: DataFrame, q: str = "q") -> DataFrame:
         set_jaccard(F.col("q_jset"), F.col("title_jset")).alias("sum_jaccard_product_title_with_search_term"),
         F.levenshtein(q, "title").alias("sum_edit_product_title_with_search_term"),
         set_jaccard(F.col("q_jset"), F.col("description_jset")).alias("sum_jcc_prod_desc_with_search_term"),
-    )
+    ]
 
 
 def mean_char_jaccard(pairs: DataFrame, products: DataFrame, field: str, out: str, q: str = "q") -> DataFrame:

@@ -77,14 +77,22 @@ def tfidf_features(pairs: DataFrame, products: DataFrame, vocab: tfidf.TfidfVoca
 
 def latent_cosine_features(pairs: DataFrame, products: DataFrame, vocab: tfidf.TfidfVocab) -> DataFrame:
     """F28/F29 in the TF-IDF space of the shared vocabulary: search vs title+description and
-    search vs description (cosine of L2-normalised TF-IDF rows)."""
-    j = pairs.join(products, "product_uid")
-    q = tfidf.weights(pairs, "pair_id", "q", vocab)
-    td = tfidf.weights(j.select("pair_id", F.concat("title", F.lit(". "), "description").alias("td")),
-                       "pair_id", "td", vocab)
-    d = tfidf.weights(j.select("pair_id", "description"), "pair_id", "description", vocab)
-    c1 = tfidf.cosine(q, td, "pair_id").withColumnRenamed("cos", "cosine_similarity_tfidf_search_title_des")
-    c2 = tfidf.cosine(q, d, "pair_id").withColumnRenamed("cos", "cosine_similarity_tfidf_search_des")
+    search vs description (cosine of L2-normalised TF-IDF rows).
+
+    Product texts are weighted once per product; each pair's query weights meet its
+    product's weights in one equi-join on (product_uid, term)."""
+    used = products.join(pairs.select("product_uid").distinct(), "product_uid", "left_semi")
+    td = tfidf.weights(used.select("product_uid", F.concat("title", F.lit(". "), "description").alias("td")),
+                       "product_uid", "td", vocab)
+    d = tfidf.weights(used.select("product_uid", "description"), "product_uid", "description", vocab)
+    q = tfidf.weights(pairs, "pair_id", "q", vocab).join(pairs.select("pair_id", "product_uid"), "pair_id")
+
+    def cos(pw, name):
+        return (q.join(pw.withColumnRenamed("weight", "pw"), ["product_uid", "term"])
+                 .groupBy("pair_id").agg(F.sum(F.col("weight") * F.col("pw")).alias(name)))
+
+    c1 = cos(td, "cosine_similarity_tfidf_search_title_des")
+    c2 = cos(d, "cosine_similarity_tfidf_search_des")
     return (pairs.select("pair_id").join(c1, "pair_id", "left").join(c2, "pair_id", "left")
                  .na.fill(0.0, subset=["cosine_similarity_tfidf_search_title_des", "cosine_similarity_tfidf_search_des"]))
 
@@ -127,7 +135,7 @@ def compute_features(pairs: DataFrame, prods: DataFrame, fp: FeatureParams, keep
     for field, name in (("title", "bm25_ST"), ("description", "bm25_SD"), ("brand", "bm25_SB")):
         bm = bm.join(bm25.pair_score(jb, fp.bm25_params[field], "pair_id", "q", field, name), "pair_id")
     parts = [
-        ft.basic_features(j), ft.similarity_features(j),
+        j.select("pair_id", *ft.basic_columns(), *ft.similarity_columns()),
         ft.mean_char_jaccard(pairs, prods, "title", "mean_jcc_product_title_with_search_term"),
         ft.mean_char_jaccard(pairs, prods, "description", "mean_jcc_product_desc_with_search_term"),
         ft.mean_char_jaccard(pairs, prods, "attributes", "mean_jcc_attr_with_search_term"),
