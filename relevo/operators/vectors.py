@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relevo.operators.topn import fits, top_n_per_group
+from relevo.operators.topn import top_n_per_group
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -79,16 +79,26 @@ def centroid_features(pairs: DataFrame) -> DataFrame:
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, qkey: str = "query_id",
             qvec: str = "qvec", key: str = "word_id", vec: str = "vector",
             max_broadcast: int = 100_000) -> DataFrame:
-    """O3: the k vectors most similar (cosine) to each query vector.
+    """O3: the k vectors most similar (cosine) to each query vector (exact).
 
-    The query side is broadcast when its size is checked small, so the vector
-    table is scanned once; the per-query top k uses a salted two-step window.
+    Query vectors are broadcast in buckets of at most ``max_broadcast`` rows (bucket =
+    hash of the query key); each bucket is one scan of the vector table, so the work is
+    linear in the vector table per bucket and no unbounded side is ever paired or
+    broadcast. The per-query top k uses a salted two-step window.
     """
     q = queries.select(qkey, qvec)
-    if fits(q, max_broadcast):
-        q = F.broadcast(q)
-    s = vectors.select(key, vec).join(q).select(qkey, key, F.round(cosine(F.col(qvec), F.col(vec)), 9).alias("cosine"))
-    return top_n_per_group(s, qkey, [F.desc("cosine"), F.asc(key)], k, salt_cols=[key])
+    n = q.count()
+    buckets = max(1, -(-n // max_broadcast))
+    parts = []
+    for b in range(buckets):
+        qb = q if buckets == 1 else q.where(F.pmod(F.xxhash64(qkey), F.lit(buckets)) == b)
+        s = vectors.select(key, vec).join(F.broadcast(qb)).select(
+            qkey, key, F.round(cosine(F.col(qvec), F.col(vec)), 9).alias("cosine"))
+        parts.append(top_n_per_group(s, qkey, [F.desc("cosine"), F.asc(key)], k, salt_cols=[key]))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def fit_word2vec(texts: DataFrame, col: str = "text", size: int = 100, window: int = 5, min_count: int = 1,

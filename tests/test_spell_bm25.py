@@ -65,3 +65,13 @@ def test_salted_topn_equals_plain(spark):
     a = top_n_per_group(df, "g", [F.desc("v"), F.asc("k")], 7, salt_cols=["k"], salt=16)
     b = top_n_per_group(df, "g", [F.desc("v"), F.asc("k")], 7, salt=0)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_nearest_buckets_match_single_broadcast(spark):
+    from relevo.operators import vectors as vx
+    vecs = spark.range(0, 300).select(F.col("id").alias("word_id"),
+                                      F.array(F.sin(F.col("id")), F.cos(F.col("id") * 3), F.lit(0.5)).alias("vector"))
+    qs = vecs.where("word_id < 25").select(F.col("word_id").alias("query_id"), F.col("vector").alias("qvec"))
+    one = vx.nearest(qs, vecs, 5, max_broadcast=1000)
+    many = vx.nearest(qs, vecs, 5, max_broadcast=4)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
