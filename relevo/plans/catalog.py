@@ -434,7 +434,10 @@ def q_error_analysis(spark, sf_dir):
     blend = mx.fit_blend(tr, ft.FEATURE_ORDER, gbt_iter=50)
     p = mx.predict_blend(blend, te.drop("relevance"), ft.FEATURE_ORDER, label=None)
     lab = fx.pairs(spark, sf_dir).select(F.col("id").alias("pair_id"), "relevance")
-    d = p.join(lab, "pair_id", "left").select((F.col("relevance") - F.col("prediction")).alias("diff"))
+    j = p.join(lab, "pair_id", "left")
+    # P5: drop the -1 sentinel; a NULL relevance passes, as NaN != -1 does in the source
+    j = j.where((F.col("relevance") != -1) | F.col("relevance").isNull())
+    d = j.select((F.col("relevance") - F.col("prediction")).alias("diff"))
     return prof.box_stats(d, "diff")
 
 
