@@ -24,10 +24,6 @@ from relevo.functions import text as tx
 BIG = 99999.0  # the source's "no word" sentinel for minima
 
 
-def _arr(c):
-    return F.col(c) if isinstance(c, str) else c
-
-
 def set_jaccard(a: Column, b: Column) -> Column:
     """Jaccard distance of two sets (arrays of distinct values); NULL when both are empty."""
     u = F.size(F.array_union(a, b))

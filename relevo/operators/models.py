@@ -11,8 +11,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -185,9 +183,6 @@ def cv_ridge(df: DataFrame, feature_cols: list[str], label: str = "relevance", r
     return out.withColumn("rank_test_score", F.rank().over(Window.orderBy("rmse")))
 
 
-def sqrt_ratio(n: int) -> float:
-    return math.sqrt((n - 1) / n) if n > 1 else 1.0
-
 
 def fold_of(key: Column, folds: int, seed: int = 5) -> Column:
     """Fold id in [0, folds) from the key's md5 (stable, no global sort)."""
