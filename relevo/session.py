@@ -17,6 +17,9 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # text features are small in bytes but CPU-heavy: do not let AQE merge such stages into
+    # one task (large inputs are far above this size, so it only matters for small data)
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
