@@ -277,14 +277,16 @@ def _part_query_words(spark, sf_dir):
 
 @register("spell_correct")
 def q_spell_correct(spark, sf_dir):
-    out = spell.correct_words(_part_query_words(spark, sf_dir), part_vocab(spark, sf_dir))
+    vocab = spell.word_counts(spell.corpus_lines(fx.part_products(spark, sf_dir)), with_freq=False)
+    out = spell.correct_words(_part_query_words(spark, sf_dir), vocab)
     return out.select("word", "corrected", F.col("level").cast("int"))
 
 
 @register("spell_text")
 def q_spell_text(spark, sf_dir):
     q = fx.part_queries(spark, sf_dir).select("query_id", tx.clean_search("text").alias("text"))
-    return spell.correct_text(q, "query_id", "text", part_vocab(spark, sf_dir))
+    vocab = spell.word_counts(spell.corpus_lines(fx.part_products(spark, sf_dir)), with_freq=False)
+    return spell.correct_text(q, "query_id", "text", vocab)
 
 
 # ---------------------------------------------------------------- embeddings ---
@@ -456,7 +458,7 @@ def q_search_candidates(spark, sf_dir):
     catalog = fx.products(spark, sf_dir).join(
         fx.attributes(spark, sf_dir).where(F.col("name") == fx.BRAND_NAME)
           .select("product_uid", F.col("value").alias("brand")), "product_uid", "left")
-    vocab = sp.word_counts(sp.corpus_lines(catalog.na.fill({"brand": ""})))
+    vocab = sp.word_counts(sp.corpus_lines(catalog.na.fill({"brand": ""})), with_freq=False)
     q = fx.queries(spark, sf_dir).select("query_id", tx.clean_search("text").alias("text"))
     q = sp.correct_text(q, "query_id", "text", vocab, out="search_term")
     idx = search.document_index(spark, sf_dir)

@@ -58,7 +58,7 @@ def search_top10(spark: SparkSession, sf_dir: str, candidates: int = 100, k: int
     catalog = fx.products(spark, sf_dir).join(
         fx.attributes(spark, sf_dir).where(F.col("name") == fx.BRAND_NAME)
           .select("product_uid", F.col("value").alias("brand")), "product_uid", "left")
-    vocab = spell.word_counts(spell.corpus_lines(catalog.na.fill({"brand": ""})))
+    vocab = spell.word_counts(spell.corpus_lines(catalog.na.fill({"brand": ""})), with_freq=False)
     q = fx.queries(spark, sf_dir).select("query_id", tx.clean_search("text").alias("text"))
     q = spell.correct_text(q, "query_id", "text", vocab, out="text")
     q = materialize(q, "corrected-queries")
