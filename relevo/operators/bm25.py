@@ -21,7 +21,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from relevo.functions import text as tx
@@ -179,3 +179,26 @@ def pair_score(pairs: DataFrame, params: Bm25Params, key: str, query: str, doc:
     qw = query_word_idf(pairs, key, query, params.idf, params.n_docs)
     j = pairs.select(key, doc).join(qw, key, "left")
     return j.select(key, bm25_expr(F.col("qw"), doc, params.avgdl, k, b).alias(out))
+
+
+def pad_zero_scores(top: DataFrame, queries: DataFrame, doc_ids: DataFrame, n: int,
+                    qid: str = "query_id") -> DataFrame:
+    """O2: complete every query's top n with zero-score documents (smallest product ids first),
+    as the source's top-n returns n documents even when fewer share a word with the query.
+
+    Only the 2n smallest document ids can be needed (at most n of them are already matched);
+    that bounded list is exploded per query that falls short, so no query is ever paired
+    with the document table.
+    """
+    first = [r[0] for r in doc_ids.select("product_uid").distinct().orderBy("product_uid").limit(2 * n).collect()]
+    if not first:
+        return top
+    have = top.groupBy("query_id").agg(F.count(F.lit(1)).alias("m"))
+    short = (queries.select(F.col(qid).alias("query_id")).distinct().join(have, "query_id", "left")
+                    .select("query_id", F.coalesce("m", F.lit(0)).alias("m")).where(F.col("m") < n))
+    cand = short.select("query_id", "m", F.explode(F.array(*[F.lit(u) for u in first])).alias("product_uid"))
+    cand = cand.join(top.select("query_id", "product_uid"), ["query_id", "product_uid"], "left_anti")
+    w = Window.partitionBy("query_id").orderBy("product_uid")
+    pad = (cand.withColumn("rank", F.col("m") + F.row_number().over(w)).where(F.col("rank") <= n)
+               .select("query_id", "product_uid", F.lit(0.0).alias("score"), "rank"))
+    return top.select("query_id", "product_uid", "score", "rank").unionByName(pad)

@@ -674,3 +674,15 @@ def q_gbt_early_stop(spark, sf_dir):
     p = m.transform(mx.assemble(te, ft.FEATURE_ORDER))
     return p.agg(mx.rmse_expr().alias("rmse_test")).select(
         F.lit(m.getNumTrees).alias("n_trees"), F.round("rmse_test", 6).alias("rmse_test"))
+
+
+@register("bm25_topn_padded")
+def q_bm25_topn_padded(spark, sf_dir):
+    """O2: the flagship top 10, completed with zero-score documents for queries with fewer hits."""
+    idx = search.document_index(spark, sf_dir)
+    q = fx.queries(spark, sf_dir).select("query_id", tx.clean_search("text").alias("text"))
+    top = bm25.top_n(idx, q, n=10)
+    docs = T.documents(spark, sf_dir, ("doc_id",)).select(F.col("doc_id").alias("product_uid"))
+    out = bm25.pad_zero_scores(top, q, docs, 10)
+    return out.select(F.col("query_id").cast("bigint"), F.col("product_uid").cast("bigint"),
+                      F.col("rank").cast("bigint"), F.col("score").cast("double"))

@@ -544,3 +544,12 @@ ORACLE["tfidf_cosine_title"] = _NB[:-1] + ",\n" + _VOCAB + ",\n" + _weights("nb_
     _weights("nb_j", "pair_id", "title", "wt") + """,
 cos AS (SELECT a.k AS pair_id, sum(a.weight * b.weight) AS c FROM wa a JOIN wt b ON a.k = b.k AND a.term = b.term GROUP BY a.k)
 SELECT p.pair_id, round(coalesce(c, 0.0), 6) AS cosine_similarity_tfidf_search_title FROM nb_pairs p LEFT JOIN cos USING (pair_id)"""
+
+ORACLE["bm25_topn_padded"] = "WITH top AS (" + ORACLE["bm25_topn"] + "),\n" + S.QUERIES + """,
+cnt AS (SELECT q.query_id, count(t.product_uid) AS m FROM queries q LEFT JOIN top t USING (query_id) GROUP BY q.query_id),
+firstd AS (SELECT doc_id AS product_uid FROM documents ORDER BY doc_id LIMIT 20),
+pad AS (SELECT c.query_id, f.product_uid, c.m FROM cnt c CROSS JOIN firstd f
+        WHERE c.m < 10 AND NOT EXISTS (SELECT 1 FROM top t WHERE t.query_id = c.query_id AND t.product_uid = f.product_uid)),
+padr AS (SELECT query_id, product_uid, m + row_number() OVER (PARTITION BY query_id ORDER BY product_uid) AS rank FROM pad)
+SELECT query_id, product_uid, rank, score FROM top
+UNION ALL SELECT CAST(query_id AS BIGINT), CAST(product_uid AS BIGINT), CAST(rank AS BIGINT), CAST(0.0 AS DOUBLE) FROM padr WHERE rank <= 10"""

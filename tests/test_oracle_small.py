@@ -17,7 +17,7 @@ FAST = ["bm25_topn", "clean_text", "clean_search", "clean_measures", "camel_spli
         "corr_rank", "error_box", "app_features", "feat_ngram_overlap", "tfidf_cosine_title", "attr_null_rows",
         "shared_pairs", "catalog_preview", "csv_roundtrip", "corpus_roundtrip", "json_records", "stream_bm25_topn",
         "pair_features", "null_profile", "value_counts", "class_hist", "clip_predictions", "attr_concat_rows",
-        "clean_units", "tfidf_weights", "corr_matrix"]
+        "clean_units", "tfidf_weights", "corr_matrix", "bm25_topn_padded"]
 
 
 def _norm(v):
