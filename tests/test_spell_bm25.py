@@ -75,3 +75,22 @@ def test_nearest_buckets_match_single_broadcast(spark):
     one = vx.nearest(qs, vecs, 5, max_broadcast=1000)
     many = vx.nearest(qs, vecs, 5, max_broadcast=4)
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
+
+
+def test_zero_score_padding(spark):
+    corpus = ["red drill", "blue saw", "red hammer", "green", "drill bit", "tape", "glue", "nails"]
+    docs = spark.createDataFrame([(i * 10, t) for i, t in enumerate(corpus)], "product_uid long, text string")
+    idx = bm25.build_okapi(docs, persist=False)
+    q = spark.createDataFrame([(1, "red"), (2, "zzz"), (3, "drill red saw")], "query_id long, text string")
+    n = 4
+    top = bm25.top_n(idx, q, n=n)
+    got = bm25.pad_zero_scores(top, q, docs.select("product_uid"), n)
+    res = {}
+    for r in got.collect():
+        res.setdefault(r["query_id"], []).append((r["rank"], r["product_uid"]))
+    ids = sorted(i * 10 for i in range(len(corpus)))
+    for qid, text in [(1, "red"), (2, "zzz"), (3, "drill red saw")]:
+        scores = dict(zip(ids, py_bm25_scores(corpus, text)))
+        hits = sorted((u for u, s in scores.items() if s > 0), key=lambda u: (-round(scores[u], 6), u))[:n]
+        pad = [u for u in ids if u not in hits][: n - len(hits)]
+        assert [u for _, u in sorted(res[qid])] == hits + pad
