@@ -25,6 +25,10 @@ DEFAULTS = {
 }
 
 
+#: Folders of local sessions that name none, by application.
+_local_dirs: dict[str, str] = {}
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "relevo") -> SparkSession:
     """Return the active session, or build a local one for tests and benches."""
@@ -47,15 +51,19 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``, which every executor must reach.
 
-    A cluster names a shared folder there; it is only filled in here when unset,
-    which happens in local tests and benches.
+    Where the setting is absent, a local session (tests, benches) gets a folder of its own; a session
+    on a cluster is refused, since executors couldn't read each other's files.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="relevo-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", d)
+        d = _local_dirs.get(spark.sparkContext.applicationId)
+    if not d:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = _local_dirs[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="relevo-ckpt-", dir="/tmp")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
