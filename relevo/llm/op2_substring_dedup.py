@@ -9,9 +9,11 @@ word sequence also starts in a document with a smaller ``doc_id``.
    at 2). What comes back is one bit per cell: counted twice or more. The width follows the corpus up to
    ``MAX_CELLS``, so the broadcast bits are at most DEPTH * MAX_CELLS / 8 = 64 MB. Beyond that width the
    sketch fills up and lets more windows through; it never loses one, since counts are overestimates.
+   Whole copies of a smaller document are found first, by digest; all their windows lose, and they
+   bring nothing new, so they take no part in the next steps.
 2. *Exact pass.* Windows whose key is estimated repeated are grouped by a 128-bit hash of their words.
-   Inside a slice of rows all but the window of the smallest document are settled at once, so a window
-   that a third of all documents share sends one row per slice, not one per document. The rest meet the
+   Inside a run of SETTLE_ROWS all but the window of the smallest document are settled at once, so a window
+   that a third of all documents share sends one row per run, not one per document. The rest meet the
    smallest ``doc_id`` of their group in a join that Spark can split.
 3. Removed windows go back to their documents, and words outside them are kept.
 
@@ -22,7 +24,6 @@ each by itself, and neither is smaller than the other; other columns are ignored
 
 from __future__ import annotations
 
-import hashlib
 from itertools import compress
 
 import numpy as np
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relevo.llm import words as W
+from relevo.session import materialize
 
 WINDOW = 13
 GRAM = 5
@@ -38,6 +40,10 @@ DEPTH = 2
 MIN_CELLS = 1 << 20
 MAX_CELLS = 1 << 28
 BLOCK = 1 << 16
+#: Windows that a task settles among themselves before it sends the rest.
+SETTLE_ROWS = 1_000_000
+#: Copies whose ids are broadcast to leave them out: 32 MB. Beyond it Spark shuffles the texts once more.
+MAX_BROADCAST_COPIES = 2_000_000
 
 
 def window_keys(ws: W.Words, h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,21 +127,33 @@ def repeated_cells(docs: DataFrame, cells: int, window: int, gram: int) -> list[
 
 
 def _candidates(bits, cells: int, window: int, gram: int):
-    """Windows estimated repeated. Rows with ``h1``: the smallest document of the slice that has the
-    window; rows with ``settled``: start positions that already lose to another row of the slice."""
+    """Windows estimated repeated. Rows with ``h1``: the smallest document at hand that has the window;
+    rows with ``settled``: start positions that already lose to another document at hand."""
     schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()),
                         ("pos", pa.int32()), ("settled", pa.binary())])
 
+    def settle(found):
+        h1, h2, doc, text, pos = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((doc, h2, h1))
+        h1, h2, doc, text, pos = h1[order], h2[order], doc[order], text[order], pos[order]
+        group = np.ones(len(h1), dtype=bool)
+        group[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+        least = doc[np.maximum.accumulate(np.where(group, np.arange(len(group)), 0))]
+        lost = doc > least
+        k = ~lost
+        n = int(k.sum())
+        yield pa.record_batch([W.int64(h1[k]), W.int64(h2[k]), pa.array(doc[k]), pa.array(text[k]), pa.array(pos[k]), pa.nulls(n, pa.binary())], schema=schema)
+        doc, text, blobs = gathered(doc[lost], text[lost], pos[lost])
+        none = pa.nulls(len(doc), pa.int64())
+        yield pa.record_batch([none, none, pa.array(doc), pa.array(text), pa.nulls(len(doc), pa.int32()), blobs], schema=schema)
+
     def run(batches):
-        table = bits.value
+        table, found, n = bits.value, [], 0
         for batch in batches:
             for part in W.slices(batch):
                 ws = W.words_of(part.column("text"))
-                ids, texts = np.asarray(part.column("doc_id")), np.asarray(part.column("text_hash"))
                 h = ws.hashes(1)
                 at, key = window_keys(ws, h, window, gram)
-                if not len(key):
-                    continue
                 hit = np.ones(len(key), dtype=bool)
                 for row in range(DEPTH):
                     c = cells_of(key, row, cells)
@@ -143,59 +161,61 @@ def _candidates(bits, cells: int, window: int, gram: int):
                 at = at[hit]
                 if not len(at):
                     continue
-                h1 = W.window_hashes(h, window, 5)[at]
-                h2 = W.window_hashes(ws.hashes(2), window, 6)[at]
                 row = np.searchsorted(ws.first, at, side="right") - 1
-                doc, pos = ids[row], (at - ws.first[row]).astype(np.int32)
-                order = np.lexsort((doc, h2, h1))
-                h1, h2, doc, pos, row = h1[order], h2[order], doc[order], pos[order], row[order]
-                group = np.ones(len(h1), dtype=bool)
-                group[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-                least = doc[np.maximum.accumulate(np.where(group, np.arange(len(group)), 0))]
-                lost = doc > least
-                k = ~lost
-                n = int(k.sum())
-                yield pa.record_batch([W.int64(h1[k]), W.int64(h2[k]), pa.array(doc[k]), pa.array(texts[row[k]]),
-                                       pa.array(pos[k]), pa.nulls(n, pa.binary())], schema=schema)
-                by = np.argsort(row[lost], kind="stable")
-                own, p = row[lost][by], pos[lost][by].astype("<i4")
-                cut = np.flatnonzero(np.diff(own, prepend=-1))
-                blobs = [p[a:b].tobytes() for a, b in zip(cut, [*cut[1:], len(own)], strict=True)]
-                none = pa.nulls(len(cut), pa.int64())
-                yield pa.record_batch([none, none, pa.array(ids[own[cut]]), pa.array(texts[own[cut]]),
-                                       pa.nulls(len(cut), pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
+                found.append((W.window_hashes(h, window, 5)[at], W.window_hashes(ws.hashes(2), window, 6)[at],
+                              np.asarray(part.column("doc_id"))[row], np.asarray(part.column("text_hash"))[row], (at - ws.first[row]).astype(np.int32)))
+                n += len(at)
+                if n >= SETTLE_ROWS:
+                    yield from settle(found)
+                    found, n = [], 0
+        if found:
+            yield from settle(found)
 
     return run
 
 
+def gathered(doc: np.ndarray, text: np.ndarray, pos: np.ndarray):
+    """Positions by document: (doc_id, text_hash, one binary of 32-bit positions)."""
+    order = np.lexsort((text, doc))
+    doc, text, pos = doc[order], text[order], pos[order].astype("<i4")
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])
+    cut = np.flatnonzero(new)
+    return doc[cut], text[cut], pa.array([pos[a:b].tobytes() for a, b in zip(cut, [*cut[1:], len(doc)], strict=True)], pa.binary())
+
+
 def _positions(batches):
-    """(doc, positions as one binary) from rows of many positions: fewer, wider rows to shuffle."""
     for batch in batches:
-        doc, text, pos = (np.asarray(batch.column(c)) for c in ("doc_id", "text_hash", "pos"))
-        order = np.lexsort((text, doc))
-        doc, text, pos = doc[order], text[order], pos[order].astype("<i4")
-        new = np.ones(len(doc), dtype=bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])
-        cut = np.flatnonzero(new)
-        blobs = [pos[a:b].tobytes() for a, b in zip(cut, [*cut[1:], len(doc)], strict=True)]
-        yield pa.record_batch([pa.array(doc[cut]), pa.array(text[cut]), pa.array(blobs, pa.binary())], names=["doc_id", "text_hash", "settled"])
+        doc, text, blobs = gathered(*(np.asarray(batch.column(c)) for c in ("doc_id", "text_hash", "pos")))
+        yield pa.record_batch([pa.array(doc), pa.array(text), blobs], names=["doc_id", "text_hash", "settled"])
+
+
+def copies(known: DataFrame) -> DataFrame:
+    """(doc_id, text_hash) of documents whose whole text a smaller document has, and no own smaller row."""
+    digest = known.select("doc_id", "text_hash", F.md5("text").alias("digest"))
+    least = digest.groupBy("digest").agg(F.min("doc_id").alias("least"))
+    return digest.join(least.hint("merge"), "digest").where("doc_id > least").select("doc_id", "text_hash").distinct()
 
 
 def removed_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, text_hash, settled): start positions of windows that also start in a smaller document."""
+    """(doc_id, text_hash, settled, copy): start positions of windows that also start in a smaller document;
+    ``copy``: all of them, as a smaller document has the whole text."""
     spark = docs.sparkSession
     known = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    again = materialize(copies(known), "copies")
+    few = again.count() <= MAX_BROADCAST_COPIES
+    fresh = known.join(F.broadcast(again) if few else again.hint("merge"), ["doc_id", "text_hash"], "left_anti")
     chars = known.agg(F.sum(F.length("text"))).first()[0] or 0
     cells = n_cells(chars)
-    bits = spark.sparkContext.broadcast(repeated_cells(known, cells, window, gram))
-    found = known.mapInArrow(_candidates(bits, cells, window, gram),
+    bits = spark.sparkContext.broadcast(repeated_cells(fresh, cells, window, gram))
+    found = fresh.mapInArrow(_candidates(bits, cells, window, gram),
                              "h1 long, h2 long, doc_id long, text_hash long, pos int, settled binary")
     open_ = found.where("h1 is not null").drop("settled")
-    # one row per window and slice; a window that one document alone has can't lose
-    least = open_.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    least = open_.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"))
     lost = open_.join(least.hint("merge"), ["h1", "h2"]).where("doc_id > least").select("doc_id", "text_hash", "pos")
     return (lost.mapInArrow(_positions, "doc_id long, text_hash long, settled binary")
-            .unionByName(found.where("h1 is null").select("doc_id", "text_hash", "settled")))
+            .unionByName(found.where("h1 is null").select("doc_id", "text_hash", "settled"))
+            .unionByName(again.withColumn("settled", F.lit(None).cast("binary"))).withColumn("copy", F.col("settled").isNull()))
 
 
 def _keep(window: int):
@@ -205,10 +225,12 @@ def _keep(window: int):
         for batch in batches:
             for part in W.slices(batch):
                 kept, n_words, n_removed = [], [], []
-                for text, blobs in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("settled").to_pylist(), strict=True):
+                for text, blobs, copy in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("settled").to_pylist(), part.column("copy").to_pylist(), strict=True):
                     ws = (text or b"").split()  # bytes.split() cuts at \x20 and \x09-\x0D
                     gone = 0
-                    if blobs:
+                    if copy and len(ws) >= window:
+                        gone, stay = len(ws), np.zeros(len(ws), dtype=bool)
+                    elif blobs:
                         edge = np.zeros(len(ws) + 1, dtype=np.int32)
                         pos = np.unique(np.frombuffer(b"".join(blobs), dtype="<i4"))
                         np.add.at(edge, pos, 1)
@@ -227,9 +249,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     """(doc_id, text, n_words, n_removed, kept_text): one row per input row. ``kept_text`` is the UTF-8 of
     the words that stay, joined by one space."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    gone = (removed_windows(docs, window, gram).groupBy("doc_id", "text_hash").agg(F.collect_list("settled").alias("settled")))
+    gone = (removed_windows(docs, window, gram).groupBy("doc_id", "text_hash").agg(F.collect_list("settled").alias("settled"), F.max("copy").alias("copy")))
     both = (rows.withColumn("text_hash", F.xxhash64("text")).join(gone, ["doc_id", "text_hash"], "left")
-            .select("doc_id", "text", "settled"))
+            .select("doc_id", "text", "settled", "copy"))
     return both.mapInArrow(_keep(window), "doc_id long, text string, n_words long, n_removed long, kept_text binary")
 
 
