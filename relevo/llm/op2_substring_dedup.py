@@ -41,7 +41,7 @@ MIN_CELLS = 1 << 20
 MAX_CELLS = 1 << 28
 BLOCK = 1 << 16
 #: Windows that a task settles among themselves before it sends the rest.
-SETTLE_ROWS = 1_000_000
+SETTLE_ROWS = 500_000
 #: Copies whose ids are broadcast to leave them out: 32 MB. Beyond it Spark shuffles the texts once more.
 MAX_BROADCAST_COPIES = 2_000_000
 
@@ -184,12 +184,6 @@ def gathered(doc: np.ndarray, text: np.ndarray, pos: np.ndarray):
     return doc[cut], text[cut], pa.array([pos[a:b].tobytes() for a, b in zip(cut, [*cut[1:], len(doc)], strict=True)], pa.binary())
 
 
-def _positions(batches):
-    for batch in batches:
-        doc, text, blobs = gathered(*(np.asarray(batch.column(c)) for c in ("doc_id", "text_hash", "pos")))
-        yield pa.record_batch([pa.array(doc), pa.array(text), blobs], names=["doc_id", "text_hash", "settled"])
-
-
 def copies(known: DataFrame) -> DataFrame:
     """(doc_id, text_hash) of documents whose whole text a smaller document has, and no own smaller row."""
     digest = known.select("doc_id", "text_hash", F.md5("text").alias("digest"))
@@ -197,11 +191,20 @@ def copies(known: DataFrame) -> DataFrame:
     return digest.join(least.hint("merge"), "digest").where("doc_id > least").select("doc_id", "text_hash").distinct()
 
 
+def with_text_hash(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, text_hash): the hash tells rows of one doc_id apart and is 0 where an id has one row."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    many = materialize(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_many")), "repeated-ids")
+    side = F.broadcast(many) if many.count() <= MAX_BROADCAST_COPIES else many.hint("merge")
+    return (rows.join(side, F.col("doc_id") == F.col("_many"), "left")
+            .select("doc_id", "text", F.when(F.col("_many").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("text")).alias("text_hash")))
+
+
 def removed_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, text_hash, settled, copy): start positions of windows that also start in a smaller document;
-    ``copy``: all of them, as a smaller document has the whole text."""
+    """``docs`` as of ``with_text_hash``. (doc_id, text_hash, open, settled, copy): start positions of windows
+    that also start in a smaller document, as a list or as a binary; ``copy``: a smaller document has the whole text."""
     spark = docs.sparkSession
-    known = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    known = docs.where("doc_id is not null and text is not null")
     again = materialize(copies(known), "copies")
     few = again.count() <= MAX_BROADCAST_COPIES
     fresh = known.join(F.broadcast(again) if few else again.hint("merge"), ["doc_id", "text_hash"], "left_anti")
@@ -213,9 +216,9 @@ def removed_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     open_ = found.where("h1 is not null").drop("settled")
     least = open_.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"))
     lost = open_.join(least.hint("merge"), ["h1", "h2"]).where("doc_id > least").select("doc_id", "text_hash", "pos")
-    return (lost.mapInArrow(_positions, "doc_id long, text_hash long, settled binary")
-            .unionByName(found.where("h1 is null").select("doc_id", "text_hash", "settled"))
-            .unionByName(again.withColumn("settled", F.lit(None).cast("binary"))).withColumn("copy", F.col("settled").isNull()))
+    lists = (lost.groupBy("doc_id", "text_hash").agg(F.collect_list("pos").alias("open"))
+             .unionByName(found.where("h1 is null").select("doc_id", "text_hash", "settled").withColumn("open", F.lit(None).cast("array<int>")), allowMissingColumns=True))
+    return lists.withColumn("copy", F.lit(False)).unionByName(again.withColumn("copy", F.lit(True)), allowMissingColumns=True)
 
 
 def _keep(window: int):
@@ -225,14 +228,15 @@ def _keep(window: int):
         for batch in batches:
             for part in W.slices(batch):
                 kept, n_words, n_removed = [], [], []
-                for text, blobs, copy in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("settled").to_pylist(), part.column("copy").to_pylist(), strict=True):
+                for text, blobs, open_, copy in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("settled").to_pylist(), part.column("open"), part.column("copy").to_pylist(), strict=True):
                     ws = (text or b"").split()  # bytes.split() cuts at \x20 and \x09-\x0D
                     gone = 0
                     if copy and len(ws) >= window:
                         gone, stay = len(ws), np.zeros(len(ws), dtype=bool)
-                    elif blobs:
+                    elif blobs or open_.is_valid and len(open_):
                         edge = np.zeros(len(ws) + 1, dtype=np.int32)
-                        pos = np.unique(np.frombuffer(b"".join(blobs), dtype="<i4"))
+                        more = [open_.values.to_numpy()] if open_.is_valid else []
+                        pos = np.unique(np.concatenate([np.frombuffer(b"".join(blobs or []), dtype="<i4"), *more]))
                         np.add.at(edge, pos, 1)
                         np.add.at(edge, pos + window, -1)
                         stay = np.cumsum(edge[:-1]) == 0
@@ -248,10 +252,10 @@ def _keep(window: int):
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, text, n_words, n_removed, kept_text): one row per input row. ``kept_text`` is the UTF-8 of
     the words that stay, joined by one space."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    gone = (removed_windows(docs, window, gram).groupBy("doc_id", "text_hash").agg(F.collect_list("settled").alias("settled"), F.max("copy").alias("copy")))
-    both = (rows.withColumn("text_hash", F.xxhash64("text")).join(gone, ["doc_id", "text_hash"], "left")
-            .select("doc_id", "text", "settled", "copy"))
+    rows = with_text_hash(docs)
+    gone = (removed_windows(rows, window, gram).groupBy("doc_id", "text_hash")
+            .agg(F.collect_list("settled").alias("settled"), F.flatten(F.collect_list("open")).alias("open"), F.max("copy").alias("copy")))
+    both = rows.join(gone, ["doc_id", "text_hash"], "left").select("doc_id", "text", "settled", "open", "copy")
     return both.mapInArrow(_keep(window), "doc_id long, text string, n_words long, n_removed long, kept_text binary")
 
 

@@ -2,7 +2,23 @@
 
 from __future__ import annotations
 
-from relevo.llm import op2_substring_dedup as op2
+from relevo.llm import (
+    op2_substring_dedup,
+    op5_decontaminate,
+    op6_token_pack,
+    op7_simhash,
+    op8_minhash_dedup,
+    op9_warc,
+    op10_pii,
+)
 
-QUERIES = {"op2_substring_dedup": op2.op2_substring_dedup}
-ORACLE = {"op2_substring_dedup": op2.ORACLE}
+_MODULES = (op2_substring_dedup, op5_decontaminate, op6_token_pack, op7_simhash, op8_minhash_dedup, op9_warc, op10_pii)
+
+
+def _name(module) -> str:
+    return module.__name__.rpartition(".")[2]
+
+
+#: Each module's query has the module's name.
+QUERIES = {_name(m): getattr(m, _name(m)) for m in _MODULES}
+ORACLE = {_name(m): m.ORACLE for m in _MODULES if getattr(m, "ORACLE", None)}
