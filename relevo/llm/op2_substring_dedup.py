@@ -181,7 +181,8 @@ def gathered(doc: np.ndarray, text: np.ndarray, pos: np.ndarray):
     new = np.ones(len(doc), dtype=bool)
     new[1:] = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])
     cut = np.flatnonzero(new)
-    return doc[cut], text[cut], pa.array([pos[a:b].tobytes() for a, b in zip(cut, [*cut[1:], len(doc)], strict=True)], pa.binary())
+    ends = np.append(cut, len(doc))
+    return doc[cut], text[cut], pa.array([pos[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
 
 
 def copies(known: DataFrame) -> DataFrame:

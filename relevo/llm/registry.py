@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from relevo.llm import (
+    op1_language_id,
     op2_substring_dedup,
+    op3_sentencepiece,
+    op4_toxicity,
     op5_decontaminate,
     op6_token_pack,
     op7_simhash,
@@ -12,7 +15,7 @@ from relevo.llm import (
     op10_pii,
 )
 
-_MODULES = (op2_substring_dedup, op5_decontaminate, op6_token_pack, op7_simhash, op8_minhash_dedup, op9_warc, op10_pii)
+_MODULES = (op1_language_id, op2_substring_dedup, op3_sentencepiece, op4_toxicity, op5_decontaminate, op6_token_pack, op7_simhash, op8_minhash_dedup, op9_warc, op10_pii)
 
 
 def _name(module) -> str:

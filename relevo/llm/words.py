@@ -136,14 +136,15 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0]:offs[-1]] if len(offs) else raw[:0], offs - (offs[0] if len(offs) else 0)
 
 
-def words_of(col: pa.Array, lower: bool = False) -> Words:
+def words_of(col: pa.Array, lower: bool = False, between: np.ndarray = _SEPARATOR) -> Words:
+    """Words of a string column; ``between`` says which bytes separate them."""
     data, offs = text_bytes(col)
     if lower:
         data = _LOWER[data]
     if not len(data):
         none = np.empty(0, dtype=np.int64)
         return Words(data, none, none, np.zeros(len(col) + 1, dtype=np.int64))
-    sep = _SEPARATOR[data]
+    sep = between[data]
     before = np.empty(len(data), dtype=bool)
     before[0], before[1:] = True, sep[:-1]
     inner = offs[1:-1][offs[1:-1] < len(data)]
