@@ -25,7 +25,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .where("u <> v").distinct())
+                 .where("u <> v"))
         # every node is in some link (v, m) unless it is the least of its neighbourhood
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")

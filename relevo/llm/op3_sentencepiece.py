@@ -3,14 +3,14 @@
 1. Texts are cut into units (spaces, then the characters up to the next space; a space is put before a text), and the
    distinct units are counted. No piece reaches over a unit's end, so units are encoded apart.
 2. Every substring of a unit of at most the longest piece's length is exploded and meets the piece table in an equi-join;
-   the matches, grouped by unit, are the edges of its lattice. The units are partitioned once, by the count.
+   the matches, grouped by unit, are the edges of its lattice. Units are dealt to tasks once, before that.
 3. A Spark higher-order ``aggregate`` folds each lattice to ids. Unigram models: Viterbi, the best sum of scores (ties:
    the longer last piece). BPE models: scores are merge ranks, whose sum means nothing, so the fold merges the two
    neighbours whose joint piece ranks first (ties: leftmost) until none is left, which is what such a model defines.
    Characters without a piece become their UTF-8 bytes' pieces.
 4. The unit table goes to the tasks as sorted hashes and ids, at most MAX_UNITS units (the most frequent; about 30 bytes
-   each). Units beyond it or longer than MAX_CHARS are encoded where they occur, by the sentencepiece library, which gives
-   the same ids (tested with a table of one unit).
+   each). Rarer units, longer ones and runs of spaces are encoded where they occur, by the sentencepiece library, which
+   gives the same ids (tested with an empty table).
 
 Decoding joins the pieces' bytes, turns the mark of a space into a space and drops the leading one.
 
@@ -35,8 +35,9 @@ from relevo.session import materialize
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-MAX_UNITS = 4_000_000
+MAX_UNITS = 1_000_000
 MAX_CHARS = 32
+UNITS_A_TASK = 20_000
 #: The library scores an unknown character so much below the lowest piece.
 UNKNOWN_PENALTY = 10.0
 UNIGRAM, BPE = 1, 2
@@ -97,16 +98,11 @@ def model_of(path: str) -> Model:
     return Model(path)
 
 
-def units(text: Column) -> Column:
-    """Spaces and what follows them up to the next space, of a text with a space put before it."""
-    t = F.translate(F.coalesce(text.cast("string"), F.lit("")), MARK, " ")
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(F.concat(F.lit(" "), t), r"(?<=[^ ])(?= )"))
-
-
 def count_units(docs: DataFrame, max_units: int = MAX_UNITS) -> DataFrame:
-    """(unit) of at most MAX_CHARS characters: all of them, or those that occur most, as ``max_units`` allow."""
-    n = docs.select(F.explode(units(F.col("text"))).alias("unit")).where(F.length("unit") <= MAX_CHARS).groupBy("unit").agg(F.count("*").alias("n"))
-    n = materialize(n, "units")
+    """(unit): the units with one space and at most MAX_CHARS characters, all of them or those that occur most."""
+    words = F.split(F.translate(F.col("text").cast("string"), MARK, " "), " ")
+    n = docs.select(F.explode(words).alias("w")).where((F.col("w") != "") & (F.length("w") < MAX_CHARS)).groupBy("w").agg(F.count("*").alias("n"))
+    n = materialize(n.select(F.concat(F.lit(" "), F.col("w")).alias("unit"), "n"), "units")
     if n.count() <= max_units:
         return n.select("unit")
     # the least count that still fits: a few distinct counts, not the units, are ranked
@@ -119,6 +115,8 @@ def lattice(spark: SparkSession, unit: DataFrame, model: Model) -> DataFrame:
     """(unit, edges, chars): the pieces found in each unit, as array<struct(s, e, score, id)>; ``chars`` holds those
     of one character."""
     pieces = spark.createDataFrame(model.pieces, "piece string, id int, score double")
+    # dealt by unit before the substrings are made: nothing moves again up to the fold
+    unit = unit.repartition(max(12, -(-unit.count() // UNITS_A_TASK)), "unit")
     starts = unit.select("unit", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
     reach = F.least(F.lit(model.longest), F.length("unit") - F.col("s"))
     subs = starts.select("unit", "s", F.explode(F.sequence(F.lit(1), reach)).alias("len")).select("unit", "s", (F.col("s") + F.col("len")).alias("e"), F.substring("unit", F.col("s") + 1, F.col("len")).alias("piece"))

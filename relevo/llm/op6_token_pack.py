@@ -27,7 +27,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,21 +39,28 @@ BLOCK_IDS = 1 << 18
 BLOCKS_PER_FILE = 32
 RANGE_CHARS = 24_000_000
 #: Pieces whose ids a task keeps; the table is emptied when it is full.
-KNOWN_PIECES = 300_000
+KNOWN_PIECES = 500_000
 HEAD = struct.Struct("<4sB3xI4xQQ")
 MAGIC = b"TKPK"
 
-# Fixed value: how byte-level BPE cuts a text, for texts of ASCII characters.
-_ASCII = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
-#: What the fast ways leave to the library: control characters (the regex engines differ in what is white space) and scripts beyond Latin.
-_RARE = re.compile("[\x00-\x08\x0e-\x1f\x80-\xbfɐ-\U0010ffff]")
+# The pieces that byte-level BPE cuts a text into, for ASCII texts and with the Latin letters below U+0250.
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_PIECES = {ascii_: re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{let}]+| ?[0-9]+| ?[^\s{let}0-9]+|\s+(?!\S)|\s+") for ascii_, let in ((True, "A-Za-z"), (False, _LATIN))}
+#: What these patterns leave to the library: control characters (engines differ in what is white space), other scripts, other digits.
+_RARE = re.compile("[\x00-\x08\x0e-\x1f\x80-\xbf\u0250-\U0010ffff]")
 
 
 def bit_width(vocabulary: int) -> int:
     return max(1, (vocabulary - 1).bit_length())
 
 
+#: Widths of whole bytes: their bits are those of numpy's little-endian integers.
+_WHOLE = {8: "<u1", 16: "<u2", 32: "<u4"}
+
+
 def pack(ids: np.ndarray, width: int) -> bytes:
+    if width in _WHOLE and (width == 32 or not len(ids) or int(ids.max()) >> width == 0):
+        return ids.astype(_WHOLE[width]).tobytes()
     bits = np.unpackbits(np.ascontiguousarray(ids, dtype="<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
     if bits[:, width:].any():
         raise ValueError(f"an id needs more than {width} bits")
@@ -63,6 +69,8 @@ def pack(ids: np.ndarray, width: int) -> bytes:
 
 def unpack(payload, width: int, start: int, stop: int) -> np.ndarray:
     """Ids start .. stop-1 of a packed payload."""
+    if width in _WHOLE:
+        return np.frombuffer(payload, dtype=_WHOLE[width], count=stop - start, offset=start * width // 8).astype("<u4")
     first, last = start * width // 8, (stop * width + 7) // 8
     bits = np.unpackbits(np.frombuffer(payload, dtype=np.uint8, count=last - first, offset=first), bitorder="little")
     bits = bits[start * width - 8 * first:][:(stop - start) * width].reshape(-1, width)
@@ -75,28 +83,30 @@ class Encoder:
     """Encodes texts to the bytes of little-endian unsigned 32-bit ids."""
 
     def __init__(self, path: str):
-        import public_tokenizers
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.cut = regex.compile(public_tokenizers.PATTERN)
         self.known: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn(self, pieces: set[str]) -> None:
-        # a space and letters are a piece of their own wherever they stand, so many go to the library at once
-        joint = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
-        for p in pieces.difference(joint):
+        """Words go to the library many at once: joined so that each is a piece of its own again."""
+        spaced = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
+        bare = [p for p in pieces if p.isalpha()]
+        for p in pieces.difference(spaced, bare):
             self.known[p] = self.whole(p)
-        for i in range(0, len(joint), 500):
-            some = joint[i:i + 500]
-            enc = self.lib.encode("".join(some), add_special_tokens=False)
-            raw = np.array(enc.ids, dtype="<u4").tobytes()
-            cut = (4 * np.searchsorted(np.array(enc.word_ids), np.arange(len(some) + 1))).tolist()
-            self.known |= {p: raw[a:b] for p, a, b in zip(some, cut, cut[1:], strict=False)}
+        for words, sep in ((spaced, ""), (bare, "\n")):
+            step = 1 + len(sep)  # the line feeds are pieces too
+            for i in range(0, len(words), 500):
+                some = words[i:i + 500]
+                enc = self.lib.encode(sep.join(some), add_special_tokens=False)
+                raw, piece = np.array(enc.ids, dtype="<u4").tobytes(), np.array(enc.word_ids)
+                starts = (4 * np.searchsorted(piece, np.arange(0, step * len(some), step))).tolist()
+                ends = (4 * np.searchsorted(piece, np.arange(0, step * len(some), step), side="right")).tolist()
+                self.known |= {p: raw[a:b] for p, a, b in zip(some, starts, ends, strict=True)}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         cuts = []
@@ -104,10 +114,10 @@ class Encoder:
             if any(s in t for s in self.special) or _RARE.search(t):
                 cuts.append(None)
             else:
-                cuts.append(_ASCII.findall(t) if t.isascii() else self.cut.findall(t))
+                cuts.append(_PIECES[t.isascii()].findall(t))
         if len(self.known) > KNOWN_PIECES:
             self.known.clear()
-        self._learn({p for c in cuts if c for p in c}.difference(self.known))
+        self._learn(set().union(*filter(None, cuts)).difference(self.known))
         return [self.whole(t) if c is None else b"".join(map(self.known.__getitem__, c)) for t, c in zip(texts, cuts, strict=True)]
 
 

@@ -64,12 +64,24 @@ def _bits() -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), parts)
 
 
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+
+def _pairs(words: str) -> Column:
+    """Neighbouring words; the last one has none."""
+    after = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
+    return F.arrays_zip(F.col(words).alias("a"), after.alias("b"))
+
+
+def _term(x: str) -> list[Column]:
+    chars = lambda c: F.coalesce(F.length(f"{x}.{c}"), F.lit(0))
+    return [F.xxhash64(f"{x}.a", f"{x}.b").alias("h"), (chars("a") + chars("b")).cast("long").alias("weight")]
+
+
 def fingerprints(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """(keys, fp): a 64-bit fingerprint for each key that has words. ``keys`` must name one text each."""
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    pair = F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))).alias("b"))).alias("t")
-    terms = (rows.select(*keys, words.alias("w")).select(*keys, pair)
-             .select(*keys, F.xxhash64("t.a", "t.b").alias("h"), (F.length("t.a") + F.coalesce(F.length("t.b"), F.lit(0))).cast("long").alias("weight")))
+    terms = rows.select(*keys, _words(F.col(text)).alias("w")).select(*keys, F.explode(_pairs("w")).alias("x")).select(*keys, *_term("x"))
     return terms.groupBy(*keys).agg(F.sum("weight").alias("weight"), *_votes()).select(*keys, _bits().alias("fp"))
 
 
@@ -135,18 +147,18 @@ def fingerprint_report(docs: DataFrame, radius: int = RADIUS, query_step: int =
     k = F.floor(n / 4).cast("int")
     rows = (with_next(docs).withColumn("n_chars", n.cast("long"))
             .withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))"), F.substring("next_text", F.lit(1), k))))
-    rows = rows.select("range", "rn", "doc_id", "n_chars", "own_hash", "next_hash", F.sha2("edited", 256).alias("edited_sha256"),
+    # the digest travels as four longs: aggregates of numbers stay in hash maps
+    sha = F.sha2("edited", 256)
+    part = [F.conv(F.substring(sha, 16 * i + 1, 16), 16, -10).cast("long").alias(f"sha{i}") for i in range(4)]
+    carried = ["doc_id", "n_chars", "own_hash", "next_hash", *[f"sha{i}" for i in range(4)]]
+    rows = rows.select("range", "rn", *carried[:4], *part,
                        F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("t")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("t")))).alias("v"))
-    keys = ["range", "rn", "doc_id", "n_chars", "own_hash", "next_hash", "edited_sha256", "which"]
-    # a null term per text keeps texts without words; it has no weight
-    words = F.split(F.col("t"), r"[\x20\x09-\x0D]+")
-    flat = rows.select(*keys[:-1], "v.which", F.col("v.t").alias("t")).select(*keys, F.filter(words, lambda x: x != "").alias("w"))
-    pair = F.explode_outer(F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))).alias("b"))).alias("x")
-    terms = (flat.select("range", "rn", "which", *keys[2:-1], pair)
-             .select("range", "rn", "which", *keys[2:-1], F.xxhash64("x.a", "x.b").alias("h"),
-                     (F.coalesce(F.length("x.a"), F.lit(0)) + F.coalesce(F.length("x.b"), F.lit(0))).cast("long").alias("weight")))
-    one = (terms.groupBy("range", "rn", "which").agg(F.sum("weight").alias("weight"), *[F.first(c).alias(c) for c in keys[2:-1]], *_votes())
-           .select("range", "rn", "which", *keys[2:-1], _bits().alias("fp")))
+    # a null term keeps a text without words; it has no weight
+    keys = ["range", "rn", "which"]
+    terms = (rows.select("range", "rn", "v.which", *carried, _words(F.col("v.t")).alias("w"))
+             .select(*keys, *carried, F.explode_outer(_pairs("w")).alias("x")).select(*keys, *carried, *_term("x")))
+    one = (terms.groupBy(*keys).agg(F.sum("weight").alias("weight"), *[F.max(c).alias(c) for c in carried], *_votes())
+           .select(*keys, *carried, _bits().alias("fp")))
     fps = materialize(one, "simhash")
     own = fps.where("which = 0")
     edited = fps.where("which = 1").select("range", "rn", F.col("fp").alias("edited_fp"))
@@ -154,6 +166,6 @@ def fingerprint_report(docs: DataFrame, radius: int = RADIUS, query_step: int =
     near = within_radius(own, own.where(F.col("doc_id") % query_step == 0), radius)
     text = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
     return (own.join(edited.hint("merge"), ["range", "rn"]).join(after.hint("merge"), "next_hash", "left").join(near.hint("merge"), "fp", "left")
-            .select("doc_id", "n_chars", "edited_sha256", text("fp").alias("fingerprint"), text("edited_fp").alias("edited_fingerprint"),
+            .select("doc_id", "n_chars", F.lower(F.concat(*[F.lpad(F.hex(f"sha{i}"), 16, "0") for i in range(4)])).alias("edited_sha256"), text("fp").alias("fingerprint"), text("edited_fp").alias("edited_fingerprint"),
                     likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"),
                     F.when(F.col("doc_id") % query_step == 0, F.col("near") - 1).alias("n_near")))
