@@ -11,8 +11,8 @@ for each document: known u8 (0 if its id is null), doc_id i64, end u64 (ids of t
 as three arrays; then the payload.
 
 Texts are encoded by the tokenizers library. Its byte-level rules cut a text into pieces that are encoded
-apart, so the ids of a piece are kept in a bounded table and the library is asked once per piece; texts that
-hold special tokens, control characters or characters beyond Latin go to the library whole.
+apart, so the ids of a piece are kept in a bounded table (by a 64-bit hash) and the library is asked once per piece; texts
+that hold special tokens, apostrophes, control characters or other than Latin letters go to the library whole.
 
 Defined cases: null text is empty, and each document has its end id; null ids come first; equal ids are
 ordered by text; other columns are ignored; an empty table writes no blocks and gives no rows.
@@ -27,9 +27,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from relevo.llm import words as W
 from relevo.session import checkpoint_dir, materialize
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -39,15 +41,89 @@ BLOCK_IDS = 1 << 18
 BLOCKS_PER_FILE = 32
 RANGE_CHARS = 24_000_000
 #: Pieces whose ids a task keeps; the table is emptied when it is full.
-KNOWN_PIECES = 500_000
+KNOWN_PIECES = 1_000_000
 HEAD = struct.Struct("<4sB3xI4xQQ")
 MAGIC = b"TKPK"
 
-# The pieces that byte-level BPE cuts a text into, for ASCII texts and with the Latin letters below U+0250.
-_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-_PIECES = {ascii_: re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{let}]+| ?[0-9]+| ?[^\s{let}0-9]+|\s+(?!\S)|\s+") for ascii_, let in ((True, "A-Za-z"), (False, _LATIN))}
-#: What these patterns leave to the library: control characters (engines differ in what is white space), other scripts, other digits.
-_RARE = re.compile("[\x00-\x08\x0e-\x1f\x80-\xbf\u0250-\U0010ffff]")
+#: Texts that the numpy cut leaves to the library: apostrophes (contractions have pieces of their own), control characters,
+#: and characters other than ASCII and the Latin letters below U+0250.
+_RARE = re.compile("['\x00-\x08\x0e-\x1f\x80-\xbf\xd7\xf7\u0250-\U0010ffff]")
+
+# Classes of bytes in the remaining texts. Bytes from 0x80 on belong to letters there.
+_SPACE, _BLANK, _LETTER, _DIGIT, _SIGN = range(5)
+_CLASS = np.full(256, _SIGN, dtype=np.uint8)
+_CLASS[[0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = _BLANK
+_CLASS[0x20] = _SPACE
+_CLASS[0x30:0x3A] = _DIGIT
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = _LETTER
+
+
+def cut(data: np.ndarray, offsets: np.ndarray) -> W.Words:
+    """The pieces that byte-level BPE encodes apart: runs of letters, digits or signs, each with one space before it;
+    of white space before them all but the last character, and that last one if it isn't a space."""
+    n = len(data)
+    kind = _CLASS[data]
+    blank = kind <= _BLANK
+    new = np.zeros(n + 1, dtype=bool)  # a document begins here
+    new[offsets] = True
+    before = np.full(n, 255, dtype=np.uint8)
+    before[1:] = kind[:-1]
+    before[new[:-1]] = 255
+    after_blank = (before == _SPACE) | (before == _BLANK)
+    last_blank = blank.copy()  # the next character is in the same document and not blank
+    last_blank[:-1] &= ~blank[1:]
+    last_blank &= ~new[1:]
+    if n:
+        last_blank[-1] = False
+    start = np.where(blank, ~after_blank | last_blank, (before != kind) & (before != _SPACE))
+    starts = np.flatnonzero(start)
+    return W.Words(data, starts, np.append(starts[1:], n)[:len(starts)], np.searchsorted(starts, offsets))
+
+
+class PieceTable:
+    """Ids of pieces by the hash of the piece: open addressing in numpy arrays, looked up for many pieces at once."""
+
+    def __init__(self, slots: int = 1 << 21):
+        self.mask = np.uint64(slots - 1)
+        self.clear()
+
+    def clear(self) -> None:
+        self.key = np.zeros(int(self.mask) + 1, dtype=np.uint64)
+        self.row = np.full(int(self.mask) + 1, -1, dtype=np.int64)
+        self.first = np.zeros(1, dtype=np.int64)
+        self.flat = np.empty(0, dtype="<u4")
+
+    def __len__(self) -> int:
+        return len(self.first) - 1
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The row of each piece, -1 if it isn't there."""
+        out = np.full(len(h), -1, dtype=np.int64)
+        todo, slot = np.arange(len(h)), h & self.mask
+        while len(todo):
+            row = self.row[slot]
+            hit = (row >= 0) & (self.key[slot] == h[todo])
+            out[todo[hit]] = row[hit]
+            on = (row >= 0) & ~hit  # another piece sits here: look at the next slot
+            todo, slot = todo[on], (slot[on] + np.uint64(1)) & self.mask
+        return out
+
+    def add(self, h: np.ndarray, ids: list[np.ndarray]) -> None:
+        """New pieces (distinct, not in the table) and their ids."""
+        rows = len(self) + np.arange(len(h))
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(i) for i in ids])])
+        self.flat = np.concatenate([self.flat, *ids])
+        todo, slot = np.arange(len(h)), h & self.mask
+        while len(todo):
+            free = np.flatnonzero(self.row[slot] < 0)
+            _, one = np.unique(slot[free], return_index=True)  # one piece a slot
+            won = free[one]
+            self.row[slot[won]], self.key[slot[won]] = rows[todo[won]], h[todo[won]]
+            rest = np.ones(len(todo), dtype=bool)
+            rest[won] = False
+            todo, slot = todo[rest], slot[rest]
+            taken = self.row[slot] >= 0
+            slot = np.where(taken, (slot + np.uint64(1)) & self.mask, slot)
 
 
 def bit_width(vocabulary: int) -> int:
@@ -80,45 +156,63 @@ def unpack(payload, width: int, start: int, stop: int) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes texts to the bytes of little-endian unsigned 32-bit ids."""
+    """Ids of texts. Pieces that were met before come from a table; new ones go to the library."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.table = PieceTable()
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _learn(self, pieces: list[str]) -> list[np.ndarray]:
         """Words go to the library many at once: joined so that each is a piece of its own again."""
-        spaced = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
-        bare = [p for p in pieces if p.isalpha()]
-        for p in pieces.difference(spaced, bare):
-            self.known[p] = self.whole(p)
+        out: list = [None] * len(pieces)
+        spaced = [i for i, p in enumerate(pieces) if p[0] == " " and p[1:].isalpha()]
+        bare = [i for i, p in enumerate(pieces) if p.isalpha()]
         for words, sep in ((spaced, ""), (bare, "\n")):
             step = 1 + len(sep)  # the line feeds are pieces too
-            for i in range(0, len(words), 500):
-                some = words[i:i + 500]
-                enc = self.lib.encode(sep.join(some), add_special_tokens=False)
-                raw, piece = np.array(enc.ids, dtype="<u4").tobytes(), np.array(enc.word_ids)
-                starts = (4 * np.searchsorted(piece, np.arange(0, step * len(some), step))).tolist()
-                ends = (4 * np.searchsorted(piece, np.arange(0, step * len(some), step), side="right")).tolist()
-                self.known |= {p: raw[a:b] for p, a, b in zip(some, starts, ends, strict=True)}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cuts = []
-        for t in texts:
-            if any(s in t for s in self.special) or _RARE.search(t):
-                cuts.append(None)
-            else:
-                cuts.append(_PIECES[t.isascii()].findall(t))
-        if len(self.known) > KNOWN_PIECES:
-            self.known.clear()
-        self._learn(set().union(*filter(None, cuts)).difference(self.known))
-        return [self.whole(t) if c is None else b"".join(map(self.known.__getitem__, c)) for t, c in zip(texts, cuts, strict=True)]
+            for a in range(0, len(words), 500):
+                some = words[a:a + 500]
+                enc = self.lib.encode(sep.join([pieces[i] for i in some]), add_special_tokens=False)
+                ids, piece = np.array(enc.ids, dtype="<u4"), np.array(enc.word_ids)
+                at = np.arange(0, step * len(some), step)
+                for i, x, y in zip(some, np.searchsorted(piece, at).tolist(), np.searchsorted(piece, at, side="right").tolist(), strict=True):
+                    out[i] = ids[x:y]
+        return [self.whole(p) if o is None else o for p, o in zip(pieces, out, strict=True)]
+
+    def __call__(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and where each text's ids start."""
+        texts = col.to_pylist()
+        odd = {i: self.whole(t) for i, t in enumerate(texts) if _RARE.search(t) or any(s in t for s in self.special)}
+        if odd:
+            col = pc.if_else(pa.array([i in odd for i in range(len(texts))]), "", col)
+        data, offsets = W.text_bytes(col)
+        own = cut(data, offsets)
+        h = own.hashes(1)
+        row = self.table.find(h)
+        lost = np.flatnonzero(row < 0)
+        if len(lost):
+            new, one = np.unique(h[lost], return_index=True)
+            if len(self.table) + len(new) > KNOWN_PIECES:
+                self.table.clear()
+                new, one = np.unique(h, return_index=True)
+                lost = np.arange(len(h))
+            at = lost[one]
+            raw = data.tobytes()
+            self.table.add(new, self._learn([raw[a:b].decode() for a, b in zip(own.starts[at].tolist(), own.ends[at].tolist(), strict=True)]))
+            row[lost] = self.table.find(h[lost])
+        n = self.table.first[row + 1] - self.table.first[row]
+        total = int(n.sum())
+        ids = self.table.flat[np.arange(total) + np.repeat(self.table.first[row] - (np.cumsum(n) - n), n)]
+        first = np.concatenate([[0], np.cumsum(n)])[own.first]
+        if odd:
+            parts = [odd[i] if i in odd else ids[first[i]:first[i + 1]] for i in range(len(texts))]
+            ids, first = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        return ids, first
 
 
 _encoders: dict[str, Encoder] = {}
@@ -130,12 +224,12 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def block(doc_ids: list, ids: list[bytes], width: int) -> bytes:
+def block(doc_ids: list, ids: list[np.ndarray], width: int) -> bytes:
     """One block of the file format."""
     known = np.array([d is not None for d in doc_ids], dtype=np.uint8)
     number = np.array([d or 0 for d in doc_ids], dtype="<i8")
-    end = np.cumsum([len(x) // 4 for x in ids]).astype("<u8")
-    payload = pack(np.frombuffer(b"".join(ids), dtype="<u4"), width)
+    end = np.cumsum([len(x) for x in ids]).astype("<u8")
+    payload = pack(np.concatenate(ids), width)
     return HEAD.pack(MAGIC, width, len(doc_ids), int(end[-1]), len(payload)) + known.tobytes() + number.tobytes() + end.tobytes() + payload
 
 
@@ -156,22 +250,25 @@ def blocks_in(data):
 
 
 def _write(path: str, width: int, end_id: int, block_ids: int):
-    end = np.array([end_id], dtype="<u4").tobytes()
+    end = np.array([end_id], dtype="<u4")
 
     def run(batches):
         enc, docs, ids, n = encoder(path), [], [], 0
         for batch in batches:
-            numbers, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for i in range(0, len(texts), 500):
-                for d, raw in zip(numbers[i:i + 500], enc(texts[i:i + 500]), strict=True):
+            for part in W.slices(batch):
+                got, first = enc(part.column("text"))
+                for d, a, b in zip(part.column("doc_id").to_pylist(), first.tolist(), first[1:].tolist(), strict=False):
                     docs.append(d)
-                    ids.append(raw + end)
-                    n += len(ids[-1]) // 4
+                    ids += [got[a:b], end]
+                    n += b - a + 1
                     if n >= block_ids:
-                        yield pa.record_batch([pa.array([block(docs, ids, width)], pa.binary())], names=["block"])
+                        yield pa.record_batch([pa.array([block(docs, joined(ids), width)], pa.binary())], names=["block"])
                         docs, ids, n = [], [], 0
         if docs:
-            yield pa.record_batch([pa.array([block(docs, ids, width)], pa.binary())], names=["block"])
+            yield pa.record_batch([pa.array([block(docs, joined(ids), width)], pa.binary())], names=["block"])
+
+    def joined(ids):
+        return [np.concatenate(ids[i:i + 2]) for i in range(0, len(ids), 2)]
 
     return run
 
