@@ -13,67 +13,92 @@ Two scorers exist in the source system:
 
 The index is an inverted file ``(term, product_uid, tf, dl, weight)``: the per-posting
 BM25 weight is computed once at build time, so a query is one equi-join on
-``term`` plus a sum. Only postings of query words are read.
+``term`` plus a sum. It is written to a folder, partitioned by a bucket of the term's
+hash and sorted by term within files, and can be opened again by later sessions. A query
+reads the buckets of its words only (partition pruning), and in them the row groups whose
+terms may match.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from relevo.functions import text as tx
 from relevo.operators.topn import fits, top_n_per_group
-from relevo.session import materialize
+from relevo.session import checkpoint_dir, materialize
 
 # Query-word tables up to this many rows are broadcast to the postings scan; beyond
 # it the join shuffles on ``term`` and AQE splits skewed (frequent-word) partitions.
 BROADCAST_QUERY_TERMS = 200_000
 
 
+#: Postings per bucket aimed at, and the bounds of the number of buckets.
+BUCKET_POSTINGS = 2_000_000
+MIN_BUCKETS, MAX_BUCKETS = 64, 4096
+
+
 @dataclass
 class Bm25Index:
-    postings: DataFrame      # term, product_uid, tf, dl, weight
+    postings: DataFrame      # term, product_uid, tf, dl, weight, bucket
     idf: DataFrame           # term, df, idf
     n_docs: int
     avgdl: float
     k1: float
     b: float
+    buckets: int
+    path: str
+
+
+def _bucket(term, buckets: int):
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 def build_okapi(docs: DataFrame, uid: str = "product_uid", text: str = "text",
-                k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25,
-                persist: bool = True) -> Bm25Index:
-    """R3 index over ``docs(uid, text)``; ``text`` is already cleaned.
-
-    The cleaned text is tokenized exactly once: term frequencies are written to
-    the checkpoint folder and every later statistic (N, avgdl, df, mean idf) is
-    an aggregate over that table. ``explode_outer`` (a split never returns an
-    empty array) keeps Spark from inferring a filter that re-evaluates the
-    whole cleaning expression.
+                k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, path: str | None = None) -> Bm25Index:
+    """R3 index over ``docs(uid, text)``, written under ``path`` (default: a new folder of the
+    checkpoint folder); ``text`` is already cleaned and ``uid`` unique.
+
+    The cleaned text is tokenized exactly once: term frequencies are written and every later
+    statistic is an aggregate over that table; N is the number of rows of ``docs``.
+    ``explode_outer`` (a split never returns an empty array) keeps Spark from inferring a filter
+    that re-evaluates the whole cleaning expression.
     """
+    spark = docs.sparkSession
+    path = path or f"{checkpoint_dir(spark).rstrip('/')}/bm25-{uuid.uuid4().hex[:12]}"
     toks = docs.select(F.col(uid).alias("product_uid"), F.split(F.col(text), " ").alias("toks"))
     occ = toks.select("product_uid", F.size("toks").alias("dl"), F.explode_outer("toks").alias("term"))
-    tf = occ.groupBy("term", "product_uid", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    if persist:
-        tf = materialize(tf, "bm25-tf")
-    st = tf.agg(F.countDistinct("product_uid").alias("n"), F.sum("tf").alias("tot")).first()
-    n_docs, avgdl = int(st["n"]), float(st["tot"] or 0) / max(int(st["n"]), 1)
+    tf = materialize(occ.groupBy("term", "product_uid", "dl").agg(F.count(F.lit(1)).alias("tf")), "bm25-tf")
+    n_docs = docs.count()
+    st = tf.agg(F.sum("tf").alias("tot"), F.count("*").alias("rows")).first()
+    avgdl = float(st["tot"] or 0) / max(n_docs, 1)
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.withColumn("idf", F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    if persist:
-        raw = materialize(raw, "bm25-idf")
+    raw = materialize(df.withColumn("idf", F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)), "bm25-idf")
     mean_idf = raw.agg(F.avg("idf")).first()[0] or 0.0
     idf = raw.withColumn("idf", F.when(F.col("idf") < 0, F.lit(epsilon * mean_idf)).otherwise(F.col("idf")))
     w = (F.col("idf") * F.col("tf") * (k1 + 1)
          / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl))))
+    buckets = max(MIN_BUCKETS, min(MAX_BUCKETS, st["rows"] // BUCKET_POSTINGS))
     postings = tf.join(idf.select("term", "idf"), "term").select(
-        "term", "product_uid", "tf", "dl", w.alias("weight"))
-    if persist:
-        postings = materialize(postings, "bm25-postings")
-    return Bm25Index(postings, idf, n_docs, avgdl, k1, b)
+        "term", "product_uid", "tf", "dl", w.alias("weight"), _bucket("term", buckets).alias("bucket"))
+    # range partitions: a frequent term may span several files, and each file holds few buckets
+    (postings.repartitionByRange("bucket", "term", "product_uid").sortWithinPartitions("bucket", "term")
+     .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
+    idf.write.mode("overwrite").parquet(f"{path}/idf")
+    meta = spark.createDataFrame([(n_docs, avgdl, k1, b, buckets)], "n_docs long, avgdl double, k1 double, b double, buckets int")
+    meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+    return open_okapi(spark, path)
+
+
+def open_okapi(spark: SparkSession, path: str) -> Bm25Index:
+    """An index written by ``build_okapi``."""
+    m = spark.read.parquet(f"{path}/meta").first()
+    postings = spark.read.schema("term string, product_uid long, tf long, dl int, weight double, bucket int").parquet(f"{path}/postings")
+    return Bm25Index(postings, spark.read.parquet(f"{path}/idf"), m["n_docs"], m["avgdl"], m["k1"], m["b"], m["buckets"], path)
 
 
 def query_terms(queries: DataFrame, qid: str = "query_id", text: str = "text") -> DataFrame:
@@ -85,10 +110,12 @@ def query_terms(queries: DataFrame, qid: str = "query_id", text: str = "text") -
 
 def score(index: Bm25Index, queries: DataFrame, qid: str = "query_id", text: str = "text") -> DataFrame:
     """(query_id, product_uid, score) for every document sharing a word with the query."""
-    qt = query_terms(queries, qid, text)
+    qt = materialize(query_terms(queries, qid, text).withColumn("bucket", _bucket("term", index.buckets)), "query-terms")
+    need = sorted(r[0] for r in qt.select("bucket").distinct().collect())  # MAX_BUCKETS numbers at most
+    hits = index.postings.where(F.col("bucket").isin(need)) if need else index.postings.where("false")
     if fits(qt, BROADCAST_QUERY_TERMS):
         qt = F.broadcast(qt)
-    hits = index.postings.join(qt, "term")
+    hits = hits.join(qt, ["bucket", "term"])
     return (hits.groupBy("query_id", "product_uid")
                 .agg(F.sum(F.col("qtf") * F.col("weight")).alias("score")))
 

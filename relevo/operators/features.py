@@ -6,9 +6,9 @@ Layout of the work:
   digit-token sets and n-gram counts of title / description / attributes;
 * pair side: the search term's own tokens; the pair row joins its product once
   (``product_uid``) and every feature is a built-in expression on that row;
-* the character-set Jaccard minima over long fields (F22, F26, F27) are relational:
-  distinct (product, query word) x distinct product words, ``min`` per word, so
-  no interpreted per-row loop runs over a 20,000-word description.
+* character sets are 64-bit masks: a distance is two bit counts. The minima over long
+  fields (F22, F26, F27) are taken per distinct (product, query word) against the
+  product's distinct character sets, and the text itself is never shuffled by pair.
 
 Semantics follow the source, including its quirks (documented per feature).
 Empty search terms, which raise in the source, give 0 / NULL here.
@@ -80,8 +80,40 @@ def _pairwise_min(q: Column, f: Column, fn) -> Column:
     return F.array_min(F.flatten(F.transform(q, lambda x: F.transform(f, lambda y: fn(x, y)))))
 
 
-def _char_jaccard(x: Column, y: Column) -> Column:
-    return set_jaccard(tx.char_set(x), tx.char_set(y))
+#: Characters that have a bit of a 64-bit mask; cleaned texts hold few others.
+_MASKED = "abcdefghijklmnopqrstuvwxyz0123456789 .,-/_'\"&+#%()"
+
+
+def char_mask(w: Column) -> Column:
+    """The character set of a word as a BIGINT, or NULL if it holds a character without a bit."""
+    bits = F.aggregate(F.split(w, ""), F.lit(0).cast("long"),
+                       lambda m, c: m.bitwiseOR(F.when(c == "", F.lit(0).cast("long")).otherwise(
+                           F.call_function("shiftleft", F.lit(1).cast("long"), F.instr(F.lit(_MASKED), c) - 1))))
+    return F.when(F.translate(w, _MASKED, "") == "", bits)
+
+
+def _mask_chars(m: Column) -> Column:
+    """The characters of a mask."""
+    on = F.filter(F.sequence(F.lit(0), F.lit(len(_MASKED) - 1)),
+                  lambda i: F.call_function("shiftright", m, i).bitwiseAND(F.lit(1).cast("long")) == 1)
+    return F.transform(on, lambda i: F.substring(F.lit(_MASKED), i + 1, F.lit(1)))
+
+
+def _sets(words: Column) -> Column:
+    """Distinct character sets of words, as structs of mask and character array (the array only where there is no mask)."""
+    def one(w: Column) -> Column:
+        m = char_mask(w)
+        return F.struct(m.alias("m"), F.when(m.isNull(), F.array_sort(tx.char_set(w))).alias("cs"))
+    return F.array_distinct(F.transform(F.array_distinct(words), one))
+
+
+def mask_jaccard(x: Column, y: Column) -> Column:
+    """Jaccard distance of two structs of ``_sets``: bit counts, or character arrays where a mask is missing."""
+    both = x["m"].bitwiseOR(y["m"])
+    fast = F.when(both == 0, F.lit(None).cast("double")).otherwise(
+        (F.bit_count(both) - F.bit_count(x["m"].bitwiseAND(y["m"]))) / F.bit_count(both))
+    cs = lambda s: F.coalesce(s["cs"], _mask_chars(s["m"]))
+    return F.when(both.isNotNull(), fast).otherwise(set_jaccard(cs(x), cs(y)))
 
 
 def basic_features(j: DataFrame, q: str = "q") -> DataFrame:
@@ -127,9 +159,9 @@ def similarity_columns(q: str = "q") -> list:
         _set_cosine("description").alias("cosine_search_term_desc"),
         F.aggregate(qb, F.lit(0), lambda acc, x: acc + F.size(F.filter(bb, lambda y: y == x)))
          .alias("search_term_contains_brand"),
-        _pairwise_min(qs, bs, _char_jaccard).alias("min_jcc_brand_with_search_term"),
+        _pairwise_min(_sets(qs), _sets(bs), mask_jaccard).alias("min_jcc_brand_with_search_term"),
         _pairwise_min(qb, bb, F.levenshtein).alias("min_edit_brand_with_search_term"),
-        _pairwise_min(qs, ts, _char_jaccard).alias("min_jcc_title_with_search_term"),
+        _pairwise_min(_sets(qs), _sets(ts), mask_jaccard).alias("min_jcc_title_with_search_term"),
         _pairwise_min(qb, tb, F.levenshtein).alias("min_edit_title_with_search_term"),
         set_jaccard(F.col("q_jset"), F.col("title_jset")).alias("sum_jaccard_product_title_with_search_term"),
         F.levenshtein(q, "title").alias("sum_edit_product_title_with_search_term"),
@@ -142,17 +174,15 @@ def mean_char_jaccard(pairs: DataFrame, products: DataFrame, field: str, out: st
     any word of the field; empty query words add 0 but count in the denominator, a field
     without words gives 99999 per query word.
 
-    Work is per distinct (product, query word) against the distinct words of that product.
+    Work is per distinct (product, query word) against the distinct character sets of that product's words.
     """
     qw = pairs.select("pair_id", "product_uid",
                       F.posexplode(tx.split_blank(F.trim(F.col(q)))).alias("qpos", "x")).where("x != ''")
-    uq = qw.select("product_uid", "x").distinct().withColumn("xcs", tx.char_set("x"))
-    fw = products.select("product_uid", F.explode(F.array_distinct(
-        F.filter(tx.split_blank(F.trim(F.col(field))), lambda y: y != ""))).alias("y"))
-    fw = fw.withColumn("ycs", tx.char_set("y"))
+    uq = qw.select("product_uid", "x").distinct().withColumn("xs", _sets(F.array("x"))[0])
+    # one row per product with the character sets of its words: words with equal sets count once
+    fw = products.select("product_uid", _sets(F.filter(tx.split_blank(F.trim(F.col(field))), lambda y: y != "")).alias("ys")).where(F.size("ys") > 0)
     best = (uq.join(fw, "product_uid")
-              .groupBy("product_uid", "x")
-              .agg(F.min(set_jaccard(F.col("xcs"), F.col("ycs"))).alias("m")))
+              .select("product_uid", "x", F.array_min(F.transform("ys", lambda y: mask_jaccard(F.col("xs"), y))).alias("m")))
     per_pair = (qw.join(best, ["product_uid", "x"], "left")
                   .groupBy("pair_id").agg(F.sum(F.coalesce("m", F.lit(BIG))).alias("s")))
     n = pairs.select("pair_id", F.size(tx.split_blank(F.trim(F.col(q)))).alias("n"))
@@ -186,7 +216,7 @@ def tf_idf_stats(pairs: DataFrame, qw: DataFrame, title: str = "title") -> DataF
     )
 
 
-# Final column order of the 41-feature vector (F28/F29 are the latent cosine features).
+# --- fixed values: names and order of the 41-feature vector (F28/F29 are the latent cosine features) ---
 FEATURE_ORDER = [
     "search_term_length", "last_word_in_title", "last_word_in_desc", "have_brand_or_not", "have_attr_or_not",
     "numbers_in_attr", "numbers_in_title", "numbers_in_desc", "title_common_word_count",
@@ -202,3 +232,4 @@ FEATURE_ORDER = [
     "max_tf_ST", "max_idf_ST", "max_tfidf_ST", "min_tf_ST", "min_idf_ST", "min_tfidf_ST",
     "sum_tf_ST", "sum_idf_ST", "sum_tfidf_ST",
 ]
+# ---------------------------------------------------------------------------------------------------------

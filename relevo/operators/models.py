@@ -26,9 +26,19 @@ def hash_fraction(key: Column, seed: int) -> Column:
     return h / F.lit(float(2 ** 32))
 
 
-def split(df: DataFrame, key: str, frac: float = 0.8, seed: int = 122, label: str = "split") -> DataFrame:
-    """M1: row-wise deterministic split; per class the train share converges to ``frac``."""
-    return df.withColumn(label, F.when(hash_fraction(F.col(key), seed) < frac, F.lit("train")).otherwise(F.lit("test")))
+def split(df: DataFrame, key: str, frac: float = 0.8, seed: int = 122, label: str = "split", by: str | None = None) -> DataFrame:
+    """M1: row-wise deterministic split by a hash of the key.
+
+    With ``by``, each class is cut at its own quantile of the hash, so ``frac`` of every class (rounded
+    up to whole rows) is "train". The quantiles are an aggregate with partial sketches per class,
+    exact for classes of up to 100,000 rows and within a share of 1e-5 beyond; classes are few.
+    """
+    h = hash_fraction(F.col(key), seed)
+    if by is None:
+        return df.withColumn(label, F.when(h < frac, F.lit("train")).otherwise(F.lit("test")))
+    cut = df.groupBy(F.col(by).alias("_class")).agg(F.percentile_approx(h, frac, 100_000).alias("_cut"))
+    return (df.join(F.broadcast(cut), F.col(by).eqNullSafe(F.col("_class")))
+              .withColumn(label, F.when(h <= F.col("_cut"), F.lit("train")).otherwise(F.lit("test"))).drop("_class", "_cut"))
 
 
 def standard_scale(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None) -> DataFrame:
@@ -49,49 +59,77 @@ def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame
         df.na.fill(0.0, subset=cols))
 
 
-def base_learners(label: str = "relevance", features: str = "features", gbt_iter: int = 100):
-    """The six base models of the blend (M4, M6, M10, M7, M8, M9), in the source's order."""
+def ridge_reg_param(alpha: float, n: int, label_sd: float) -> float:
+    """M7: MLlib's regParam equivalent to a least-squares ridge penalty ``alpha * ||w||^2``."""
+    return alpha * label_sd / max(n, 1)
+
+
+def linear(kind: str, alpha: float, n: int, label_sd: float, l1_ratio: float = 0.5, label: str = "relevance",
+           features: str = "features") -> LinearRegression:
+    """M7-M9: a linear learner whose penalty equals the source's for a fit on ``n`` rows with this label deviation.
+
+    MLlib divides its loss by n and scales the label, so a ridge strength becomes alpha sd / n, a lasso strength
+    stays, and an elastic net's two parts are alpha r (absolute) and alpha (1 - r) sd (squared)."""
+    if kind == "ridge":
+        reg, mix = ridge_reg_param(alpha, n, label_sd), 0.0
+    elif kind == "lasso":
+        reg, mix = alpha, 1.0
+    else:
+        l1, l2 = alpha * l1_ratio, alpha * (1 - l1_ratio) * label_sd
+        reg, mix = l1 + l2, l1 / (l1 + l2)
+    return LinearRegression(labelCol=label, featuresCol=features, elasticNetParam=mix, regParam=reg,
+                            standardization=False, solver="l-bfgs", tol=1e-9, maxIter=500)
+
+
+def size_and_sd(df: DataFrame, label: str = "relevance") -> tuple[int, float]:
+    r = df.agg(F.count(label).alias("n"), F.stddev_samp(label).alias("sd")).first()
+    return r["n"], r["sd"] or 1.0
+
+
+def base_learners(label: str = "relevance", features: str = "features", gbt_iter: int = 999):
+    """The six base models of the blend (M4, M6, M10, M7, M8, M9), in the source's order.
+
+    Each is a function of the frame it is fitted on: linear penalties depend on its rows and label."""
+    def fixed(est):
+        return lambda df: est
+
+    def penalised(kind, alpha, l1_ratio=0.5):
+        return lambda df: linear(kind, alpha, *size_and_sd(df, label), l1_ratio, label, features)
+
     return {
-        "M1_xgb": GBTRegressor(labelCol=label, featuresCol=features, maxIter=gbt_iter, stepSize=0.05,
-                               maxDepth=6, featureSubsetStrategy="0.9", seed=122),
-        "M1_rf": RandomForestRegressor(labelCol=label, featuresCol=features, numTrees=100, maxDepth=17,
-                                       minInstancesPerNode=20, featureSubsetStrategy="0.8", seed=122),
-        "M1_dt": RandomForestRegressor(labelCol=label, featuresCol=features, numTrees=1, bootstrap=False,
-                                       maxDepth=6, minInstancesPerNode=50, featureSubsetStrategy="0.5723", seed=122),
-        "M1_ridge": LinearRegression(labelCol=label, featuresCol=features, elasticNetParam=0.0, regParam=6.715,
-                                     standardization=False, solver="l-bfgs"),
-        "M1_lasso": LinearRegression(labelCol=label, featuresCol=features, elasticNetParam=1.0, regParam=6.67e-5,
-                                     standardization=False),
-        "M1_en": LinearRegression(labelCol=label, featuresCol=features, elasticNetParam=0.077, regParam=0.0004,
-                                  standardization=False),
+        "boosting": fixed(GBTRegressor(labelCol=label, featuresCol=features, maxIter=gbt_iter, stepSize=0.05,
+                                       maxDepth=6, featureSubsetStrategy="0.9", seed=122)),
+        "forest": fixed(RandomForestRegressor(labelCol=label, featuresCol=features, numTrees=100, maxDepth=17,
+                                              minInstancesPerNode=20, featureSubsetStrategy="0.8", seed=122)),
+        "tree": fixed(RandomForestRegressor(labelCol=label, featuresCol=features, numTrees=1, bootstrap=False,
+                                            maxDepth=6, minInstancesPerNode=50, featureSubsetStrategy="0.5723", seed=122)),
+        "ridge": penalised("ridge", 6.715),
+        "lasso": penalised("lasso", 6.67e-5),
+        "elastic_net": penalised("elastic_net", 0.0004, 0.077),
     }
 
 
-SCALED = {"M1_ridge", "M1_lasso", "M1_en"}
+SCALED = {"ridge", "lasso", "elastic_net"}
 
 # --- fixed values: sampling seeds of the base models, in the source's order ------
-SAMPLE_SEEDS = {"M1_xgb": 101, "M1_rf": 102, "M1_ridge": 103, "M1_lasso": 104, "M1_en": 105, "M1_dt": 107}
+SAMPLE_SEEDS = {"boosting": 101, "forest": 102, "ridge": 103, "lasso": 104, "elastic_net": 105, "tree": 107}
 # ----------------------------------------------------------------------------------
 
 
-def extra_learners(label: str = "relevance", features: str = "features", iters: int = 100):
-    """Approach-2 learners: histogram-style boosting (M5: binned features, depth 8, rate .05) and the
-    extra-trees stand-in (M11: no bootstrap, all features; MLlib has no random thresholds)."""
+def extra_learners(label: str = "relevance", features: str = "features", iters: int = 400):
+    """Approach-2 learners: histogram-style boosting (M5: binned features, depth 8, rate .05), the forest over all
+    features, and an approximation of extra trees (M11): MLlib has no random thresholds, so each of the 100 trees
+    sees 63 % of the rows, drawn without replacement, and a third of the features per node, to depth 12."""
     return {
         "hgb": GBTRegressor(labelCol=label, featuresCol=features, maxIter=iters, stepSize=0.05, maxDepth=8,
                             maxBins=255, seed=122),
         "extra_trees": RandomForestRegressor(labelCol=label, featuresCol=features, numTrees=100, bootstrap=False,
-                                             featureSubsetStrategy="all", seed=122),
+                                             subsamplingRate=0.63, featureSubsetStrategy="onethird", maxDepth=12, seed=122),
         "rf_a2": RandomForestRegressor(labelCol=label, featuresCol=features, numTrees=100, maxDepth=8,
-                                       minInstancesPerNode=3, seed=122),
+                                       minInstancesPerNode=3, featureSubsetStrategy="all", seed=122),
     }
 
 
-def ridge_reg_param(alpha: float, n: int, label_sd: float) -> float:
-    """M7: MLlib's regParam equivalent to a least-squares ridge penalty ``alpha * ||w||^2``."""
-    return alpha * label_sd / max(n, 1)
-
-
 def rmse(df: DataFrame, label: str = "relevance", pred: str = "prediction") -> float:
     """G14."""
     return RegressionEvaluator(labelCol=label, predictionCol=pred, metricName="rmse").evaluate(df)
@@ -106,7 +144,7 @@ def clip(c: Column, lo: float = 1.0, hi: float = 3.0) -> Column:
 
 
 def fit_blend(train: DataFrame, feature_cols: list[str], key: str = "pair_id", label: str = "relevance",
-              gbt_iter: int = 100, meta_alpha: float = 116.5):
+              gbt_iter: int = 999, meta_alpha: float = 116.5):
     """Base models on half A, their predictions on half B -> scaled ridge meta model.
 
     Returns a dict with fitted base models, the scaler statistics source and the meta model.
@@ -117,30 +155,28 @@ def fit_blend(train: DataFrame, feature_cols: list[str], key: str = "pair_id", l
     b_s = standard_scale(b, feature_cols, fit_on=a)
     fa, fa_s = assemble(a, feature_cols), assemble(a_s, feature_cols)
     models = {}
-    for name, est in base_learners(label, "features", gbt_iter).items():
-        if name == "M1_ridge":
-            sd = a.agg(F.stddev_samp(label)).first()[0] or 1.0
-            est = est.setRegParam(ridge_reg_param(6.715, a.count(), sd))
+    for name, learner in base_learners(label, "features", gbt_iter).items():
         # M2: every base model sees its own 85 % sample of half A (features and label in one frame)
-        models[name] = est.fit(sample_rows(fa_s if name in SCALED else fa, 0.85, SAMPLE_SEEDS[name]))
+        rows = sample_rows(fa_s if name in SCALED else fa, key, 0.85, SAMPLE_SEEDS[name])
+        models[name] = learner(rows).fit(rows)
     meta_in = materialize(base_predictions(models, b, b_s, feature_cols, key, label), "meta-input")
     names = list(models)
-    meta_s = standard_scale(meta_in, names)
-    sd = meta_in.agg(F.stddev_samp(label)).first()[0] or 1.0
-    meta = LinearRegression(labelCol=label, featuresCol="features", elasticNetParam=0.0, standardization=False,
-                            regParam=ridge_reg_param(meta_alpha, meta_in.count(), sd)).fit(assemble(meta_s, names))
+    meta_s = assemble(standard_scale(meta_in, names), names)
+    meta = linear("ridge", meta_alpha, *size_and_sd(meta_in, label), label=label).fit(meta_s)
     return {"models": models, "scale_base": a, "scale_meta": meta_in, "meta": meta, "names": names}
 
 
 def base_predictions(models: dict, df: DataFrame, df_scaled: DataFrame, feature_cols, key: str, label: str | None):
-    """(key, label, one prediction column per base model) — the 6-column meta input."""
+    """(key, label, one prediction column per base model) — the 6-column meta input.
+
+    One join brings the plain and the scaled feature vector of a row together; the models are then chained."""
     cols = [key] + ([label] if label and label in df.columns else [])
-    out = df.select(*cols)
-    f, fs = assemble(df, feature_cols), assemble(df_scaled, feature_cols)
+    f = assemble(df, feature_cols).select(*cols, "features")
+    fs = assemble(df_scaled, feature_cols, "scaled").select(F.col(key).alias("_key"), "scaled")
+    out = f.join(fs, F.col(key) == F.col("_key")).drop("_key")
     for name, m in models.items():
-        p = m.transform(fs if name in SCALED else f).select(key, F.col("prediction").alias(name))
-        out = out.join(p, key)
-    return out
+        out = m.copy().setFeaturesCol("scaled" if name in SCALED else "features").setPredictionCol(name).transform(out)
+    return out.select(*cols, *models)
 
 
 def predict_blend(blend: dict, df: DataFrame, feature_cols, key: str = "pair_id", label: str | None = "relevance"):
@@ -162,27 +198,33 @@ def importance_table(model, feature_cols: list[str], name: str) -> DataFrame:
                                  "model string, feature string, importance double")
 
 
-def sample_rows(df: DataFrame, frac: float = 0.85, seed: int = 101) -> DataFrame:
-    """M2: sample without replacement (features and label stay aligned: one frame)."""
-    return df.sample(withReplacement=False, fraction=frac, seed=seed)
+def sample_rows(df: DataFrame, key: str, frac: float = 0.85, seed: int = 101) -> DataFrame:
+    """M2: sample without replacement by a hash of the key: the same rows however the table is partitioned
+    (features and label stay aligned: one frame)."""
+    return df.where(hash_fraction(F.col(key), seed) < frac)
 
 
-def cv_ridge(df: DataFrame, feature_cols: list[str], label: str = "relevance", reg_params=(0.1, 1.0, 10.0),
+def cv_ridge(df: DataFrame, feature_cols: list[str], label: str = "relevance", alphas=(0.1, 1.0, 10.0),
              folds: int = 3, seed: int = 122) -> DataFrame:
-    """K-fold CV over ridge strengths; report (regParam, rmse, rank)."""
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-    lr = LinearRegression(labelCol=label, featuresCol="features", elasticNetParam=0.0)
-    grid = ParamGridBuilder().addGrid(lr.regParam, list(reg_params)).build()
-    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=label),
-                        numFolds=folds, seed=seed, parallelism=4)
-    m = cv.fit(assemble(df, feature_cols))
-    spark = df.sparkSession
-    rows = [(float(pm[lr.regParam]), float(metric)) for pm, metric in zip(grid, m.avgMetrics)]
-    out = spark.createDataFrame(rows, "reg_param double, rmse double")
+    """K-fold CV over ridge strengths; report (alpha, rmse, rank)."""
     from pyspark.sql import Window
+    grid, m = _ridge_cv(assemble(df, feature_cols), label, alphas, folds, seed)
+    rows = [(float(a), float(metric)) for a, metric in zip(grid, m.avgMetrics)]
+    out = df.sparkSession.createDataFrame(rows, "alpha double, rmse double")
     return out.withColumn("rank_test_score", F.rank().over(Window.orderBy("rmse")))
 
 
+def _ridge_cv(f: DataFrame, label: str, alphas, folds: int, seed: int):
+    """CrossValidator over ridge strengths converted for the rows of a training fold."""
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    n, sd = size_and_sd(f, label)
+    lr = linear("ridge", 1.0, n, sd, label=label)
+    regs = [ridge_reg_param(a, n * (folds - 1) / folds, sd) for a in alphas]
+    grid = ParamGridBuilder().addGrid(lr.regParam, regs).build()
+    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=label),
+                        numFolds=folds, seed=seed, parallelism=4)
+    return alphas, cv.fit(f)
+
 
 def fold_of(key: Column, folds: int, seed: int = 5) -> Column:
     """Fold id in [0, folds) from the key's md5 (stable, no global sort)."""
@@ -190,66 +232,80 @@ def fold_of(key: Column, folds: int, seed: int = 5) -> Column:
 
 
 def stack_oof(df: DataFrame, feature_cols: list[str], key: str = "pair_id", label: str = "relevance",
-              folds: int = 5, iters: int = 50, reg_params=(0.1, 1.0, 10.0)):
+              folds: int = 5, iters: int = 600, alphas=(0.1, 1.0, 10.0)):
     """Out-of-fold stacking. For each fold, the base learners are fitted on the other folds
     and predict the held-out fold; the union of those predictions trains the final ridge
-    (strength picked by k-fold CV, M12). Base learners are then refitted on all rows.
+    (strength picked by k-fold CV, M12). Base learners are then refitted on all rows; fits run in parallel.
     Returns (base models on all rows, final model, out-of-fold table)."""
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-    learners = {"hgb": extra_learners(label, "features", iters)["hgb"],
-                "extra_trees": extra_learners(label, "features", iters)["extra_trees"],
-                "rf_a2": extra_learners(label, "features", iters)["rf_a2"],
-                "ridge": LinearRegression(labelCol=label, featuresCol="features", elasticNetParam=0.0, regParam=1.0)}
     f = materialize(assemble(df, feature_cols).withColumn("_fold", fold_of(F.col(key), folds)), "stack-input")
-    oof = None
+    learners = {k: (lambda tr, e=e: e) for k, e in extra_learners(label, "features", iters).items()}
+    learners["ridge"] = lambda tr: linear("ridge", 1.0, *size_and_sd(tr, label), label=label)
+    jobs = [(k, name) for k in range(folds) for name in learners] + [(None, name) for name in learners]
+
+    def fit(job):
+        k, name = job
+        tr = f if k is None else f.where(F.col("_fold") != k)
+        return learners[name](tr).fit(tr)
+
+    models = dict(zip(jobs, in_parallel(fit, jobs), strict=True))
+    parts = []
     for k in range(folds):
-        tr, te = f.where(F.col("_fold") != k), f.where(F.col("_fold") == k)
-        part = te.select(key, label)
-        for name, est in learners.items():
-            p = est.fit(tr).transform(te).select(key, F.col("prediction").alias(name))
-            part = part.join(p, key)
-        oof = part if oof is None else oof.unionByName(part)
+        part = f.where(F.col("_fold") == k)
+        for name in learners:
+            part = models[k, name].copy().setPredictionCol(name).transform(part)
+        parts.append(part.select(key, label, *learners))
+    oof = parts[0]
+    for p in parts[1:]:
+        oof = oof.unionByName(p)
     oof = materialize(oof, "stack-oof")
-    names = list(learners)
-    lr = LinearRegression(labelCol=label, featuresCol="features", elasticNetParam=0.0)
-    grid = ParamGridBuilder().addGrid(lr.regParam, list(reg_params)).build()
-    final = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=label),
-                           numFolds=folds, seed=122).fit(assemble(oof, names)).bestModel
-    bases = {name: est.fit(f) for name, est in learners.items()}
-    return bases, final, oof
+    _, cv = _ridge_cv(assemble(oof, list(learners)), label, alphas, folds, 122)
+    return {name: models[None, name] for name in learners}, cv.bestModel, oof
+
+
+def in_parallel(fn, jobs: list, threads: int = 4) -> list:
+    """Spark jobs of independent fits, a few at a time; results in the order of ``jobs``."""
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(threads) as pool:
+        return list(pool.map(fn, jobs))
 
 
 def predict_stack(bases: dict, final, df: DataFrame, feature_cols, key: str = "pair_id") -> DataFrame:
-    f = assemble(df, feature_cols)
-    out = df.select(key)
+    out = assemble(df, feature_cols)
     for name, m in bases.items():
-        out = out.join(m.transform(f).select(key, F.col("prediction").alias(name)), key)
+        out = m.copy().setPredictionCol(name).transform(out)
+    out = out.drop("features")
     p = final.transform(assemble(out, list(bases)))
     return p.select(key, clip(F.col("prediction")).alias("prediction"))
 
 
-def random_search(df: DataFrame, feature_cols: list[str], label: str = "relevance", draws: int = 20,
+def random_search(df: DataFrame, feature_cols: list[str], label: str = "relevance", draws: int = 100,
                   folds: int = 3, seed: int = 122) -> DataFrame:
-    """M14 + M15: seeded random draws of (regParam log-uniform, elasticNetParam uniform) for a
-    linear model, k-fold CV; report test and train RMSE per draw, rank by test RMSE and flag
-    draws whose train/test gap is below 0.1 (the source's filter)."""
+    """M14 + M15: seeded random draws of (alpha log-uniform, l1_ratio uniform) for an elastic net,
+    k-fold CV; report test and train RMSE per draw, rank by test RMSE, and flag draws whose train/test gap is
+    below 0.1 (the source's filter). Fits run a few at a time."""
     import numpy as np
     from pyspark.sql import Window
     rng = np.random.default_rng(seed)
-    draws_ = [(float(10 ** rng.uniform(-5, 1)), float(rng.uniform(0, 1))) for _ in range(draws)]
-    f = materialize(assemble(df, feature_cols).withColumn("_fold", fold_of(F.col("pair_id"), folds, seed)),
-                    "search-input")
-    rows = []
-    for i, (reg, mix) in enumerate(draws_):
+    drawn = [(i, float(10 ** rng.uniform(-5, 1)), float(rng.uniform(0, 1))) for i in range(draws)]
+    f = materialize(assemble(df, feature_cols).withColumn("_fold", fold_of(F.col("pair_id"), folds, seed)), "search-input")
+    sizes = {k: size_and_sd(f.where(F.col("_fold") != k), label) for k in range(folds)}
+    ev = RegressionEvaluator(labelCol=label, metricName="rmse")
+
+    def one(job):
+        i, alpha, mix = job
         te_err, tr_err = [], []
         for k in range(folds):
-            tr, te = f.where(F.col("_fold") != k), f.where(F.col("_fold") == k)
-            m = LinearRegression(labelCol=label, featuresCol="features", regParam=reg, elasticNetParam=mix).fit(tr)
-            ev = RegressionEvaluator(labelCol=label, metricName="rmse")
-            te_err.append(ev.evaluate(m.transform(te)))
+            m = linear("elastic_net", alpha, *sizes[k], mix, label).fit(f.where(F.col("_fold") != k))
+            te_err.append(ev.evaluate(m.transform(f.where(F.col("_fold") == k))))
             tr_err.append(m.summary.rootMeanSquaredError)
-        rows.append((i, reg, mix, float(np.mean(te_err)), float(np.mean(tr_err))))
-    spark = df.sparkSession
-    out = spark.createDataFrame(rows, "draw int, reg_param double, elastic_net double, rmse_test double, rmse_train double")
+        return i, alpha, mix, float(np.mean(te_err)), float(np.mean(tr_err))
+
+    rows = in_parallel(one, drawn, 8)
+    out = df.sparkSession.createDataFrame(rows, "draw int, alpha double, l1_ratio double, rmse_test double, rmse_train double")
     return (out.withColumn("rank_test_score", F.rank().over(Window.orderBy("rmse_test")))
                .withColumn("small_gap", (F.abs(F.col("rmse_test") - F.col("rmse_train")) < 0.1)))
+
+
+def search_series(report: DataFrame, param: str) -> DataFrame:
+    """The report filtered to draws with a small gap, as a series of one parameter against both errors."""
+    return report.where("small_gap").select(F.col(param), "rmse_test", "rmse_train").orderBy(param)

@@ -75,33 +75,33 @@ def cosine(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 # V3 / V4 / V6: truncated SVD of the TF-IDF matrix and latent projection
 # ---------------------------------------------------------------------------------
 
-def fit_svd(w: DataFrame, key: str, vocab: TfidfVocab, k: int):
-    """V3: uncentred truncated SVD of the L2-normalised TF-IDF rows (MLlib ``RowMatrix``).
+def fit_svd(docs: DataFrame, text: str, vocab: TfidfVocab, k: int, stop_words=ENGLISH_STOP_WORDS):
+    """V3: uncentred truncated SVD of the L2-normalised TF-IDF rows (MLlib ``RowMatrix``) of ``docs``.
 
-    Rows are sparse vectors; with k well below the vocabulary size MLlib runs the
-    distributed ARPACK mode (no n x n Gramian on the driver). Returns
-    ``(components DataFrame(term, comp, v), singular values)``; the component table
-    is vocabulary x k (bounded by ``max_features``).
+    Rows are built by ML transformers (counts over the fixed vocabulary, scaled by idf, normalised), so
+    they stay in the JVM. With k well below the vocabulary size MLlib runs the distributed ARPACK mode (no n x n
+    Gramian on the driver). Returns (components DataFrame(term, comp, v), singular values); the driver
+    holds the vocabulary x k matrix only, which ``max_features`` bounds.
     """
-    from pyspark.mllib.linalg import Vectors
+    import pyarrow as pa
+    from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+    from pyspark.ml.linalg import Vectors
     from pyspark.mllib.linalg.distributed import RowMatrix
+    from pyspark.mllib.util import MLUtils
 
-    n_terms = vocab.idf.count()
-    idx = w.join(vocab.idf.select("term", "term_index"), "term")
-    rows = idx.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("term_index", "weight"))).alias("e"))
+    terms = vocab.idf.orderBy("term_index").select("term", "idf").collect()   # at most max_features rows
+    count = CountVectorizerModel.from_vocabulary([t["term"] for t in terms], inputCol="toks", outputCol="counts")
+    scale = ElementwiseProduct(scalingVec=Vectors.dense([t["idf"] for t in terms]), inputCol="counts", outputCol="scaled")
+    rows = scale.transform(count.transform(docs.select(_tokens(F.col(text), stop_words).alias("toks"))))
+    rows = Normalizer(p=2.0, inputCol="scaled", outputCol="row").transform(rows).select("row")
     # ARPACK makes one pass per iteration: read the rows from a written table, keep them cached
-    rows = materialize(rows.select("e"), "svd-rows")
-    rdd = rows.rdd.map(
-        lambda r: Vectors.sparse(n_terms, [x[0] for x in r[0]], [x[1] for x in r[0]])).cache()
-    svd = RowMatrix(rdd).computeSVD(k, computeU=False)
-    rdd.unpersist()
+    rows = MLUtils.convertVectorColumnsFromML(materialize(rows, "svd-rows"), "row").persist()
+    svd = RowMatrix(rows).computeSVD(k, computeU=False)
+    rows.unpersist()
     v = svd.V.toArray()
-    spark = w.sparkSession
-    terms = {r["term_index"]: r["term"] for r in vocab.idf.select("term", "term_index").collect()}
-    comps = spark.createDataFrame(
-        [(terms[i], j, float(v[i, j])) for i in range(v.shape[0]) for j in range(v.shape[1])],
-        "term string, comp int, v double")
-    return comps, [float(s) for s in svd.s.toArray()]
+    table = pa.table({"term": pa.array([t["term"] for t in terms for _ in range(v.shape[1])]),
+                      "comp": pa.array(list(range(v.shape[1])) * len(terms), pa.int32()), "v": pa.array(v.reshape(-1))})
+    return docs.sparkSession.createDataFrame(table), [float(s) for s in svd.s.toArray()]
 
 
 def project(w: DataFrame, key: str, comps: DataFrame) -> DataFrame:

@@ -76,6 +76,47 @@ def centroid_features(pairs: DataFrame) -> DataFrame:
                     mse(F.col("ca"), F.col("cb")).alias("w2v_centroid_rmse"))
 
 
+def word_id_rule(word: Column, n: int) -> Column:
+    """A vector for every word: the md5 of the word modulo the size of the vector table."""
+    return F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("bigint") % n
+
+
+def pair_vector_features(pairs: DataFrame, products: DataFrame, vectors: DataFrame, n: int, field: str, suffix: str, q: str = "q") -> DataFrame:
+    """F43-F48 of search words against the words of one field: mean over search words of the largest cosine to a
+    word of the field, cosine of the two mean vectors, and their mean squared difference; 0 if a side has no words.
+
+    ``vectors`` = (word_id, vector), ids below ``n``. Cosines are taken once per distinct (product, search word)
+    against the product's distinct words, on unit vectors; means are aggregates of vectors.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    from relevo.functions import text as tx
+    from relevo.operators.topn import fits
+
+    unit = vectors.withColumn("_n", norm(F.col("vector"))).select("word_id", "vector", F.when(
+        F.col("_n") == 0, F.col("vector")).otherwise(F.transform("vector", lambda x: x / F.col("_n"))).alias("unit"))
+    table = F.broadcast(unit) if fits(unit, 100_000) else unit.hint("merge")
+    qw = pairs.select("pair_id", "product_uid", F.explode(tx.split_ws(q)).alias("w")).select("pair_id", "product_uid", word_id_rule(F.col("w"), n).alias("word_id"))
+    fw = products.select("product_uid", F.explode(tx.split_ws(field)).alias("w")).select("product_uid", word_id_rule(F.col("w"), n).alias("word_id"))
+    x = qw.select("product_uid", "word_id").distinct().join(table, "word_id").select("product_uid", F.col("word_id").alias("q_id"), F.col("unit").alias("u"))
+    y = fw.distinct().join(table, "word_id").select("product_uid", F.col("unit").alias("v"))
+    best = x.join(y, "product_uid").groupBy("product_uid", "q_id").agg(F.max(dot(F.col("u"), F.col("v"))).alias("m"))
+    top = (qw.join(best.withColumnRenamed("q_id", "word_id"), ["product_uid", "word_id"], "left")
+           .groupBy("pair_id", "product_uid").agg(F.avg(F.coalesce("m", F.lit(0.0))).alias("best")))
+
+    def mean(df, key):
+        m = Summarizer.mean(array_to_vector("vector"))
+        return df.join(table, "word_id").groupBy(key).agg(m.alias("m")).select(key, vector_to_array("m").alias(f"c_{key}"))
+
+    both = (pairs.select("pair_id", "product_uid").join(top.drop("product_uid"), "pair_id", "left")
+            .join(mean(qw, "pair_id"), "pair_id", "left").join(mean(fw, "product_uid"), "product_uid", "left"))
+    a, b = F.col("c_pair_id"), F.col("c_product_uid")
+    zero = F.lit(0.0)
+    return both.select("pair_id", F.coalesce("best", zero).alias(f"max_cosine_sim_per_word_{suffix}"),
+                       F.coalesce(cosine(a, b), zero).alias(f"w2v_n_similarity_{suffix}"), F.coalesce(mse(a, b), zero).alias(f"w2v_centroid_rmse_{suffix}"))
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, qkey: str = "query_id",
             qvec: str = "qvec", key: str = "word_id", vec: str = "vector",
             max_broadcast: int = 100_000) -> DataFrame:

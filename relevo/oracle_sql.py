@@ -66,37 +66,37 @@ def glued(e: str) -> str:
     return f"array_to_string(regexp_extract_all({e}, {q(GLUED_WORD_PATTERN)}), ' ')"
 
 
-def words(e: str, first: int, count: int) -> str:
-    return f"array_to_string(string_split({e}, ' ')[{first}:{first + count - 1}], ' ')"
-
-
 def substring_count(d: str, w: str) -> str:
     return (f"(CASE WHEN length({w}) = 0 THEN length({d}) + 1 ELSE "
             f"CAST(floor((length({d}) - length(replace({d}, {w}, ''))) / length({w})) AS INTEGER) END)")
 
 
 # Fixture views, stated over the raw driver tables.
-PRODUCTS = f"""products AS (
-  SELECT doc_id AS product_uid, {words('text', 1, 8)} AS product_title, text AS product_description
+PRODUCTS = """products AS (
+  SELECT doc_id AS product_uid, string_split(text, chr(10))[1] AS product_title, text AS product_description
   FROM documents)"""
 
 ATTRIBUTES = """attributes AS (
   SELECT doc_id AS product_uid, 1 AS pos, 'Language' AS name,
-         CASE WHEN doc_id % 11 = 0 THEN NULL ELSE lang END AS value FROM documents
+         CASE WHEN doc_id % 11 = 0 THEN NULL ELSE lang END AS value FROM documents WHERE doc_id % 13 <> 0
+  UNION ALL
+  SELECT doc_id, 2, 'Size', CAST(n_chars AS VARCHAR) FROM documents WHERE doc_id % 13 <> 0
   UNION ALL
-  SELECT doc_id, 2, 'Size', CAST(n_chars AS VARCHAR) FROM documents
+  SELECT doc_id, 3, 'MFG Brand Name', source FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 13 <> 0
   UNION ALL
-  SELECT doc_id, 3, 'MFG Brand Name', source FROM documents WHERE doc_id % 7 <> 0)"""
+  SELECT doc_id, 4, 'MFG Brand Name', source || ' ' || lang FROM documents WHERE doc_id % 17 = 0 AND doc_id % 13 <> 0)"""
 
-PAIRS = f"""pairs AS (
-  SELECT l.doc_id AS id, l.doc_id AS product_uid, {words('d.text', 1, 8)} AS product_title,
-         {words('d.text', 2, 3)} AS search_term,
+PAIRS = """searches AS (SELECT conv_id AS search_id, text AS search_term FROM conversations WHERE turn = 0),
+n_searches AS (SELECT max(search_id) + 1 AS n FROM searches),
+pairs AS (
+  SELECT l.doc_id * 2 + k AS id, l.doc_id AS product_uid, string_split(d.text, chr(10))[1] AS product_title, s.search_term,
          CAST(1 + l.quality + (1 - l.toxic) AS DOUBLE) AS relevance,
-         (l.doc_id % 5 <> 0) AS is_train
-  FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""
+         ((l.doc_id * 2 + k) % 5 <> 0) AS is_train
+  FROM (SELECT *, 0 AS k, doc_id % n AS search_id FROM labels, n_searches
+        UNION ALL SELECT *, 1, (doc_id * 7 + 3) % n FROM labels, n_searches WHERE doc_id % 3 = 0) l
+  JOIN searches s USING (search_id) JOIN documents d ON l.doc_id = d.doc_id)"""
 
-QUERIES = f"""queries AS (
-  SELECT item_id AS query_id, {words('text', 1, 3)} AS text FROM benchmark)"""
+QUERIES = "queries AS (SELECT item_id AS query_id, text FROM benchmark)"
 
 PART_PRODUCTS = """part_products AS (
   SELECT p_partkey AS product_uid, p_name AS product_title, p_brand AS brand,

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from relevo.functions import text as tx
 from relevo.plans import search
 from relevo.operators import bm25
+from relevo.session import materialize
 from relevo.sources import tables as T
 
 QUERIES: dict = {}
@@ -77,9 +78,7 @@ from relevo.sources import fixtures as fx  # noqa: E402
 
 
 def _catalog(spark, sf_dir):
-    p = fx.pairs(spark, sf_dir)
-    return asm.assemble_catalog(p.where("is_train"), p.where("NOT is_train"),
-                                fx.attributes(spark, sf_dir), fx.products(spark, sf_dir))
+    return search.catalog(spark, sf_dir)
 
 
 @register("assemble_catalog")
@@ -165,6 +164,23 @@ def q_value_counts(spark, sf_dir):
     return prof.value_counts(a, "value")
 
 
+@register("value_counts_more")
+def q_value_counts_more(spark, sf_dir):
+    """Pairs per product, pairs per search term, attribute rows per product."""
+    p, a = fx.pairs(spark, sf_dir), fx.attributes(spark, sf_dir)
+    def counts(df, key, name):
+        return df.groupBy(key).agg(F.count(F.lit(1)).cast("bigint").alias("cnt")).select(
+            F.lit(name).alias("key_name"), F.col(key).cast("string").alias("key"), "cnt")
+    return (counts(p, "product_uid", "pairs_per_product").unionByName(counts(p, "search_term", "pairs_per_search"))
+            .unionByName(counts(a, "product_uid", "attributes_per_product")))
+
+
+@register("histogram_uid")
+def q_histogram_uid(spark, sf_dir):
+    """10 equal-width bins of the product ids of all pairs."""
+    return prof.equal_width_histogram(fx.pairs(spark, sf_dir), "product_uid", 10)
+
+
 @register("histogram_len")
 def q_histogram_len(spark, sf_dir):
     p = fx.pairs(spark, sf_dir)
@@ -185,7 +201,8 @@ def q_set_overlap(spark, sf_dir):
             .unionByName(prof.set_overlap(tr, te, ["search_term"], "search_term"))
             .unionByName(prof.set_overlap(tr, te, ["search_term", "product_uid"], "pair"))
             .unionByName(prof.set_overlap(a.where(F.col("name") == "MFG Brand Name"),
-                                          fx.products(spark, sf_dir), ["product_uid"], "brand_vs_desc")))
+                                          fx.products(spark, sf_dir), ["product_uid"], "brand_vs_desc"))
+            .unionByName(prof.set_overlap(a, fx.products(spark, sf_dir), ["product_uid"], "attr_vs_desc")))
 
 
 # ------------------------------------------------------------ pair features ---
@@ -309,6 +326,16 @@ def q_emb_centroid(spark, sf_dir):
                       F.round("w2v_centroid_rmse", 6).alias("w2v_centroid_rmse"))
 
 
+@register("w2v_pair_features")
+def q_w2v_pair_features(spark, sf_dir):
+    """Search words against title and description words, each word with a vector of ``embeddings``."""
+    pairs, prods = fz.notebook_inputs(spark, sf_dir)
+    wv = fx.word_vectors(spark, sf_dir).select("word_id", "vector")
+    n = (wv.agg(F.max("word_id")).first()[0] or 0) + 1
+    out = vx.pair_vector_features(pairs, prods, wv, n, "title", "title")
+    return _rounded(out.join(vx.pair_vector_features(pairs, prods, wv, n, "description", "desc"), "pair_id"))
+
+
 @register("emb_neighbors")
 def q_emb_neighbors(spark, sf_dir):
     """O3: the 10 vectors nearest to each label centroid."""
@@ -323,10 +350,7 @@ def q_emb_neighbors(spark, sf_dir):
 
 from relevo.operators import models as mx  # noqa: E402
 
-BASIC = ["search_term_length", "last_word_in_title", "last_word_in_desc", "have_brand_or_not", "have_attr_or_not",
-         "numbers_in_attr", "numbers_in_title", "numbers_in_desc", "title_common_word_count",
-         "desc_common_word_count", "attr_common_words_count", "title_common_word_count_bigram",
-         "desc_common_word_count_bigram", "attr_common_word_count_bigram"]
+BASIC = ft.FEATURE_ORDER[:14]
 
 
 @register("pair_features")
@@ -348,7 +372,7 @@ def q_standard_scale(spark, sf_dir):
 def q_stratified_split(spark, sf_dir):
     p = fx.pairs(spark, sf_dir).select("id", "relevance")
     p = p.withColumn("relevance_class", asm.relevance_class(F.col("relevance")))
-    s = mx.split(p, "id", 0.8, seed=122)
+    s = mx.split(p, "id", 0.8, seed=122, by="relevance_class")
     return s.groupBy("relevance_class", "split").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"))
 
 
@@ -378,8 +402,8 @@ def q_error_box(spark, sf_dir):
     return prof.box_stats(diff, "diff")
 
 
-def _features_split(spark, sf_dir):
-    ftab = fz.feature_table(spark, sf_dir)
+def _features_split(spark, sf_dir, approach: int = 1):
+    ftab = fz.feature_table(spark, sf_dir) if approach == 1 else fz.feature_table_a2(spark, sf_dir)
     return ftab.where("is_train").drop("is_train"), ftab.where("NOT is_train").drop("is_train")
 
 
@@ -389,8 +413,8 @@ def q_fit_linear(spark, sf_dir):
     tr, _ = _features_split(spark, sf_dir)
     s = mx.assemble(mx.standard_scale(tr, ft.FEATURE_ORDER), ft.FEATURE_ORDER)
     out = None
-    for name in ("M1_ridge", "M1_lasso", "M1_en"):
-        m = mx.base_learners()[name].fit(s)
+    for name in ("ridge", "lasso", "elastic_net"):
+        m = mx.base_learners()[name](s).fit(s)
         t = mx.importance_table(m, ft.FEATURE_ORDER, name)
         out = t if out is None else out.unionByName(t)
     return out
@@ -402,8 +426,8 @@ def q_fit_trees(spark, sf_dir):
     tr, _ = _features_split(spark, sf_dir)
     f = mx.assemble(tr, ft.FEATURE_ORDER)
     out = None
-    for name in ("M1_xgb", "M1_rf", "M1_dt"):
-        m = mx.base_learners(gbt_iter=50)[name].fit(f)
+    for name in ("boosting", "forest", "tree"):
+        m = mx.base_learners()[name](f).fit(f)
         t = mx.importance_table(m, ft.FEATURE_ORDER, name)
         out = t if out is None else out.unionByName(t)
     return out
@@ -413,7 +437,7 @@ def q_fit_trees(spark, sf_dir):
 def q_blend_predict(spark, sf_dir):
     """M16 + M19: two-level blend fitted on the training pairs, clipped predictions for the holdout."""
     tr, te = _features_split(spark, sf_dir)
-    blend = mx.fit_blend(tr, ft.FEATURE_ORDER, gbt_iter=50)
+    blend = mx.fit_blend(tr, ft.FEATURE_ORDER)
     return mx.predict_blend(blend, te, ft.FEATURE_ORDER)
 
 
@@ -421,7 +445,7 @@ def q_blend_predict(spark, sf_dir):
 def q_rmse_table(spark, sf_dir):
     """Holdout RMSE of every base model and of the blend."""
     tr, te = _features_split(spark, sf_dir)
-    blend = mx.fit_blend(tr, ft.FEATURE_ORDER, gbt_iter=50)
+    blend = mx.fit_blend(tr, ft.FEATURE_ORDER)
     p = mx.predict_blend(blend, te, ft.FEATURE_ORDER)
     aggs = [mx.rmse_expr("relevance", n).alias(n) for n in blend["names"]] + [mx.rmse_expr().alias("blend")]
     wide = p.agg(*aggs)
@@ -429,11 +453,23 @@ def q_rmse_table(spark, sf_dir):
     return wide.unpivot([], names, "model", "rmse_test").select("model", F.round("rmse_test", 6).alias("rmse_test"))
 
 
+@register("rmse_fixed")
+def q_rmse_fixed(spark, sf_dir):
+    """G14 + M20 on fixed predictors (training mean overall and per split): train and test RMSE."""
+    p = fx.pairs(spark, sf_dir)
+    mean = p.where("is_train").agg(F.avg("relevance")).first()[0] or 0.0
+    wide = p.select("is_train", "relevance", F.lit(mean).alias("train_mean"), F.lit(2.0).alias("constant_two"),
+                    mx.clip(F.length("search_term") / 40.0).alias("search_length"))
+    names = ["train_mean", "constant_two", "search_length"]
+    err = wide.groupBy("is_train").agg(*[mx.rmse_expr("relevance", n).alias(n) for n in names])
+    return err.unpivot(["is_train"], names, "model", "rmse").select("model", "is_train", F.round("rmse", 6).alias("rmse"))
+
+
 @register("error_analysis")
 def q_error_analysis(spark, sf_dir):
     """Holdout predictions joined to their labels, error = relevance - prediction, box statistics."""
     tr, te = _features_split(spark, sf_dir)
-    blend = mx.fit_blend(tr, ft.FEATURE_ORDER, gbt_iter=50)
+    blend = mx.fit_blend(tr, ft.FEATURE_ORDER)
     p = mx.predict_blend(blend, te.drop("relevance"), ft.FEATURE_ORDER, label=None)
     lab = fx.pairs(spark, sf_dir).select(F.col("id").alias("pair_id"), "relevance")
     j = p.join(lab, "pair_id", "left")
@@ -453,17 +489,11 @@ def q_cv_report(spark, sf_dir):
 
 @register("search_candidates")
 def q_search_candidates(spark, sf_dir):
-    """Cleaned + corrected query -> BM25 top 100 -> candidate products with their text."""
-    from relevo.operators import spell as sp
-    catalog = fx.products(spark, sf_dir).join(
-        fx.attributes(spark, sf_dir).where(F.col("name") == fx.BRAND_NAME)
-          .select("product_uid", F.col("value").alias("brand")), "product_uid", "left")
-    vocab = sp.word_counts(sp.corpus_lines(catalog.na.fill({"brand": ""})), with_freq=False)
-    q = fx.queries(spark, sf_dir).select("query_id", tx.clean_search("text").alias("text"))
-    q = sp.correct_text(q, "query_id", "text", vocab, out="search_term")
-    idx = search.document_index(spark, sf_dir)
-    top = bm25.top_n(idx, q.withColumnRenamed("search_term", "text"), n=100)
-    return (top.join(q, "query_id").join(catalog, "product_uid")
+    """Cleaned + corrected query -> BM25 top 100 of the catalog -> every product with such a text."""
+    cat = materialize(search.catalog(spark, sf_dir), "catalog")
+    q = search.corrected_queries(spark, sf_dir, cat)
+    top = search.candidates(cat, q, n=100)
+    return (top.join(q.withColumnRenamed("text", "search_term"), "query_id").join(cat, "product_uid")
                .select("query_id", "rank", "product_uid", "product_title", "search_term", "brand"))
 
 
@@ -503,6 +533,15 @@ def q_csv_roundtrip(spark, sf_dir):
                         encoding="ISO-8859-1")
 
 
+@register("csv_utf8_roundtrip")
+def q_csv_utf8_roundtrip(spark, sf_dir):
+    """S5 then S2: labelled pairs written as UTF-8 CSV and read back with a declared schema."""
+    path = _scratch(spark, "pairs-csv")
+    cols = ["id", "product_uid", "product_title", "search_term", "relevance"]
+    sio.write_csv(fx.pairs(spark, sf_dir).select(*cols), path)
+    return sio.read_csv(spark, path, "id BIGINT, product_uid BIGINT, product_title STRING, search_term STRING, relevance DOUBLE")
+
+
 @register("corpus_roundtrip")
 def q_corpus_roundtrip(spark, sf_dir):
     """R8 -> S4 -> S3 -> G10: the spelling corpus written as text, read back and counted."""
@@ -520,24 +559,31 @@ def q_json_records(spark, sf_dir):
 
 
 @register("svd_cosine")
-def q_svd_cosine(spark, sf_dir):
-    """V3 + V4 + V5 + V6 (F28 latent form): truncated SVD (20 components) of the distinct
-    title+description TF-IDF rows; cosine of search vs title+description in that basis,
-    with the explained variance ratio of the fit on every row."""
+def q_svd_cosine(spark, sf_dir, k: int = 100):
+    """V3 + V4 + V5 + V6 (F28, F29, F42 latent forms): truncated SVD (100 components) of the distinct title+description
+    TF-IDF rows; cosine of search vs title+description, description and title in that basis, with the explained
+    variance ratio of the fit on every row."""
     pairs, prods = fz.notebook_inputs(spark, sf_dir)
     v = fz.title_desc_vocab(pairs, prods)
-    td = pairs.join(prods, "product_uid").select("pair_id", F.concat("title", F.lit(". "), "description").alias("td"))
-    docs = td.select("td").distinct().withColumn("doc", F.xxhash64("td"))
+    comps, docs = fz.latent_basis(prods, v, k)
     wdocs = tfx.weights(docs, "doc", "td", v)
-    comps, _ = tfx.fit_svd(wdocs, "doc", v, k=20)
-    n_docs = docs.count()
-    evr = tfx.explained_variance_ratio(wdocs, tfx.project(wdocs, "doc", comps), "doc", n_docs)
+    evr = tfx.explained_variance_ratio(wdocs, tfx.project(wdocs, "doc", comps), "doc", docs.count())
     a = tfx.project(tfx.weights(pairs, "pair_id", "q", v), "pair_id", comps)
-    b = tfx.project(tfx.weights(td, "pair_id", "td", v), "pair_id", comps)
-    cos = tfx.latent_cosine(a, b, "pair_id")
-    return (pairs.select("pair_id").join(cos, "pair_id", "left")
-                 .select("pair_id", F.round(F.coalesce("cos", F.lit(0.0)), 6).alias("cosine_similarity_tfidf_search_title_des"),
-                         F.lit(round(evr, 6)).alias("explained_variance_ratio")))
+    out = pairs.select("pair_id")
+    td = F.concat("title", F.lit(". "), "description")
+    for text, name in ((td, "cosine_similarity_tfidf_search_title_des"), (F.col("description"), "cosine_similarity_tfidf_search_des"),
+                       (F.col("title"), "cosine_similarity_tfidf_search_title")):
+        b = tfx.project(tfx.weights(prods.select("product_uid", text.alias("t")), "product_uid", "t", v), "product_uid", comps)
+        b = b.join(pairs.select("pair_id", "product_uid"), "product_uid").select("pair_id", "comp", "x")
+        cos = tfx.latent_cosine(a, b, "pair_id").withColumnRenamed("cos", name)
+        out = out.join(cos, "pair_id", "left").withColumn(name, F.round(F.coalesce(name, F.lit(0.0)), 6))
+    return out.withColumn("explained_variance_ratio", F.lit(round(evr, 6)))
+
+
+@register("pair_features_a2")
+def q_pair_features_a2(spark, sf_dir):
+    """V9: the 95-column vector of approach 2: 35 features and 20 latent columns each of search, title and description."""
+    return fz.feature_table_a2(spark, sf_dir)
 
 
 @register("w2v_neighbors")
@@ -569,32 +615,35 @@ def q_app_features(spark, sf_dir):
 
 @register("fit_trees_a2")
 def q_fit_trees_a2(spark, sf_dir):
-    """M5, M6 (approach 2), M11: histogram-style boosting, random forest, extra-trees stand-in; holdout RMSE."""
-    tr, te = _features_split(spark, sf_dir)
-    ftr, fte = mx.assemble(tr, ft.FEATURE_ORDER), mx.assemble(te, ft.FEATURE_ORDER)
+    """M5, M6 (approach 2), M11, M20 on the 95-column vector: train and holdout RMSE and fit seconds of each model."""
+    import time
+    tr, te = _features_split(spark, sf_dir, 2)
+    ftr, fte = mx.assemble(tr, fz.FEATURES_A2).persist(), mx.assemble(te, fz.FEATURES_A2).persist()
     rows = []
-    for name, est in mx.extra_learners(iters=50).items():
+    for name, est in mx.extra_learners().items():
+        began = time.time()
         m = est.fit(ftr)
-        rows.append(m.transform(fte).agg(mx.rmse_expr().alias("rmse_test")).select(F.lit(name).alias("model"), "rmse_test"))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out.select("model", F.round("rmse_test", 6).alias("rmse_test"))
+        took = time.time() - began
+        err = [m.transform(f).agg(mx.rmse_expr().alias("e")).first()["e"] for f in (ftr, fte)]
+        rows.append((name, round(took, 1), round(err[0], 6), round(err[1], 6) if err[1] is not None else None))
+    ftr.unpersist()
+    fte.unpersist()
+    return spark.createDataFrame(rows, "model string, fit_seconds double, rmse_train double, rmse_test double")
 
 
 @register("stack_oof")
 def q_stack_oof(spark, sf_dir):
-    """M17 + M19: out-of-fold stacking fitted on the training pairs, clipped holdout predictions."""
-    tr, te = _features_split(spark, sf_dir)
-    bases, final, _ = mx.stack_oof(tr, ft.FEATURE_ORDER, iters=30)
-    return mx.predict_stack(bases, final, te, ft.FEATURE_ORDER)
+    """M17 + M19: out-of-fold stacking fitted on the training pairs' 95-column vector, clipped holdout predictions."""
+    tr, te = _features_split(spark, sf_dir, 2)
+    bases, final, _ = mx.stack_oof(tr, fz.FEATURES_A2)
+    return mx.predict_stack(bases, final, te, fz.FEATURES_A2)
 
 
 @register("random_search")
 def q_random_search(spark, sf_dir):
     """M14 + M15: seeded random search over linear-model strength and mix, CV report with rank and gap flag."""
     tr, _ = _features_split(spark, sf_dir)
-    return mx.random_search(mx.standard_scale(tr, ft.FEATURE_ORDER), ft.FEATURE_ORDER, draws=12)
+    return mx.random_search(mx.standard_scale(tr, ft.FEATURE_ORDER), ft.FEATURE_ORDER)
 
 
 @register("model_roundtrip")
@@ -603,7 +652,8 @@ def q_model_roundtrip(spark, sf_dir):
     from pyspark.ml.regression import LinearRegressionModel
     tr, te = _features_split(spark, sf_dir)
     s_tr = mx.standard_scale(tr, ft.FEATURE_ORDER)
-    m = mx.base_learners()["M1_lasso"].fit(mx.assemble(s_tr, ft.FEATURE_ORDER))
+    f_tr = mx.assemble(s_tr, ft.FEATURE_ORDER)
+    m = mx.base_learners()["lasso"](f_tr).fit(f_tr)
     path = _scratch(spark, "model-lasso")
     sio.save_model(m, path)
     loaded = LinearRegressionModel.load(path)

@@ -172,7 +172,15 @@ ORACLE["set_overlap"] = S.with_(
     _overlap("product_uid", "tr", "te", ["product_uid"]),
     _overlap("search_term", "tr", "te", ["search_term"]),
     _overlap("pair", "tr", "te", ["search_term", "product_uid"]),
-    _overlap("brand_vs_desc", "brands", "products", ["product_uid"])])
+    _overlap("brand_vs_desc", "brands", "products", ["product_uid"]),
+    _overlap("attr_vs_desc", "attributes", "products", ["product_uid"])])
+
+ORACLE["value_counts_more"] = S.with_(S.PAIRS, S.ATTRIBUTES) + " UNION ALL ".join(
+    f"SELECT '{n}' AS key_name, CAST({k} AS VARCHAR) AS key, CAST(count(*) AS BIGINT) AS cnt FROM {t} GROUP BY {k}"
+    for n, k, t in (("pairs_per_product", "product_uid", "pairs"), ("pairs_per_search", "search_term", "pairs"),
+                    ("attributes_per_product", "product_uid", "attributes")))
+
+ORACLE["histogram_uid"] = ORACLE["histogram_len"].replace("length(search_term)", "product_uid")
 
 # ------------------------------------------------------------ pair features ---
 
@@ -339,17 +347,17 @@ _SPELL = S.with_(
     f"qtok AS (SELECT query_id, unnest({S.split_ws('lower(' + S.clean('text', True) + ')')}) AS word, "
     f"generate_subscripts({S.split_ws('lower(' + S.clean('text', True) + ')')}, 1) AS pos FROM part_queries)",
     "toks AS (SELECT DISTINCT word FROM qtok)",
-    "k0 AS (SELECT word, word AS corrected, 0 AS level FROM toks WHERE word IN (SELECT word FROM pvocab))",
+    "k0 AS MATERIALIZED (SELECT word, word AS corrected, 0 AS level FROM toks WHERE word IN (SELECT word FROM pvocab))",
     "r1 AS (SELECT word, word AS s FROM toks WHERE word NOT IN (SELECT word FROM pvocab))",
     f"e1 AS ({S.edits_sql('r1')})",
-    """k1 AS (SELECT e.word, (list(v.word ORDER BY v.cnt DESC, v.word))[1] AS corrected, 1 AS level
+    """k1 AS MATERIALIZED (SELECT e.word, (list(v.word ORDER BY v.cnt DESC, v.word))[1] AS corrected, 1 AS level
             FROM (SELECT DISTINCT word, x FROM e1) e JOIN pvocab v ON e.x = v.word GROUP BY e.word)""",
-    "r2 AS (SELECT word, word AS s FROM r1 WHERE word NOT IN (SELECT word FROM k1))",
-    f"e2a AS (SELECT DISTINCT word, x AS s FROM ({S.edits_sql('r2')}))",
+    "r2 AS MATERIALIZED (SELECT word, word AS s FROM r1 WHERE word NOT IN (SELECT word FROM k1))",
+    f"e2a AS MATERIALIZED (SELECT DISTINCT word, x AS s FROM ({S.edits_sql('r2')}))",
     f"e2 AS ({S.edits_sql('e2a')})",
-    """k2 AS (SELECT e.word, (list(v.word ORDER BY v.cnt DESC, v.word))[1] AS corrected, 2 AS level
+    """k2 AS MATERIALIZED (SELECT e.word, (list(v.word ORDER BY v.cnt DESC, v.word))[1] AS corrected, 2 AS level
             FROM (SELECT DISTINCT word, x FROM e2) e JOIN pvocab v ON e.x = v.word GROUP BY e.word)""",
-    """fixed AS (SELECT * FROM k0 UNION ALL SELECT * FROM k1 UNION ALL SELECT * FROM k2
+    """fixed AS MATERIALIZED (SELECT * FROM k0 UNION ALL SELECT * FROM k1 UNION ALL SELECT * FROM k2
               UNION ALL SELECT word, word, -1 FROM r2 WHERE word NOT IN (SELECT word FROM k2))""",
 )
 
@@ -401,10 +409,9 @@ SELECT CAST(query_id AS BIGINT) AS query_id, CAST(word_id AS BIGINT) AS word_id,
 
 # -------------------------------------------------------------------- models ---
 
-_BASIC = ["search_term_length", "last_word_in_title", "last_word_in_desc", "have_brand_or_not", "have_attr_or_not",
-          "numbers_in_attr", "numbers_in_title", "numbers_in_desc", "title_common_word_count",
-          "desc_common_word_count", "attr_common_words_count", "title_common_word_count_bigram",
-          "desc_common_word_count_bigram", "attr_common_word_count_bigram"]
+from relevo.operators.features import FEATURE_ORDER as _ORDER  # noqa: E402
+
+_BASIC = _ORDER[:14]
 
 ORACLE["standard_scale"] = f"WITH fb AS ({ORACLE['feat_basic']})\nSELECT pair_id, " + ", ".join(
     f"round((CAST({c} AS DOUBLE) - avg({c}) OVER ()) / coalesce(nullif(stddev_pop({c}) OVER (), 0), 1.0), 6) AS {c}"
@@ -413,9 +420,9 @@ ORACLE["standard_scale"] = f"WITH fb AS ({ORACLE['feat_basic']})\nSELECT pair_id
 _HASH = "(CAST(('0x' || substr(md5('122:' || CAST(id AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0)"
 
 ORACLE["stratified_split"] = S.with_(S.PAIRS) + f"""SELECT relevance_class, split, CAST(count(*) AS BIGINT) AS n_rows FROM
-  (SELECT ([3.00, 2.33, 2.67, 2.00, 1.67, 1.33, 1.00]::DOUBLE[])[list_position(d, list_min(d))] AS relevance_class,
-          CASE WHEN {_HASH} < 0.8 THEN 'train' ELSE 'test' END AS split
-   FROM (SELECT id, list_transform([3.00, 2.33, 2.67, 2.00, 1.67, 1.33, 1.00]::DOUBLE[], lambda v: abs(relevance - v)) AS d FROM pairs))
+  (SELECT relevance_class, CASE WHEN h <= quantile_disc(h, 0.8) OVER (PARTITION BY relevance_class) THEN 'train' ELSE 'test' END AS split
+   FROM (SELECT ([3.00, 2.33, 2.67, 2.00, 1.67, 1.33, 1.00]::DOUBLE[])[list_position(d, list_min(d))] AS relevance_class, h
+   FROM (SELECT {_HASH} AS h, list_transform([3.00, 2.33, 2.67, 2.00, 1.67, 1.33, 1.00]::DOUBLE[], lambda v: abs(relevance - v)) AS d FROM pairs)))
 GROUP BY ALL"""
 
 _FB_REL = f"WITH fb0 AS ({ORACLE['feat_basic']}), " + S.PAIRS + \
@@ -443,6 +450,41 @@ ORACLE["error_box"] = S.with_(
   CAST(sum(CASE WHEN diff < q1 - 1.5 * (q3 - q1) OR diff > q3 + 1.5 * (q3 - q1) THEN 1 ELSE 0 END) AS BIGINT) AS n_outliers
 FROM d, q"""
 
+ORACLE["rmse_fixed"] = S.with_(
+    S.PAIRS,
+    """w AS (SELECT is_train, relevance, (SELECT avg(relevance) FROM pairs WHERE is_train) AS train_mean, 2.0 AS constant_two,
+       greatest(1.0, least(3.0, length(search_term) / 40.0)) AS search_length FROM pairs)""",
+) + " UNION ALL ".join(f"SELECT '{m}' AS model, is_train, round(sqrt(avg((relevance - {m}) * (relevance - {m}))), 6) AS rmse FROM w GROUP BY is_train"
+                      for m in ("train_mean", "constant_two", "search_length"))
+
+
+def _w2v(field, suffix):
+    wid = "(CAST(('0x' || substr(md5(w), 1, 8)) AS BIGINT) % (SELECT n FROM n_vec))"
+    unit = lambda k: f"{k}.unit"
+    return f"""q_{suffix} AS (SELECT pair_id, product_uid, {wid} AS word_id FROM (SELECT pair_id, product_uid, unnest({S.split_ws('q')}) AS w FROM nb_pairs)),
+f_{suffix} AS (SELECT product_uid, {wid} AS word_id FROM (SELECT product_uid, unnest({S.split_ws(field)}) AS w FROM nb_products)),
+b_{suffix} AS (SELECT x.product_uid, x.word_id, max(list_dot_product({unit('u')}, {unit('v')})) AS m
+  FROM (SELECT DISTINCT product_uid, word_id FROM q_{suffix}) x JOIN vec u ON u.word_id = x.word_id
+  JOIN (SELECT DISTINCT product_uid, word_id FROM f_{suffix}) y ON y.product_uid = x.product_uid JOIN vec v ON v.word_id = y.word_id GROUP BY ALL),
+t_{suffix} AS (SELECT pair_id, avg(coalesce(m, 0.0)) AS best FROM q_{suffix} LEFT JOIN b_{suffix} USING (product_uid, word_id) GROUP BY pair_id),
+cq_{suffix} AS (SELECT pair_id, list(x ORDER BY dim) AS c FROM (SELECT pair_id, dim, avg(x) AS x FROM
+  (SELECT pair_id, unnest(vector) AS x, generate_subscripts(vector, 1) AS dim FROM q_{suffix} JOIN vec USING (word_id)) GROUP BY ALL) GROUP BY pair_id),
+cf_{suffix} AS (SELECT product_uid, list(x ORDER BY dim) AS c FROM (SELECT product_uid, dim, avg(x) AS x FROM
+  (SELECT product_uid, unnest(vector) AS x, generate_subscripts(vector, 1) AS dim FROM f_{suffix} JOIN vec USING (word_id)) GROUP BY ALL) GROUP BY product_uid),
+o_{suffix} AS (SELECT p.pair_id, round(coalesce(best, 0.0), 6) AS max_cosine_sim_per_word_{suffix},
+  round(coalesce({_cos('a.c', 'b.c')}, 0.0), 6) AS w2v_n_similarity_{suffix},
+  round(coalesce(list_sum(list_transform(list_zip(a.c, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / len(a.c), 0.0), 6) AS w2v_centroid_rmse_{suffix}
+  FROM nb_pairs p LEFT JOIN t_{suffix} USING (pair_id) LEFT JOIN cq_{suffix} a USING (pair_id) LEFT JOIN cf_{suffix} b ON b.product_uid = p.product_uid)"""
+
+
+ORACLE["w2v_pair_features"] = S.with_(
+    S.PRODUCTS, S.ATTRIBUTES, S.PAIRS, S.NB_INPUTS,
+    """vec AS (SELECT word_id, vector, list_transform(vector, lambda x: x / sqrt(list_dot_product(vector, vector))) AS unit FROM
+      (SELECT vec_id AS word_id, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings))""",
+    "n_vec AS (SELECT max(word_id) + 1 AS n FROM vec)",
+    _w2v("title", "title"), _w2v("description", "desc"),
+) + "SELECT * FROM o_title JOIN o_desc USING (pair_id)"
+
 # ----------------------------------------------------------------- streaming ---
 
 ORACLE["stream_bm25_topn"] = ORACLE["bm25_topn"]
@@ -450,6 +492,7 @@ ORACLE["stream_bm25_topn"] = ORACLE["bm25_topn"]
 # ------------------------------------------------------------- sources/sinks ---
 
 ORACLE["csv_roundtrip"] = S.with_(S.PRODUCTS) + "SELECT * FROM products"
+ORACLE["csv_utf8_roundtrip"] = S.with_(S.PAIRS) + "SELECT id, product_uid, product_title, search_term, relevance FROM pairs"
 ORACLE["corpus_roundtrip"] = ORACLE["word_freq"]
 ORACLE["json_records"] = "SELECT CAST(to_json({'query_id': query_id, 'product_uid': product_uid, 'rank': rank}) AS VARCHAR) AS json FROM (" + \
     ORACLE["bm25_topn"] + ")"
@@ -480,21 +523,7 @@ ORACLE["app_features"] = _APP + "SELECT pair_id, " + _cols_of(ORACLE["feat_basic
 
 # ------------------------------------------------------- full feature table ---
 
-_FEATURE_ORDER = [
-    "search_term_length", "last_word_in_title", "last_word_in_desc", "have_brand_or_not", "have_attr_or_not",
-    "numbers_in_attr", "numbers_in_title", "numbers_in_desc", "title_common_word_count",
-    "desc_common_word_count", "attr_common_words_count", "title_common_word_count_bigram",
-    "desc_common_word_count_bigram", "attr_common_word_count_bigram",
-    "cosine_search_term_Title", "cosine_search_term_desc", "search_term_contains_brand",
-    "min_jcc_brand_with_search_term", "min_edit_brand_with_search_term", "min_jcc_title_with_search_term",
-    "min_edit_title_with_search_term", "mean_jcc_product_title_with_search_term",
-    "sum_jaccard_product_title_with_search_term", "sum_edit_product_title_with_search_term",
-    "sum_jcc_prod_desc_with_search_term", "mean_jcc_product_desc_with_search_term", "mean_jcc_attr_with_search_term",
-    "cosine_similarity_tfidf_search_title_des", "cosine_similarity_tfidf_search_des",
-    "bm25_ST", "bm25_SD", "bm25_SB",
-    "max_tf_ST", "max_idf_ST", "max_tfidf_ST", "min_tf_ST", "min_idf_ST", "min_tfidf_ST",
-    "sum_tf_ST", "sum_idf_ST", "sum_tfidf_ST",
-]
+from relevo.operators.features import FEATURE_ORDER as _FEATURE_ORDER  # noqa: E402
 
 _LATENT = _NB[:-1] + ",\n" + _VOCAB + ",\n" + _weights("nb_pairs", "pair_id", "q", "wa") + ",\n" + \
     _weights("nb_j", "pair_id", "title || '. ' || description", "wb") + ",\n" + \

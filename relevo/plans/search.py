@@ -13,16 +13,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relevo.functions import text as tx
-from relevo.operators import bm25
+from relevo.operators import assemble as asm
+from relevo.operators import bm25, spell
+from relevo.operators import features as ft
+from relevo.operators import models as mx
+from relevo.operators.topn import top_n_per_group
+from relevo.plans import featurize as fz
+from relevo.session import materialize
 from relevo.sources import fixtures as fx
 from relevo.sources import tables as T
 
 
-def document_index(spark: SparkSession, sf_dir: str) -> bm25.Bm25Index:
-    """BM25Okapi index over the cleaned text of every document."""
+def document_index(spark: SparkSession, sf_dir: str, path: str | None = None) -> bm25.Bm25Index:
+    """BM25Okapi index over the cleaned text of every document, written under ``path``."""
     d = T.documents(spark, sf_dir, ("doc_id", "text"))
     return bm25.build_okapi(d.select(F.col("doc_id").alias("product_uid"),
-                                     tx.clean_text("text").alias("text")))
+                                     tx.clean_text("text").alias("text")), path=path)
+
+
+def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The assembled catalog; brands and their imputation reach its ``text``."""
+    p = materialize(fx.pairs(spark, sf_dir), "pairs")
+    return asm.assemble_catalog(p.where("is_train"), p.where("NOT is_train"),
+                                fx.attributes(spark, sf_dir), fx.products(spark, sf_dir))
+
+
+def corrected_queries(spark: SparkSession, sf_dir: str, cat: DataFrame) -> DataFrame:
+    """(query_id, text): benchmark queries, cleaned and corrected against the catalog's titles and brands."""
+    vocab = spell.word_counts(spell.corpus_lines(cat), with_freq=False)
+    q = fx.queries(spark, sf_dir).select("query_id", tx.clean_search("text").alias("text"))
+    return materialize(spell.correct_text(q, "query_id", "text", vocab, out="text"), "corrected-queries")
+
+
+def candidates(cat: DataFrame, queries: DataFrame, n: int = 100) -> DataFrame:
+    """R6 + J6: the n best catalog texts per query, and every product that has such a text
+    (query_id, rank, product_uid); a product's rank is the best of its text."""
+    idx = bm25.build_okapi(cat.select("product_uid", "text"))
+    top = materialize(bm25.top_n(idx, queries, n=n), "candidates-top")
+    texts = cat.select("product_uid", "text")
+    hit = top.join(texts, "product_uid").select("query_id", "rank", F.xxhash64("text").alias("h"), "text")
+    hit = hit.groupBy("query_id", "h", "text").agg(F.min("rank").alias("rank"))
+    same = texts.select("product_uid", F.xxhash64("text").alias("h"), F.col("text").alias("_t"))
+    # text membership: hashes first, then the texts themselves
+    return hit.join(same, "h").where(F.col("text") == F.col("_t")).select("query_id", "rank", "product_uid")
 
 
 def bm25_topn(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame:
@@ -34,50 +67,33 @@ def bm25_topn(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame:
                       F.col("rank").cast("bigint"), F.col("score").cast("double"))
 
 
-def search_top10(spark: SparkSession, sf_dir: str, candidates: int = 100, k: int = 10,
-                 gbt_iter: int = 50) -> DataFrame:
+def search_top10(spark: SparkSession, sf_dir: str, n: int = 100, k: int = 10, gbt_iter: int = 999) -> DataFrame:
     """R6 + R9 + R10 for the whole table of benchmark queries.
 
-    clean -> spelling correction against the catalog vocabulary -> BM25 top ``candidates``
+    clean -> spelling correction against the catalog vocabulary -> BM25 top ``n`` of the catalog
     -> features (parameters fitted on labelled pairs) -> two-level blend -> top ``k``.
     """
-    from relevo.operators import models as mx
-    from relevo.operators import spell
-    from relevo.operators import features as ft
-    from relevo.operators.topn import top_n_per_group
-    from relevo.plans import featurize as fz
-    from relevo.session import materialize
-
     # 1. model and feature parameters from the labelled pairs
     pairs, prods = fz.notebook_inputs(spark, sf_dir)
     fp = fz.fit_feature_params(pairs, prods)
     ftab = materialize(fz.compute_features(pairs, prods, fp), "features")
     blend = mx.fit_blend(ftab.where("is_train").drop("is_train"), ft.FEATURE_ORDER, gbt_iter=gbt_iter)
 
-    # 2. queries: app cleaning, then spelling correction against the catalog's title+brand vocabulary
-    catalog = fx.products(spark, sf_dir).join(
-        fx.attributes(spark, sf_dir).where(F.col("name") == fx.BRAND_NAME)
-          .select("product_uid", F.col("value").alias("brand")), "product_uid", "left")
-    vocab = spell.word_counts(spell.corpus_lines(catalog.na.fill({"brand": ""})), with_freq=False)
-    q = fx.queries(spark, sf_dir).select("query_id", tx.clean_search("text").alias("text"))
-    q = spell.correct_text(q, "query_id", "text", vocab, out="text")
-    q = materialize(q, "corrected-queries")
-
-    # 3. BM25 candidates over the cleaned catalog text
-    idx = document_index(spark, sf_dir)
-    cand = bm25.top_n(idx, q, n=candidates).select("query_id", "product_uid", F.col("rank").alias("bm25_rank"))
-    cand = cand.join(q, "query_id").select(
-        (F.col("query_id") * 1000 + F.col("bm25_rank")).cast("bigint").alias("pair_id"),
-        "query_id", "product_uid", tx.standardize_measures(tx.remove_special_char("text")).alias("q"))
+    # 2. corrected queries and their candidate products
+    cat = materialize(catalog(spark, sf_dir), "catalog")
+    q = corrected_queries(spark, sf_dir, cat)
+    cand = candidates(cat, q, n).join(q, "query_id").select(
+        F.concat_ws(":", "query_id", "product_uid").alias("pair_id"), "query_id", "product_uid",
+        tx.standardize_measures(tx.remove_special_char("text")).alias("q"))
     cand = materialize(cand, "candidates")
 
-    # 4. features of the candidate pairs, blend prediction, top k per query
+    # 3. features of the candidate pairs, blend prediction, top k per query
     cprods = materialize(fz.notebook_products(spark, sf_dir, restrict_to=cand), "candidate-products")
     feats = materialize(fz.compute_features(cand.select("pair_id", "product_uid", "q"), cprods, fp, keep=()),
                         "candidate-features")
     pred = mx.predict_blend(blend, feats, ft.FEATURE_ORDER, label=None)
     scored = (pred.select("pair_id", F.round("prediction", 6).alias("relevance"))
                   .join(cand.select("pair_id", "query_id", "product_uid"), "pair_id")
-                  .join(fx.products(spark, sf_dir).select("product_uid", "product_title"), "product_uid"))
+                  .join(cat.select("product_uid", "product_title"), "product_uid"))
     top = top_n_per_group(scored, "query_id", [F.desc("relevance"), F.asc("product_uid")], k, salt_cols=["product_uid"])
     return top.select("query_id", "rank", "product_uid", "product_title", "relevance")

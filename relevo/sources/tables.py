@@ -48,6 +48,10 @@ def benchmark(spark, sf_dir):
     return read_table(spark, sf_dir, "benchmark", ["item_id", "text"])
 
 
+def conversations(spark, sf_dir):
+    return read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "text"])
+
+
 def part(spark, sf_dir, columns=("p_partkey", "p_name", "p_brand", "p_type")):
     return read_table(spark, sf_dir, "part", list(columns))
 
