@@ -49,7 +49,7 @@ def py_bm25_scores(corpus, query, k1=1.5, b=0.75, eps=0.25):
 def test_bm25_okapi(spark):
     corpus = ["the red drill", "red red hammer", "a drill bit set", "the saw", "drill"]
     docs = spark.createDataFrame(list(enumerate(corpus)), "product_uid long, text string")
-    idx = bm25.build_okapi(docs, persist=False)
+    idx = bm25.build_okapi(docs)
     q = spark.createDataFrame([(1, "red drill drill"), (2, "saw missing")], "query_id long, text string")
     got = {(r["query_id"], r["product_uid"]): r["score"] for r in bm25.score(idx, q).collect()}
     for qid, text in [(1, "red drill drill"), (2, "saw missing")]:
@@ -80,7 +80,7 @@ def test_nearest_buckets_match_single_broadcast(spark):
 def test_zero_score_padding(spark):
     corpus = ["red drill", "blue saw", "red hammer", "green", "drill bit", "tape", "glue", "nails"]
     docs = spark.createDataFrame([(i * 10, t) for i, t in enumerate(corpus)], "product_uid long, text string")
-    idx = bm25.build_okapi(docs, persist=False)
+    idx = bm25.build_okapi(docs)
     q = spark.createDataFrame([(1, "red"), (2, "zzz"), (3, "drill red saw")], "query_id long, text string")
     n = 4
     top = bm25.top_n(idx, q, n=n)

@@ -1,21 +1,25 @@
 """Truncated SVD and latent cosine against numpy on a small matrix."""
 
+import random
+
 import numpy as np
 
 from relevo.operators import tfidf
 
 
 def test_svd_matches_numpy(spark):
-    rng = np.random.default_rng(3)
-    X = rng.random((30, 12)) * (rng.random((30, 12)) < 0.4)
-    terms = [f"t{j}" for j in range(12)]
-    w = spark.createDataFrame([(i, terms[j], float(X[i, j])) for i in range(30) for j in range(12) if X[i, j] != 0],
-                              "doc long, term string, weight double")
-    vocab = tfidf.TfidfVocab(spark.createDataFrame([(t, 1, 1.0, j) for j, t in enumerate(terms)],
-                                                   "term string, df long, idf double, term_index int"), 30)
-    comps, s = tfidf.fit_svd(w, "doc", vocab, k=3)
-    ref = np.linalg.svd(X, compute_uv=False)[:3]
-    assert np.allclose(s, ref, rtol=1e-6)
+    r = random.Random(3)
+    vocab_words = [f"term{j}" for j in range(12)]
+    texts = [" ".join(r.choice(vocab_words) for _ in range(r.randint(3, 15))) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
+    vocab = tfidf.fit_vocab(docs, "text", min_df=1)
+    idf = {x["term"]: x["idf"] for x in vocab.idf.collect()}
+    terms = sorted(idf)
+    X = np.array([[t.split().count(w) * idf[w] for w in terms] for t in texts])
+    X = X / np.linalg.norm(X, axis=1, keepdims=True)
+    comps, s = tfidf.fit_svd(docs, "text", vocab, k=3)
+    assert np.allclose(s, np.linalg.svd(X, compute_uv=False)[:3], rtol=1e-6)
+    w = tfidf.weights(docs, "doc", "text", vocab)
     lat = tfidf.project(w, "doc", comps)
     # cosine in the latent basis is invariant to component sign flips: compare with numpy's projection
     _, _, vt = np.linalg.svd(X)
