@@ -9,13 +9,14 @@ Documents with 100 * |A n B| >= 80 * |A u B| are linked, and a component is what
    agrees with probability 0.8**6 = 0.26, so 40 bands miss a link with probability 5e-6.
 2. Equal sets (by a 128-bit hash) form a class; only its smallest document goes on, so copies never
    meet in a bucket.
-3. Every member of a bucket is paired with the bucket's smallest document only: a star, as many pairs
-   as members. Pairs are confirmed on the full sets, and components follow from the confirmed links.
-4. A link between two leaves of a star can still be missing, but matters only if the leaves are in
-   different components. If bucket mates of different components make few pairs, all are compared. If they make
-   many (a large group of loose copies), comparing all would grow with the square of the group, so stars with other
-   centres follow, whose pairs grow with the members. On the check data those rounds leave 3 of 10,738 links
-   out of a group of 2,459 near copies, and none elsewhere (README).
+3. Every member of a bucket is paired with a few centres of the bucket only: its smallest document and CENTRES
+   that a hash picks, other ones in each bucket. Stars make as many pairs as members, times a constant. Pairs are
+   confirmed on the full sets, and components follow from the confirmed links.
+4. A link between two leaves can still be missing, but matters only if they are in different components. If bucket
+   mates of different components make at most FEW_PAIRS pairs, all are compared. If they make more (a large group of
+   loose copies, whose pairs grow with its square), a second round of stars with twice as many other centres
+   follows. On the check data that leaves a few in ten thousand links of one group of 2,459 loose copies, and none
+   elsewhere (README has the figures).
 
 Defined cases: null or wordless text has an empty set, is linked with nothing and is kept; a null
 ``doc_id`` takes no part and is its own (null) component; rows that repeat a ``doc_id`` with one text are
@@ -39,11 +40,9 @@ BINS = BANDS * ROWS
 PERCENT = 80
 #: Ids of documents that may be broadcast to pick their texts: 16 MB of longs. Beyond it Spark shuffles.
 MAX_BROADCAST_IDS = 2_000_000
-#: So many pairs of different components are all compared; while there are more, stars go on: CENTRES centres a bucket in
-#: each of MAX_STARS rounds, or until a round finds no link.
+#: So many pairs of bucket mates in different components are all compared.
 FEW_PAIRS = 100_000
 CENTRES = 2
-MAX_STARS = 3
 
 
 def shingle_sets(col: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -171,44 +170,47 @@ def pick(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def near_links(docs: DataFrame, sketch: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(a, b) links that give the components of all links among classes of equal sets."""
-    spark = docs.sparkSession
+    likely = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"  # else sizes alone rule a link out
+
+    def centres(first: int, n: int) -> list:
+        return [F.min_by("doc_id", F.xxhash64("doc_id", "key", F.lit(i))) for i in range(first, first + n)]
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("doc_id", "c_doc").alias("a"), F.greatest("doc_id", "c_doc").alias("b")).distinct()
+
     bucket = sketch.select("doc_id", "n_shingles", F.explode("keys").alias("key"))
-    centre = bucket.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count("*").alias("members")).where("members > 1").drop("members")
-    open_ = materialize(bucket.join(centre.hint("merge"), "key"), "minhash-buckets")
+    star = (bucket.groupBy("key").agg(F.count("*").alias("members"), F.array_distinct(F.array(F.min("doc_id"), *centres(0, CENTRES))).alias("c"))
+            .where("members > 1").drop("members"))
+    open_ = materialize(bucket.join(star.hint("merge"), "key"), "minhash-buckets")
     ids = materialize(open_.select("doc_id").distinct(), "minhash-ids")
     sets = materialize(pick(docs, ids).mapInArrow(_sets(shingle), "doc_id long, shingles binary").dropDuplicates(["doc_id", "shingles"]), "minhash-sets")
-    likely = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"  # else sizes alone rule a link out
     size = sketch.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"))
-    pairs = (open_.where("doc_id > centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb")).distinct()
-             .join(size, "a").where(likely).select("a", "b"))
-    tested = materialize(pairs, "minhash-pairs")
+    pairs = ordered(open_.select("doc_id", F.explode("c").alias("c_doc")).where("doc_id <> c_doc"))
+    sized = pairs.join(size.hint("merge"), "a").join(size.withColumnsRenamed({"a": "b", "na": "nb"}).hint("merge"), "b").where(likely)
+    tested = materialize(sized.select("a", "b"), "minhash-pairs")
     links = materialize(confirmed(tested, sets, percent), "minhash-links")
-    for star in range(MAX_STARS):
-        label = components(links)
-        own = materialize(open_.select("key", "doc_id", "n_shingles").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-                          .withColumn("component", F.coalesce("component", "doc_id")), "minhash-open")
-        mixed = (own.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key")
-                 .agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count("*").alias("parts")).where("parts > 1"))
-        left = mixed.agg(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2)).first()[0] or 0
-        if not left:
-            break
-        few = left <= FEW_PAIRS
-        rest = own.join(mixed.select("key").hint("merge"), "key", "left_semi")
-        other = rest
-        if not few:  # stars around members that the bucket and the round pick
-            centres = F.array(*[F.min_by("doc_id", F.xxhash64("doc_id", "key", F.lit(CENTRES * star + i))) for i in range(CENTRES)])
-            other = rest.groupBy("key").agg(F.array_distinct(centres).alias("c")).select("key", F.explode("c").alias("doc_id"))
-            other = other.join(rest.hint("merge"), ["key", "doc_id"])
-        other = other.select("key", F.col("doc_id").alias("c_doc"), F.col("component").alias("c_comp"), F.col("n_shingles").alias("c_n"))
-        new = (rest.join(other.hint("merge"), "key").where(F.col("component") != F.col("c_comp")).where("doc_id < c_doc" if few else "true")
-               .select(F.least("doc_id", "c_doc").alias("a"), F.greatest("doc_id", "c_doc").alias("b"), F.col("n_shingles").alias("na"), F.col("c_n").alias("nb"))
-               .where(likely).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
-        new = materialize(new, "minhash-pairs")
-        more = materialize(confirmed(new, sets, percent), "minhash-links")
-        tested, links = tested.unionByName(new), links.unionByName(more)
-        if few or not more.count():
-            break
-    return links
+
+    label = components(links)
+    own = materialize(open_.select("key", "doc_id", "n_shingles").join(label.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left")
+                      .withColumn("component", F.coalesce("component", "doc_id")), "minhash-open")
+    parts = own.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"))
+    left = parts.agg(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2)).first()[0] or 0
+    if not left:
+        return links
+    if left <= FEW_PAIRS:
+        mixed = parts.where("n * n > nn").select("key")
+        rest = materialize(own.join(mixed.hint("merge"), "key", "left_semi"), "minhash-mixed")
+        other = rest.select("key", F.col("doc_id").alias("c_doc"), F.col("component").alias("c_comp"), F.col("n_shingles").alias("c_n"))
+        other = rest.join(other.hint("merge"), "key").where("doc_id < c_doc")
+    else:
+        mates = F.array_distinct(F.array(*[F.struct(F.min_by(F.struct("doc_id", "component", "n_shingles"), F.xxhash64("doc_id", "key", F.lit(i))).alias("m"))
+                                           for i in range(CENTRES, 3 * CENTRES)]))
+        star = own.groupBy("key").agg(mates.alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+        star = star.select("key", F.explode("c").alias("c")).select("key", F.col("c.m.doc_id").alias("c_doc"), F.col("c.m.component").alias("c_comp"), F.col("c.m.n_shingles").alias("c_n"))
+        other = own.join(star.hint("merge"), "key")
+    apart = other.where(F.col("component") != F.col("c_comp")).where(likely.replace("na", "n_shingles").replace("nb", "c_n"))
+    new = materialize(ordered(apart).join(tested.hint("merge"), ["a", "b"], "left_anti"), "minhash-pairs")
+    return links.unionByName(materialize(confirmed(new, sets, percent), "minhash-links"))
 
 
 def minhash_components(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:
