@@ -41,11 +41,16 @@ def split(df: DataFrame, key: str, frac: float = 0.8, seed: int = 122, label: st
               .withColumn(label, F.when(h <= F.col("_cut"), F.lit("train")).otherwise(F.lit("test"))).drop("_class", "_cut"))
 
 
-def standard_scale(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None) -> DataFrame:
-    """M3: (x - mean) / population std, statistics from ``fit_on`` (default ``df``); std 0 -> 1."""
-    src = fit_on if fit_on is not None else df
-    st = src.agg(*[F.avg(F.col(c).cast("double")).alias(f"m_{c}") for c in cols],
-                 *[F.stddev_pop(F.col(c).cast("double")).alias(f"s_{c}") for c in cols]).first()
+def scale_stats(df: DataFrame, cols: list[str]) -> DataFrame:
+    """One row: mean ``m_c`` and population deviation ``s_c`` of each column."""
+    return df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m_{c}") for c in cols],
+                  *[F.stddev_pop(F.col(c).cast("double")).alias(f"s_{c}") for c in cols])
+
+
+def standard_scale(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None, stats=None) -> DataFrame:
+    """M3: (x - mean) / population std, statistics from ``stats`` (a row of ``scale_stats``) or
+    ``fit_on`` (default ``df``); std 0 -> 1."""
+    st = stats or scale_stats(fit_on if fit_on is not None else df, cols).first()
     out = []
     for c in cols:
         m, s = st[f"m_{c}"] or 0.0, st[f"s_{c}"] or 0.0
@@ -151,8 +156,9 @@ def fit_blend(train: DataFrame, feature_cols: list[str], key: str = "pair_id", l
     """
     halves = split(train, key, 0.5, seed=7, label="half")
     a, b = halves.where("half = 'train'").drop("half"), halves.where("half = 'test'").drop("half")
-    a_s = standard_scale(a, feature_cols)
-    b_s = standard_scale(b, feature_cols, fit_on=a)
+    base_stats = scale_stats(a, feature_cols).first()
+    a_s = standard_scale(a, feature_cols, stats=base_stats)
+    b_s = standard_scale(b, feature_cols, stats=base_stats)
     fa, fa_s = assemble(a, feature_cols), assemble(a_s, feature_cols)
     models = {}
     for name, learner in base_learners(label, "features", gbt_iter).items():
@@ -161,9 +167,10 @@ def fit_blend(train: DataFrame, feature_cols: list[str], key: str = "pair_id", l
         models[name] = learner(rows).fit(rows)
     meta_in = materialize(base_predictions(models, b, b_s, feature_cols, key, label), "meta-input")
     names = list(models)
-    meta_s = assemble(standard_scale(meta_in, names), names)
+    meta_stats = scale_stats(meta_in, names).first()
+    meta_s = assemble(standard_scale(meta_in, names, stats=meta_stats), names)
     meta = linear("ridge", meta_alpha, *size_and_sd(meta_in, label), label=label).fit(meta_s)
-    return {"models": models, "scale_base": a, "scale_meta": meta_in, "meta": meta, "names": names}
+    return {"models": models, "scale_base": base_stats, "scale_meta": meta_stats, "meta": meta, "names": names}
 
 
 def base_predictions(models: dict, df: DataFrame, df_scaled: DataFrame, feature_cols, key: str, label: str | None):
@@ -181,14 +188,35 @@ def base_predictions(models: dict, df: DataFrame, df_scaled: DataFrame, feature_
 
 def predict_blend(blend: dict, df: DataFrame, feature_cols, key: str = "pair_id", label: str | None = "relevance"):
     """Base predictions -> meta scaling -> ridge -> clipped relevance."""
-    df_s = standard_scale(df, feature_cols, fit_on=blend["scale_base"])
+    df_s = standard_scale(df, feature_cols, stats=blend["scale_base"])
     meta_in = materialize(base_predictions(blend["models"], df, df_s, feature_cols, key, label), "base-predictions")
-    meta_s = standard_scale(meta_in, blend["names"], fit_on=blend["scale_meta"])
+    meta_s = standard_scale(meta_in, blend["names"], stats=blend["scale_meta"])
     p = blend["meta"].transform(assemble(meta_s, blend["names"]))
     keep = [key] + ([label] if label and label in meta_in.columns else [])
     return p.select(*keep, *blend["names"], clip(F.col("prediction")).alias("prediction"))
 
 
+def save_blend(spark, blend: dict, path: str) -> None:
+    """Every fitted part of the blend under ``path``: models, scaler statistics, order of the models."""
+    for name, m in [*blend["models"].items(), ("meta", blend["meta"])]:
+        m.write().overwrite().save(f"{path}/{name}")
+    for name in ("scale_base", "scale_meta"):
+        spark.createDataFrame([blend[name]]).coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
+    rows = list(enumerate(blend["names"]))
+    # written last: a folder without it holds no whole blend
+    spark.createDataFrame(rows, "pos int, name string").coalesce(1).write.mode("overwrite").parquet(f"{path}/names")
+
+
+def load_blend(spark, path: str) -> dict:
+    """A blend written by ``save_blend``."""
+    from pyspark.ml.regression import GBTRegressionModel, LinearRegressionModel, RandomForestRegressionModel
+    kind = {"boosting": GBTRegressionModel, "forest": RandomForestRegressionModel, "tree": RandomForestRegressionModel}
+    names = [r["name"] for r in spark.read.parquet(f"{path}/names").orderBy("pos").collect()]
+    return {"models": {n: kind.get(n, LinearRegressionModel).load(f"{path}/{n}") for n in names}, "names": names,
+            "meta": LinearRegressionModel.load(f"{path}/meta"),
+            **{s: spark.read.parquet(f"{path}/{s}").first() for s in ("scale_base", "scale_meta")}}
+
+
 def importance_table(model, feature_cols: list[str], name: str) -> DataFrame:
     """Feature importances (trees) or coefficients (linear) as rows."""
     spark = __import__("pyspark.sql", fromlist=["SparkSession"]).SparkSession.getActiveSession()
@@ -309,3 +337,40 @@ def random_search(df: DataFrame, feature_cols: list[str], label: str = "relevanc
 def search_series(report: DataFrame, param: str) -> DataFrame:
     """The report filtered to draws with a small gap, as a series of one parameter against both errors."""
     return report.where("small_gap").select(F.col(param), "rmse_test", "rmse_train").orderBy(param)
+
+
+# --- fixed values: the source's grids, one stage after another, each keeping the best of the stage before ---
+BOOSTING_GRIDS = (
+    [{"maxDepth": d, "minInstancesPerNode": w} for d in (3, 4, 5, 6) for w in (1, 2)],
+    [{"subsamplingRate": s, "featureSubsetStrategy": c} for s in (0.9, 1.0) for c in ("0.9", "1.0")],
+    [{"stepSize": e} for e in (0.3, 0.2, 0.1, 0.05)],
+)
+# --------------------------------------------------------------------------------------------------------------
+
+
+def grid_search_boosting(df: DataFrame, feature_cols: list[str], key: str = "pair_id", label: str = "relevance",
+                         grids=BOOSTING_GRIDS, folds: int = 5, rounds: int = 999, seed: int = 42) -> DataFrame:
+    """Staged grid search of boosting with k-fold CV and early stopping.
+
+    Every fit sees all rows with its fold marked for validation, and stops when that error no longer falls. Fits of a
+    stage run a few at a time. Returns one row per candidate: stage, params (JSON), mean rmse and rounds, best in its stage."""
+    import json
+    f = materialize(assemble(df, feature_cols).withColumn("_fold", fold_of(F.col(key), folds, seed)), "grid-input")
+    ev = RegressionEvaluator(labelCol=label, metricName="rmse")
+
+    def fit(job):
+        params, k = job
+        est = GBTRegressor(labelCol=label, featuresCol="features", maxIter=rounds, validationIndicatorCol="_val", validationTol=1e-3, seed=seed, **params)
+        m = est.fit(f.withColumn("_val", F.col("_fold") == k))
+        return ev.evaluate(m.transform(f.where(F.col("_fold") == k))), m.getNumTrees
+
+    held = [r[0] for r in f.select("_fold").distinct().orderBy("_fold").collect()]
+    best, rows = {}, []
+    for stage, grid in enumerate(grids, 1):
+        tried = [best | g for g in grid]
+        done = in_parallel(fit, [(p, k) for p in tried for k in held], 8)
+        mean = [[sum(x[j] for x in done[i * len(held):(i + 1) * len(held)]) / len(held) for j in (0, 1)] for i in range(len(tried))]
+        top = min(range(len(tried)), key=lambda i: mean[i][0])
+        best = tried[top]
+        rows += [(stage, json.dumps(p, sort_keys=True), round(m[0], 6), m[1], i == top) for i, (p, m) in enumerate(zip(tried, mean, strict=True))]
+    return df.sparkSession.createDataFrame(rows, "stage int, params string, rmse double, rounds double, best boolean")

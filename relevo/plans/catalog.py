@@ -435,22 +435,26 @@ def q_fit_trees(spark, sf_dir):
 
 @register("blend_predict")
 def q_blend_predict(spark, sf_dir):
-    """M16 + M19: two-level blend fitted on the training pairs, clipped predictions for the holdout."""
-    tr, te = _features_split(spark, sf_dir)
-    blend = mx.fit_blend(tr, ft.FEATURE_ORDER)
-    return mx.predict_blend(blend, te, ft.FEATURE_ORDER)
+    """M16 + M19: two-level blend fitted on the training pairs, clipped predictions for the holdout, written
+    as CSV and read back."""
+    blend, _, ftab = search.fitted_blend(spark, sf_dir)
+    p = mx.predict_blend(blend, ftab.where("NOT is_train").drop("is_train"), ft.FEATURE_ORDER)
+    path = _scratch(spark, "predictions-csv")
+    sio.write_csv(p, path)
+    return sio.read_csv(spark, path, ", ".join(f"{c} {t}" for c, t in p.dtypes), multi_line=False)
 
 
 @register("rmse_table")
 def q_rmse_table(spark, sf_dir):
-    """Holdout RMSE of every base model and of the blend."""
-    tr, te = _features_split(spark, sf_dir)
-    blend = mx.fit_blend(tr, ft.FEATURE_ORDER)
-    p = mx.predict_blend(blend, te, ft.FEATURE_ORDER)
-    aggs = [mx.rmse_expr("relevance", n).alias(n) for n in blend["names"]] + [mx.rmse_expr().alias("blend")]
-    wide = p.agg(*aggs)
+    """Train and holdout RMSE of every base model and of the blend."""
+    blend, _, ftab = search.fitted_blend(spark, sf_dir)
+    p = mx.predict_blend(blend, ftab, ft.FEATURE_ORDER).join(ftab.select("pair_id", "is_train"), "pair_id")
     names = blend["names"] + ["blend"]
-    return wide.unpivot([], names, "model", "rmse_test").select("model", F.round("rmse_test", 6).alias("rmse_test"))
+    err = [F.sqrt(F.avg(F.when(on, F.pow(F.col("relevance") - F.col("prediction" if n == "blend" else n), 2)))).alias(f"{n}__{side}")
+           for n in names for side, on in (("train", F.col("is_train")), ("test", ~F.col("is_train")))]
+    wide = p.agg(*err)
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.round(f"{n}__train", 6).alias("rmse_train"), F.round(f"{n}__test", 6).alias("rmse_test")) for n in names]))
+    return wide.select(rows.alias("r")).select("r.*")
 
 
 @register("rmse_fixed")
@@ -468,8 +472,8 @@ def q_rmse_fixed(spark, sf_dir):
 @register("error_analysis")
 def q_error_analysis(spark, sf_dir):
     """Holdout predictions joined to their labels, error = relevance - prediction, box statistics."""
-    tr, te = _features_split(spark, sf_dir)
-    blend = mx.fit_blend(tr, ft.FEATURE_ORDER)
+    blend, _, ftab = search.fitted_blend(spark, sf_dir)
+    te = ftab.where("NOT is_train").drop("is_train")
     p = mx.predict_blend(blend, te.drop("relevance"), ft.FEATURE_ORDER, label=None)
     lab = fx.pairs(spark, sf_dir).select(F.col("id").alias("pair_id"), "relevance")
     j = p.join(lab, "pair_id", "left")
@@ -646,6 +650,20 @@ def q_random_search(spark, sf_dir):
     return mx.random_search(mx.standard_scale(tr, ft.FEATURE_ORDER), ft.FEATURE_ORDER)
 
 
+@register("gbt_grid")
+def q_gbt_grid(spark, sf_dir):
+    """The source's staged grids of boosting, k-fold CV with early stopping."""
+    tr, _ = _features_split(spark, sf_dir)
+    return mx.grid_search_boosting(tr, ft.FEATURE_ORDER)
+
+
+@register("search_series")
+def q_search_series(spark, sf_dir):
+    """Draws of the random search with a small train/test gap, as a series over the strength."""
+    tr, _ = _features_split(spark, sf_dir)
+    return mx.search_series(mx.random_search(mx.standard_scale(tr, ft.FEATURE_ORDER), ft.FEATURE_ORDER), "alpha")
+
+
 @register("model_roundtrip")
 def q_model_roundtrip(spark, sf_dir):
     """A fitted model written with the MLlib writer to the checkpoint folder, loaded back, used to predict."""
