@@ -193,8 +193,7 @@ def bm25_expr(qw, doc, avgdl: float, k: float = 1.2, b: float = 0.75):
         tf = tx.substring_count(d, x["term"])
         return x["idf"] * (tf * (k + 1)) / (tf + k * (1 - b) + b * dl / F.lit(avgdl))
 
-    return F.aggregate(F.transform(F.coalesce(qw, F.array().cast(
-        "array<struct<pos:int,term:string,idf:double>>")), one), F.lit(0.0), lambda a, v: a + v)
+    return F.coalesce(F.aggregate(F.transform(qw, one), F.lit(0.0), lambda a, v: a + v), F.lit(0.0))
 
 
 def pair_score(pairs: DataFrame, params: Bm25Params, key: str, query: str, doc: str,

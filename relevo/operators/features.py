@@ -191,29 +191,22 @@ def mean_char_jaccard(pairs: DataFrame, products: DataFrame, field: str, out: st
 
 
 def tf_idf_stats(pairs: DataFrame, qw: DataFrame, title: str = "title") -> DataFrame:
-    """Max / min / sum over query words of tf (substring count in the title),
-    idf (TF-IDF vocabulary, ``ln(N+1)`` when missing) and tf*idf.
-
-    ``qw`` = (pair_id, qw ARRAY<STRUCT<pos, term, idf>>) from ``bm25.query_word_idf``.
-    """
+    """F33-F41 for ``pairs``; ``qw`` = (pair_id, qw ARRAY<STRUCT<pos, term, idf>>) from ``bm25.query_word_idf``."""
     j = pairs.select("pair_id", title).join(qw, "pair_id", "left")
-    vals = F.transform(F.coalesce(F.col("qw"), F.array().cast("array<struct<pos:int,term:string,idf:double>>")),
-                       lambda x: F.struct(tx.substring_count(F.col(title), x["term"]).cast("double").alias("tf"),
-                                          x["idf"].alias("idf")))
-    j = j.select("pair_id", vals.alias("v"))
-    tf = F.transform("v", lambda x: x["tf"])
-    idf = F.transform("v", lambda x: x["idf"])
-    tfidf = F.transform("v", lambda x: x["tf"] * x["idf"])
-
-    def ssum(a):
+    words = F.coalesce(F.col("qw"), F.array().cast("array<struct<pos:int,term:string,idf:double>>"))
+    return j.select("pair_id", *tf_idf_columns(words, title))
+
+
+def tf_idf_columns(words: Column, title: str = "title") -> list[Column]:
+    """Max / min / sum over query words of tf (substring count in the title), idf (TF-IDF vocabulary,
+    ``ln(N+1)`` when missing) and tf*idf; ``words`` is an array of structs with term and idf."""
+    vals = F.transform(words, lambda x: F.struct(tx.substring_count(F.col(title), x["term"]).cast("double").alias("tf"), x["idf"].alias("idf")))
+    parts = {"tf": F.transform(vals, lambda x: x["tf"]), "idf": F.transform(vals, lambda x: x["idf"]), "tfidf": F.transform(vals, lambda x: x["tf"] * x["idf"])}
+
+    def total(a):
         return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
 
-    return j.select(
-        "pair_id",
-        F.array_max(tf).alias("max_tf_ST"), F.array_max(idf).alias("max_idf_ST"), F.array_max(tfidf).alias("max_tfidf_ST"),
-        F.array_min(tf).alias("min_tf_ST"), F.array_min(idf).alias("min_idf_ST"), F.array_min(tfidf).alias("min_tfidf_ST"),
-        ssum(tf).alias("sum_tf_ST"), ssum(idf).alias("sum_idf_ST"), ssum(tfidf).alias("sum_tfidf_ST"),
-    )
+    return [fn(a).alias(f"{name}_{k}_ST") for name, fn in (("max", F.array_max), ("min", F.array_min), ("sum", total)) for k, a in parts.items()]
 
 
 # --- fixed values: names and order of the 41-feature vector (F28/F29 are the latent cosine features) ---

@@ -26,5 +26,5 @@ def top_n_per_group(df: DataFrame, group_cols, order_cols: list[Column], n: int,
 
 
 def fits(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (stops reading after max_rows+1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """True when ``df`` has at most ``max_rows`` rows. Counted in every partition; no row moves to another task."""
+    return df.count() <= max_rows

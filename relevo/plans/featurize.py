@@ -7,6 +7,8 @@ product side is restricted to products that occur in a pair (semi join).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from relevo.operators import assemble as asm
 from relevo.operators import bm25
 from relevo.operators import features as ft
 from relevo.operators import tfidf
+from relevo.operators.topn import fits
 from relevo.sources import fixtures as fx
 from relevo.session import materialize
 
@@ -127,24 +130,36 @@ def fit_feature_params(pairs: DataFrame, products: DataFrame) -> FeatureParams:
     return FeatureParams(params, title_desc_vocab(pairs, products))
 
 
+def _with_word_idf(pairs: DataFrame, fp: FeatureParams) -> DataFrame:
+    """``pairs`` with ``qw``, the search words and their idf in each field and in the vocabulary.
+
+    The words are exploded once and met by four idf tables; only the short pair side takes part."""
+    words = pairs.select("pair_id", F.posexplode(tx.split_ws("q")).alias("pos", "term"))
+    tables = {**{f: (p.idf, p.n_docs) for f, p in fp.bm25_params.items()}, "vocab": (fp.vocab.idf, fp.vocab.n_docs)}
+    for f, (idf, n) in tables.items():
+        side = idf.select("term", F.col("idf").alias(f"idf_{f}"))
+        words = (words.join(F.broadcast(side) if fits(idf, 2_000_000) else side.hint("merge"), "term", "left")
+                 .withColumn(f"idf_{f}", F.coalesce(f"idf_{f}", F.lit(math.log(n + 1)))))
+    qw = words.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("pos", "term", *[f"idf_{f}" for f in tables]))).alias("qw"))
+    empty = F.array().cast("array<struct<pos:int,term:string," + ",".join(f"idf_{f}:double" for f in tables) + ">>")
+    return pairs.join(qw, "pair_id", "left").withColumn("qw", F.coalesce("qw", empty))
+
+
 def compute_features(pairs: DataFrame, prods: DataFrame, fp: FeatureParams, keep=("relevance", "is_train")) -> DataFrame:
-    """All 41 features for ``pairs(pair_id, product_uid, q, ...)`` with fitted parameters ``fp``."""
-    j = joined(pairs, prods)
-    jb = pairs.join(prods, "product_uid")
-    bm = jb.select("pair_id")
-    for field, name in (("title", "bm25_ST"), ("description", "bm25_SD"), ("brand", "bm25_SB")):
-        bm = bm.join(bm25.pair_score(jb, fp.bm25_params[field], "pair_id", "q", field, name), "pair_id")
-    parts = [
-        j.select("pair_id", *ft.basic_columns(), *ft.similarity_columns()),
-        ft.mean_char_jaccard(pairs, prods, "title", "mean_jcc_product_title_with_search_term"),
-        ft.mean_char_jaccard(pairs, prods, "description", "mean_jcc_product_desc_with_search_term"),
-        ft.mean_char_jaccard(pairs, prods, "attributes", "mean_jcc_attr_with_search_term"),
-        latent_cosine_features(pairs, prods, fp.vocab), bm, tfidf_features(pairs, prods, fp.vocab),
-    ]
+    """All 41 features for ``pairs(pair_id, product_uid, q, ...)`` with fitted parameters ``fp``.
+
+    One join on ``product_uid`` and one select give all but the mean-Jaccard and latent columns; a product's texts
+    are never shuffled by pair."""
     keep = [c for c in keep if c in pairs.columns]
-    out = pairs.select("pair_id", *keep)
-    for p in parts:
-        out = out.join(p, "pair_id", "left")
+    j = joined(_with_word_idf(pairs, fp), prods)
+    idf = lambda f: F.transform("qw", lambda x: F.struct(x["term"].alias("term"), x[f"idf_{f}"].alias("idf")))
+    bm = [bm25.bm25_expr(idf(f), f, fp.bm25_params[f].avgdl).alias(name) for f, name in (("title", "bm25_ST"), ("description", "bm25_SD"), ("brand", "bm25_SB"))]
+    out = j.select("pair_id", *keep, *ft.basic_columns(), *ft.similarity_columns(), *bm, *ft.tf_idf_columns(idf("vocab")))
+    for part in (ft.mean_char_jaccard(pairs, prods, "title", "mean_jcc_product_title_with_search_term"),
+                 ft.mean_char_jaccard(pairs, prods, "description", "mean_jcc_product_desc_with_search_term"),
+                 ft.mean_char_jaccard(pairs, prods, "attributes", "mean_jcc_attr_with_search_term"),
+                 latent_cosine_features(pairs, prods, fp.vocab)):
+        out = out.join(part, "pair_id", "left")
     return out.select("pair_id", *keep, *[F.col(c).cast("double").alias(c) for c in ft.FEATURE_ORDER])
 
 
