@@ -119,26 +119,48 @@ def pair_vector_features(pairs: DataFrame, products: DataFrame, vectors: DataFra
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, qkey: str = "query_id",
             qvec: str = "qvec", key: str = "word_id", vec: str = "vector",
-            max_broadcast: int = 100_000) -> DataFrame:
-    """O3: the k vectors most similar (cosine) to each query vector (exact).
+            max_broadcast: int = 20_000) -> DataFrame:
+    """O3: the k vectors most similar (cosine, rounded to 9 places; ties by key) to each query vector (exact).
 
-    Query vectors are broadcast in buckets of at most ``max_broadcast`` rows (bucket =
-    hash of the query key); each bucket is one scan of the vector table, so the work is
-    linear in the vector table per bucket and no unbounded side is ever paired or
-    broadcast. The per-query top k uses a salted two-step window.
+    A stated query set against all vectors, in blocks: at most ``max_broadcast`` query vectors are broadcast at a
+    time, and each task multiplies them with a batch of vectors and keeps k rows per query and batch. No pair
+    becomes a row, the vector table is read once per block, and the final k come from a salted two-step window.
     """
+    import numpy as np
+    import pandas as pd
+
     q = queries.select(qkey, qvec)
     n = q.count()
-    buckets = max(1, -(-n // max_broadcast))
-    parts = []
-    for b in range(buckets):
-        qb = q if buckets == 1 else q.where(F.pmod(F.xxhash64(qkey), F.lit(buckets)) == b)
-        s = vectors.select(key, vec).join(F.broadcast(qb)).select(
-            qkey, key, F.round(cosine(F.col(qvec), F.col(vec)), 9).alias("cosine"))
-        parts.append(top_n_per_group(s, qkey, [F.desc("cosine"), F.asc(key)], k, salt_cols=[key]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    blocks = max(1, -(-n // max_broadcast))
+    types = dict(queries.dtypes) | {"_key": dict(vectors.dtypes)[key]}
+    spark = queries.sparkSession
+
+    def unit(rows):
+        m = np.array(rows, dtype=float).reshape(len(rows), -1)
+        length = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        return m / np.where(length == 0, 1.0, length)
+
+    def search(block):
+        def run(batches):
+            ids, mat = block.value
+            for pdf in batches:
+                if not len(pdf) or not len(ids):
+                    continue
+                keys = pdf[key].to_numpy()
+                order = np.argsort(keys, kind="stable")  # ties go to the smaller key
+                cos = np.round(unit(pdf[vec].tolist())[order] @ mat.T, 9)
+                top = np.argsort(-cos, axis=0, kind="stable")[:k]
+                yield pd.DataFrame({qkey: np.repeat(ids, top.shape[0]), key: keys[order][top.T.reshape(-1)],
+                                    "cosine": np.take_along_axis(cos, top, axis=0).T.reshape(-1)})
+        return run
+
+    out = None
+    for b in range(blocks):
+        rows = (q if blocks == 1 else q.where(F.pmod(F.xxhash64(qkey), F.lit(blocks)) == b)).collect()  # about max_broadcast rows
+        block = spark.sparkContext.broadcast((np.array([r[0] for r in rows], dtype=object if types[qkey] == "string" else None), unit([r[1] for r in rows]) if rows else None))
+        s = vectors.select(key, vec).mapInPandas(search(block), f"{qkey} {types[qkey]}, {key} {types['_key']}, cosine double")
+        part = top_n_per_group(s, qkey, [F.desc("cosine"), F.asc(key)], k, salt_cols=[key])
+        out = part if out is None else out.unionByName(part)
     return out
 
 
@@ -148,8 +170,9 @@ def fit_word2vec(texts: DataFrame, col: str = "text", size: int = 100, window: i
     from a CBOW fit and compare by neighbourhood, not by value). Returns the fitted model."""
     from pyspark.ml.feature import Word2Vec
     docs = texts.select(F.split(F.trim(F.col(col)), r"\s+").alias("tokens")).distinct()
-    # one training partition per core (MLlib's default of 1 trains on a single thread)
-    parts = texts.sparkSession.sparkContext.defaultParallelism
+    # MLlib keeps vocabulary and vectors on the driver and merges a copy per partition and pass, so a few partitions
+    # train fastest; README lists the limit that this puts on the vocabulary
+    parts = min(4, texts.sparkSession.sparkContext.defaultParallelism)
     w2v = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, maxIter=iters, seed=seed,
                    numPartitions=parts, inputCol="tokens", outputCol="vec")
     return w2v.fit(docs)
