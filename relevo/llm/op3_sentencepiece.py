@@ -35,7 +35,7 @@ from relevo.session import materialize
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-MAX_UNITS = 1_000_000
+MAX_UNITS = 500_000
 MAX_CHARS = 32
 UNITS_A_TASK = 20_000
 #: The library scores an unknown character so much below the lowest piece.
