@@ -15,8 +15,7 @@ Documents with 100 * |A n B| >= 80 * |A u B| are linked, and a component is what
 4. A link between two leaves can still be missing, but matters only if they are in different components. If bucket
    mates of different components make at most FEW_PAIRS pairs, all are compared. If they make more (a large group of
    loose copies, whose pairs grow with its square), a second round of stars with twice as many other centres
-   follows. On the check data that leaves a few in ten thousand links of one group of 2,459 loose copies, and none
-   elsewhere (README has the figures).
+   follows, and the rest is left to them: a link could be lost there. On the check data none was (README).
 
 Defined cases: null or wordless text has an empty set, is linked with nothing and is kept; a null
 ``doc_id`` takes no part and is its own (null) component; rows that repeat a ``doc_id`` with one text are
