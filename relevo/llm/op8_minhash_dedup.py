@@ -9,12 +9,12 @@ Documents with 100 * |A n B| >= 80 * |A u B| are linked, and a component is what
    agrees with probability 0.8**6 = 0.26, so 40 bands miss a link with probability 5e-6.
 2. Equal sets (by a 128-bit hash) form a class; only its smallest document goes on, so copies never
    meet in a bucket.
-3. Every member of a bucket is paired with a few centres of the bucket only: its smallest document and CENTRES
+3. Every member of a bucket is paired with the centres of the bucket only: its smallest document and CENTRES
    that a hash picks, other ones in each bucket. Stars make as many pairs as members, times a constant. Pairs are
    confirmed on the full sets, and components follow from the confirmed links.
 4. A link between two leaves can still be missing, but matters only if they are in different components. If bucket
    mates of different components make at most FEW_PAIRS pairs, all are compared. If they make more (a large group of
-   loose copies, whose pairs grow with its square), a second round of stars with twice as many other centres
+   loose copies, whose pairs grow with its square), a second round of stars with MORE_CENTRES other centres
    follows, and the rest is left to them: a link could be lost there. On the check data none was (README).
 
 Defined cases: null or wordless text has an empty set, is linked with nothing and is kept; a null
@@ -41,7 +41,8 @@ PERCENT = 80
 MAX_BROADCAST_IDS = 2_000_000
 #: So many pairs of bucket mates in different components are all compared.
 FEW_PAIRS = 100_000
-CENTRES = 2
+#: Centres of a bucket that a hash picks: beside its smallest document at first, and in the second round.
+CENTRES, MORE_CENTRES = 1, 5
 
 
 def shingle_sets(col: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -203,7 +204,7 @@ def near_links(docs: DataFrame, sketch: DataFrame, shingle: int = SHINGLE, perce
         other = rest.join(other.hint("merge"), "key").where("doc_id < c_doc")
     else:
         mates = F.array_distinct(F.array(*[F.struct(F.min_by(F.struct("doc_id", "component", "n_shingles"), F.xxhash64("doc_id", "key", F.lit(i))).alias("m"))
-                                           for i in range(CENTRES, 3 * CENTRES)]))
+                                           for i in range(CENTRES, CENTRES + MORE_CENTRES)]))
         star = own.groupBy("key").agg(mates.alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
         star = star.select("key", F.explode("c").alias("c")).select("key", F.col("c.m.doc_id").alias("c_doc"), F.col("c.m.component").alias("c_comp"), F.col("c.m.n_shingles").alias("c_n"))
         other = own.join(star.hint("merge"), "key")
