@@ -32,9 +32,9 @@ from relevo.llm import words as W
 
 DOCS_PER_LANG = 200
 MIN_CHARS, MAX_CHARS = 200, 20_000
-SAMPLE_CHARS = 40_000
+SAMPLE_CHARS = 20_000
 SEGMENT = 512
-LANES = 4096
+LANES = 2048
 #: Distinct letters that get a symbol; more share the one for unseen letters.
 ALPHABET = 120
 UND = "und"

@@ -142,9 +142,10 @@ def _confirm(percent: int):
     def run(batches):
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
-                both = len(a) // 8 + len(b) // 8
-                inter = both - len(np.unique(np.concatenate([np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)])))
+            for a, b in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
+                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
+                both = len(a) + len(b)
+                inter = both - len(np.unique(np.concatenate([a, b])))
                 keep.append(100 * inter >= percent * (both - inter) and inter > 0)
             yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(keep, pa.bool_())], names=["a", "b", "linked"])
 
