@@ -73,8 +73,9 @@ def linear(kind: str, alpha: float, n: int, label_sd: float, l1_ratio: float = 0
            features: str = "features") -> LinearRegression:
     """M7-M9: a linear learner whose penalty equals the source's for a fit on ``n`` rows with this label deviation.
 
-    MLlib divides its loss by n and scales the label, so a ridge strength becomes alpha sd / n, a lasso strength
-    stays, and an elastic net's two parts are alpha r (absolute) and alpha (1 - r) sd (squared)."""
+    MLlib divides its loss by n and scales the label by its population deviation, so a ridge strength becomes
+    alpha sd / n, a lasso strength stays, and an elastic net's two parts are alpha r (absolute) and alpha (1 - r) sd
+    (squared). The normal solver reads the rows once; its state is features x features."""
     if kind == "ridge":
         reg, mix = ridge_reg_param(alpha, n, label_sd), 0.0
     elif kind == "lasso":
@@ -83,11 +84,11 @@ def linear(kind: str, alpha: float, n: int, label_sd: float, l1_ratio: float = 0
         l1, l2 = alpha * l1_ratio, alpha * (1 - l1_ratio) * label_sd
         reg, mix = l1 + l2, l1 / (l1 + l2)
     return LinearRegression(labelCol=label, featuresCol=features, elasticNetParam=mix, regParam=reg,
-                            standardization=False, solver="l-bfgs", tol=1e-9, maxIter=500)
+                            standardization=False, solver="normal", tol=1e-9, maxIter=500)
 
 
 def size_and_sd(df: DataFrame, label: str = "relevance") -> tuple[int, float]:
-    r = df.agg(F.count(label).alias("n"), F.stddev_samp(label).alias("sd")).first()
+    r = df.agg(F.count(label).alias("n"), F.stddev_pop(label).alias("sd")).first()
     return r["n"], r["sd"] or 1.0
 
 
@@ -114,6 +115,20 @@ def base_learners(label: str = "relevance", features: str = "features", gbt_iter
     }
 
 
+#: Share of the rows that tell boosting when to stop, and the least relative gain of a round.
+EARLY_STOP, LEAST_GAIN = 0.1, 1e-4
+
+
+def fit_learner(est, df: DataFrame, key: str = "pair_id", early_stop: float | None = EARLY_STOP):
+    """Fit ``est``. Boosting runs up to its rounds and stops when a hash-picked share of the rows no longer gains;
+    ``early_stop=None`` runs all rounds on all rows."""
+    if isinstance(est, GBTRegressor) and early_stop:
+        est = est.copy().setValidationIndicatorCol("_val")
+        est = est.copy({est.validationTol: LEAST_GAIN})
+        df = df.withColumn("_val", hash_fraction(F.col(key), 13) < early_stop)
+    return est.fit(df)
+
+
 SCALED = {"ridge", "lasso", "elastic_net"}
 
 # --- fixed values: sampling seeds of the base models, in the source's order ------
@@ -164,7 +179,7 @@ def fit_blend(train: DataFrame, feature_cols: list[str], key: str = "pair_id", l
     for name, learner in base_learners(label, "features", gbt_iter).items():
         # M2: every base model sees its own 85 % sample of half A (features and label in one frame)
         rows = sample_rows(fa_s if name in SCALED else fa, key, 0.85, SAMPLE_SEEDS[name])
-        models[name] = learner(rows).fit(rows)
+        models[name] = fit_learner(learner(rows), rows, key)
     meta_in = materialize(base_predictions(models, b, b_s, feature_cols, key, label), "meta-input")
     names = list(models)
     meta_stats = scale_stats(meta_in, names).first()
@@ -273,7 +288,7 @@ def stack_oof(df: DataFrame, feature_cols: list[str], key: str = "pair_id", labe
     def fit(job):
         k, name = job
         tr = f if k is None else f.where(F.col("_fold") != k)
-        return learners[name](tr).fit(tr)
+        return fit_learner(learners[name](tr), tr, key)
 
     models = dict(zip(jobs, in_parallel(fit, jobs), strict=True))
     parts = []

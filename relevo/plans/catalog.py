@@ -427,7 +427,7 @@ def q_fit_trees(spark, sf_dir):
     f = mx.assemble(tr, ft.FEATURE_ORDER)
     out = None
     for name in ("boosting", "forest", "tree"):
-        m = mx.base_learners()[name](f).fit(f)
+        m = mx.fit_learner(mx.base_learners()[name](f), f)
         t = mx.importance_table(m, ft.FEATURE_ORDER, name)
         out = t if out is None else out.unionByName(t)
     return out
@@ -626,7 +626,7 @@ def q_fit_trees_a2(spark, sf_dir):
     rows = []
     for name, est in mx.extra_learners().items():
         began = time.time()
-        m = est.fit(ftr)
+        m = mx.fit_learner(est, ftr)
         took = time.time() - began
         err = [m.transform(f).agg(mx.rmse_expr().alias("e")).first()["e"] for f in (ftr, fte)]
         rows.append((name, round(took, 1), round(err[0], 6), round(err[1], 6) if err[1] is not None else None))
