@@ -69,6 +69,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+#: Bytes of a batch that Spark hands to Python; the default, rows only, would let long texts make batches of gigabytes.
+ARROW_BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session by bytes, unless it has a smaller bound already."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = (spark.conf.get(key, None) or "").rstrip("b")  # other units are left as they are set
+    if not have or have.isdigit() and int(have) > ARROW_BATCH_BYTES:
+        spark.conf.set(key, str(ARROW_BATCH_BYTES))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage by writing ``df`` as parquet under the checkpoint folder.
 
