@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relevo.llm import words as W
+from relevo.session import bounded_batches
 
 DOCS_PER_LANG = 200
 MIN_CHARS, MAX_CHARS = 200, 20_000
@@ -204,6 +205,7 @@ def _identify(model, text: str):
 
 def identify(docs: DataFrame, texts: dict[str, str], text: str = "text") -> DataFrame:
     """``docs`` with lang_pred, score and bits_per_char (columns of those names are replaced)."""
+    bounded_batches(docs.sparkSession)
     rows = docs.drop("lang_pred", "score", "bits_per_char")
     schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_char", T.DoubleType())])
     return rows.mapInArrow(_identify(docs.sparkSession.sparkContext.broadcast(texts), text), schema)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relevo.llm import words as W
-from relevo.session import materialize
+from relevo.session import bounded_batches, materialize
 
 WINDOW = 13
 GRAM = 5
@@ -253,6 +253,7 @@ def _keep(window: int):
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, text, n_words, n_removed, kept_text): one row per input row. ``kept_text`` is the UTF-8 of
     the words that stay, joined by one space."""
+    bounded_batches(docs.sparkSession)
     rows = with_text_hash(docs)
     gone = (removed_windows(rows, window, gram).groupBy("doc_id", "text_hash")
             .agg(F.collect_list("settled").alias("settled"), F.flatten(F.collect_list("open")).alias("open"), F.max("copy").alias("copy")))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from relevo.llm import words as W
-from relevo.session import materialize
+from relevo.session import bounded_batches, materialize
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -269,6 +269,7 @@ def decode_ids(ids: np.ndarray, first: np.ndarray, model: Model) -> list[bytes]:
 def unit_table(docs: DataFrame, path: str, max_units: int = MAX_UNITS) -> UnitTable:
     """The lattice's answers for the units of ``docs``, collected: at most ``max_units`` of them."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = materialize(unit_ids(spark, count_units(docs, max_units), model_of(path)).mapInArrow(_hashed, "h long, check long, ids binary"), "unit-ids")
     return UnitTable(rows.toArrow())
 
@@ -308,6 +309,7 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
     """``rows`` (with ids array<int>) and their text as ``decoded``; bytes that aren't UTF-8 become U+FFFD."""
     from pyspark.sql import types as T
 
+    bounded_batches(rows.sparkSession)
     return rows.mapInArrow(_decode(path), T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
 
 

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relevo.llm import words as W
+from relevo.session import bounded_batches
 
 SAMPLE_ROWS = 20_000
 MAX_FEATURES = 4096
@@ -159,6 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS):
 
     The cut on P(grade > 0), above which a text counts as toxic, is the one of CUTS with the best F1 on the sample."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     lab = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("toxic"))
     n = lab.count()
     if n > sample_rows:  # the expected size of the sample is the bound
@@ -212,6 +214,7 @@ def severity(docs: DataFrame, model) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if model is None:
         return rows.select("doc_id", F.lit(0.0).alias("severity"), F.lit(0.0).alias("p_toxic"), F.lit(0).cast("long").alias("grade"), F.lit(False).alias("toxic"))
+    bounded_batches(docs.sparkSession)
     return rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, severity double, p_toxic double, grade long, toxic boolean")
 
 

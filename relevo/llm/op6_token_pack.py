@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from relevo.llm import words as W
-from relevo.session import checkpoint_dir, materialize
+from relevo.session import bounded_batches, checkpoint_dir, materialize
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -276,6 +276,7 @@ def _write(path: str, width: int, end_id: int, block_ids: int):
 def write_packed(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> None:
     """Packed files of every document's ids under ``path``, in ascending doc_id."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    bounded_batches(docs.sparkSession)
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(12, -(-chars // RANGE_CHARS))
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from relevo.llm import words as W
 from relevo.llm.components import components
-from relevo.session import materialize
+from relevo.session import bounded_batches, materialize
 
 SHINGLE = 2
 BANDS, ROWS = 40, 6
@@ -216,6 +216,7 @@ def near_links(docs: DataFrame, sketch: DataFrame, shingle: int = SHINGLE, perce
 
 def minhash_components(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row per row of ``docs``."""
+    bounded_batches(docs.sparkSession)
     rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = materialize(rows_in.mapInArrow(_sketch(shingle, bands, rows), "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>"), "minhash-sketch")
     full = sketch.where("n_shingles > 0 and doc_id is not null")
