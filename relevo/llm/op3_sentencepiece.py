@@ -339,9 +339,26 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.mapInArrow(_digest(table, path), "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
 
 
+def _there_and_back(table, path: str):
+    def run(batches):
+        model = model_of(path)
+        for batch in batches:
+            for part in W.slices(batch):
+                ids, first = encode_column(part.column("text"), table.value, model)
+                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                texts = [t.decode("utf-8", "replace") for t in decode_ids(ids, first, model)]
+                yield pa.record_batch([part.column("doc_id"), pa.array(np.diff(first).astype(np.int64)), lists, pa.array(texts, pa.string())],
+                                      names=["doc_id", "n_tokens", "ids", "text"])
+
+    return run
+
+
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and the text that they decode to, of every document."""
+    """doc_id, n_tokens, ids and the text that they decode to, of every document. One Python step does both ways, so a
+    task keeps one worker."""
     import public_tokenizers
 
     path = public_tokenizers.path(MODEL)
-    return decode(encode(docs, path).drop("text"), path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    table = spark.sparkContext.broadcast(unit_table(rows, path))
+    return rows.mapInArrow(_there_and_back(table, path), "doc_id long, n_tokens long, ids array<int>, text string")

@@ -226,3 +226,11 @@ def test_long_text_votes_do_not_overflow(spark):
 
 def test_crc_is_of_little_endian_ids():
     assert zlib.crc32(np.array([1], dtype="<u4").tobytes()) == zlib.crc32(b"\x01\0\0\0")
+
+
+def test_sentencepiece_stage_gives_ids_and_text(spark, path):
+    lib = op3.model_of(path).lib
+    got = {r.doc_id: r for r in op3.sentencepiece_stage(spark, docs(spark, TEXTS), "").collect()}
+    for i, t in enumerate(TEXTS):
+        assert list(got[i].ids) == lib.encode(t or "") and got[i].n_tokens == len(got[i].ids)
+        assert got[i].text == (t or "").replace("▁", " ")
