@@ -1,7 +1,7 @@
 """Session construction and shared-storage helpers.
 
-On a cluster the session is created by the platform; these helpers only fill in
-settings that are unset, so a cluster's own configuration always wins.
+On a cluster the session is created by the platform and its configuration wins; the
+helpers here build sessions for tests and benches, and use the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Settings this library relies on. Applied only when the session has no value.
+# Settings of the sessions that ``get_spark`` builds; an active session keeps its own.
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
