@@ -13,9 +13,10 @@ Documents with 100 * |A n B| >= 80 * |A u B| are linked, and a component is what
    that a hash picks, other ones in each bucket. Stars make as many pairs as members, times a constant. Pairs are
    confirmed on the full sets, and components follow from the confirmed links.
 4. A link between two leaves can still be missing, but matters only if they are in different components. If bucket
-   mates of different components make at most FEW_PAIRS pairs, all are compared. If they make more (a large group of
-   loose copies, whose pairs grow with its square), a second round of stars with MORE_CENTRES other centres
-   follows, and the rest is left to them: a link could be lost there. On the check data none was (README).
+   mates of different components make more than FEW_PAIRS pairs, a second round of stars with MORE_CENTRES other
+   centres first joins what it can. Then all that is left is compared: bucket mates one by one where they make at most
+   FEW_PAIRS pairs, else by an exact prefix-filter join over the documents of such buckets. FEW_PAIRS picks the
+   plan, not the links. Documents that are nearly alike in thousands (a likeness just under 0.8) are compared in pairs.
 
 Defined cases: null or wordless text has an empty set, is linked with nothing and is kept; a null
 ``doc_id`` takes no part and is its own (null) component; rows that repeat a ``doc_id`` with one text are
@@ -39,8 +40,10 @@ BINS = BANDS * ROWS
 PERCENT = 80
 #: Ids of documents that may be broadcast to pick their texts: 16 MB of longs. Beyond it Spark shuffles.
 MAX_BROADCAST_IDS = 2_000_000
-#: So many pairs of bucket mates in different components are all compared.
+#: So many pairs of bucket mates in different components are compared one by one; more go through the prefix-filter join.
 FEW_PAIRS = 100_000
+#: Documents of a block, in the prefix-filter join: a shingle with more is split into pairs of blocks.
+BLOCK = 256
 #: Centres of a bucket that a hash picks: beside its smallest document at first, and in the second round.
 CENTRES, MORE_CENTRES = 1, 5
 
@@ -138,6 +141,16 @@ def _sets(shingle: int):
     return run
 
 
+def _exploded(batches):
+    schema = pa.schema([("doc_id", pa.int64()), ("component", pa.int64()), ("set_id", pa.int64()), ("n", pa.int64()), ("shingle", pa.int64())])
+    for batch in batches:
+        blobs = batch.column("shingles")
+        n = np.array([len(x.as_buffer()) // 8 for x in blobs], dtype=np.int64)
+        value = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in blobs]) if len(blobs) else np.empty(0, dtype=np.int64)
+        own = [np.repeat(np.asarray(batch.column(c)), n) for c in ("doc_id", "component", "set_id")]
+        yield pa.record_batch([*map(pa.array, own), pa.array(np.repeat(n, n)), pa.array(value)], schema=schema)
+
+
 def _confirm(percent: int):
     def run(batches):
         for batch in batches:
@@ -169,6 +182,37 @@ def pick(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", "left_semi")
 
 
+def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, c_doc): every pair of ``nodes`` (doc_id, component; a stored table) of different components that can be a link.
+
+    Sets that are alike enough share one of the first shingles of each, in any one order of all shingles; shingles that
+    occur in one component come first, then rare ones. Where the shared one stands in both bounds what can still agree.
+    """
+    of = pick(sets, nodes.select("doc_id")).join(nodes.hint("merge"), "doc_id").where("length(shingles) > 0")
+    each = (of.select("doc_id", "component", F.xxhash64("shingles").alias("set_id"), "shingles")
+            .mapInArrow(_exploded, "doc_id long, component long, set_id long, n long, shingle long"))
+
+    def spread(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("shingle").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+
+    common = spread(each).where("lo < hi").select("shingle", F.col("m").alias("seen"))
+    ranked = (each.join(common.hint("merge"), "shingle").groupBy("doc_id", "component", "set_id", "n")
+              .agg(F.sort_array(F.collect_list(F.struct("seen", "shingle"))).alias("s")))
+    own = F.col("n") - F.size("s")  # shingles of one component: first in the order, and in no pair
+    prefix = (ranked.withColumn("own", own).select("doc_id", "component", "n", "own", F.posexplode("s").alias("at", "x"))
+              .select("doc_id", "component", "n", (F.col("own") + F.col("at")).alias("pos"), "x.shingle").where(f"pos <= n - ({percent} * n + 99) div 100"))
+    prefix = materialize(prefix, "minhash-prefix")
+    blocks = spread(prefix).where("lo < hi").select("shingle", F.ceil(F.col("m") / BLOCK).alias("k"))
+    rows = prefix.join(blocks.hint("merge"), "shingle").withColumn("block", F.expr("pmod(xxhash64(doc_id), k)"))
+    ours = rows.withColumn("i", F.col("block")).withColumn("j", F.explode(F.expr("sequence(block, k - 1)")))
+    theirs = (rows.withColumn("j", F.col("block")).withColumn("i", F.explode(F.expr("sequence(0L, block)")))
+              .select("shingle", "i", "j", F.col("doc_id").alias("c_doc"), F.col("component").alias("c_comp"), F.col("n").alias("c_n"), F.col("pos").alias("c_pos")))
+    can = f"component <> c_comp and (i < j or doc_id < c_doc) and {100 + percent} * least(n - pos, c_n - c_pos) >= {percent} * (n + c_n)"
+    sides = ours.withColumnsRenamed({"shingle": "_s", "i": "_i", "j": "_j"})
+    return (sides.join(theirs.hint("merge"), (F.col("_s") == F.col("shingle")) & (F.col("_i") == F.col("i")) & (F.col("_j") == F.col("j")) & F.expr(can))
+            .select("doc_id", "c_doc"))
+
+
 def near_links(docs: DataFrame, sketch: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(a, b) links that give the components of all links among classes of equal sets."""
     likely = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"  # else sizes alone rule a link out
@@ -191,27 +235,38 @@ def near_links(docs: DataFrame, sketch: DataFrame, shingle: int = SHINGLE, perce
     tested = materialize(sized.select("a", "b"), "minhash-pairs")
     links = materialize(confirmed(tested, sets, percent), "minhash-links")
 
-    label = components(links)
-    own = materialize(open_.select("key", "doc_id", "n_shingles").join(label.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left")
-                      .withColumn("component", F.coalesce("component", "doc_id")), "minhash-open")
-    parts = own.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"))
-    left = parts.agg(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2)).first()[0] or 0
+    def labelled(links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+        """One link of each node to its component, buckets with components, those that hold several, and their pairs of different components."""
+        label = materialize(components(links), "minhash-label")
+        own = materialize(open_.select("key", "doc_id", "n_shingles").join(label.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left")
+                          .withColumn("component", F.coalesce("component", "doc_id")), "minhash-open")
+        parts = own.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"))
+        left = parts.agg(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2)).first()[0] or 0
+        return label.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")), own, parts.where("n * n > nn").select("key"), left
+
+    def untested(pairs: DataFrame) -> DataFrame:
+        return materialize(ordered(pairs).join(tested.hint("merge"), ["a", "b"], "left_anti"), "minhash-pairs")
+
+    apart = F.expr("component <> c_comp and " + likely.replace("na", "n_shingles").replace("nb", "c_n"))
+    links, own, mixed, left = labelled(links)
+    if left > FEW_PAIRS:
+        mates = F.array_distinct(F.array(*[F.struct(F.min_by(F.struct("doc_id", "component", "n_shingles"), F.xxhash64("doc_id", "key", F.lit(i))).alias("m"))
+                                           for i in range(CENTRES, CENTRES + MORE_CENTRES)]))
+        star = own.groupBy("key").agg(mates.alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+        star = star.select("key", F.explode("c").alias("c")).select("key", F.col("c.m.doc_id").alias("c_doc"), F.col("c.m.component").alias("c_comp"), F.col("c.m.n_shingles").alias("c_n"))
+        new = untested(own.join(star.hint("merge"), "key").where(apart))
+        links = links.unionByName(materialize(confirmed(new, sets, percent), "minhash-links"))
+        tested = tested.unionByName(new)
+        links, own, mixed, left = labelled(links)
     if not left:
         return links
+    rest = materialize(own.join(mixed.hint("merge"), "key", "left_semi"), "minhash-mixed")
     if left <= FEW_PAIRS:
-        mixed = parts.where("n * n > nn").select("key")
-        rest = materialize(own.join(mixed.hint("merge"), "key", "left_semi"), "minhash-mixed")
         other = rest.select("key", F.col("doc_id").alias("c_doc"), F.col("component").alias("c_comp"), F.col("n_shingles").alias("c_n"))
-        other = rest.join(other.hint("merge"), "key").where("doc_id < c_doc")
+        pairs = rest.join(other.hint("merge"), "key").where("doc_id < c_doc").where(apart)
     else:
-        mates = F.array_distinct(F.array(*[F.struct(F.min_by(F.struct("doc_id", "component", "n_shingles"), F.xxhash64("doc_id", "key", F.lit(i))).alias("m"))
-                                           for i in range(CENTRES, CENTRES + MORE_CENTRES)]))
-        star = own.groupBy("key").agg(mates.alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        star = star.select("key", F.explode("c").alias("c")).select("key", F.col("c.m.doc_id").alias("c_doc"), F.col("c.m.component").alias("c_comp"), F.col("c.m.n_shingles").alias("c_n"))
-        other = own.join(star.hint("merge"), "key")
-    apart = other.where(F.col("component") != F.col("c_comp")).where(likely.replace("na", "n_shingles").replace("nb", "c_n"))
-    new = materialize(ordered(apart).join(tested.hint("merge"), ["a", "b"], "left_anti"), "minhash-pairs")
-    return links.unionByName(materialize(confirmed(new, sets, percent), "minhash-links"))
+        pairs = prefix_pairs(materialize(rest.select("doc_id", "component").distinct(), "minhash-rest"), sets, percent)
+    return links.unionByName(materialize(confirmed(untested(pairs), sets, percent), "minhash-links"))
 
 
 def minhash_components(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:

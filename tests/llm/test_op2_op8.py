@@ -150,6 +150,37 @@ def test_stars_find_links_between_leaves(spark, monkeypatch):
     assert got == classes(rows)
 
 
+def loose_group(n, seed=2):
+    """Documents of likeness 0.6 that meet in buckets of hundreds; each is linked (0.85) with its partner alone."""
+    r = random.Random(seed)
+    rows = []
+    for d in range(0, n, 2):
+        at = r.sample(range(1, 98, 3), 8)
+        for k in (0, 1):
+            words = [f"w{i}" for i in range(100)]
+            for x in at[:6] if k else at[2:]:
+                words[x] = f"own{d}_{x}"
+            rows.append((d + k, " ".join(words)))
+    return rows
+
+
+def test_links_between_leaves_of_a_large_loose_group(spark):
+    rows = loose_group(3000)
+    a, b, c = (shingles(rows[i][1]) for i in (0, 1, 2))
+    assert 0.8 <= len(a & b) / len(a | b) < 0.9 and len(a & c) / len(a | c) < 0.7
+    got = {r.doc_id: r.component_id for r in op8.minhash_components(frame(spark, rows)).collect()}
+    assert got == {d: d - d % 2 for d, _ in rows}
+
+
+def test_blocks_of_a_hot_shingle(spark, monkeypatch):
+    monkeypatch.setattr(op8, "FEW_PAIRS", 0)
+    monkeypatch.setattr(op8, "MORE_CENTRES", 1)
+    monkeypatch.setattr(op8, "BLOCK", 3)
+    rows = near_corpus(9) + [(2000 + d, t) for d, t in loose_group(40)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op8.minhash_components(frame(spark, rows)).collect()}
+    assert got == classes(rows)
+
+
 def test_minhash_null_and_repeated_ids(spark):
     got = op8.minhash_components(frame(spark, [(None, "a b c"), (7, "a b c"), (7, "a b c"), (8, "x y z"), (3, "x y z"), (7, "x y z")])).collect()
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == [(-1, -1), (3, 3), (7, 3), (7, 3), (7, 3), (8, 3)]
