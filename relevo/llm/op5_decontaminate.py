@@ -8,7 +8,10 @@ template. An item's windows are its runs of WINDOW template words; a window need
 2. A document that holds at least SHARE of an item's distinct windows is a candidate for that item.
 3. Slot check, on the candidates only: where windows agree, the value in each slot of the item faces a value of
    the document. In a re-parameterised copy equal values of the item face equal values of the document; the share of
-   slots that face the most frequent partner of their value must reach CONSISTENT. No slots: 1.
+   slots that face the most frequent partner of their value must reach CONSISTENT. No slots: 1. A template that occurs
+   more than once faces itself at other places, so the best of several frames counts: all matches; all, each window of
+   the item on its diagonal (place in the document less place in the item) with the most matches; and the same within
+   each diagonal and each range of diagonals that holds SHARE of the item's windows. A verbatim copy has 1.
 
 What counts as a name: a capitalised word after a word, number or comma and one space, so not the first word of
 a sentence or line. All of it is DataFrame expressions.
@@ -90,33 +93,57 @@ def candidates(docs: DataFrame, wins: DataFrame, window: int = WINDOW, share: fl
     keys = ["doc_id", "text_hash", "item_id"]
     hits = pos.join(side, "h").groupBy(*keys, "h").agg(F.first("total").alias("total"))
     return (hits.groupBy(*keys).agg(F.count("*").alias("n"), F.first("total").alias("total"))
-            .select(*keys, (F.col("n") / F.col("total")).alias("containment")).where(F.col("containment") >= share))
+            .select(*keys, (F.col("n") / F.col("total")).alias("containment"), "total").where(F.col("containment") >= share))
 
 
-def _slotted(rows: DataFrame, keys: list[str], window: int, out: str) -> DataFrame:
-    """(keys, h, out): each window with slots, and the raw words of the window."""
+def _placed(rows: DataFrame, keys: list[str], window: int, out: str, at: str) -> DataFrame:
+    """(keys, h, out, at, literals, size): each window, its raw words, its place, its ordinary words, and the words of the text."""
     raw = F.regexp_extract_all(_marked(F.col("text"), True), F.lit(rf"[{SLOTS}][^ ]*|\p{{L}}+"), F.lit(0))
     typed = F.transform("r", lambda t: F.when(t.between(NUMBER, UNIT + "\uffff"), F.substring(t, 1, 1)).otherwise(F.lower(t)))
     return (rows.select(*keys, raw.alias("r")).select(*keys, "r", typed.alias("w"))
-            .select(*keys, F.explode(F.arrays_zip(_windows("w", window).alias("x"), _windows("r", window).alias("y"))).alias("z"))
-            .where(_literals("z.x", window) < window)
-            .select(*keys, _hash("z.x", window).alias("h"), F.array(*[F.col(f"z.y.c{i}") for i in range(window)]).alias(out)))
+            .select(*keys, F.size("w").alias("size"), F.posexplode(F.arrays_zip(_windows("w", window).alias("x"), _windows("r", window).alias("y"))).alias(at, "z"))
+            .select(*keys, _hash("z.x", window).alias("h"), F.array(*[F.col(f"z.y.c{i}") for i in range(window)]).alias(out), at, _literals("z.x", window).alias("literals"), "size"))
 
 
-def slot_consistency(docs: DataFrame, items: DataFrame, cand: DataFrame, window: int = WINDOW) -> DataFrame:
+def slot_consistency(docs: DataFrame, items: DataFrame, cand: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """(doc_id, text_hash, item_id, consistency) for the candidates that have slots in common with the item."""
     keys = cand.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct()
     side = F.broadcast(keys) if _few(keys, MAX_BROADCAST_KEYS) else keys.hint("merge")
     own = docs.join(side, docs["doc_id"].eqNullSafe(F.col("_d")) & (docs["text_hash"] == F.col("_t")), "left_semi").dropDuplicates(["doc_id", "text_hash"])
-    of_doc = _slotted(own, ["doc_id", "text_hash"], window, "theirs")
-    picked = cand.select("doc_id", "text_hash", "item_id").withColumnsRenamed({"doc_id": "_d", "text_hash": "_t"})
+    of_doc = _placed(own, ["doc_id", "text_hash"], window, "theirs", "there").drop("literals", "size")
+    picked = cand.select("doc_id", "text_hash", "item_id", "total").withColumnsRenamed({"doc_id": "_d", "text_hash": "_t"})
     both = of_doc.join(picked, of_doc["doc_id"].eqNullSafe(F.col("_d")) & (of_doc["text_hash"] == F.col("_t")))
-    of_item = _slotted(items, ["item_id"], window, "ours").withColumnRenamed("item_id", "_i").withColumnRenamed("h", "_h").distinct()
-    pairs = (both.join(of_item, (F.col("h") == F.col("_h")) & F.col("item_id").eqNullSafe(F.col("_i")))
-             .select("doc_id", "text_hash", "item_id", F.explode(F.arrays_zip("ours", "theirs")).alias("s")).where(F.col("s.ours").between(NUMBER, UNIT + "\uffff")))
-    faced = pairs.groupBy("doc_id", "text_hash", "item_id", "s.ours", "s.theirs").agg(F.count("*").alias("n"))
-    best = faced.groupBy("doc_id", "text_hash", "item_id", "ours").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
-    return best.groupBy("doc_id", "text_hash", "item_id").agg((F.sum("most") / F.sum("n")).alias("consistency"))
+    texts = items.where("text is not null").dropDuplicates(["item_id", "text"]).withColumn("of", F.xxhash64("text"))  # an id may have several texts
+    of_item = _placed(texts, ["item_id", "of"], window, "ours", "here").withColumnsRenamed({"item_id": "_i", "h": "_h"})
+    key = ["doc_id", "text_hash", "item_id"]
+    met = (both.join(of_item, (F.col("h") == F.col("_h")) & F.col("item_id").eqNullSafe(F.col("_i")))
+           .select(*key, "total", "of", "here", (F.col("there") - F.col("here")).alias("diagonal"), "ours", "theirs", "size", F.when(F.col("literals") >= MIN_LITERALS, F.col("h")).alias("h")))
+
+    half = F.greatest(F.lit(window), F.expr("cast(size div 4 as int)"))
+
+    def ranges(shift) -> Column:
+        return F.floor((F.col("diagonal") + shift) / (2 * half))
+
+    def frame(kind: str, place: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.when(F.lit(kind not in ("all", "best")), F.col("of")).alias("of"), place.cast("long").alias("place"))
+
+    frames = F.array(frame("all", F.lit(0)), frame("best", F.lit(0)), frame("diagonal", F.col("diagonal")), frame("even", ranges(F.lit(0))), frame("odd", ranges(half)))
+    framed = met.withColumn("frame", F.explode(frames))
+    line = [*key, "frame", "of", "diagonal"]
+    held = framed.groupBy(*line).agg(F.count("*").alias("held")).withColumnsRenamed({c: f"_{c}" for c in line})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in line]
+    # in "all" each match stands for itself; else each window of the item keeps one match
+    spot = F.when(F.col("frame.kind") == "all", F.col("diagonal"))
+    kept = (framed.join(held, same).groupBy(*key, "frame", "of", "here", spot.alias("spot"))
+            .agg(F.max_by(F.struct("ours", "theirs"), F.struct("held", -F.col("diagonal"))).alias("m"), F.first("total").alias("total"), F.first("h").alias("h")))
+    slots = F.filter(F.arrays_zip(F.col("m.ours").alias("ours"), F.col("m.theirs").alias("theirs")), lambda x: x["ours"].between(NUMBER, UNIT + "\uffff"))
+    kept = kept.withColumn("s", slots)
+    whole = kept.groupBy(*key, "frame").agg((F.count_distinct("h") / F.first("total")).alias("part"))
+    whole = whole.where((F.col("part") >= share) | F.col("frame.kind").isin("all", "best")).select(*[F.col(c).alias(f"_{c}") for c in [*key, "frame"]])
+    faced = kept.select(*key, "frame", F.explode("s").alias("s")).groupBy(*key, "frame", "s.ours", "s.theirs").agg(F.count("*").alias("n"))
+    best = faced.groupBy(*key, "frame", "ours").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
+    one = best.groupBy(*key, "frame").agg((F.sum("most") / F.sum("n")).alias("consistency"))
+    return (one.join(whole, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*key, "frame"]], "left_semi").groupBy(*key).agg(F.max("consistency").alias("consistency")))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: float = SHARE, consistent: float = CONSISTENT) -> DataFrame:
@@ -124,7 +151,7 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, share:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").withColumn("text_hash", F.xxhash64("text"))
     own = items.select("item_id", "text")
     cand = materialize(candidates(rows, materialize(item_windows(own, window), "item-windows"), window, share), "leak-candidates")
-    slots = slot_consistency(rows, own, cand, window).withColumnsRenamed({"doc_id": "_d", "text_hash": "_t", "item_id": "_i"})
+    slots = slot_consistency(rows, own, cand, window, share).withColumnsRenamed({"doc_id": "_d", "text_hash": "_t", "item_id": "_i"})
     on = cand["doc_id"].eqNullSafe(F.col("_d")) & (cand["text_hash"] == F.col("_t")) & cand["item_id"].eqNullSafe(F.col("_i"))
     return (cand.join(slots, on, "left").select("doc_id", "text_hash", "item_id", "containment", F.coalesce("consistency", F.lit(1.0)).alias("consistency"))
             .where(F.col("consistency") >= consistent))

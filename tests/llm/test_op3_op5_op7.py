@@ -108,6 +108,19 @@ def test_inconsistent_slots_are_another_text(spark):
     assert [(r.doc_id, r.consistency) for r in got] == [(2, 1.0)]
 
 
+BOXES = "Anna packs a box that holds 12 red balls. Later Ben packs a box that holds 30 red balls. How many balls are there?"
+
+
+def test_repeated_templates_face_themselves(spark):
+    again = BOXES.replace("Ben", "Tom").replace("12", "7").replace("30", "9")
+    other = BOXES.replace("12", "4").replace("30", "5")
+    split = BOXES.replace("Later", "Much later, I was told,")
+    rows = [(1, BOXES), (2, f"{BOXES}\n{again}"), (3, f"{other}\n{again}\n{BOXES}"), (4, split), (5, PROSE)]
+    got = op5.contaminated(pages(spark, rows), items(spark, [(1, BOXES)])).collect()
+    found = {r.doc_id: r.consistency for r in got}
+    assert found[1] == found[2] == found[3] == 1.0 and 5 not in found
+
+
 def brute_words(text):
     """Template words, in plain Python."""
     t = text or ""
