@@ -13,12 +13,13 @@ from relevo.llm import (
     op8_minhash_dedup,
     op9_warc,
     op10_pii,
+    op11_periodic_runs,
     op12_hard_negatives,
     op13_pivotal_mix,
 )
 
 _MODULES = (op1_language_id, op2_substring_dedup, op3_sentencepiece, op4_toxicity, op5_decontaminate, op6_token_pack, op7_simhash, op8_minhash_dedup, op9_warc, op10_pii,
-            op12_hard_negatives, op13_pivotal_mix)
+            op11_periodic_runs, op12_hard_negatives, op13_pivotal_mix)
 
 
 def _name(module) -> str:
