@@ -11,12 +11,17 @@ Two scorers exist in the source system:
   ``avgdl`` over whitespace tokens, tf = substring count, missing idf ``ln(N+1)``,
   ``k = 1.2, b = .75`` and the length term ``b * dl / avgdl`` not scaled by k.
 
-The index is an inverted file ``(term, product_uid, tf, dl, weight)``: the per-posting
-BM25 weight is computed once at build time, so a query is one equi-join on
-``term`` plus a sum. It is written to a folder, partitioned by a bucket of the term's
-hash and sorted by term within files, and can be opened again by later sessions. A query
-reads the buckets of its words only (partition pruning), and in them the row groups whose
-terms may match.
+The index is an inverted file of blocks of documents. A row ``(term, block, n, max_tf, min_dl, docs)`` holds the postings
+of a term in a block of at most BLOCK_DOCS documents, by slot, with the largest count and the least length among them, which
+bound every weight in the row. The file is written to a folder, partitioned by a bucket of the term's
+hash and sorted by term, and can be opened again by later sessions. A query reads the buckets of its words
+only (partition pruning), and in them the row groups whose terms may match.
+
+``top_n`` deals the rows of the queries' words by block and gives a block to a task as a whole. There each query adds up its words'
+weights over the block's documents, the words with the largest bounds first. As soon as the bounds of the words left
+sum up to less than the n-th best score so far, no document without one of the words seen can be among the n best, and of
+those seen only the ones that can still get there are looked up in the postings of the words left. So frequent words
+are not scored everywhere, and nothing is lost. A block returns n rows per query at most.
 """
 
 from __future__ import annotations
@@ -36,16 +41,24 @@ from relevo.session import checkpoint_dir, materialize
 # it the join shuffles on ``term`` and AQE splits skewed (frequent-word) partitions.
 BROADCAST_QUERY_TERMS = 200_000
 
+#: Documents of a block (a power of two), and queries that meet a block at a time.
+BLOCK_DOCS = 4096
+QUERY_BLOCK = 512
+#: Block rows per bucket aimed at, and the bounds of the number of buckets.
+BUCKET_ROWS = 500_000
+MIN_BUCKETS, MAX_BUCKETS = 32, 4096
+#: What sums of doubles and the rounding of scores may differ by.
+SLACK = 1e-5
 
-#: Postings per bucket aimed at, and the bounds of the number of buckets.
-BUCKET_POSTINGS = 2_000_000
-MIN_BUCKETS, MAX_BUCKETS = 64, 4096
+POSTINGS = ("term string, block long, n int, max_tf long, min_dl int, "
+            "docs array<struct<slot:int,product_uid:long,tf:long,dl:int>>, bucket int")
+TERMS = "term string, df long, idf double, bucket int"
 
 
 @dataclass
 class Bm25Index:
-    postings: DataFrame      # term, product_uid, tf, dl, weight, bucket
-    idf: DataFrame           # term, df, idf
+    postings: DataFrame      # POSTINGS
+    idf: DataFrame           # TERMS
     n_docs: int
     avgdl: float
     k1: float
@@ -53,6 +66,10 @@ class Bm25Index:
     buckets: int
     path: str
 
+    def part(self, tf, dl):
+        """The weight of a posting without its idf, as a column or an array; grows with tf, shrinks with dl."""
+        return tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * dl / self.avgdl))
+
 
 def _bucket(term, buckets: int):
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
@@ -63,32 +80,42 @@ def build_okapi(docs: DataFrame, uid: str = "product_uid", text: str = "text",
     """R3 index over ``docs(uid, text)``, written under ``path`` (default: a new folder of the
     checkpoint folder); ``text`` is already cleaned and ``uid`` unique.
 
-    The cleaned text is tokenized exactly once: term frequencies are written and every later
-    statistic is an aggregate over that table; N is the number of rows of ``docs``.
+    The text is cleaned and tokenized once. Postings move twice: to count a document's words (not where documents are
+    already dealt by id), and to lie by bucket; a frequent term is one row per block of documents, dealt over the
+    files of its bucket. Every statistic is an aggregate of the block rows.
     ``explode_outer`` (a split never returns an empty array) keeps Spark from inferring a filter
     that re-evaluates the whole cleaning expression.
     """
     spark = docs.sparkSession
     path = path or f"{checkpoint_dir(spark).rstrip('/')}/bm25-{uuid.uuid4().hex[:12]}"
-    toks = docs.select(F.col(uid).alias("product_uid"), F.split(F.col(text), " ").alias("toks"))
-    occ = toks.select("product_uid", F.size("toks").alias("dl"), F.explode_outer("toks").alias("term"))
-    tf = materialize(occ.groupBy("term", "product_uid", "dl").agg(F.count(F.lit(1)).alias("tf")), "bm25-tf")
     n_docs = docs.count()
-    st = tf.agg(F.sum("tf").alias("tot"), F.count("*").alias("rows")).first()
-    avgdl = float(st["tot"] or 0) / max(n_docs, 1)
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # a bucket's number comes before any count is known: one per BUCKET_ROWS at about 8 block rows a document
+    buckets = max(MIN_BUCKETS, min(MAX_BUCKETS, n_docs * 8 // BUCKET_ROWS))
+    files = max(1, n_docs * 8 // (buckets * BUCKET_ROWS))
+    toks = docs.select(F.col(uid).alias("product_uid"), F.split(F.col(text), " ").alias("toks"))
+    toks = toks.select("product_uid", F.size("toks").alias("dl"), "toks").sortWithinPartitions("dl", "product_uid")
+    toks = toks.withColumn("number", F.monotonically_increasing_id())
+    occ = toks.select("product_uid", "number", "dl", F.explode_outer("toks").alias("term"))
+    tf = occ.groupBy("term", "product_uid", "number", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    block = F.shiftright("number", BLOCK_DOCS.bit_length() - 1)
+    tf = tf.withColumn("block", block).withColumn("bucket", _bucket("term", buckets)).withColumn("file", F.pmod("block", F.lit(files)))
+    doc = F.struct((F.col("number") % BLOCK_DOCS).cast("int").alias("slot"), "product_uid", "tf", "dl")
+    rows = (tf.repartition("bucket", "file").groupBy("bucket", "file", "term", "block")
+            .agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"),
+                 F.sort_array(F.collect_list(doc)).alias("docs")))
+    (rows.drop("file").sortWithinPartitions("bucket", "term", "block")
+     .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
+    blocks = spark.read.schema(POSTINGS).parquet(f"{path}/postings")
+
+    cf = F.aggregate("docs", F.lit(0).cast("long"), lambda s, d: s + d["tf"])
+    df = blocks.groupBy("term").agg(F.sum("n").alias("df"), F.sum(cf).alias("cf"))
     raw = materialize(df.withColumn("idf", F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)), "bm25-idf")
-    mean_idf = raw.agg(F.avg("idf")).first()[0] or 0.0
+    st = raw.agg(F.sum("cf").alias("tot"), F.avg("idf").alias("mean")).first()
+    avgdl, mean_idf = float(st["tot"] or 0) / max(n_docs, 1), st["mean"] or 0.0
     idf = raw.withColumn("idf", F.when(F.col("idf") < 0, F.lit(epsilon * mean_idf)).otherwise(F.col("idf")))
-    w = (F.col("idf") * F.col("tf") * (k1 + 1)
-         / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl))))
-    buckets = max(MIN_BUCKETS, min(MAX_BUCKETS, st["rows"] // BUCKET_POSTINGS))
-    postings = tf.join(idf.select("term", "idf"), "term").select(
-        "term", "product_uid", "tf", "dl", w.alias("weight"), _bucket("term", buckets).alias("bucket"))
-    # range partitions: a frequent term may span several files, and each file holds few buckets
-    (postings.repartitionByRange("bucket", "term", "product_uid").sortWithinPartitions("bucket", "term")
-     .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
-    idf.write.mode("overwrite").parquet(f"{path}/idf")
+    idf = idf.select("term", "df", "idf", _bucket("term", buckets).alias("bucket"))
+    (idf.repartition("bucket").sortWithinPartitions("bucket", "term")
+     .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/idf"))
     meta = spark.createDataFrame([(n_docs, avgdl, k1, b, buckets)], "n_docs long, avgdl double, k1 double, b double, buckets int")
     meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
     return open_okapi(spark, path)
@@ -97,8 +124,8 @@ def build_okapi(docs: DataFrame, uid: str = "product_uid", text: str = "text",
 def open_okapi(spark: SparkSession, path: str) -> Bm25Index:
     """An index written by ``build_okapi``."""
     m = spark.read.parquet(f"{path}/meta").first()
-    postings = spark.read.schema("term string, product_uid long, tf long, dl int, weight double, bucket int").parquet(f"{path}/postings")
-    return Bm25Index(postings, spark.read.parquet(f"{path}/idf"), m["n_docs"], m["avgdl"], m["k1"], m["b"], m["buckets"], path)
+    return Bm25Index(spark.read.schema(POSTINGS).parquet(f"{path}/postings"), spark.read.schema(TERMS).parquet(f"{path}/idf"),
+                     m["n_docs"], m["avgdl"], m["k1"], m["b"], m["buckets"], path)
 
 
 def query_terms(queries: DataFrame, qid: str = "query_id", text: str = "text") -> DataFrame:
@@ -108,27 +135,132 @@ def query_terms(queries: DataFrame, qid: str = "query_id", text: str = "text") -
                    .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
 
 
+def _known_terms(index: Bm25Index, queries: DataFrame, qid: str, text: str) -> tuple[DataFrame, DataFrame, bool]:
+    """(query_id, term, bucket, w) of the words of the queries that occur in the index, the postings of their buckets, and whether
+    the words may be broadcast; ``w`` is the idf times the word's count in the query."""
+    qt = materialize(query_terms(queries, qid, text).withColumn("bucket", _bucket("term", index.buckets)), "query-words")
+    need = sorted(r[0] for r in qt.select("bucket").distinct().collect())  # MAX_BUCKETS numbers at most
+    pruned = lambda df: df.where(F.col("bucket").isin(need)) if need else df.where("false")
+    few = fits(qt, BROADCAST_QUERY_TERMS)
+    known = pruned(index.idf).join(F.broadcast(qt) if few else qt, ["bucket", "term"])
+    return known.select("query_id", "term", "bucket", (F.col("qtf") * F.col("idf")).alias("w")), pruned(index.postings), few
+
+
 def score(index: Bm25Index, queries: DataFrame, qid: str = "query_id", text: str = "text") -> DataFrame:
     """(query_id, product_uid, score) for every document sharing a word with the query."""
-    qt = materialize(query_terms(queries, qid, text).withColumn("bucket", _bucket("term", index.buckets)), "query-terms")
-    need = sorted(r[0] for r in qt.select("bucket").distinct().collect())  # MAX_BUCKETS numbers at most
-    hits = index.postings.where(F.col("bucket").isin(need)) if need else index.postings.where("false")
-    if fits(qt, BROADCAST_QUERY_TERMS):
-        qt = F.broadcast(qt)
-    hits = hits.join(qt, ["bucket", "term"])
-    return (hits.groupBy("query_id", "product_uid")
-                .agg(F.sum(F.col("qtf") * F.col("weight")).alias("score")))
+    terms, postings, few = _known_terms(index, queries, qid, text)
+    hits = postings.join(F.broadcast(terms) if few else terms, ["bucket", "term"]).select("query_id", "w", F.explode("docs").alias("d"))
+    return (hits.groupBy("query_id", F.col("d.product_uid").alias("product_uid"))
+                .agg(F.sum(F.col("w") * index.part(F.col("d.tf"), F.col("d.dl"))).alias("score")))
+
+
+def best_of_block(weights, bounds, slots, part, size: int, n: int):
+    """(slots, scores, postings read) of documents of a block that hold its ``n`` best for one query, with their whole scores.
+
+    For each word of the query: its weight, the most that it adds, its documents' slots in order, and a function that gives the weights without idf
+    of some of them (None: all). Bounds prune only while all weights are above 0."""
+    import numpy as np
+
+    order = np.argsort(-bounds, kind="stable")
+    left = np.append(np.cumsum(bounds[order][::-1])[::-1], 0.0)   # left[j]: what words j and later add at most
+    if len(weights) and weights.min() <= 0:
+        left[:] = np.inf
+    score, seen = np.zeros(size), np.zeros(size, dtype=bool)
+    least, read, j = -np.inf, 0, 0
+
+    def nth(x):
+        return np.partition(x, len(x) - n)[len(x) - n] - SLACK if len(x) >= n else -np.inf
+
+    while j < len(order) and not left[j] < least:
+        t = order[j]
+        score[slots[t]] += weights[t] * part(t, None)
+        seen[slots[t]] = True
+        read += len(slots[t])
+        j += 1
+        if j < len(order) and np.isfinite(left[j]):
+            least = max(least, nth(score))
+            least = least if least > 0 else -np.inf               # slots without a word of the query score 0
+    found = np.flatnonzero(seen & (score + left[j] >= least))
+    while j < len(order) and len(found):
+        t = order[j]
+        at = np.minimum(np.searchsorted(slots[t], found), len(slots[t]) - 1)
+        hit = slots[t][at] == found
+        score[found[hit]] += weights[t] * part(t, at[hit])
+        read += int(hit.sum())
+        j += 1
+        least = max(least, nth(score[found]))
+        found = found[score[found] + left[j] >= least]
+    return found, score[found], read
+
+
+def _search_blocks(index: Bm25Index, n: int, digits: int, count: bool):
+    """Top n rows of one block and one block of queries; rows are (docs, bound, queries) per term."""
+    import numpy as np
+    import pyarrow as pa
+
+    part_of = Bm25Index(None, None, index.n_docs, index.avgdl, index.k1, index.b, index.buckets, "").part
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        lists = [table.column(c).chunk(0) for c in ("docs", "queries")]
+        ends = [np.asarray(x.offsets) for x in lists]
+        flat = {f: np.asarray(lists[0].values.field(f)) for f in ("slot", "product_uid", "tf", "dl")}
+        asked = {f: lists[1].values.field(f) for f in ("query_id", "w")}
+        top = part_of(np.asarray(table.column("max_tf")), np.asarray(table.column("min_dl")))
+        uid = np.zeros(BLOCK_DOCS, dtype=np.int64)
+        known: dict[int, np.ndarray] = {}
+
+        def part(row, at):
+            lo, hi = ends[0][row], ends[0][row + 1]
+            if at is None:
+                if row not in known:
+                    known[row] = part_of(flat["tf"][lo:hi], flat["dl"][lo:hi])
+                return known[row]
+            return part_of(flat["tf"][lo + at], flat["dl"][lo + at])
+
+        lo, hi = ends[0][0], ends[0][-1]
+        uid[flat["slot"][lo:hi]] = flat["product_uid"][lo:hi]
+        lo, hi = ends[1][0], ends[1][-1]
+        ids = asked["query_id"].slice(lo, hi - lo).dictionary_encode()
+        of, w = np.asarray(ids.indices), np.asarray(asked["w"])[lo:hi]
+        row = np.repeat(np.arange(len(table)), np.diff(ends[1]))
+        order = np.argsort(of, kind="stable")
+        starts = np.searchsorted(of[order], np.arange(len(ids.dictionary) + 1))
+        out = []
+        for q in range(len(ids.dictionary)):
+            mine = order[starts[q]:starts[q + 1]]
+            rows = row[mine]
+            slots = [flat["slot"][ends[0][r]:ends[0][r + 1]] for r in rows]
+            found, score, read = best_of_block(w[mine], w[mine] * top[rows], slots, lambda t, at, rows=rows: part(rows[t], at), BLOCK_DOCS, n)
+            score = np.round(score, digits)
+            best = np.lexsort((uid[found], -score))[:n]
+            held = sum(map(len, slots))
+            out.append((np.full(len(best), q), uid[found[best]], score[best], np.full(len(best), read), np.full(len(best), held)))
+        cols = [np.concatenate([o[i] for o in out]) for i in range(5)]
+        names = ["query_id", "product_uid", "score", "read", "held"]
+        arrays = [ids.dictionary.take(pa.array(cols[0], pa.int64())), *[pa.array(c) for c in cols[1:]]]
+        return pa.table(arrays if count else arrays[:3], names=names if count else names[:3])
+    return run
 
 
 def top_n(index: Bm25Index, queries: DataFrame, n: int = 100, qid: str = "query_id",
-          text: str = "text", digits: int = 6) -> DataFrame:
+          text: str = "text", digits: int = 6, count: bool = False) -> DataFrame:
     """R3 + W4: the n best documents per query (score desc, product_uid asc).
 
     Scores are rounded to ``digits`` before ranking so the order does not depend
-    on the summation order of floating point terms.
+    on the summation order of floating point terms. ``count`` adds how many postings of its block a row's query has read, of how many.
+    A task holds the postings that one block has of the words of QUERY_BLOCK queries: at most the block's own words.
     """
-    s = score(index, queries, qid, text).withColumn("score", F.round("score", digits))
-    return top_n_per_group(s, "query_id", [F.desc("score"), F.asc("product_uid")], n,
+    terms, postings, few = _known_terms(index, queries, qid, text)
+    parts = max(1, -(-queries.count() // QUERY_BLOCK))
+    asked = (terms.groupBy("bucket", "term", F.pmod(F.xxhash64("query_id"), F.lit(parts)).alias("queries_of"))
+             .agg(F.collect_list(F.struct("query_id", "w")).alias("queries")))
+    asked = F.broadcast(asked) if few else asked
+    hits = postings.join(asked, ["bucket", "term"]).select("queries_of", "block", "max_tf", "min_dl", "docs", "queries")
+    kind = dict(terms.dtypes)["query_id"]
+    found = hits.groupBy("queries_of", "block").applyInArrow(_search_blocks(index, n, digits, count), f"query_id {kind}, product_uid long, score double" + (
+        ", read long, held long" if count else ""))
+    return top_n_per_group(found, "query_id", [F.desc("score"), F.asc("product_uid")], n,
                            salt_cols=["product_uid"])
 
 

@@ -496,7 +496,7 @@ def q_search_candidates(spark, sf_dir):
     """Cleaned + corrected query -> BM25 top 100 of the catalog -> every product with such a text."""
     cat = materialize(search.catalog(spark, sf_dir), "catalog")
     q = search.corrected_queries(spark, sf_dir, cat)
-    top = search.candidates(cat, q, n=100)
+    top = search.candidates(cat, search.catalog_index(spark, sf_dir, cat), q, n=100)
     return (top.join(q.withColumnRenamed("text", "search_term"), "query_id").join(cat, "product_uid")
                .select("query_id", "rank", "product_uid", "product_title", "search_term", "brand"))
 

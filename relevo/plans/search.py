@@ -26,11 +26,31 @@ from relevo.sources import fixtures as fx
 from relevo.sources import tables as T
 
 
+#: Where a session keeps the indexes that it has built, by application, folder of tables and what they hold.
+_indexes: dict[tuple[str, str, str], str] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str, name: str, docs, path: str | None = None) -> bm25.Bm25Index:
+    """The index ``name`` of a folder of tables: built once per session (or under ``path``), then opened from its files."""
+    at = (spark.sparkContext.applicationId, sf_dir, name)
+    if path is None and at in _indexes:
+        return bm25.open_okapi(spark, _indexes[at])
+    idx = bm25.build_okapi(docs(), path=path)
+    _indexes[at] = idx.path
+    return idx
+
+
 def document_index(spark: SparkSession, sf_dir: str, path: str | None = None) -> bm25.Bm25Index:
-    """BM25Okapi index over the cleaned text of every document, written under ``path``."""
-    d = T.documents(spark, sf_dir, ("doc_id", "text"))
-    return bm25.build_okapi(d.select(F.col("doc_id").alias("product_uid"),
-                                     tx.clean_text("text").alias("text")), path=path)
+    """BM25Okapi index over the cleaned text of every document; written under ``path`` if that is given."""
+    def docs():
+        d = T.documents(spark, sf_dir, ("doc_id", "text"))
+        return d.select(F.col("doc_id").alias("product_uid"), tx.clean_text("text").alias("text"))
+    return _index(spark, sf_dir, "documents", docs, path)
+
+
+def catalog_index(spark: SparkSession, sf_dir: str, cat: DataFrame) -> bm25.Bm25Index:
+    """BM25Okapi index over the texts of the catalog."""
+    return _index(spark, sf_dir, "catalog", lambda: cat.select("product_uid", "text"))
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,10 +67,9 @@ def corrected_queries(spark: SparkSession, sf_dir: str, cat: DataFrame) -> DataF
     return materialize(spell.correct_text(q, "query_id", "text", vocab, out="text"), "corrected-queries")
 
 
-def candidates(cat: DataFrame, queries: DataFrame, n: int = 100) -> DataFrame:
+def candidates(cat: DataFrame, idx: bm25.Bm25Index, queries: DataFrame, n: int = 100) -> DataFrame:
     """R6 + J6: the n best catalog texts per query, and every product that has such a text
     (query_id, rank, product_uid); a product's rank is the best of its text."""
-    idx = bm25.build_okapi(cat.select("product_uid", "text"))
     top = materialize(bm25.top_n(idx, queries, n=n), "candidates-top")
     texts = cat.select("product_uid", "text")
     hit = top.join(texts, "product_uid").select("query_id", "rank", F.xxhash64("text").alias("h"), "text")
@@ -99,7 +118,7 @@ def search_top10(spark: SparkSession, sf_dir: str, n: int = 100, k: int = 10, gb
     # 2. corrected queries and their candidate products
     cat = materialize(catalog(spark, sf_dir), "catalog")
     q = corrected_queries(spark, sf_dir, cat)
-    cand = candidates(cat, q, n).join(q, "query_id").select(
+    cand = candidates(cat, catalog_index(spark, sf_dir, cat), q, n).join(q, "query_id").select(
         F.concat_ws(":", "query_id", "product_uid").alias("pair_id"), "query_id", "product_uid",
         tx.standardize_measures(tx.remove_special_char("text")).alias("q"))
     cand = materialize(cand, "candidates")

@@ -59,6 +59,81 @@ def test_bm25_okapi(spark):
                 assert abs(got[(qid, uid)] - s) < 1e-9
 
 
+def zipf_corpus(seed, n_docs=400, vocab=300):
+    import random
+    r = random.Random(seed)
+    words = [f"w{i}" for i in range(vocab)]
+    weight = [1 / (i + 1) for i in range(vocab)]
+    return [" ".join(r.choices(words, weight, k=r.choice([3, 8, 30, 120]))) for _ in range(n_docs)]
+
+
+def test_pruned_top_n_equals_full_scoring(spark, monkeypatch):
+    corpus = zipf_corpus(1)
+    corpus += corpus[:40]  # ties
+    docs = spark.createDataFrame([(i * 3, t) for i, t in enumerate(corpus)], "product_uid long, text string").repartition(3)
+    queries = [" ".join(c.split()[:k]) for c, k in zip(corpus[::37], [1, 2, 5, 12, 40, 100, 3, 7, 9, 20, 30, 60])] + ["w0 w0 w1", "nothing here", "w299 w298", ""]
+    q = spark.createDataFrame(list(enumerate(queries)), "query_id long, text string")
+    for n, block, asked in [(1, 4096, 512), (10, 64, 3), (500, 16, 512)]:
+        monkeypatch.setattr(bm25, "BLOCK_DOCS", block)
+        monkeypatch.setattr(bm25, "QUERY_BLOCK", asked)
+        idx = bm25.build_okapi(docs)
+        got = sorted((r.query_id, r["rank"], r.product_uid, r.score) for r in bm25.top_n(idx, q, n=n).collect())
+        want = []
+        for qid, text in enumerate(queries):
+            scores = py_bm25_scores(corpus, text)
+            hits = sorted((-round(x, 6), i * 3) for i, x in enumerate(scores) if x > 0)[:n]
+            want += [(qid, k + 1, uid, -x) for k, (x, uid) in enumerate(hits)]
+        assert [g[:3] for g in got] == [w[:3] for w in want]
+        assert all(abs(g[3] - w[3]) < 1e-5 for g, w in zip(got, want))
+
+
+def test_frequent_words_are_not_scored_everywhere(spark):
+    idx = bm25.build_okapi(spark.createDataFrame([(i, t) for i, t in enumerate(zipf_corpus(3, 2000))], "product_uid long, text string").coalesce(1))
+    q = spark.createDataFrame([(1, "w0 w1 w2 w3 w4 w150 w200 w250"), (2, "w0 w1 w100 w299")], "query_id long, text string")
+    for r in bm25.top_n(idx, q, n=5, count=True).collect():
+        assert 0 < r.read < r.held / 2
+
+
+def test_negative_weights_are_scored_everywhere(spark):
+    # every word is in more than half of the documents, so the mean idf and all weights are negative
+    corpus = ["a b c", "a b c d", "a b d c", "b a c d", "a c d", "b c d a a"]
+    idx = bm25.build_okapi(spark.createDataFrame(list(enumerate(corpus)), "product_uid long, text string"))
+    assert not idx.idf.where("idf < 0").isEmpty()
+    got = [(r["rank"], r.product_uid, r.score) for r in bm25.top_n(idx, spark.createDataFrame([(1, "a b d")], "query_id long, text string"), n=4).orderBy("rank").collect()]
+    want = sorted((-round(x, 6), i) for i, x in enumerate(py_bm25_scores(corpus, "a b d")))[:4]
+    assert [(k + 1, i, -x) for k, (x, i) in enumerate(want)] == got
+
+
+def test_best_of_block_against_whole_sums():
+    import numpy as np
+    r = np.random.default_rng(5)
+    for case in range(200):
+        size, words, n = 64, int(r.integers(1, 9)), int(r.integers(1, 12))
+        slots = [np.flatnonzero(r.random(size) < p) for p in r.random(words)]
+        slots = [s if len(s) else np.array([3]) for s in slots]
+        parts = [np.round(r.random(len(s)), 1) for s in slots]
+        w = np.round(r.random(words) * 3, 1) + (-1.0 if case % 10 == 0 else 0.1)
+        whole, has = np.zeros(size), np.zeros(size, dtype=bool)
+        for s, p, x in zip(slots, parts, w):
+            whole[s] += x * p
+            has[s] = True
+        found, score, read = bm25.best_of_block(w, w * np.array([p.max() for p in parts]), slots, lambda t, at: parts[t] if at is None else parts[t][at], size, n)
+        assert read <= sum(map(len, slots)) and np.allclose(score, whole[found])
+        order = sorted(np.flatnonzero(has), key=lambda i: (-round(whole[i], 6), i))[:n]
+        mine = sorted(found, key=lambda i: (-round(whole[i], 6), i))[:n]
+        assert order == mine
+
+
+def test_blocks_bound_their_postings(spark):
+    docs = spark.createDataFrame(list(enumerate(zipf_corpus(2, 100))), "product_uid long, text string")
+    idx = bm25.build_okapi(docs)
+    rows = idx.postings.collect()
+    assert sum(r.n for r in rows) == sum(len(set(t.split(" "))) for t in zipf_corpus(2, 100))
+    for r in rows:
+        assert r.n == len(r.docs) <= bm25.BLOCK_DOCS and [d.slot for d in r.docs] == sorted({d.slot for d in r.docs})
+        assert r.max_tf == max(d.tf for d in r.docs) and r.min_dl == min(d.dl for d in r.docs)
+
+
 def test_salted_topn_equals_plain(spark):
     df = spark.range(0, 5000).select((F.col("id") % 3).alias("g"), F.col("id").alias("k"),
                                      ((F.col("id") * 7919) % 1000).alias("v"))
