@@ -166,3 +166,14 @@ def edits_sql(src: str) -> str:
 UNION ALL SELECT word, substr(s, 1, i - 1) || substr(s, i + 1, 1) || substr(s, i, 1) || substr(s, i + 2) FROM (SELECT word, s, unnest(range(1, length(s))) AS i FROM {src})
 UNION ALL SELECT word, substr(s, 1, i - 1) || c || substr(s, i + 1) FROM (SELECT word, s, unnest(range(1, length(s) + 1)) AS i FROM {src}) CROSS JOIN letters
 UNION ALL SELECT word, substr(s, 1, i) || c || substr(s, i + 1) FROM (SELECT word, s, unnest(range(0, length(s) + 1)) AS i FROM {src}) CROSS JOIN letters"""
+
+
+def inverse_edits_sql(src: str) -> str:
+    """All strings from which one edit leads to column ``s`` of CTE ``src`` (carrying ``word``), as (word, x); ``chars`` holds the
+    characters that a deleted or replaced one may have been. Only a-z can have been inserted or put in place of another."""
+    is_letter = "regexp_matches(substr(s, i, 1), '^[a-z]$')"
+    each = f"(SELECT word, s, unnest(range(1, length(s) + 1)) AS i FROM {src})"
+    return f"""SELECT word, substr(s, 1, i - 1) || substr(s, i + 1) AS x FROM {each} WHERE {is_letter}
+UNION ALL SELECT word, substr(s, 1, i - 1) || substr(s, i + 1, 1) || substr(s, i, 1) || substr(s, i + 2) FROM (SELECT word, s, unnest(range(1, length(s))) AS i FROM {src})
+UNION ALL SELECT word, substr(s, 1, i - 1) || c || substr(s, i + 1) FROM {each} CROSS JOIN chars WHERE {is_letter}
+UNION ALL SELECT word, substr(s, 1, i) || c || substr(s, i + 1) FROM (SELECT word, s, unnest(range(0, length(s) + 1)) AS i FROM {src}) CROSS JOIN chars"""

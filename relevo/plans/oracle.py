@@ -335,8 +335,8 @@ SELECT p.pair_id, round(coalesce(c, 0.0), 6) AS cosine_tfidf FROM nb_pairs p LEF
 
 # ------------------------------------------------------------------ spelling ---
 
-_VOCAB_PART = f"""lines AS (SELECT {S.strip_stopwords(S.clean('product_title') + " || ' ' || " + S.clean('brand'))} AS line FROM part_products),
-pvocab AS (SELECT word, count(*) AS cnt FROM (SELECT unnest(regexp_extract_all(lower(line), '{S.UNICODE_WORD}')) AS word FROM lines) GROUP BY word)"""
+_VOCAB_PART = f"""lines AS MATERIALIZED (SELECT {S.strip_stopwords(S.clean('product_title') + " || ' ' || " + S.clean('brand'))} AS line FROM part_products),
+pvocab AS MATERIALIZED (SELECT word, count(*) AS cnt FROM (SELECT unnest(regexp_extract_all(lower(line), '{S.UNICODE_WORD}')) AS word FROM lines) GROUP BY word)"""
 
 ORACLE["word_freq"] = S.with_(S.PART_PRODUCTS, _VOCAB_PART) + \
     "SELECT word, CAST(cnt AS BIGINT) AS cnt, round(cnt / (SELECT sum(cnt) FROM pvocab), 6) AS freq FROM pvocab"
@@ -344,19 +344,22 @@ ORACLE["word_freq"] = S.with_(S.PART_PRODUCTS, _VOCAB_PART) + \
 _SPELL = S.with_(
     S.PART_PRODUCTS, S.PART_QUERIES, _VOCAB_PART,
     "letters AS (SELECT unnest(string_split('abcdefghijklmnopqrstuvwxyz', '')) AS c)",
-    f"qtok AS (SELECT query_id, unnest({S.split_ws('lower(' + S.clean('text', True) + ')')}) AS word, "
+    f"qtok AS MATERIALIZED (SELECT query_id, unnest({S.split_ws('lower(' + S.clean('text', True) + ')')}) AS word, "
     f"generate_subscripts({S.split_ws('lower(' + S.clean('text', True) + ')')}, 1) AS pos FROM part_queries)",
-    "toks AS (SELECT DISTINCT word FROM qtok)",
+    "toks AS MATERIALIZED (SELECT DISTINCT word FROM qtok)",
     "k0 AS MATERIALIZED (SELECT word, word AS corrected, 0 AS level FROM toks WHERE word IN (SELECT word FROM pvocab))",
-    "r1 AS (SELECT word, word AS s FROM toks WHERE word NOT IN (SELECT word FROM pvocab))",
-    f"e1 AS ({S.edits_sql('r1')})",
+    "r1 AS MATERIALIZED (SELECT word, word AS s FROM toks WHERE word NOT IN (SELECT word FROM pvocab))",
+    f"e1 AS MATERIALIZED ({S.edits_sql('r1')})",
     """k1 AS MATERIALIZED (SELECT e.word, (list(v.word ORDER BY v.cnt DESC, v.word))[1] AS corrected, 1 AS level
             FROM (SELECT DISTINCT word, x FROM e1) e JOIN pvocab v ON e.x = v.word GROUP BY e.word)""",
     "r2 AS MATERIALIZED (SELECT word, word AS s FROM r1 WHERE word NOT IN (SELECT word FROM k1))",
-    f"e2a AS MATERIALIZED (SELECT DISTINCT word, x AS s FROM ({S.edits_sql('r2')}))",
-    f"e2 AS ({S.edits_sql('e2a')})",
+    # two edits meet in the middle: strings one edit from the word, and strings that are one edit before a known word
+    f"e2 AS MATERIALIZED (SELECT DISTINCT word, x FROM ({S.edits_sql('r2')}))",
+    "chars AS MATERIALIZED (SELECT c FROM letters UNION SELECT unnest(string_split(word, '')) FROM r2)",
+    "vs AS (SELECT word, word AS s FROM pvocab)",
+    f"v1 AS MATERIALIZED (SELECT DISTINCT word, x FROM ({S.inverse_edits_sql('vs')}))",
     """k2 AS MATERIALIZED (SELECT e.word, (list(v.word ORDER BY v.cnt DESC, v.word))[1] AS corrected, 2 AS level
-            FROM (SELECT DISTINCT word, x FROM e2) e JOIN pvocab v ON e.x = v.word GROUP BY e.word)""",
+            FROM (SELECT DISTINCT e2.word, v1.word AS cand FROM e2 JOIN v1 USING (x)) e JOIN pvocab v ON e.cand = v.word GROUP BY e.word)""",
     """fixed AS MATERIALIZED (SELECT * FROM k0 UNION ALL SELECT * FROM k1 UNION ALL SELECT * FROM k2
               UNION ALL SELECT word, word, -1 FROM r2 WHERE word NOT IN (SELECT word FROM k2))""",
 )

@@ -60,11 +60,20 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 fx.attributes(spark, sf_dir), fx.products(spark, sf_dir))
 
 
+def vocabulary_index(spark: SparkSession, sf_dir: str, cat: DataFrame) -> spell.SpellIndex:
+    """The deletion index of the catalog's titles and brands: built once per session, then opened from its files."""
+    at = (spark.sparkContext.applicationId, sf_dir, "vocabulary")
+    if at in _indexes:
+        return spell.open_index(spark, _indexes[at])
+    idx = spell.build_index(spell.word_counts(spell.corpus_lines(cat), with_freq=False))
+    _indexes[at] = idx.path
+    return idx
+
+
 def corrected_queries(spark: SparkSession, sf_dir: str, cat: DataFrame) -> DataFrame:
     """(query_id, text): benchmark queries, cleaned and corrected against the catalog's titles and brands."""
-    vocab = spell.word_counts(spell.corpus_lines(cat), with_freq=False)
     q = fx.queries(spark, sf_dir).select("query_id", tx.clean_search("text").alias("text"))
-    return materialize(spell.correct_text(q, "query_id", "text", vocab, out="text"), "corrected-queries")
+    return materialize(spell.correct_text(q, "query_id", "text", vocabulary_index(spark, sf_dir, cat), out="text"), "corrected-queries")
 
 
 def candidates(cat: DataFrame, idx: bm25.Bm25Index, queries: DataFrame, n: int = 100) -> DataFrame:

@@ -32,6 +32,46 @@ def test_spelling(spark):
     assert got == {t: py_correct(t, words) for t in typos}
 
 
+def test_edit_tests_against_enumeration(spark):
+    """All pairs of short strings, with a character that is no letter: the tests equal enumerated neighbourhoods."""
+    from itertools import product
+    short = ["".join(t) for n in range(5) for t in product("ab1", repeat=n)]
+    extra = ["".join(t) for t in product("abc1", repeat=3)] + ["abcd12", "ab12cd", "12abcd", "a1b2c3", "abdc12", "xbcd12", "2abcd1", "bacd21", "abc12", "abcde12"]
+    words = sorted(set(short + extra))
+    near = {w: edits1(w) for w in words}
+    far = {w: set().union(*map(edits1, near[w])) for w in words}
+    pairs = [(w, c) for w in words for c in words if abs(len(w) - len(c)) <= 2]
+    df = spark.createDataFrame(pairs, "w string, c string").select("w", "c", spell.is_edit1(F.col("w"), F.col("c")).alias("one"), spell.is_edit2(F.col("w"), F.col("c")).alias("two"))
+    for r in df.collect():
+        one = r.c in near[r.w]
+        assert r.one == (one and r.c != r.w), r
+        if not one and r.c != r.w:
+            assert r.two == (r.c in far[r.w]), r
+
+
+def test_spelling_of_many_words(spark, monkeypatch):
+    import random
+    r = random.Random(3)
+    letters = "abcde1"
+    vocab = Counter("".join(r.choice(letters) for _ in range(r.choice([1, 2, 3, 5, 8, 13, 20]))) for _ in range(150))
+    for w in list(vocab)[:40]:
+        vocab[w] += r.randrange(3)
+
+    def typo(w):
+        for _ in range(r.choice([1, 2, 2, 3])):
+            w = r.choice(sorted(edits1(w)))
+        return w
+    words = sorted({typo(w) for w in vocab for _ in range(3)} | set(list(vocab)[:10]) | {"", "zzzzzzzzzz"})
+    table = spark.createDataFrame(list(vocab.items()), "word string, cnt long")
+    asked = spark.createDataFrame([(w,) for w in words] + [(None,)], "word string")
+    want = {w: py_correct(w, vocab) for w in words}
+    assert {x["word"]: x["corrected"] for x in spell.correct_words(asked, table).collect()} == want
+    monkeypatch.setattr(spell, "PREFIX", 5)
+    index = spell.open_index(spark, spell.build_index(table).path)
+    monkeypatch.setattr(spell, "BROADCAST_KEYS", 0)
+    assert {x["word"]: x["corrected"] for x in spell.correct_words(asked, index).collect()} == want
+
+
 def py_bm25_scores(corpus, query, k1=1.5, b=0.75, eps=0.25):
     docs = [d.split(" ") for d in corpus]
     n, avgdl = len(docs), sum(map(len, docs)) / len(docs)
