@@ -275,30 +275,21 @@ class Bm25Params:
     avgdl: float
 
 
-def fit_params(corpus: DataFrame, text: str, stats=None, persist: bool = True) -> Bm25Params:
-    """idf = ln(N/df) + 1 over lower-cased ``\\b\\w+\\b`` tokens; avgdl over whitespace tokens.
+def fit_params_many(corpus: DataFrame, fields, weight: str | None = None) -> dict:
+    """R1 for several text columns: idf = ln(N/df) + 1 over lower-cased ``\\b\\w+\\b`` tokens; avgdl over whitespace tokens.
 
-    ``stats`` = (N, avgdl) when already computed (``fit_params_many`` does all fields in one pass).
-    The idf table is written once: it is read by the size check and by the join.
-    """
-    c = corpus.select(F.col(text).alias("t"))
-    if stats is None:
-        st = c.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tx.split_ws("t"))).alias("avgdl")).first()
-        stats = (int(st["n"]), float(st["avgdl"] or 0.0))
-    n_docs, avgdl = stats
-    idf = (c.select(F.explode(F.array_distinct(tx.word_tokens("t"))).alias("term"))
-            .groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-            .select("term", (F.log(F.lit(n_docs) / F.col("df")) + 1).alias("idf")))
-    if persist:
-        idf = materialize(idf, f"bm25-params-{text}")
-    return Bm25Params(idf, n_docs, avgdl)
-
-
-def fit_params_many(corpus: DataFrame, fields) -> dict:
-    """R1 for several text columns of the same corpus; N and every avgdl in one aggregation."""
-    st = corpus.agg(F.count(F.lit(1)).alias("n"),
-                    *[F.avg(F.size(tx.split_ws(f))).alias(f"avgdl_{f}") for f in fields]).first()
-    return {f: fit_params(corpus, f, (int(st["n"]), float(st[f"avgdl_{f}"] or 0.0))) for f in fields}
+    ``weight`` names a column that says how many documents a row stands for. N and every avgdl come from one aggregation; the idf tables are
+    written once, as they are read by size checks and joins."""
+    c = corpus.withColumn("_n", F.col(weight) if weight else F.lit(1))
+    lengths = [(F.sum(F.size(tx.split_ws(f)) * F.col("_n")) / F.sum(F.when(F.col(f).isNotNull(), F.col("_n")))).alias(f"avgdl_{f}") for f in fields]
+    st = c.agg(F.sum("_n").alias("n"), *lengths).first()
+    n_docs = int(st["n"] or 0)
+
+    def one(f: str) -> Bm25Params:
+        df = c.select("_n", F.explode(F.array_distinct(tx.word_tokens(f))).alias("term")).groupBy("term").agg(F.sum("_n").alias("df"))
+        idf = materialize(df.select("term", (F.log(F.lit(n_docs) / F.col("df")) + 1).alias("idf")), f"bm25-params-{f}")
+        return Bm25Params(idf, n_docs, float(st[f"avgdl_{f}"] or 0.0))
+    return {f: one(f) for f in fields}
 
 
 def query_word_idf(pairs: DataFrame, key: str, query: str, idf: DataFrame, n_docs: int,
@@ -328,17 +319,6 @@ def bm25_expr(qw, doc, avgdl: float, k: float = 1.2, b: float = 0.75):
     return F.coalesce(F.aggregate(F.transform(qw, one), F.lit(0.0), lambda a, v: a + v), F.lit(0.0))
 
 
-def pair_score(pairs: DataFrame, params: Bm25Params, key: str, query: str, doc: str,
-               out: str, k: float = 1.2, b: float = 0.75) -> DataFrame:
-    """R2: BM25 of each (query, doc) pair, summed over query words with repetition.
-
-    Returns ``(key, out)``; a pair whose query has no word scores 0.
-    """
-    qw = query_word_idf(pairs, key, query, params.idf, params.n_docs)
-    j = pairs.select(key, doc).join(qw, key, "left")
-    return j.select(key, bm25_expr(F.col("qw"), doc, params.avgdl, k, b).alias(out))
-
-
 def pad_zero_scores(top: DataFrame, queries: DataFrame, doc_ids: DataFrame, n: int,
                     qid: str = "query_id") -> DataFrame:
     """O2: complete every query's top n with zero-score documents (smallest product ids first),

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from relevo.functions import text as tx
 from relevo.functions.stopwords import ENGLISH_STOP_WORDS
+from relevo.operators import svd
+from relevo.operators.vectors import cosine as vec_cosine
 from relevo.session import materialize
 
 
@@ -34,12 +36,13 @@ def _tokens(text, stop_words):
 
 
 def fit_vocab(texts: DataFrame, text: str = "text", min_df: int = 2, max_features: int = 10000,
-              stop_words=ENGLISH_STOP_WORDS, persist: bool = True) -> TfidfVocab:
-    docs = texts.select(F.col(text).alias("t")).distinct()
-    toks = docs.select(_tokens(F.col("t"), stop_words).alias("toks"))
-    if persist:
-        toks = materialize(toks, "tfidf-tokens")
-    n_docs = toks.count()
+              stop_words=ENGLISH_STOP_WORDS) -> TfidfVocab:
+    # equal texts are told by a hash, so texts aren't shuffled; the first row of each stays
+    toks = texts.select(F.sha2(F.col(text), 256).alias("h"), _tokens(F.col(text), stop_words).alias("toks")).withColumn("row", F.monotonically_increasing_id())
+    toks = materialize(toks, "tfidf-tokens")
+    first = toks.groupBy("h").agg(F.min("row").alias("row"))
+    n_docs = first.count()
+    toks = toks.join(first.select("row"), "row", "left_semi").select("toks")
     tot = toks.select(F.explode("toks").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("tf_total"))
     dfs = (toks.select(F.explode(F.array_distinct("toks")).alias("term"))
                .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
@@ -48,20 +51,25 @@ def fit_vocab(texts: DataFrame, text: str = "text", min_df: int = 2, max_feature
     kept = cand.orderBy(F.desc("tf_total"), F.asc("term")).limit(max_features)
     idf = kept.select("term", "df", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
     idf = idf.withColumn("term_index", F.row_number().over(Window.orderBy("term")) - 1)
-    if persist:
-        idf = materialize(idf, "tfidf-vocab")
-    return TfidfVocab(idf, n_docs)
+    return TfidfVocab(materialize(idf, "tfidf-vocab"), n_docs)
 
 
 def weights(df: DataFrame, key: str, text: str, vocab: TfidfVocab,
             stop_words=ENGLISH_STOP_WORDS) -> DataFrame:
     """V2: (key, term, weight) with raw count x idf, rows L2-normalised; out-of-vocabulary terms dropped."""
     occ = df.select(key, F.explode(_tokens(F.col(text), stop_words)).alias("term"))
-    idf = F.broadcast(vocab.idf.select("term", "idf"))   # at most max_features rows
-    w = (occ.join(idf, "term").groupBy(key, "term", "idf").agg(F.count(F.lit(1)).alias("cnt"))
-            .select(key, "term", (F.col("cnt") * F.col("idf")).alias("w")))
-    norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nrm"))
-    return w.join(norm, key).select(key, "term", (F.col("w") / F.col("nrm")).alias("weight"))
+    idf = F.broadcast(vocab.idf.select("term", "idf", "term_index"))   # at most max_features rows
+    w = (occ.join(idf, "term").groupBy(key, "term", "idf", "term_index").agg(F.count(F.lit(1)).alias("cnt"))
+            .select(key, "term", "term_index", (F.col("cnt") * F.col("idf")).alias("w")))
+    # a text's terms are at most the vocabulary
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return w.select(key, "term", "term_index", (F.col("w") / norm).alias("weight"))
+
+
+def sparse_rows(df: DataFrame, key: str, text: str, vocab: TfidfVocab, stop_words=ENGLISH_STOP_WORDS) -> DataFrame:
+    """(key, cols, vals): the weights of each text by column number of the vocabulary."""
+    w = weights(df, key, text, vocab, stop_words).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("term_index", "weight"))).alias("w"))
+    return w.select(key, F.transform("w", lambda x: x["term_index"]).alias("cols"), F.transform("w", lambda x: x["weight"]).alias("vals"))
 
 
 def cosine(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -75,58 +83,18 @@ def cosine(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 # V3 / V4 / V6: truncated SVD of the TF-IDF matrix and latent projection
 # ---------------------------------------------------------------------------------
 
-def fit_svd(docs: DataFrame, text: str, vocab: TfidfVocab, k: int, stop_words=ENGLISH_STOP_WORDS):
-    """V3: uncentred truncated SVD of the L2-normalised TF-IDF rows (MLlib ``RowMatrix``) of ``docs``.
-
-    Rows are built by ML transformers (counts over the fixed vocabulary, scaled by idf, normalised), so
-    they stay in the JVM. With k well below the vocabulary size MLlib runs the distributed ARPACK mode (no n x n
-    Gramian on the driver). Returns (components DataFrame(term, comp, v), singular values); the driver
-    holds the vocabulary x k matrix only, which ``max_features`` bounds.
-    """
-    import pyarrow as pa
-    from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-    from pyspark.ml.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-    from pyspark.mllib.util import MLUtils
-
-    terms = vocab.idf.orderBy("term_index").select("term", "idf").collect()   # at most max_features rows
-    count = CountVectorizerModel.from_vocabulary([t["term"] for t in terms], inputCol="toks", outputCol="counts")
-    scale = ElementwiseProduct(scalingVec=Vectors.dense([t["idf"] for t in terms]), inputCol="counts", outputCol="scaled")
-    rows = scale.transform(count.transform(docs.select(_tokens(F.col(text), stop_words).alias("toks"))))
-    rows = Normalizer(p=2.0, inputCol="scaled", outputCol="row").transform(rows).select("row")
-    # ARPACK makes one pass per iteration: read the rows from a written table, keep them cached
-    rows = MLUtils.convertVectorColumnsFromML(materialize(rows, "svd-rows"), "row").persist()
-    svd = RowMatrix(rows).computeSVD(k, computeU=False)
-    rows.unpersist()
-    v = svd.V.toArray()
-    table = pa.table({"term": pa.array([t["term"] for t in terms for _ in range(v.shape[1])]),
-                      "comp": pa.array(list(range(v.shape[1])) * len(terms), pa.int32()), "v": pa.array(v.reshape(-1))})
-    return docs.sparkSession.createDataFrame(table), [float(s) for s in svd.s.toArray()]
-
-
-def project(w: DataFrame, key: str, comps: DataFrame) -> DataFrame:
-    """V4: latent coordinates ``X · V`` as a long table (key, comp, x)."""
-    c = F.broadcast(comps) if comps.count() <= 2_000_000 else comps
-    return (w.join(c, "term").groupBy(key, "comp")
-             .agg(F.sum(F.col("weight") * F.col("v")).alias("x")))
-
-
-def latent_cosine(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """V5 on long latent tables: cosine per key; keys missing on a side have a zero vector."""
-    dot = a.alias("a").join(b.alias("b"), [key, "comp"]).groupBy(key).agg(
-        F.sum(F.col("a.x") * F.col("b.x")).alias("d"))
-    na = a.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("na"))
-    nb = b.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("nb"))
-    j = dot.join(na, key).join(nb, key)
-    return j.select(key, F.when(F.col("na") * F.col("nb") == 0, F.lit(0.0))
-                    .otherwise(F.col("d") / (F.col("na") * F.col("nb"))).alias("cos"))
-
-
-def explained_variance_ratio(w: DataFrame, latent: DataFrame, key: str, n_rows: int) -> float:
-    """V6: summed variance of the projected columns over the total column variance of X
-    (population variances over all rows; absent entries are zeros)."""
-    def total_var(df, col, by):
-        s = df.groupBy(by).agg(F.sum(col).alias("s1"), F.sum(F.col(col) * F.col(col)).alias("s2"))
-        return s.agg(F.sum(F.col("s2") / n_rows - (F.col("s1") / n_rows) ** 2)).first()[0] or 0.0
-    tot = total_var(w, "weight", "term")
-    return (total_var(latent, "x", "comp") / tot) if tot else 0.0
+def fit_svd(docs: DataFrame, key: str, text: str, vocab: TfidfVocab, k: int) -> svd.Svd:
+    """V3: uncentred truncated SVD of the L2-normalised TF-IDF rows of ``docs``; ``key`` is unique."""
+    rows = materialize(sparse_rows(docs, key, text, vocab), "svd-rows")
+    return svd.fit(rows, vocab.idf.count(), k)
+
+
+def project(df: DataFrame, key: str, text: str, vocab: TfidfVocab, basis: svd.Svd) -> DataFrame:
+    """V4: (key, x): latent coordinates of every text that has known terms."""
+    return svd.project(sparse_rows(df, key, text, vocab), key, basis)
+
+
+def latent_cosine(pairs: DataFrame, a: DataFrame, b: DataFrame, key_a: str, key_b: str, out: str) -> DataFrame:
+    """V5: (key_a, out): cosine of the latent rows of each pair (key_a, key_b); 0 where a side has none."""
+    j = pairs.select(key_a, key_b).join(a.select(key_a, F.col("x").alias("_a")), key_a, "left").join(b.select(key_b, F.col("x").alias("_b")), key_b, "left")
+    return j.select(key_a, F.coalesce(vec_cosine(F.col("_a"), F.col("_b")), F.lit(0.0)).alias(out))

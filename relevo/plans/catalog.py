@@ -208,6 +208,7 @@ def q_set_overlap(spark, sf_dir):
 # ------------------------------------------------------------ pair features ---
 
 from relevo.operators import features as ft  # noqa: E402
+from relevo.operators import svd  # noqa: E402
 from relevo.operators import tfidf as tfx  # noqa: E402
 from relevo.plans import featurize as fz  # noqa: E402
 
@@ -263,12 +264,7 @@ def q_tfidf_cosine(spark, sf_dir):
     """V2 + V5: cosine of the search term's and the title+description's TF-IDF vectors."""
     pairs, prods = fz.notebook_inputs(spark, sf_dir)
     v = fz.title_desc_vocab(pairs, prods)
-    td = pairs.join(prods, "product_uid").select("pair_id", F.concat("title", F.lit(". "), "description").alias("td"))
-    a = tfx.weights(pairs, "pair_id", "q", v)
-    b = tfx.weights(td, "pair_id", "td", v)
-    cos = tfx.cosine(a, b, "pair_id")
-    return (pairs.select("pair_id").join(cos, "pair_id", "left")
-                 .select("pair_id", F.round(F.coalesce("cos", F.lit(0.0)), 6).alias("cosine_tfidf")))
+    return _rounded(fz.pair_cosine(pairs, fz.title_desc(prods), "td", v, fz.search_weights(pairs, v), "cosine_tfidf"))
 
 
 # ------------------------------------------------------------------ spelling ---
@@ -563,25 +559,23 @@ def q_json_records(spark, sf_dir):
 
 
 @register("svd_cosine")
-def q_svd_cosine(spark, sf_dir, k: int = 100):
-    """V3 + V4 + V5 + V6 (F28, F29, F42 latent forms): truncated SVD (100 components) of the distinct title+description
+def q_svd_cosine(spark, sf_dir, k: int = 500):
+    """V3 + V4 + V5 + V6 (F28, F29, F42 latent forms): truncated SVD (500 components) of the distinct title+description
     TF-IDF rows; cosine of search vs title+description, description and title in that basis, with the explained
     variance ratio of the fit on every row."""
     pairs, prods = fz.notebook_inputs(spark, sf_dir)
     v = fz.title_desc_vocab(pairs, prods)
-    comps, docs = fz.latent_basis(prods, v, k)
-    wdocs = tfx.weights(docs, "doc", "td", v)
-    evr = tfx.explained_variance_ratio(wdocs, tfx.project(wdocs, "doc", comps), "doc", docs.count())
-    a = tfx.project(tfx.weights(pairs, "pair_id", "q", v), "pair_id", comps)
-    out = pairs.select("pair_id")
-    td = F.concat("title", F.lit(". "), "description")
-    for text, name in ((td, "cosine_similarity_tfidf_search_title_des"), (F.col("description"), "cosine_similarity_tfidf_search_des"),
-                       (F.col("title"), "cosine_similarity_tfidf_search_title")):
-        b = tfx.project(tfx.weights(prods.select("product_uid", text.alias("t")), "product_uid", "t", v), "product_uid", comps)
-        b = b.join(pairs.select("pair_id", "product_uid"), "product_uid").select("pair_id", "comp", "x")
-        cos = tfx.latent_cosine(a, b, "pair_id").withColumnRenamed("cos", name)
-        out = out.join(cos, "pair_id", "left").withColumn(name, F.round(F.coalesce(name, F.lit(0.0)), 6))
-    return out.withColumn("explained_variance_ratio", F.lit(round(evr, 6)))
+    basis, docs = fz.latent_basis(prods, v, k)
+    rows = materialize(tfx.sparse_rows(docs, "doc", "td", v), "svd-rows")
+    evr = svd.explained_variance_ratio(rows, svd.project(rows, "doc", basis), docs.count())
+    return _rounded(fz.latent_features(pairs, prods, v, basis)).withColumn("explained_variance_ratio", F.lit(round(evr, 6)))
+
+
+@register("pair_features_latent")
+def q_pair_features_latent(spark, sf_dir, k: int = 500):
+    """All 41 features with F28 and F29 in the latent basis of 500 components."""
+    t = fz.feature_table(spark, sf_dir, latent=k)
+    return t.select("pair_id", "relevance", "is_train", *[F.round(c, 6).alias(c) for c in ft.FEATURE_ORDER])
 
 
 @register("pair_features_a2")
@@ -725,10 +719,7 @@ def q_tfidf_cosine_title(spark, sf_dir):
     """TF-IDF cosine of the search term and the title (shared vocabulary)."""
     pairs, prods = fz.notebook_inputs(spark, sf_dir)
     v = fz.title_desc_vocab(pairs, prods)
-    t = pairs.join(prods, "product_uid").select("pair_id", "title")
-    cos = tfx.cosine(tfx.weights(pairs, "pair_id", "q", v), tfx.weights(t, "pair_id", "title", v), "pair_id")
-    return (pairs.select("pair_id").join(cos, "pair_id", "left")
-                 .select("pair_id", F.round(F.coalesce("cos", F.lit(0.0)), 6).alias("cosine_similarity_tfidf_search_title")))
+    return _rounded(fz.pair_cosine(pairs, prods, "title", v, fz.search_weights(pairs, v), "cosine_similarity_tfidf_search_title"))
 
 
 @register("gbt_early_stop")

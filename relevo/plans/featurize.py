@@ -53,21 +53,50 @@ def joined(pairs: DataFrame, products: DataFrame) -> DataFrame:
     return ft.prepare_queries(pairs).join(ft.prepare_products(products), "product_uid")
 
 
+def _bm25_params(pairs: DataFrame, products: DataFrame) -> dict:
+    """R1 for every field, on the training rows: a product's text counts once per training pair, and is tokenized once."""
+    n = pairs.where("is_train").groupBy("product_uid").agg(F.count(F.lit(1)).alias("n_pairs"))
+    return bm25.fit_params_many(products.join(n, "product_uid"), BM25_FIELDS, weight="n_pairs")
+
+
 def bm25_features(pairs: DataFrame, products: DataFrame) -> DataFrame:
-    """Per-field parameters fitted on the training rows (one document per train pair)."""
-    j = pairs.join(products, "product_uid")
-    train = j.where("is_train")
-    out = j.select("pair_id")
-    params = bm25.fit_params_many(train, ("title", "description", "brand"))
-    for field, name in (("title", "bm25_ST"), ("description", "bm25_SD"), ("brand", "bm25_SB")):
-        out = out.join(bm25.pair_score(j, params[field], "pair_id", "q", field, name), "pair_id")
-    return out
+    """Per-field parameters fitted on the training rows (one document per train pair); one join with the products."""
+    params = _bm25_params(pairs, products)
+    j = _with_word_idf(pairs, {f: (p.idf, p.n_docs) for f, p in params.items()}).join(products, "product_uid")
+    return j.select("pair_id", *_bm25_columns(params))
+
+
+def _bm25_columns(params: dict) -> list:
+    idf = lambda f: F.transform("qw", lambda x: F.struct(x["term"].alias("term"), x[f"idf_{f}"].alias("idf")))
+    return [bm25.bm25_expr(idf(f), f, params[f].avgdl).alias(name) for f, name in BM25_FIELDS.items()]
+
+
+#: Fields of a product and their BM25 features.
+BM25_FIELDS = {"title": "bm25_ST", "description": "bm25_SD", "brand": "bm25_SB"}
+
+
+def title_desc(products: DataFrame) -> DataFrame:
+    """(product_uid, td): title + '. ' + description."""
+    return products.select("product_uid", F.concat("title", F.lit(". "), "description").alias("td"))
 
 
 def title_desc_vocab(pairs: DataFrame, products: DataFrame) -> tfidf.TfidfVocab:
-    """V1 fitted on the distinct ``title + '. ' + description`` texts of all pairs."""
-    j = pairs.join(products, "product_uid")
-    return tfidf.fit_vocab(j.select(F.concat("title", F.lit(". "), "description").alias("text")))
+    """V1 fitted on the distinct ``title + '. ' + description`` texts of all pairs' products."""
+    used = products.join(pairs.select("product_uid"), "product_uid", "left_semi")
+    return tfidf.fit_vocab(title_desc(used), "td")
+
+
+def pair_cosine(pairs: DataFrame, texts: DataFrame, text: str, vocab: tfidf.TfidfVocab, q: DataFrame, name: str) -> DataFrame:
+    """(pair_id, name): V5 of the weights ``q`` of searches (pair_id, product_uid, term, weight) and of a text of their products (0: absent).
+
+    Texts are weighted once per product; both sides meet in one equi-join on (product_uid, term)."""
+    pw = tfidf.weights(texts, "product_uid", text, vocab).withColumnRenamed("weight", "pw")
+    cos = q.join(pw, ["product_uid", "term"]).groupBy("pair_id").agg(F.sum(F.col("weight") * F.col("pw")).alias(name))
+    return pairs.select("pair_id").join(cos, "pair_id", "left").na.fill(0.0, subset=[name])
+
+
+def search_weights(pairs: DataFrame, vocab: tfidf.TfidfVocab) -> DataFrame:
+    return tfidf.weights(pairs, "pair_id", "q", vocab).join(pairs.select("pair_id", "product_uid"), "pair_id")
 
 
 def tfidf_features(pairs: DataFrame, products: DataFrame, vocab: tfidf.TfidfVocab | None = None) -> DataFrame:
@@ -80,24 +109,24 @@ def tfidf_features(pairs: DataFrame, products: DataFrame, vocab: tfidf.TfidfVoca
 
 def latent_cosine_features(pairs: DataFrame, products: DataFrame, vocab: tfidf.TfidfVocab) -> DataFrame:
     """F28/F29 in the TF-IDF space of the shared vocabulary: search vs title+description and
-    search vs description (cosine of L2-normalised TF-IDF rows).
-
-    Product texts are weighted once per product; each pair's query weights meet its
-    product's weights in one equi-join on (product_uid, term)."""
-    used = products.join(pairs.select("product_uid").distinct(), "product_uid", "left_semi")
-    td = tfidf.weights(used.select("product_uid", F.concat("title", F.lit(". "), "description").alias("td")),
-                       "product_uid", "td", vocab)
-    d = tfidf.weights(used.select("product_uid", "description"), "product_uid", "description", vocab)
-    q = tfidf.weights(pairs, "pair_id", "q", vocab).join(pairs.select("pair_id", "product_uid"), "pair_id")
-
-    def cos(pw, name):
-        return (q.join(pw.withColumnRenamed("weight", "pw"), ["product_uid", "term"])
-                 .groupBy("pair_id").agg(F.sum(F.col("weight") * F.col("pw")).alias(name)))
-
-    c1 = cos(td, "cosine_similarity_tfidf_search_title_des")
-    c2 = cos(d, "cosine_similarity_tfidf_search_des")
-    return (pairs.select("pair_id").join(c1, "pair_id", "left").join(c2, "pair_id", "left")
-                 .na.fill(0.0, subset=["cosine_similarity_tfidf_search_title_des", "cosine_similarity_tfidf_search_des"]))
+    search vs description (cosine of L2-normalised TF-IDF rows)."""
+    used = products.join(pairs.select("product_uid"), "product_uid", "left_semi")
+    q = search_weights(pairs, vocab)
+    c1 = pair_cosine(pairs, title_desc(used), "td", vocab, q, "cosine_similarity_tfidf_search_title_des")
+    c2 = pair_cosine(pairs, used, "description", vocab, q, "cosine_similarity_tfidf_search_des")
+    return c1.join(c2, "pair_id")
+
+
+def latent_features(pairs: DataFrame, products: DataFrame, vocab: tfidf.TfidfVocab, basis) -> DataFrame:
+    """F28/F29 and F42 as cosines in a latent basis: search vs title+description, description and title."""
+    used = products.join(pairs.select("product_uid"), "product_uid", "left_semi")
+    a = tfidf.project(pairs, "pair_id", "q", vocab, basis)
+    out = pairs.select("pair_id")
+    for texts, text, name in ((title_desc(used), "td", "cosine_similarity_tfidf_search_title_des"), (used, "description", "cosine_similarity_tfidf_search_des"),
+                              (used, "title", "cosine_similarity_tfidf_search_title")):
+        b = tfidf.project(texts.select("product_uid", text), "product_uid", text, vocab, basis)
+        out = out.join(tfidf.latent_cosine(pairs, a, b, "pair_id", "product_uid", name), "pair_id")
+    return out
 
 
 def notebook_products(spark: SparkSession, sf_dir: str, restrict_to: DataFrame | None = None) -> DataFrame:
@@ -116,26 +145,26 @@ def notebook_products(spark: SparkSession, sf_dir: str, restrict_to: DataFrame |
 
 class FeatureParams:
     """Everything fitted on training data that the features need: BM25 parameters per field
-    (R1, fitted on training rows) and the TF-IDF vocabulary (V1)."""
+    (R1, fitted on training rows), the TF-IDF vocabulary (V1) and, if wanted, a latent basis (V3)."""
 
-    def __init__(self, bm25_params: dict, vocab: tfidf.TfidfVocab):
+    def __init__(self, bm25_params: dict, vocab: tfidf.TfidfVocab, basis=None):
         self.bm25_params = bm25_params
         self.vocab = vocab
+        self.basis = basis
 
 
-def fit_feature_params(pairs: DataFrame, products: DataFrame) -> FeatureParams:
-    j = pairs.join(products, "product_uid")
-    train = j.where("is_train")
-    params = bm25.fit_params_many(train, ("title", "description", "brand"))
-    return FeatureParams(params, title_desc_vocab(pairs, products))
+def fit_feature_params(pairs: DataFrame, products: DataFrame, latent: int | None = None) -> FeatureParams:
+    """``latent``: components of a basis in which F28 and F29 are taken; None: in the TF-IDF space itself."""
+    vocab = title_desc_vocab(pairs, products)
+    basis = latent_basis(products, vocab, latent)[0] if latent else None
+    return FeatureParams(_bm25_params(pairs, products), vocab, basis)
 
 
-def _with_word_idf(pairs: DataFrame, fp: FeatureParams) -> DataFrame:
-    """``pairs`` with ``qw``, the search words and their idf in each field and in the vocabulary.
+def _with_word_idf(pairs: DataFrame, tables: dict) -> DataFrame:
+    """``pairs`` with ``qw``, the search words and their idf in each of ``tables`` (name: (idf, n_docs)).
 
-    The words are exploded once and met by four idf tables; only the short pair side takes part."""
+    The words are exploded once and met by all idf tables; only the short pair side takes part."""
     words = pairs.select("pair_id", F.posexplode(tx.split_ws("q")).alias("pos", "term"))
-    tables = {**{f: (p.idf, p.n_docs) for f, p in fp.bm25_params.items()}, "vocab": (fp.vocab.idf, fp.vocab.n_docs)}
     for f, (idf, n) in tables.items():
         side = idf.select("term", F.col("idf").alias(f"idf_{f}"))
         words = (words.join(F.broadcast(side) if fits(idf, 2_000_000) else side.hint("merge"), "term", "left")
@@ -151,23 +180,24 @@ def compute_features(pairs: DataFrame, prods: DataFrame, fp: FeatureParams, keep
     One join on ``product_uid`` and one select give all but the mean-Jaccard and latent columns; a product's texts
     are never shuffled by pair."""
     keep = [c for c in keep if c in pairs.columns]
-    j = joined(_with_word_idf(pairs, fp), prods)
-    idf = lambda f: F.transform("qw", lambda x: F.struct(x["term"].alias("term"), x[f"idf_{f}"].alias("idf")))
-    bm = [bm25.bm25_expr(idf(f), f, fp.bm25_params[f].avgdl).alias(name) for f, name in (("title", "bm25_ST"), ("description", "bm25_SD"), ("brand", "bm25_SB"))]
-    out = j.select("pair_id", *keep, *ft.basic_columns(), *ft.similarity_columns(), *bm, *ft.tf_idf_columns(idf("vocab")))
+    tables = {**{f: (p.idf, p.n_docs) for f, p in fp.bm25_params.items()}, "vocab": (fp.vocab.idf, fp.vocab.n_docs)}
+    j = joined(_with_word_idf(pairs, tables), prods)
+    words = F.transform("qw", lambda x: F.struct(x["term"].alias("term"), x["idf_vocab"].alias("idf")))
+    latent = latent_features(pairs, prods, fp.vocab, fp.basis) if fp.basis is not None else latent_cosine_features(pairs, prods, fp.vocab)
+    out = j.select("pair_id", *keep, *ft.basic_columns(), *ft.similarity_columns(), *_bm25_columns(fp.bm25_params), *ft.tf_idf_columns(words))
     for part in (ft.mean_char_jaccard(pairs, prods, "title", "mean_jcc_product_title_with_search_term"),
                  ft.mean_char_jaccard(pairs, prods, "description", "mean_jcc_product_desc_with_search_term"),
                  ft.mean_char_jaccard(pairs, prods, "attributes", "mean_jcc_attr_with_search_term"),
-                 latent_cosine_features(pairs, prods, fp.vocab)):
+                 latent):
         out = out.join(part, "pair_id", "left")
     return out.select("pair_id", *keep, *[F.col(c).cast("double").alias(c) for c in ft.FEATURE_ORDER])
 
 
-def feature_table(spark: SparkSession, sf_dir: str, persist: bool = True) -> DataFrame:
+def feature_table(spark: SparkSession, sf_dir: str, persist: bool = True, latent: int | None = None) -> DataFrame:
     """All 41 features per labelled pair plus ``relevance`` and ``is_train``, written once to the
     checkpoint folder so model fitting reads a compact table instead of re-running text work."""
     pairs, prods = notebook_inputs(spark, sf_dir, persist=persist)
-    out = compute_features(pairs, prods, fit_feature_params(pairs, prods))
+    out = compute_features(pairs, prods, fit_feature_params(pairs, prods, latent))
     return materialize(out, "features") if persist else out
 
 
@@ -180,16 +210,16 @@ FEATURES_A2 = ([c for c in ft.FEATURE_ORDER if c not in ("max_tfidf_ST", "min_tf
 
 
 def latent_basis(products: DataFrame, vocab: tfidf.TfidfVocab, k: int):
-    """(components, docs(doc, td)): SVD of the distinct title+description texts, one row per text."""
-    td = F.concat("title", F.lit(". "), "description")
-    docs = materialize(products.select("product_uid", td.alias("td")).groupBy("td").agg(F.min("product_uid").alias("doc")), "latent-docs")
-    comps, _ = tfidf.fit_svd(docs, "td", vocab, k)
-    return materialize(comps, "latent-components"), docs
+    """(basis, docs(doc, td)): SVD of the distinct title+description texts, one row per text (told by a hash)."""
+    docs = title_desc(products).withColumn("h", F.sha2("td", 256))
+    first = docs.groupBy("h").agg(F.min("product_uid").alias("product_uid")).select("product_uid")
+    docs = materialize(docs.join(first, "product_uid", "left_semi").select(F.col("product_uid").alias("doc"), "td"), "latent-docs")
+    return tfidf.fit_svd(docs, "doc", "td", vocab, k), docs
 
 
-def _latent_columns(df: DataFrame, key: str, text: str, vocab: tfidf.TfidfVocab, comps: DataFrame, name: str) -> DataFrame:
-    long = tfidf.project(tfidf.weights(df, key, text, vocab), key, comps)
-    return long.groupBy(key).agg(*[F.sum(F.when(F.col("comp") == i, F.col("x"))).alias(f"svd_{name}_{i}") for i in range(LATENT)])
+def _latent_columns(df: DataFrame, key: str, text: str, vocab: tfidf.TfidfVocab, basis, name: str) -> DataFrame:
+    x = tfidf.project(df.select(key, text), key, text, vocab, basis)
+    return x.select(key, *[F.get("x", F.lit(i)).alias(f"svd_{name}_{i}") for i in range(LATENT)])
 
 
 def feature_table_a2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,11 +227,11 @@ def feature_table_a2(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs, prods = notebook_inputs(spark, sf_dir)
     fp = fit_feature_params(pairs, prods)
     base = compute_features(pairs, prods, fp)
-    comps, _ = latent_basis(prods, fp.vocab, LATENT)
+    basis, _ = latent_basis(prods, fp.vocab, LATENT)
     out = base.join(pairs.select("pair_id", "product_uid"), "pair_id")
-    out = out.join(_latent_columns(pairs, "pair_id", "q", fp.vocab, comps, "search"), "pair_id", "left")
-    out = out.join(_latent_columns(prods, "product_uid", "title", fp.vocab, comps, "title"), "product_uid", "left")
-    out = out.join(_latent_columns(prods, "product_uid", "description", fp.vocab, comps, "desc"), "product_uid", "left")
+    out = out.join(_latent_columns(pairs, "pair_id", "q", fp.vocab, basis, "search"), "pair_id", "left")
+    out = out.join(_latent_columns(prods, "product_uid", "title", fp.vocab, basis, "title"), "product_uid", "left")
+    out = out.join(_latent_columns(prods, "product_uid", "description", fp.vocab, basis, "desc"), "product_uid", "left")
     latent = [c for c in FEATURES_A2 if c.startswith("svd_")]
     return materialize(out.select("pair_id", "relevance", "is_train", *FEATURES_A2).na.fill(0.0, subset=latent), "features-a2")
 
