@@ -50,11 +50,10 @@ def _triangle(parts: list[np.ndarray]) -> np.ndarray:
     return np.linalg.qr(np.vstack(parts), mode="r")
 
 
-def _sum_up(pieces: DataFrame, keys: list[str], op) -> DataFrame:
+def _sum_up(pieces: DataFrame, keys: list[str], tasks: int, op) -> DataFrame:
     """One piece per ``keys``: at most FAN of a group are combined in a task, and what that leaves is combined again."""
-    n = pieces.agg(F.max("task")).first()[0]
-    while n:
-        n //= FAN
+    while tasks > 1:
+        tasks = -(-tasks // FAN)
         groups = pieces.withColumn("task", F.expr(f"task div {FAN}"))
 
         def combine(t: pa.Table) -> pa.Table:
@@ -92,15 +91,16 @@ def _pass(rows: DataFrame, basis: np.ndarray, factor: bool) -> tuple[np.ndarray,
                 yield pa.record_batch([pa.array([0], pa.int32()), pa.array([part], pa.int32()), pa.array([task], pa.int32()), pa.array([z[part:part + SLICE].tobytes()], pa.binary())],
                                       names=["kind", "part", "task", "data"])
 
-    pieces = materialize(rows.select("cols", "vals").mapInArrow(run, "kind int, part int, task int, data binary"), "svd-pass")
+    pieces, tasks = rows.select("cols", "vals").mapInArrow(run, "kind int, part int, task int, data binary"), rows.rdd.getNumPartitions()
+    pieces = materialize(pieces, "svd-pass") if factor else pieces  # read twice
     z = np.zeros((m, width))
-    sums = _sum_up(pieces.where("kind = 0").select("part", "task", "data"), ["part"], lambda xs: np.sum(xs, axis=0))
+    sums = _sum_up(pieces.where("kind = 0").select("part", "task", "data"), ["part"], tasks, lambda xs: np.sum(xs, axis=0))
     for x in sums.collect():                      # as many numbers as the basis has
         piece = np.frombuffer(x["data"]).reshape(-1, width)
         z[x["part"]:x["part"] + len(piece)] = piece
     r = None
     if factor:
-        last = _sum_up(pieces.where("kind = 1").select("task", "data"), [], lambda xs: _triangle([x.reshape(-1, width) for x in xs])).collect()
+        last = _sum_up(pieces.where("kind = 1").select("task", "data"), [], tasks, lambda xs: _triangle([x.reshape(-1, width) for x in xs])).collect()
         r = np.frombuffer(last[0]["data"]).reshape(-1, width) if last else np.zeros((0, width))
     sent.destroy()
     return z, r
@@ -108,7 +108,7 @@ def _pass(rows: DataFrame, basis: np.ndarray, factor: bool) -> tuple[np.ndarray,
 
 def fit(rows: DataFrame, columns: int, k: int, power: int = POWER, seed: int = 122) -> Svd:
     """The ``k`` largest singular values of ``rows`` and their right vectors; fewer if the rank is lower."""
-    width = min(columns, k + OVERSAMPLE)
+    width = max(1, min(columns, rows.count(), k + OVERSAMPLE))
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(columns, width)))[0]
     for _ in range(power):
         q = np.linalg.qr(_pass(rows, q, factor=False)[0])[0]
