@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from relevo.llm import held
 from relevo.llm import words as W
 from relevo.session import bounded_batches
 
@@ -184,23 +185,17 @@ class Identifier:
         return names, np.where(some, score, 0.0), np.where(some, least / np.maximum(n, 1), 0.0)
 
 
-_built: dict[int, Identifier] = {}
-
-
 def _identify(model, text: str):
     def run(batches):
         texts = model.value
-        key = hash(tuple(sorted(texts.items())))
-        if key not in _built:
-            _built.clear()
-            _built[key] = Identifier(texts)
+        identifier = held.one("language", hash(tuple(sorted(texts.items()))), lambda: Identifier(texts))
         for batch in batches:
             for part in W.slices(batch, text):
-                lang, score, bits = _built[key]([t or "" for t in part.column(text).to_pylist()])
+                lang, score, bits = identifier([t or "" for t in part.column(text).to_pylist()])
                 cols = [*part.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(bits)]
                 yield pa.RecordBatch.from_arrays(cols, names=[*part.schema.names, "lang_pred", "score", "bits_per_char"])
 
-    return run
+    return held.tidy(run, "language")
 
 
 def identify(docs: DataFrame, texts: dict[str, str], text: str = "text") -> DataFrame:

@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from relevo.llm import held
 from relevo.llm import words as W
 from relevo.session import bounded_batches, materialize
 
@@ -93,9 +93,8 @@ class Model:
         self.raw_end = np.cumsum([len(r) for r in raw])
 
 
-@lru_cache(maxsize=4)
 def model_of(path: str) -> Model:
-    return Model(path)
+    return held.one("pieces", path, lambda: Model(path))
 
 
 def count_units(docs: DataFrame, max_units: int = MAX_UNITS) -> DataFrame:
@@ -270,7 +269,7 @@ def unit_table(docs: DataFrame, path: str, max_units: int = MAX_UNITS) -> UnitTa
     """The lattice's answers for the units of ``docs``, collected: at most ``max_units`` of them."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    rows = materialize(unit_ids(spark, count_units(docs, max_units), model_of(path)).mapInArrow(_hashed, "h long, check long, ids binary"), "unit-ids")
+    rows = materialize(unit_ids(spark, count_units(docs, max_units), model_of(path)).mapInArrow(held.tidy(_hashed), "h long, check long, ids binary"), "unit-ids")
     return UnitTable(rows.toArrow())
 
 
@@ -283,7 +282,7 @@ def _encode(table, path: str):
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.record_batch([part.column("doc_id"), part.column("text"), lists], names=["doc_id", "text", "ids"])
 
-    return run
+    return held.tidy(run, "pieces")
 
 
 def encode(docs: DataFrame, path: str, max_units: int = MAX_UNITS) -> DataFrame:
@@ -302,7 +301,7 @@ def _decode(path: str):
             texts = decode_ids(ids.flatten().to_numpy(), first, model)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())], names=[*batch.schema.names, "decoded"])
 
-    return run
+    return held.tidy(run, "pieces")
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
@@ -326,7 +325,7 @@ def _digest(table, path: str):
                 yield pa.record_batch([part.column("doc_id"), pa.array(np.diff(first).astype(np.int64)), pa.array(crc, pa.int64()),
                                        pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.array(same)], names=["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip"])
 
-    return run
+    return held.tidy(run, "pieces")
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -350,7 +349,7 @@ def _there_and_back(table, path: str):
                 yield pa.record_batch([part.column("doc_id"), pa.array(np.diff(first).astype(np.int64)), lists, pa.array(texts, pa.string())],
                                       names=["doc_id", "n_tokens", "ids", "text"])
 
-    return run
+    return held.tidy(run, "pieces")
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

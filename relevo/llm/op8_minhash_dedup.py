@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relevo.llm import held
 from relevo.llm import words as W
 from relevo.llm.components import components
 from relevo.session import bounded_batches, materialize
@@ -127,7 +128,7 @@ def _sketch(shingle: int, bands: int, rows: int):
                 keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), W.int64(key[n > 0].reshape(-1)))
                 yield pa.record_batch([part.column("doc_id"), pa.array(n.astype(np.int64)), *sums, keys], schema=schema)
 
-    return run
+    return held.tidy(run)
 
 
 def _sets(shingle: int):
@@ -138,7 +139,7 @@ def _sets(shingle: int):
                 blobs = [value[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)]
                 yield pa.record_batch([part.column("doc_id"), pa.array(blobs, pa.binary())], names=["doc_id", "shingles"])
 
-    return run
+    return held.tidy(run)
 
 
 def _exploded(batches):
@@ -162,7 +163,7 @@ def _confirm(percent: int):
                 keep.append(100 * inter >= percent * (both - inter) and inter > 0)
             yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(keep, pa.bool_())], names=["a", "b", "linked"])
 
-    return run
+    return held.tidy(run)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -190,7 +191,7 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int = PERCENT) -> D
     """
     of = pick(sets, nodes.select("doc_id")).join(nodes.hint("merge"), "doc_id").where("length(shingles) > 0")
     each = (of.select("doc_id", "component", F.xxhash64("shingles").alias("set_id"), "shingles")
-            .mapInArrow(_exploded, "doc_id long, component long, set_id long, n long, shingle long"))
+            .mapInArrow(held.tidy(_exploded), "doc_id long, component long, set_id long, n long, shingle long"))
 
     def spread(rows: DataFrame) -> DataFrame:
         return rows.groupBy("shingle").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"))

@@ -57,6 +57,12 @@ def powers(seed: int, n: int, inverse: bool = False) -> np.ndarray:
     return have[:n]
 
 
+def drop_powers() -> None:
+    """Forget the powers of long texts."""
+    for key in [k for k, have in _powers.items() if len(have) > 1 << 16]:
+        del _powers[key]
+
+
 @dataclass
 class Words:
     """Words of a slice of documents: byte spans, and ``first[d]:first[d+1]`` for document d."""
