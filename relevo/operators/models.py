@@ -17,6 +17,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relevo.operators import gram
 from relevo.session import materialize
 
 
@@ -248,25 +249,9 @@ def sample_rows(df: DataFrame, key: str, frac: float = 0.85, seed: int = 101) ->
 
 
 def cv_ridge(df: DataFrame, feature_cols: list[str], label: str = "relevance", alphas=(0.1, 1.0, 10.0),
-             folds: int = 3, seed: int = 122) -> DataFrame:
-    """K-fold CV over ridge strengths; report (alpha, rmse, rank)."""
-    from pyspark.sql import Window
-    grid, m = _ridge_cv(assemble(df, feature_cols), label, alphas, folds, seed)
-    rows = [(float(a), float(metric)) for a, metric in zip(grid, m.avgMetrics)]
-    out = df.sparkSession.createDataFrame(rows, "alpha double, rmse double")
-    return out.withColumn("rank_test_score", F.rank().over(Window.orderBy("rmse")))
-
-
-def _ridge_cv(f: DataFrame, label: str, alphas, folds: int, seed: int):
-    """CrossValidator over ridge strengths converted for the rows of a training fold."""
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-    n, sd = size_and_sd(f, label)
-    lr = linear("ridge", 1.0, n, sd, label=label)
-    regs = [ridge_reg_param(a, n * (folds - 1) / folds, sd) for a in alphas]
-    grid = ParamGridBuilder().addGrid(lr.regParam, regs).build()
-    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=label),
-                        numFolds=folds, seed=seed, parallelism=4)
-    return alphas, cv.fit(f)
+             folds: int = 3, seed: int = 122, key: str = "pair_id") -> DataFrame:
+    """K-fold CV over ridge strengths from fold statistics; report (alpha, rmse, rank)."""
+    return gram.cv_report(df, feature_cols, fold_of(F.col(key), folds, seed), label, alphas)
 
 
 def fold_of(key: Column, folds: int, seed: int = 5) -> Column:
@@ -277,32 +262,36 @@ def fold_of(key: Column, folds: int, seed: int = 5) -> Column:
 def stack_oof(df: DataFrame, feature_cols: list[str], key: str = "pair_id", label: str = "relevance",
               folds: int = 5, iters: int = 600, alphas=(0.1, 1.0, 10.0)):
     """Out-of-fold stacking. For each fold, the base learners are fitted on the other folds
-    and predict the held-out fold; the union of those predictions trains the final ridge
-    (strength picked by k-fold CV, M12). Base learners are then refitted on all rows; fits run in parallel.
+    and predict the held-out fold; the union of those predictions trains the final ridge. Both ridges pick their
+    strength by leave-one-out error (M12). Base learners are then refitted on all rows; fits run in parallel.
     Returns (base models on all rows, final model, out-of-fold table)."""
     f = materialize(assemble(df, feature_cols).withColumn("_fold", fold_of(F.col(key), folds)), "stack-input")
-    learners = {k: (lambda tr, e=e: e) for k, e in extra_learners(label, "features", iters).items()}
-    learners["ridge"] = lambda tr: linear("ridge", 1.0, *size_and_sd(tr, label), label=label)
+    learners = {**extra_learners(label, "features", iters), "ridge": None}
     jobs = [(k, name) for k in range(folds) for name in learners] + [(None, name) for name in learners]
 
     def fit(job):
         k, name = job
         tr = f if k is None else f.where(F.col("_fold") != k)
-        return fit_learner(learners[name](tr), tr, key)
+        return fit_learner(learners[name], tr, key) if learners[name] else gram.ridge_loo(tr, feature_cols, label, alphas)[0]
 
     models = dict(zip(jobs, in_parallel(fit, jobs), strict=True))
     parts = []
     for k in range(folds):
         part = f.where(F.col("_fold") == k)
         for name in learners:
-            part = models[k, name].copy().setPredictionCol(name).transform(part)
+            part = predict_with(models[k, name], part, name)
         parts.append(part.select(key, label, *learners))
     oof = parts[0]
     for p in parts[1:]:
         oof = oof.unionByName(p)
     oof = materialize(oof, "stack-oof")
-    _, cv = _ridge_cv(assemble(oof, list(learners)), label, alphas, folds, 122)
-    return {name: models[None, name] for name in learners}, cv.bestModel, oof
+    final, _ = gram.ridge_loo(oof, list(learners), label, alphas)
+    return {name: models[None, name] for name in learners}, final, oof
+
+
+def predict_with(model, df: DataFrame, out: str) -> DataFrame:
+    """``df`` with the prediction of a tree model or a linear fit."""
+    return model.predict(df, out) if isinstance(model, gram.LinearFit) else model.copy().setPredictionCol(out).transform(df)
 
 
 def in_parallel(fn, jobs: list, threads: int = 4) -> list:
@@ -315,38 +304,15 @@ def in_parallel(fn, jobs: list, threads: int = 4) -> list:
 def predict_stack(bases: dict, final, df: DataFrame, feature_cols, key: str = "pair_id") -> DataFrame:
     out = assemble(df, feature_cols)
     for name, m in bases.items():
-        out = m.copy().setPredictionCol(name).transform(out)
-    out = out.drop("features")
-    p = final.transform(assemble(out, list(bases)))
+        out = predict_with(m, out, name)
+    p = final.predict(out.drop("features"), "prediction")
     return p.select(key, clip(F.col("prediction")).alias("prediction"))
 
 
-def random_search(df: DataFrame, feature_cols: list[str], label: str = "relevance", draws: int = 100,
-                  folds: int = 3, seed: int = 122) -> DataFrame:
-    """M14 + M15: seeded random draws of (alpha log-uniform, l1_ratio uniform) for an elastic net,
-    k-fold CV; report test and train RMSE per draw, rank by test RMSE, and flag draws whose train/test gap is
-    below 0.1 (the source's filter). Fits run a few at a time."""
-    import numpy as np
-    from pyspark.sql import Window
-    rng = np.random.default_rng(seed)
-    drawn = [(i, float(10 ** rng.uniform(-5, 1)), float(rng.uniform(0, 1))) for i in range(draws)]
-    f = materialize(assemble(df, feature_cols).withColumn("_fold", fold_of(F.col("pair_id"), folds, seed)), "search-input")
-    sizes = {k: size_and_sd(f.where(F.col("_fold") != k), label) for k in range(folds)}
-    ev = RegressionEvaluator(labelCol=label, metricName="rmse")
-
-    def one(job):
-        i, alpha, mix = job
-        te_err, tr_err = [], []
-        for k in range(folds):
-            m = linear("elastic_net", alpha, *sizes[k], mix, label).fit(f.where(F.col("_fold") != k))
-            te_err.append(ev.evaluate(m.transform(f.where(F.col("_fold") == k))))
-            tr_err.append(m.summary.rootMeanSquaredError)
-        return i, alpha, mix, float(np.mean(te_err)), float(np.mean(tr_err))
-
-    rows = in_parallel(one, drawn, 8)
-    out = df.sparkSession.createDataFrame(rows, "draw int, alpha double, l1_ratio double, rmse_test double, rmse_train double")
-    return (out.withColumn("rank_test_score", F.rank().over(Window.orderBy("rmse_test")))
-               .withColumn("small_gap", (F.abs(F.col("rmse_test") - F.col("rmse_train")) < 0.1)))
+def random_search(df: DataFrame, feature_cols: list[str], kind: str, label: str = "relevance", draws: int = 100,
+                  seed: int = 122, key: str = "pair_id") -> DataFrame:
+    """M14 + M15 for a linear learner: see ``gram.random_search``; folds are dealt by a hash of the key."""
+    return gram.random_search(df, feature_cols, kind, lambda k: fold_of(F.col(key), k, seed), label, draws, seed)
 
 
 def search_series(report: DataFrame, param: str) -> DataFrame:

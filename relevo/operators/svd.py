@@ -50,7 +50,7 @@ def _triangle(parts: list[np.ndarray]) -> np.ndarray:
     return np.linalg.qr(np.vstack(parts), mode="r")
 
 
-def _sum_up(pieces: DataFrame, keys: list[str], tasks: int, op) -> DataFrame:
+def sum_up(pieces: DataFrame, keys: list[str], tasks: int, op) -> DataFrame:
     """One piece per ``keys``: at most FAN of a group are combined in a task, and what that leaves is combined again."""
     while tasks > 1:
         tasks = -(-tasks // FAN)
@@ -94,13 +94,13 @@ def _pass(rows: DataFrame, basis: np.ndarray, factor: bool) -> tuple[np.ndarray,
     pieces, tasks = rows.select("cols", "vals").mapInArrow(run, "kind int, part int, task int, data binary"), rows.rdd.getNumPartitions()
     pieces = materialize(pieces, "svd-pass") if factor else pieces  # read twice
     z = np.zeros((m, width))
-    sums = _sum_up(pieces.where("kind = 0").select("part", "task", "data"), ["part"], tasks, lambda xs: np.sum(xs, axis=0))
+    sums = sum_up(pieces.where("kind = 0").select("part", "task", "data"), ["part"], tasks, lambda xs: np.sum(xs, axis=0))
     for x in sums.collect():                      # as many numbers as the basis has
         piece = np.frombuffer(x["data"]).reshape(-1, width)
         z[x["part"]:x["part"] + len(piece)] = piece
     r = None
     if factor:
-        last = _sum_up(pieces.where("kind = 1").select("task", "data"), [], tasks, lambda xs: _triangle([x.reshape(-1, width) for x in xs])).collect()
+        last = sum_up(pieces.where("kind = 1").select("task", "data"), [], tasks, lambda xs: _triangle([x.reshape(-1, width) for x in xs])).collect()
         r = np.frombuffer(last[0]["data"]).reshape(-1, width) if last else np.zeros((0, width))
     sent.destroy()
     return z, r

@@ -639,9 +639,19 @@ def q_stack_oof(spark, sf_dir):
 
 @register("random_search")
 def q_random_search(spark, sf_dir):
-    """M14 + M15: seeded random search over linear-model strength and mix, CV report with rank and gap flag."""
+    """M14 + M15: seeded random searches of ridge, lasso and elastic net, CV report with rank and gap flag."""
     tr, _ = _features_split(spark, sf_dir)
-    return mx.random_search(mx.standard_scale(tr, ft.FEATURE_ORDER), ft.FEATURE_ORDER)
+    scaled = materialize(mx.standard_scale(tr, ft.FEATURE_ORDER), "search-input")
+    out = [mx.random_search(scaled, ft.FEATURE_ORDER, kind) for kind in ("ridge", "lasso", "elastic_net")]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@register("meta_search")
+def q_meta_search(spark, sf_dir):
+    """Random search of the blend's meta ridge on the scaled base predictions of the training pairs."""
+    blend, _, ftab = search.fitted_blend(spark, sf_dir)
+    base = mx.predict_blend(blend, ftab.where("is_train").drop("is_train"), ft.FEATURE_ORDER).drop("prediction")
+    return mx.random_search(materialize(mx.standard_scale(base, blend["names"]), "search-input"), blend["names"], "meta")
 
 
 @register("gbt_grid")
@@ -655,7 +665,8 @@ def q_gbt_grid(spark, sf_dir):
 def q_search_series(spark, sf_dir):
     """Draws of the random search with a small train/test gap, as a series over the strength."""
     tr, _ = _features_split(spark, sf_dir)
-    return mx.search_series(mx.random_search(mx.standard_scale(tr, ft.FEATURE_ORDER), ft.FEATURE_ORDER), "alpha")
+    scaled = materialize(mx.standard_scale(tr, ft.FEATURE_ORDER), "search-input")
+    return mx.search_series(mx.random_search(scaled, ft.FEATURE_ORDER, "elastic_net"), "alpha")
 
 
 @register("model_roundtrip")
