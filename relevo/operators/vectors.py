@@ -11,6 +11,8 @@ product of two short lengths per sentence pair, never quadratic in a table.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -164,21 +166,53 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, qkey: str = "qu
     return out
 
 
-def fit_word2vec(texts: DataFrame, col: str = "text", size: int = 100, window: int = 5, min_count: int = 1,
-                 iters: int = 20, seed: int = 122):
-    """V7: Word2Vec on whitespace tokens of distinct texts (MLlib; skip-gram, so vectors differ
-    from a CBOW fit and compare by neighbourhood, not by value). Returns the fitted model."""
-    from pyspark.ml.feature import Word2Vec
-    docs = texts.select(F.split(F.trim(F.col(col)), r"\s+").alias("tokens")).distinct()
-    # MLlib keeps vocabulary and vectors on the driver and merges a copy per partition and pass, so a few partitions
-    # train fastest; README lists the limit that this puts on the vocabulary
-    parts = min(4, texts.sparkSession.sparkContext.defaultParallelism)
-    w2v = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, maxIter=iters, seed=seed,
-                   numPartitions=parts, inputCol="tokens", outputCol="vec")
-    return w2v.fit(docs)
-
-
-def word_vectors_table(model) -> DataFrame:
-    """V8: (word, vector ARRAY<DOUBLE>) from a fitted Word2Vec model."""
-    from pyspark.ml.functions import vector_to_array
-    return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
+#: Words that count as context: the most frequent ones. They bound the columns of the word matrix, not its rows.
+MAX_CONTEXTS = 20_000
+
+
+def context_weights(texts: DataFrame, col: str = "text", window: int = 5, max_contexts: int = MAX_CONTEXTS, shift: float = 1.0,
+                    smooth: float = 0.75) -> tuple[DataFrame, int]:
+    """((word, cols, vals), number of contexts): for every word of the distinct texts its positive weights log(p(word, context) / (p(word) p'(context))) -
+    log(shift), where context words stand at most ``window`` words away and p' flattens their shares by the power ``smooth``.
+
+    Neighbours come from slices of a text's words, without a join; counts are added before and after one shuffle by (word, context)."""
+    from relevo.operators.topn import fits
+    from relevo.session import materialize
+
+    rows = texts.select(F.sha2(F.col(col), 256).alias("h"), F.split(F.trim(F.col(col)), r"\s+").alias("w")).withColumn("row", F.monotonically_increasing_id())
+    rows = materialize(rows, "words")
+    first = rows.groupBy("h").agg(F.min("row").alias("row")).select("row")
+    docs = rows.join(first, "row", "left_semi").select(F.filter("w", lambda x: x != "").alias("w"))
+    n = F.size("w")
+    pairs = [F.arrays_zip(F.slice("w", F.lit(1), F.greatest(n - d, F.lit(0))).alias("a"), F.slice("w", F.lit(1 + d), F.greatest(n - d, F.lit(0))).alias("b")) for d in range(1, window + 1)]
+    one = docs.select(F.explode(F.flatten(F.array(*pairs))).alias("p")).groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    both = one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
+    counts = materialize(both.groupBy(F.col("a").alias("word"), F.col("b").alias("context")).agg(F.sum("n").alias("n")), "word-pairs")
+    per_word = materialize(counts.groupBy("word").agg(F.sum("n").alias("of_word")), "word-counts")
+    by = per_word.orderBy(F.desc("of_word"), "word").limit(max_contexts)
+    contexts = by.agg(F.array_sort(F.collect_list("word")).alias("w")).select(F.posexplode("w").alias("col", "context"))  # at most max_contexts words
+    contexts = materialize(contexts.join(per_word.withColumnRenamed("word", "context"), "context").withColumnRenamed("of_word", "of_context"), "word-contexts")
+    sums = contexts.agg(F.sum(F.pow(F.col("of_context").cast("double"), smooth)).alias("flat"), F.count("*").alias("n")).first()
+    both = counts.join(F.broadcast(contexts), "context").join(F.broadcast(per_word) if fits(per_word, 200_000) else per_word, "word")
+    value = F.log(F.col("n") / F.col("of_word") * F.lit(float(sums["flat"] or 1.0)) / F.pow(F.col("of_context").cast("double"), smooth)) - math.log(shift)
+    kept = both.select("word", "col", value.alias("v")).where("v > 0")
+    out = kept.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("col", "v"))).alias("x"))  # a word's contexts are bounded
+    return materialize(out.select("word", F.transform("x", lambda e: e["col"]).alias("cols"), F.transform("x", lambda e: e["v"]).alias("vals")), "word-rows"), sums["n"]
+
+
+def fit_word_vectors(texts: DataFrame, col: str = "text", size: int = 100, window: int = 5, power: int = 5, **weights) -> DataFrame:
+    """V7: (word, vector) of every word that has a context, by factoring the words' context weights: neighbours are words of like contexts, as with
+    the source's trained vectors, but values differ. Words are rows of a distributed matrix; no vocabulary is ever collected."""
+    from relevo.operators import svd
+
+    rows, n = context_weights(texts, col, window, **weights)
+    basis = svd.fit(rows, max(n, 1), size, power)
+    # U sqrt(S) = X V / sqrt(S)
+    return svd.project(rows, "word", svd.Svd(basis.v / basis.s ** 0.5, basis.s), "vector")
+
+
+def word_cosine(pairs: DataFrame, vectors: DataFrame, a: str = "a", b: str = "b", out: str = "cosine") -> DataFrame:
+    """V8: ``pairs`` with the cosine of the vectors of their two words; null if one has none."""
+    va = vectors.select(F.col("word").alias(a), F.col("vector").alias("_a"))
+    vb = vectors.select(F.col("word").alias(b), F.col("vector").alias("_b"))
+    return pairs.join(va, a, "left").join(vb, b, "left").withColumn(out, cosine(F.col("_a"), F.col("_b"))).drop("_a", "_b")

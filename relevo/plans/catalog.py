@@ -584,16 +584,17 @@ def q_pair_features_a2(spark, sf_dir):
     return fz.feature_table_a2(spark, sf_dir)
 
 
+def _pair_texts(pairs, prods):
+    return (prods.select(F.col("description").alias("text")).unionByName(pairs.select(F.col("q").alias("text")))
+            .unionByName(prods.select(F.col("title").alias("text"))))
+
+
 @register("w2v_neighbors")
 def q_w2v_neighbors(spark, sf_dir):
-    """V7 + V8 + O3: Word2Vec on the distinct descriptions, searches and titles of the labelled pairs
-    (100 dims, window 5, min count 1, 20 passes); the 10 nearest words to each search word."""
+    """V7 + V8 + O3: word vectors of the distinct descriptions, searches and titles of the labelled pairs
+    (100 dims, window 5, min count 1); the 10 nearest words to each search word."""
     pairs, prods = fz.notebook_inputs(spark, sf_dir)
-    texts = (prods.select(F.col("description").alias("text"))
-             .unionByName(pairs.select(F.col("q").alias("text")))
-             .unionByName(prods.select(F.col("title").alias("text"))))
-    model = vx.fit_word2vec(texts)
-    wv = vx.word_vectors_table(model)
+    wv = materialize(vx.fit_word_vectors(_pair_texts(pairs, prods)), "word-vectors")
     qwords = (pairs.select(F.explode(tx.split_ws("q")).alias("word")).distinct()
               .join(wv, "word").select(F.col("word").alias("query_id"), F.col("vector").alias("qvec")))
     top = vx.nearest(qwords, wv.withColumnRenamed("word", "word_id"), k=11)
@@ -602,6 +603,15 @@ def q_w2v_neighbors(spark, sf_dir):
                        F.round("cosine", 6).alias("cosine")))
 
 
+@register("word_pair_counts")
+def q_word_pair_counts(spark, sf_dir):
+    """V7's first half, with values that SQL can state: the weights of the 200 most frequent words as contexts of each other
+    (window 5, distinct texts)."""
+    pairs, prods = fz.notebook_inputs(spark, sf_dir)
+    rows, _ = vx.context_weights(_pair_texts(pairs, prods), max_contexts=200)
+    return rows.select("word", F.size("cols").cast("bigint").alias("n_contexts"), F.round(F.aggregate("vals", F.lit(0.0), lambda s, x: s + x), 6).alias("weight"))
+
+
 @register("app_features")
 def q_app_features(spark, sf_dir):
     """F1-F21, F23-F25 with the app cleaning pipeline (P8, P9, T1, T2, T4, T5) on the part catalog."""
