@@ -585,3 +585,13 @@ pad AS (SELECT c.query_id, f.product_uid, c.m FROM cnt c CROSS JOIN firstd f
 padr AS (SELECT query_id, product_uid, m + row_number() OVER (PARTITION BY query_id ORDER BY product_uid) AS rank FROM pad)
 SELECT query_id, product_uid, rank, score FROM top
 UNION ALL SELECT CAST(query_id AS BIGINT), CAST(product_uid AS BIGINT), CAST(rank AS BIGINT), CAST(0.0 AS DOUBLE) FROM padr WHERE rank <= 10"""
+
+# texts and words as Spark's trim and split on \s+ give them: measures keep single blanks only
+ORACLE["word_pair_counts"] = _NB[:-1] + """,
+wt AS (SELECT row_number() OVER (ORDER BY t) AS doc, t FROM (SELECT description AS t FROM nb_products UNION SELECT q FROM nb_pairs UNION SELECT title FROM nb_products)),
+wp AS MATERIALIZED (SELECT doc, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM (SELECT doc, list_filter(regexp_split_to_array(trim(t), '\\s+'), lambda x: x <> '') AS w FROM wt)),
+wn AS MATERIALIZED (SELECT a.word, b.word AS context, count(*) AS n FROM wp a JOIN wp b ON a.doc = b.doc AND a.pos <> b.pos AND b.pos BETWEEN a.pos - 5 AND a.pos + 5 GROUP BY 1, 2),
+wc AS MATERIALIZED (SELECT word, sum(n) AS c FROM wn GROUP BY word),
+cx AS MATERIALIZED (SELECT word AS context, c FROM wc ORDER BY c DESC, word LIMIT 200),
+wv AS (SELECT wn.word, ln(n / wc.c * (SELECT sum(pow(c, 0.75)) FROM cx) / pow(cx.c, 0.75)) AS v FROM wn JOIN cx USING (context) JOIN wc ON wn.word = wc.word)
+SELECT word, count(*)::BIGINT AS n_contexts, round(sum(v), 6) AS weight FROM wv WHERE v > 0 GROUP BY word"""
