@@ -27,10 +27,11 @@ WINDOW = 40
 CONTEXT = 0.3
 MIN_SCORE = 0.6
 
+# A match starts where a run of its characters does, or where the last match ended in one: from inside, it would fail as from the start.
 # Kinds in order, with pattern, a cheap sign that a text may hold one, prior score and words that speak for the kind.
 KINDS = {
-    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++", r"@[A-Za-z0-9-]+\.", 0.9, "mail|contact|write|reply"),
-    "ip": (r"[0-9]++(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", r"[0-9]\.[0-9]", 0.7, "ip|address|host|server|login"),
+    "email": (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++", r"@[A-Za-z0-9-]+\.", 0.9, "mail|contact|write|reply"),
+    "ip": (r"(?<![0-9])[0-9]++(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", r"[0-9]\.[0-9]", 0.7, "ip|address|host|server|login"),
     "card": (r"[0-9](?:[\x20-]?[0-9])++", r"[0-9](?:[\x20-]?[0-9]){15}", 0.8, "card|visa|credit|payment|debit|master"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.7, "phone|call|tel|mobile|fax|cell"),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", 0.8, "iban|account|bank|transfer"),

@@ -189,3 +189,14 @@ def test_no_documents(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, text string")
     op6.write_packed(df, str(tmp_path / "e"), public_tokenizers.path(op6.TOKENIZER), 50_257)
     assert op6.read_packed(spark, str(tmp_path / "e")).collect() == []
+
+
+def test_long_runs_take_linear_time(spark):
+    import time
+    text = "b" * 1_000_000 + " x@y.zz " + "1" * 1_000_000 + " a@b.c.d@e.fr x@y.z%w@q.r 1.2.3.4.5.6.7.8 " + "+" * 1000
+    began = time.time()
+    r = op10.find_pii(spark.createDataFrame([(text,)], "text string")).first().pii
+    assert time.time() - began < 20
+    tail = text[1_000_000:1_000_008] + text[2_000_008:]
+    want = [m.group() for m in re.finditer(BASE["email"], tail)]
+    assert [s.value for s in r.email] == want and [s.value for s in r.ip] == ["1.2.3.4", "5.6.7.8"]
