@@ -80,6 +80,22 @@ def _pairwise_min(q: Column, f: Column, fn) -> Column:
     return F.array_min(F.flatten(F.transform(q, lambda x: F.transform(f, lambda y: fn(x, y)))))
 
 
+def _no_distance(q: Column, f: Column) -> Column:
+    """A word occurs on both sides, so the least distance is 0 and no pair has to be measured."""
+    some = lambda ws: F.filter(ws, lambda w: w != "")
+    return F.arrays_overlap(some(q), some(f))
+
+
+def min_edit(q: Column, f: Column) -> Column:
+    """The least edit distance of a word of ``q`` and one of ``f``; each distinct pair is measured once, and none if a word is common."""
+    return F.when(_no_distance(q, f), 0).otherwise(_pairwise_min(F.array_distinct(q), F.array_distinct(f), F.levenshtein))
+
+
+def min_jaccard(q: Column, f: Column) -> Column:
+    """The least Jaccard distance of the character sets of a word of ``q`` and one of ``f``; as ``min_edit``."""
+    return F.when(_no_distance(q, f), 0.0).otherwise(_pairwise_min(_sets(q), _sets(f), mask_jaccard))
+
+
 #: Characters that have a bit of a 64-bit mask; cleaned texts hold few others.
 _MASKED = "abcdefghijklmnopqrstuvwxyz0123456789 .,-/_'\"&+#%()"
 
@@ -159,10 +175,10 @@ def similarity_columns(q: str = "q") -> list:
         _set_cosine("description").alias("cosine_search_term_desc"),
         F.aggregate(qb, F.lit(0), lambda acc, x: acc + F.size(F.filter(bb, lambda y: y == x)))
          .alias("search_term_contains_brand"),
-        _pairwise_min(_sets(qs), _sets(bs), mask_jaccard).alias("min_jcc_brand_with_search_term"),
-        _pairwise_min(qb, bb, F.levenshtein).alias("min_edit_brand_with_search_term"),
-        _pairwise_min(_sets(qs), _sets(ts), mask_jaccard).alias("min_jcc_title_with_search_term"),
-        _pairwise_min(qb, tb, F.levenshtein).alias("min_edit_title_with_search_term"),
+        min_jaccard(qs, bs).alias("min_jcc_brand_with_search_term"),
+        min_edit(qb, bb).alias("min_edit_brand_with_search_term"),
+        min_jaccard(qs, ts).alias("min_jcc_title_with_search_term"),
+        min_edit(qb, tb).alias("min_edit_title_with_search_term"),
         set_jaccard(F.col("q_jset"), F.col("title_jset")).alias("sum_jaccard_product_title_with_search_term"),
         F.levenshtein(q, "title").alias("sum_edit_product_title_with_search_term"),
         set_jaccard(F.col("q_jset"), F.col("description_jset")).alias("sum_jcc_prod_desc_with_search_term"),
