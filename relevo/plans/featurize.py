@@ -16,7 +16,7 @@ from relevo.functions import text as tx
 from relevo.operators import assemble as asm
 from relevo.operators import bm25
 from relevo.operators import features as ft
-from relevo.operators import tfidf
+from relevo.operators import svd, tfidf
 from relevo.operators.topn import fits
 from relevo.sources import fixtures as fx
 from relevo.session import materialize
@@ -153,6 +153,34 @@ class FeatureParams:
         self.basis = basis
 
 
+def save_feature_params(spark: SparkSession, fp: FeatureParams, path: str) -> None:
+    """Idf tables, vocabulary, scalars and the latent basis under ``path``."""
+    tables = {**{f"bm25-{f}": (p.idf, p.n_docs, p.avgdl) for f, p in fp.bm25_params.items()}, "vocab": (fp.vocab.idf, fp.vocab.n_docs, 0.0)}
+    for name, (idf, _, _) in tables.items():
+        idf.write.mode("overwrite").parquet(f"{path}/{name}")
+    if fp.basis is not None:
+        rows = [(i, [float(x) for x in v]) for i, v in enumerate(fp.basis.v)]  # one per word of the vocabulary
+        spark.createDataFrame(rows, "col int, v array<double>").write.mode("overwrite").parquet(f"{path}/basis")
+        spark.createDataFrame([([float(x) for x in fp.basis.s],)], "s array<double>").write.mode("overwrite").parquet(f"{path}/basis-values")
+    # written last: a folder without it holds no whole set of parameters
+    meta = [(name, int(n), float(avgdl), fp.basis is not None) for name, (_, n, avgdl) in tables.items()]
+    spark.createDataFrame(meta, "name string, n_docs long, avgdl double, latent boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def load_feature_params(spark: SparkSession, path: str) -> FeatureParams:
+    """Parameters written by ``save_feature_params``."""
+    import numpy as np
+
+    meta = {r["name"]: r for r in spark.read.parquet(f"{path}/meta").collect()}
+    idf = {name: spark.read.parquet(f"{path}/{name}") for name in meta}
+    params = {n.removeprefix("bm25-"): bm25.Bm25Params(idf[n], r["n_docs"], r["avgdl"]) for n, r in meta.items() if n != "vocab"}
+    basis = None
+    if meta["vocab"]["latent"]:
+        v = spark.read.parquet(f"{path}/basis").orderBy("col").collect()
+        basis = svd.Svd(np.array([r["v"] for r in v]), np.array(spark.read.parquet(f"{path}/basis-values").first()["s"]))
+    return FeatureParams(params, tfidf.TfidfVocab(idf["vocab"], meta["vocab"]["n_docs"]), basis)
+
+
 def fit_feature_params(pairs: DataFrame, products: DataFrame, latent: int | None = None) -> FeatureParams:
     """``latent``: components of a basis in which F28 and F29 are taken; None: in the TF-IDF space itself."""
     vocab = title_desc_vocab(pairs, products)

@@ -102,17 +102,20 @@ _blends: dict[tuple[str, str], str] = {}
 
 
 def fitted_blend(spark: SparkSession, sf_dir: str, gbt_iter: int = 999):
-    """(blend, feature parameters, feature table) of the labelled pairs. The blend is fitted once per session and
-    folder of tables, saved, and loaded from its files by whoever asks again."""
-    pairs, prods = fz.notebook_inputs(spark, sf_dir)
-    fp = fz.fit_feature_params(pairs, prods)
-    ftab = materialize(fz.compute_features(pairs, prods, fp), "features")
+    """(blend, feature parameters, feature table) of the labelled pairs: fitted once per session and
+    folder of tables, saved, and loaded from the files by whoever asks again."""
     at = (spark.sparkContext.applicationId, f"{sf_dir}|{gbt_iter}")
     if at not in _blends:
         path = f"{checkpoint_dir(spark).rstrip('/')}/blend-{uuid.uuid4().hex[:12]}"
+        pairs, prods = fz.notebook_inputs(spark, sf_dir)
+        fp = fz.fit_feature_params(pairs, prods)
+        fz.save_feature_params(spark, fp, f"{path}/parameters")
+        fz.compute_features(pairs, prods, fp).write.mode("overwrite").parquet(f"{path}/features")
+        ftab = spark.read.parquet(f"{path}/features")
         mx.save_blend(spark, mx.fit_blend(ftab.where("is_train").drop("is_train"), ft.FEATURE_ORDER, gbt_iter=gbt_iter), path)
         _blends[at] = path
-    return mx.load_blend(spark, _blends[at]), fp, ftab
+    path = _blends[at]
+    return mx.load_blend(spark, path), fz.load_feature_params(spark, f"{path}/parameters"), spark.read.parquet(f"{path}/features")
 
 
 def search_top10(spark: SparkSession, sf_dir: str, n: int = 100, k: int = 10, gbt_iter: int = 999) -> DataFrame:
