@@ -170,7 +170,7 @@ def fit_blend(train: DataFrame, feature_cols: list[str], key: str = "pair_id", l
 
     Returns a dict with fitted base models, the scaler statistics source and the meta model.
     """
-    halves = split(train, key, 0.5, seed=7, label="half")
+    halves = split(train, key, 0.5, seed=7, label="half", by=label)  # half of every relevance
     a, b = halves.where("half = 'train'").drop("half"), halves.where("half = 'test'").drop("half")
     base_stats = scale_stats(a, feature_cols).first()
     a_s = standard_scale(a, feature_cols, stats=base_stats)

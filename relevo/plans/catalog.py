@@ -389,6 +389,28 @@ def q_corr_rank(spark, sf_dir):
     return prof.rank_by_abs_correlation(fb, cols, "relevance")
 
 
+@register("corr_features")
+def q_corr_features(spark, sf_dir):
+    """G8 over the whole feature table: all pairs of the 41 features and the relevance."""
+    t = fz.feature_table(spark, sf_dir)
+    return prof.correlation_from_products(t.select(*[F.round(c, 6).alias(c) for c in ft.FEATURE_ORDER], "relevance"), [*ft.FEATURE_ORDER, "relevance"])
+
+
+@register("corr_features_rank")
+def q_corr_features_rank(spark, sf_dir):
+    """G9 over the whole feature table: features by the size of their correlation with the relevance."""
+    c = q_corr_features(spark, sf_dir).where("col_b = 'relevance'")
+    return c.select(F.col("col_a").alias("feature"), "corr").orderBy(F.desc(F.abs("corr")), "feature")
+
+
+@register("table_shapes")
+def q_table_shapes(spark, sf_dir):
+    """Rows and columns of the pairs, products, attribute rows and the catalog."""
+    parts = {"pairs": fx.pairs(spark, sf_dir), "products": fx.products(spark, sf_dir), "attributes": fx.attributes(spark, sf_dir), "catalog": _catalog(spark, sf_dir)}
+    out = [prof.shape(df, name) for name, df in parts.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
 @register("error_box")
 def q_error_box(spark, sf_dir):
     """G13 + P15 on a fixed predictor: the mean training relevance applied to the holdout."""

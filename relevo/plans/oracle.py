@@ -595,3 +595,13 @@ wc AS MATERIALIZED (SELECT word, sum(n) AS c FROM wn GROUP BY word),
 cx AS MATERIALIZED (SELECT word AS context, c FROM wc ORDER BY c DESC, word LIMIT 200),
 wv AS (SELECT wn.word, ln(n / wc.c * (SELECT sum(pow(c, 0.75)) FROM cx) / pow(cx.c, 0.75)) AS v FROM wn JOIN cx USING (context) JOIN wc ON wn.word = wc.word)
 SELECT word, count(*)::BIGINT AS n_contexts, round(sum(v), 6) AS weight FROM wv WHERE v > 0 GROUP BY word"""
+
+
+_CORR_COLS = [*_FEATURE_ORDER, "relevance"]
+_CORR = "WITH f AS (" + ORACLE["pair_features"] + "),\ncorrs AS (SELECT unnest([" + ", ".join(
+    f"{{'col_a': '{a}', 'col_b': '{b}', 'corr': CASE WHEN min({a}) = max({a}) OR min({b}) = max({b}) THEN NULL ELSE round(corr({a}, {b}), 6) + 0.0 END}}"
+    for i, a in enumerate(_CORR_COLS) for b in _CORR_COLS[i + 1:]) + "], recursive := true) FROM f)\n"
+ORACLE["corr_features"] = _CORR + "SELECT col_a, col_b, corr FROM corrs"
+ORACLE["corr_features_rank"] = _CORR + "SELECT col_a AS feature, corr FROM corrs WHERE col_b = 'relevance'"
+ORACLE["table_shapes"] = _CATALOG + """SELECT 'pairs' AS table_name, count(*) AS n_rows, 6::BIGINT AS n_columns FROM pairs
+UNION ALL SELECT 'products', count(*), 3 FROM products UNION ALL SELECT 'attributes', count(*), 4 FROM attributes UNION ALL SELECT 'catalog', count(*), 6 FROM catalog"""
