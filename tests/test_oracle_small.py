@@ -18,7 +18,7 @@ FAST = ["bm25_topn", "clean_text", "clean_search", "clean_measures", "camel_spli
         "shared_pairs", "catalog_preview", "csv_roundtrip", "corpus_roundtrip", "json_records", "stream_bm25_topn",
         "pair_features", "null_profile", "value_counts", "class_hist", "clip_predictions", "attr_concat_rows",
         "clean_units", "tfidf_weights", "corr_matrix", "bm25_topn_padded", "value_counts_more", "histogram_uid",
-        "w2v_pair_features", "rmse_fixed", "csv_utf8_roundtrip"]
+        "w2v_pair_features", "rmse_fixed", "csv_utf8_roundtrip", "table_shapes", "word_pair_counts", "corr_features"]
 
 
 def _norm(v):
