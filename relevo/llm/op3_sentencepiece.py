@@ -37,6 +37,8 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 MAX_UNITS = 500_000
 MAX_CHARS = 32
+#: Bytes of a batch of the pipeline's last step.
+STAGE_BATCH_BYTES = 2 << 20
 UNITS_A_TASK = 20_000
 #: The library scores an unknown character so much below the lowest piece.
 UNKNOWN_PENALTY = 10.0
@@ -360,4 +362,9 @@ def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     path = public_tokenizers.path(MODEL)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = spark.sparkContext.broadcast(unit_table(rows, path))
+    # ids and texts go both ways at once: smaller batches than elsewhere, for this step and what follows it
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = spark.conf.get(key, "").rstrip("b")
+    if have.isdigit() and int(have) > STAGE_BATCH_BYTES:
+        spark.conf.set(key, str(STAGE_BATCH_BYTES))
     return rows.mapInArrow(_there_and_back(table, path), "doc_id long, n_tokens long, ids array<int>, text string")
