@@ -209,3 +209,26 @@ def test_zero_score_padding(spark):
         hits = sorted((u for u, s in scores.items() if s > 0), key=lambda u: (-round(scores[u], 6), u))[:n]
         pad = [u for u in ids if u not in hits][: n - len(hits)]
         assert [u for _, u in sorted(res[qid])] == hits + pad
+
+
+def test_nearest_holds_few_cosines_at_a_time(spark):
+    from relevo.operators import vectors as vx
+    vecs = spark.range(0, 300).select(F.concat(F.lit("w"), F.col("id")).alias("word_id"), F.array(F.col("id") % 5 + 1.0, F.col("id") % 3 + 1.0).alias("vector"))  # many ties
+    qs = vecs.where("word_id < 'w2'").select(F.col("word_id").alias("query_id"), F.col("vector").alias("qvec"))
+    import numpy as np
+    rows = [(r[0], np.array(r[1]) / np.linalg.norm(r[1])) for r in vecs.collect()]
+    expected = set()
+    for q, u in [r for r in rows if r[0] < "w2"]:
+        best = sorted((-round(float(u @ v), 9), w) for w, v in rows)[:7]
+        expected |= {(q, w, i) for i, (_, w) in enumerate(best, 1)}
+    for cells in (1, 500, 10_000_000):
+        got = vx.nearest(qs, vecs, 7, cells=cells).select("query_id", "word_id", "rank").collect()
+        assert set(map(tuple, got)) == expected and len(got) == len(expected)
+
+
+def test_padding_reads_the_search_once(spark):
+    top = spark.createDataFrame([(1, 7, 2.0, 1)], "query_id long, product_uid long, score double, rank int").where(F.expr("product_uid > 0"))
+    q = spark.createDataFrame([(1, "a"), (2, "b")], "query_id long, text string")
+    out = bm25.pad_zero_scores(top, q, spark.createDataFrame([(i,) for i in range(9)], "product_uid long"), 2)
+    assert sorted(map(tuple, out.select("query_id", "product_uid", "rank").collect())) == [(1, 0, 2), (1, 7, 1), (2, 0, 1), (2, 1, 2)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("product_uid#") and "padded-top" in "".join(out.inputFiles())
