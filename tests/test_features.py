@@ -79,3 +79,23 @@ def test_basic_counts(spark):
     assert r["title_common_word_count"] == 3 * 3          # distinct unigrams 3 x 3
     assert r["title_common_word_count_bigram"] == 3 * 2   # distinct bigrams (a b),(b a),(a 12) x 2
     assert r["have_brand_or_not"] == 0 and r["last_word_in_title"] == 1
+
+
+def test_mean_jaccard_keeps_a_pair_in_one_row(spark):
+    pairs = spark.createDataFrame([(1, 1, "ab £c"), (2, 2, "ab"), (3, 3, ""), (4, 4, None), (5, 9, "ab  cd"), (6, 1, "ab dé")], "pair_id bigint, product_uid bigint, q string")
+    prods = spark.createDataFrame([(1, "ba £d"), (2, ""), (3, "x"), (4, "x")], "product_uid bigint, description string")
+    m = ft.mean_char_jaccard(pairs, prods, "description", "m")
+    got = {r["pair_id"]: r["m"] for r in m.collect()}
+    assert abs(got[1] - (0 + 2 / 3) / 2) < 1e-12                   # {£, c} against {£, d}
+    assert got[2] == 99999 and got[3] == 0 and got[4] is None
+    assert abs(got[5] - 2 * 99999 / 3) < 1e-6                       # no such product; the empty word counts
+    assert abs(got[6] - (0 + 2 / 3) / 2) < 1e-12
+    assert "Generate" not in m._jdf.queryExecution().executedPlan().toString()   # no row per word
+
+
+def test_nothing_but_the_words_is_computed_per_word(spark):
+    from relevo.operators import bm25
+    from relevo.plans import featurize as fz
+    cols = [str(c) for c in ft.similarity_columns() if "min_" in str(c)]
+    cols += [str(c) for c in fz._bm25_columns({f: bm25.Bm25Params(None, 1, 1.0) for f in fz.BM25_FIELDS})]
+    assert len(cols) == 7 and not any("split(" in c or "regexp_replace(" in c or "array_distinct(" in c for c in cols)
