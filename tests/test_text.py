@@ -90,3 +90,16 @@ def test_bigrams_and_digits(spark):
     assert r[0]["d"] == ["12", "3"] and r[0]["n2"] == 5
     assert r[1]["d"] == [] and r[1]["n2"] == 0
     assert r[2]["n2"] == 0
+
+
+def test_cleaning_tests_ascii_before_unicode(spark):
+    texts = ["aÄ_1 ٣x--ñ‿b\u200dc", " gal gals  galon lb. 3 ft fts", "in. sq", "", None, "日本 ①", "a gal gal gal b"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select(F.regexp_replace("t", tx.NON_WORD, " ").alias("a"), F.regexp_replace("t", r"(?U)\W+", " ").alias("b")).collect():
+        assert r["a"] == r["b"]
+    old = F.concat(F.lit(" "), F.col("t"), F.lit(" "))
+    for pat, rep in tx.UNIT_RULES:
+        old = F.regexp_replace(old, pat, rep)
+    for r in df.select(tx.standardize_units("t").alias("a"), old.alias("b")).collect():
+        assert r["a"] == r["b"]
+    assert "a-zA-Z0-9" in tx.NON_WORD
