@@ -198,41 +198,41 @@ def mean_char_jaccard(pairs: DataFrame, products: DataFrame, field: str, out: st
     distances of all of them as bit counts of a matrix.
     """
     words = tx.split_blank(F.trim(F.col(q)))
-    qw = pairs.select("pair_id", "product_uid", F.size(words).alias("n"), F.filter(words, lambda x: x != "").alias("w"))
-    qw = qw.select("pair_id", "product_uid", "n", F.transform("w", _char_set).alias("xs"))
+    qw = pairs.select("pair_id", "product_uid", F.transform(F.filter(words, lambda x: x != ""), _char_set).alias("xs"))
     # one row per product with the character sets of its words: words with equal sets count once
-    fw = products.select("product_uid", _sets(F.filter(tx.split_blank(F.trim(F.col(field))), lambda y: y != "")).alias("ys"))
+    fw = products.select("product_uid", _sets(F.filter(tx.split_blank(F.trim(F.col(field))), lambda y: y != "")).alias("ys")).where(F.size("ys") > 0)
     side = {c: (F.transform(c, lambda s: s["m"]).alias(f"{c}_m"), F.transform(c, lambda s: s["cs"]).alias(f"{c}_cs")) for c in ("xs", "ys")}
-    j = qw.select("pair_id", "product_uid", "n", *side["xs"]).join(fw.select("product_uid", *side["ys"]), "product_uid", "left").drop("product_uid")
+    j = qw.select("pair_id", "product_uid", *side["xs"]).join(fw.select("product_uid", *side["ys"]), "product_uid", "left").drop("product_uid")
     kind = dict(pairs.dtypes)["pair_id"]
-    return j.mapInArrow(_mean_distance(out), f"pair_id {kind}, {out} double")
+    per_pair = j.mapInArrow(_distances, f"pair_id {kind}, s double").groupBy("pair_id").agg(F.sum("s").alias("s"))
+    return (pairs.select("pair_id", F.size(words).alias("n")).join(per_pair, "pair_id", "left")
+            .select("pair_id", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias(out)))
 
 
-def _mean_distance(out: str):
-    """Batches of (pair_id, n, masks and character sets of both sides) to (pair_id, out)."""
+def _distances(batches):
+    """(pair_id, s): the summed least distances of batches of (pair_id, masks and character sets of both sides)."""
     import numpy as np
     import pyarrow as pa
 
     def sets(masks, chars):
         return [frozenset(c) if m is None else frozenset(x for i, x in enumerate(_MASKED) if m >> i & 1) for m, c in zip(masks, chars, strict=True)]
 
-    def total(row, xm, ym, batch) -> float:
-        if ym is None or not len(ym):
+    def total(row, xm, ym, batch) -> float | None:
+        if xm is None:
+            return None
+        if ym is None:
             return BIG * len(xm)
         if xm.null_count or ym.null_count:  # a character without a bit
             x = sets(xm.to_pylist(), batch.column("xs_cs")[row].as_py())
             y = sets(ym.to_pylist(), batch.column("ys_cs")[row].as_py())
-            return sum(min((len(a | b) - len(a & b)) / len(a | b) for b in y) for a in x)
+            return sum((min((len(a | b) - len(a & b)) / len(a | b) for b in y) for a in x), 0.0)
         x, y = np.asarray(xm), np.asarray(ym)
         both = np.bitwise_count(x[:, None] | y)
         return float(((both - np.bitwise_count(x[:, None] & y)) / both).min(axis=1).sum())
 
-    def run(batches):
-        for batch in batches:
-            xs, ys, n = batch.column("xs_m"), batch.column("ys_m"), batch.column("n").to_pylist()
-            mean = [None if k is None else total(i, x.values, y.values, batch) / k for i, (k, x, y) in enumerate(zip(n, xs, ys, strict=True))]
-            yield pa.record_batch([batch.column("pair_id"), pa.array(mean, pa.float64())], names=["pair_id", out])
-    return run
+    for batch in batches:
+        sums = [total(i, x.values, y.values, batch) for i, (x, y) in enumerate(zip(batch.column("xs_m"), batch.column("ys_m"), strict=True))]
+        yield pa.record_batch([batch.column("pair_id"), pa.array(sums, pa.float64())], names=["pair_id", "s"])
 
 
 def tf_idf_stats(pairs: DataFrame, qw: DataFrame, title: str = "title") -> DataFrame:

@@ -90,6 +90,8 @@ def test_mean_jaccard_keeps_a_pair_in_one_row(spark):
     assert got[2] == 99999 and got[3] == 0 and got[4] is None
     assert abs(got[5] - 2 * 99999 / 3) < 1e-6                       # no such product; the empty word counts
     assert abs(got[6] - (0 + 2 / 3) / 2) < 1e-12
+    twice = ft.mean_char_jaccard(pairs.where("pair_id = 6").union(pairs.where("pair_id = 6")), prods.where("product_uid = 1").union(prods.where("product_uid = 1")), "description", "m")
+    assert [round(r["m"], 9) for r in twice.collect()] == [round(4 / 3, 9)] * 2     # rows that come twice add up, as before
     assert "Generate" not in m._jdf.queryExecution().executedPlan().toString()   # no row per word
 
 
