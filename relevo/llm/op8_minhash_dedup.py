@@ -9,14 +9,14 @@ Documents with 100 * |A n B| >= 80 * |A u B| are linked, and a component is what
    agrees with probability 0.8**6 = 0.26, so 40 bands miss a link with probability 5e-6.
 2. Equal sets (by a 128-bit hash) form a class; only its smallest document goes on, so copies never
    meet in a bucket.
-3. Every member of a bucket is paired with the centres of the bucket only: its smallest document and CENTRES
-   that a hash picks, other ones in each bucket. Stars make as many pairs as members, times a constant. Pairs are
-   confirmed on the full sets, and components follow from the confirmed links.
+3. Every member of a bucket is paired with the centre of the bucket only: its smallest document, which is the same
+   one in most buckets of a group of near copies, so that a member has few pairs. Pairs are confirmed on the full
+   sets, and components follow from the confirmed links.
 4. A link between two leaves can still be missing, but matters only if they are in different components. If bucket
-   mates of different components make more than FEW_PAIRS pairs, a second round of stars with MORE_CENTRES other
-   centres first joins what it can. Then all that is left is compared: bucket mates one by one where they make at most
-   FEW_PAIRS pairs, else by an exact prefix-filter join over the documents of such buckets. FEW_PAIRS picks the
-   plan, not the links. Documents that are nearly alike in thousands (a likeness just under 0.8) are compared in pairs.
+   mates of different components make more than FEW_PAIRS pairs, a second round of stars with MORE_CENTRES centres
+   that a hash picks, other ones in each bucket, first joins what it can. Then all that is left is compared: bucket
+   mates one by one where they make at most FEW_PAIRS pairs, else by an exact prefix-filter join over the documents
+   of such buckets. Pairs of one component are left out. FEW_PAIRS picks the plan, not the links. Documents that are nearly alike in thousands (a likeness just under 0.8) are compared in pairs.
 
 Defined cases: null or wordless text has an empty set, is linked with nothing and is kept; a null
 ``doc_id`` takes no part and is its own (null) component; rows that repeat a ``doc_id`` with one text are
@@ -45,8 +45,8 @@ MAX_BROADCAST_IDS = 2_000_000
 FEW_PAIRS = 100_000
 #: Documents of a block, in the prefix-filter join: a shingle with more is split into pairs of blocks.
 BLOCK = 256
-#: Centres of a bucket that a hash picks: beside its smallest document at first, and in the second round.
-CENTRES, MORE_CENTRES = 1, 5
+#: Centres of a bucket that a hash picks, in the second round.
+MORE_CENTRES = 5
 
 
 def shingle_sets(col: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -218,20 +218,16 @@ def near_links(docs: DataFrame, sketch: DataFrame, shingle: int = SHINGLE, perce
     """(a, b) links that give the components of all links among classes of equal sets."""
     likely = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"  # else sizes alone rule a link out
 
-    def centres(first: int, n: int) -> list:
-        return [F.min_by("doc_id", F.xxhash64("doc_id", "key", F.lit(i))) for i in range(first, first + n)]
-
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("doc_id", "c_doc").alias("a"), F.greatest("doc_id", "c_doc").alias("b")).distinct()
 
     bucket = sketch.select("doc_id", "n_shingles", F.explode("keys").alias("key"))
-    star = (bucket.groupBy("key").agg(F.count("*").alias("members"), F.array_distinct(F.array(F.min("doc_id"), *centres(0, CENTRES))).alias("c"))
-            .where("members > 1").drop("members"))
+    star = bucket.groupBy("key").agg(F.count("*").alias("members"), F.min("doc_id").alias("c_doc")).where("members > 1").drop("members")
     open_ = materialize(bucket.join(star.hint("merge"), "key"), "minhash-buckets")
     ids = materialize(open_.select("doc_id").distinct(), "minhash-ids")
     sets = materialize(pick(docs, ids).mapInArrow(_sets(shingle), "doc_id long, shingles binary").dropDuplicates(["doc_id", "shingles"]), "minhash-sets")
     size = sketch.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"))
-    pairs = ordered(open_.select("doc_id", F.explode("c").alias("c_doc")).where("doc_id <> c_doc"))
+    pairs = ordered(open_.select("doc_id", "c_doc").where("doc_id <> c_doc"))
     sized = pairs.join(size.hint("merge"), "a").join(size.withColumnsRenamed({"a": "b", "na": "nb"}).hint("merge"), "b").where(likely)
     tested = materialize(sized.select("a", "b"), "minhash-pairs")
     links = materialize(confirmed(tested, sets, percent), "minhash-links")
@@ -252,7 +248,7 @@ def near_links(docs: DataFrame, sketch: DataFrame, shingle: int = SHINGLE, perce
     links, own, mixed, left = labelled(links)
     if left > FEW_PAIRS:
         mates = F.array_distinct(F.array(*[F.struct(F.min_by(F.struct("doc_id", "component", "n_shingles"), F.xxhash64("doc_id", "key", F.lit(i))).alias("m"))
-                                           for i in range(CENTRES, CENTRES + MORE_CENTRES)]))
+                                           for i in range(MORE_CENTRES)]))
         star = own.groupBy("key").agg(mates.alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
         star = star.select("key", F.explode("c").alias("c")).select("key", F.col("c.m.doc_id").alias("c_doc"), F.col("c.m.component").alias("c_comp"), F.col("c.m.n_shingles").alias("c_n"))
         new = untested(own.join(star.hint("merge"), "key").where(apart))

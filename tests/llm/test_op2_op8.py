@@ -197,3 +197,17 @@ def test_components_of_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components(links).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_members_of_a_group_of_near_copies_have_few_pairs(spark, monkeypatch):
+    r, made, real = random.Random(3), [], op8.materialize
+    base = [f"w{i}" for i in range(150)]
+    rows = [(d, " ".join(w if r.random() > .01 else f"x{r.randrange(10**9)}" for w in base)) for d in range(200)]
+
+    def counted(df, name):
+        out = real(df, name)
+        made.extend([out.count()] if name == "minhash-pairs" else [])
+        return out
+    monkeypatch.setattr(op8, "materialize", counted)
+    got = {x.component_id for x in op8.minhash_components(frame(spark, rows)).collect()}
+    assert got == {0} and made[0] < 6 * len(rows)
