@@ -101,3 +101,28 @@ def test_nothing_but_the_words_is_computed_per_word(spark):
     cols = [str(c) for c in ft.similarity_columns() if "min_" in str(c)]
     cols += [str(c) for c in fz._bm25_columns({f: bm25.Bm25Params(None, 1, 1.0) for f in fz.BM25_FIELDS})]
     assert len(cols) == 7 and not any("split(" in c or "regexp_replace(" in c or "array_distinct(" in c for c in cols)
+
+
+def test_character_sets_of_texts(spark):
+    rows = [(1, "  abc  cba a1 été té Ab "), (2, ""), (3, None), (4, "   "), (5, "ab"), (6, "x y x")]
+    df = spark.createDataFrame(rows, "k long, t string").coalesce(1)
+
+    def of(distinct):
+        out = {}
+        for r in ft.char_sets(df, "t", "s", distinct).collect():
+            out[r.k] = r.s_m and [(r.s_cs[i] if m is None else "".join(c for j, c in enumerate(ft._MASKED) if m >> j & 1)) for i, m in enumerate(r.s_m)]
+        return out
+    every = of(False)
+    assert every[1] == ["abc", "abc", "a1", "té", "té", "Ab"] and every[2] == [] and every[4] == [] and every[3] is None and every[6] == ["x", "y", "x"]
+    once = of(True)
+    assert sorted(once[1]) == sorted(["abc", "a1", "té", "Ab"]) and once[5] == ["ab"] and sorted(once[6]) == ["x", "y"] and once[3] is None
+
+
+def test_character_sets_and_word_counts_are_not_taken_word_by_word(spark):
+    pairs = spark.createDataFrame([(1, 1, "ab cd ab"), (2, 1, None), (3, 9, "ab")], "pair_id long, product_uid long, q string")
+    prods = spark.createDataFrame([(1, "ab abab", "cd ce")], "product_uid long, title string, description string")
+    out = ft.mean_char_jaccard(pairs, prods, "description", "m")
+    assert "aggregate(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.pair_id: r.m for r in out.collect() if r.pair_id != 2} == {1: 2 / 3, 3: ft.BIG}
+    words = pairs.where("pair_id = 1").join(prods, "product_uid").select("pair_id", F.expr("array(struct('ab' as term), struct('x' as term))").alias("qw"), "title")
+    assert [list(r.tf_title) for r in ft.with_word_counts(words, "qw", ["title"]).collect()] == [[3, 0]]
