@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from relevo.operators import vectors as vx
@@ -59,3 +60,23 @@ def test_words_of_like_contexts_are_neighbours(spark):
     pairs = spark.createDataFrame([("red", "blue"), ("red", "saw"), ("red", "nowhere")], "a string, b string")
     cos = {(x.a, x.b): x.cosine for x in vx.word_cosine(pairs, wv).collect()}
     assert cos["red", "blue"] > .8 > cos["red", "saw"] and cos["red", "nowhere"] is None
+
+
+def test_pair_vectors_dense_and_joined_agree(spark, monkeypatch):
+    """Few vectors are held by the tasks, many are joined; words without a vector, repeated ids, null texts and unknown products included."""
+    from relevo.operators import vectors as vx
+    r = np.random.default_rng(4)
+    vec = [(i, [float(x) for x in r.normal(size=4)]) for i in range(0, 40) if i % 5] + [(1, [1.0, 0.0, 2.0, 0.0]), (2, [0.0] * 4), (40, None)]
+    wv = spark.createDataFrame(vec, "word_id long, vector array<double>")
+    pairs = spark.createDataFrame([(1, 1, "a b c a"), (2, 1, "d e"), (3, 2, "a f"), (4, 7, "a b"), (5, 2, ""), (6, 1, None), (7, 3, "g h i j k l")], "pair_id long, product_uid long, q string")
+    prods = spark.createDataFrame([(1, "b c d m n o p"), (2, ""), (2, "q r s t"), (3, None), (3, "g u v w x y z")], "product_uid long, title string")
+    plan = []
+    real = vx._dense_sides
+    monkeypatch.setattr(vx, "_dense_sides", lambda *a: (plan.append("dense"), real(*a))[1])
+
+    def run():
+        return sorted(tuple(round(float(x), 9) for x in row) for row in vx.pair_vector_features(pairs, prods, wv, 41, "title", "t").collect())
+    one = run()
+    monkeypatch.setattr(vx, "MAX_VECTORS", 1)
+    assert one == run() and plan == ["dense"] and len(one) == 8 - 1
+    assert any(x[1] > 0 for x in one)
