@@ -51,3 +51,16 @@ def test_many_partitions_and_low_rank(spark, monkeypatch):
     got = svd.fit(sparse(spark, low).repartition(3), 25, 6)
     assert len(got.s) == 2 and np.allclose(got.s, np.linalg.svd(low, compute_uv=False)[:2])
     assert svd.fit(sparse(spark, low).limit(0), 25, 3).s.shape == (0,)
+
+
+def test_passes_run_in_no_more_tasks_than_cores(spark, monkeypatch):
+    """Every task of a pass sends a matrix of columns x components, so their number must not grow with the rows."""
+    from relevo.operators import svd as sv
+    r = np.random.default_rng(2)
+    x = r.normal(size=(60, 8))
+    rows = spark.createDataFrame([(i, list(range(8)), [float(v) for v in x[i]]) for i in range(60)], "doc long, cols array<int>, vals array<double>").repartition(9)
+    seen, real = [], sv._pass
+    monkeypatch.setattr(sv, "_pass", lambda rows, *a, **k: (seen.append(rows.rdd.getNumPartitions()), real(rows, *a, **k))[1])
+    got = sv.fit(rows, 8, 3)
+    assert max(seen) <= spark.sparkContext.defaultParallelism
+    assert np.allclose(got.s, np.linalg.svd(x)[1][:3])
