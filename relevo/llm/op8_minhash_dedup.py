@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from relevo.llm import held
 from relevo.llm import words as W
-from relevo.llm.components import components
+from relevo.llm.components import components, labels, stars
 from relevo.session import bounded_batches, materialize
 
 SHINGLE = 2
@@ -169,9 +169,11 @@ def _confirm(percent: int):
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The links among ``pairs`` (a, b; a stored table), judged on the full sets. Only sets that a pair needs
     move, and each pair moves with one set; Spark splits hot keys."""
+    few = pairs.count() <= MAX_BROADCAST_IDS  # so many ids need no distinct table of their own
+
     def of(side: str) -> DataFrame:
-        ids = materialize(pairs.select(F.col(side).alias("doc_id")).distinct(), "minhash-ends")
-        return pick(sets, ids).select(F.col("doc_id").alias(side), F.col("shingles").alias(f"set_{side}"))
+        ids = pairs.select(F.col(side).alias("doc_id"))
+        return (sets.join(F.broadcast(ids), "doc_id", "left_semi") if few else pick(sets, materialize(ids.distinct(), "minhash-ends"))).select(F.col("doc_id").alias(side), F.col("shingles").alias(f"set_{side}"))
 
     both = pairs.join(of("b").hint("merge"), "b").join(of("a").hint("merge"), "a")
     return both.mapInArrow(_confirm(percent), "a long, b long, linked boolean").where("linked").select("a", "b")
@@ -189,7 +191,8 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int = PERCENT) -> D
     Sets that are alike enough share one of the first shingles of each, in any one order of all shingles; shingles that
     occur in one component come first, then rare ones. Where the shared one stands in both bounds what can still agree.
     """
-    of = pick(sets, nodes.select("doc_id")).join(nodes.hint("merge"), "doc_id").where("length(shingles) > 0")
+    few = nodes.count() <= MAX_BROADCAST_IDS
+    of = (sets.join(F.broadcast(nodes), "doc_id") if few else pick(sets, nodes.select("doc_id")).join(nodes.hint("merge"), "doc_id")).where("length(shingles) > 0")
     each = (of.select("doc_id", "component", F.xxhash64("shingles").alias("set_id"), "shingles")
             .mapInArrow(held.tidy(_exploded), "doc_id long, component long, set_id long, n long, shingle long"))
 
@@ -216,35 +219,33 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int = PERCENT) -> D
 
 def near_links(docs: DataFrame, sketch: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(a, b) links that give the components of all links among classes of equal sets."""
-    likely = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"  # else sizes alone rule a link out
+    likely = f"100 * least(n_shingles, c_n) >= {percent} * greatest(n_shingles, c_n)"  # else sizes alone rule a link out
 
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("doc_id", "c_doc").alias("a"), F.greatest("doc_id", "c_doc").alias("b")).distinct()
 
     bucket = sketch.select("doc_id", "n_shingles", F.explode("keys").alias("key"))
-    star = bucket.groupBy("key").agg(F.count("*").alias("members"), F.min("doc_id").alias("c_doc")).where("members > 1").drop("members")
+    star = (bucket.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("doc_id", "n_shingles")).alias("c")).where("members > 1")
+            .select("key", F.col("c.doc_id").alias("c_doc"), F.col("c.n_shingles").alias("c_n")))
     open_ = materialize(bucket.join(star.hint("merge"), "key"), "minhash-buckets")
     ids = materialize(open_.select("doc_id").distinct(), "minhash-ids")
     sets = materialize(pick(docs, ids).mapInArrow(_sets(shingle), "doc_id long, shingles binary").dropDuplicates(["doc_id", "shingles"]), "minhash-sets")
-    size = sketch.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"))
-    pairs = ordered(open_.select("doc_id", "c_doc").where("doc_id <> c_doc"))
-    sized = pairs.join(size.hint("merge"), "a").join(size.withColumnsRenamed({"a": "b", "na": "nb"}).hint("merge"), "b").where(likely)
-    tested = materialize(sized.select("a", "b"), "minhash-pairs")
+    tested = materialize(ordered(open_.where("doc_id <> c_doc").where(likely)), "minhash-pairs")
     links = materialize(confirmed(tested, sets, percent), "minhash-links")
 
     def labelled(links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
         """One link of each node to its component, buckets with components, those that hold several, and their pairs of different components."""
-        label = materialize(components(links), "minhash-label")
-        own = materialize(open_.select("key", "doc_id", "n_shingles").join(label.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left")
+        star = stars(links)
+        own = materialize(open_.select("key", "doc_id", "n_shingles").join(labels(star).withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left")
                           .withColumn("component", F.coalesce("component", "doc_id")), "minhash-open")
         parts = own.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"))
         left = parts.agg(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2)).first()[0] or 0
-        return label.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")), own, parts.where("n * n > nn").select("key"), left
+        return star.select(F.col("u").alias("a"), F.col("v").alias("b")), own, parts.where("n * n > nn").select("key"), left
 
     def untested(pairs: DataFrame) -> DataFrame:
         return materialize(ordered(pairs).join(tested.hint("merge"), ["a", "b"], "left_anti"), "minhash-pairs")
 
-    apart = F.expr("component <> c_comp and " + likely.replace("na", "n_shingles").replace("nb", "c_n"))
+    apart = F.expr("component <> c_comp and " + likely)
     links, own, mixed, left = labelled(links)
     if left > FEW_PAIRS:
         mates = F.array_distinct(F.array(*[F.struct(F.min_by(F.struct("doc_id", "component", "n_shingles"), F.xxhash64("doc_id", "key", F.lit(i))).alias("m"))
@@ -257,8 +258,9 @@ def near_links(docs: DataFrame, sketch: DataFrame, shingle: int = SHINGLE, perce
         links, own, mixed, left = labelled(links)
     if not left:
         return links
-    rest = materialize(own.join(mixed.hint("merge"), "key", "left_semi"), "minhash-mixed")
+    rest = own.join(mixed.hint("merge"), "key", "left_semi")
     if left <= FEW_PAIRS:
+        rest = materialize(rest, "minhash-mixed")
         other = rest.select("key", F.col("doc_id").alias("c_doc"), F.col("component").alias("c_comp"), F.col("n_shingles").alias("c_n"))
         pairs = rest.join(other.hint("merge"), "key").where("doc_id < c_doc").where(apart)
     else:

@@ -211,3 +211,25 @@ def test_members_of_a_group_of_near_copies_have_few_pairs(spark, monkeypatch):
     monkeypatch.setattr(op8, "materialize", counted)
     got = {x.component_id for x in op8.minhash_components(frame(spark, rows)).collect()}
     assert got == {0} and made[0] < 6 * len(rows)
+
+
+def test_links_that_are_stars_take_no_round(spark, monkeypatch):
+    from relevo.llm import components as cc
+    written = []
+    monkeypatch.setattr(cc, "materialize", lambda df, name: (written.append(name), df.persist())[1])
+    got = {tuple(r) for r in components(spark.createDataFrame([(1, 5), (7, 1), (2, 3), (None, 4), (6, 6)], "a long, b long")).collect()}
+    assert got == {(1, 1), (5, 1), (7, 1), (2, 2), (3, 2)} and len(written) == 1
+    written.clear()
+    got = {tuple(r) for r in components(spark.createDataFrame([(i, i + 1) for i in range(1, 9)], "a long, b long")).collect()}
+    assert got == {(i, 1) for i in range(1, 10)} and len(written) > 1
+
+
+def test_few_pairs_are_confirmed_without_a_table_of_their_ends(spark, monkeypatch):
+    written = []
+    blob = lambda *x: bytearray(b"".join(i.to_bytes(8, "little") for i in x))
+    sets = spark.createDataFrame([(1, blob(1, 2, 3)), (2, blob(1, 2, 3)), (3, blob(3, 4, 5))], "doc_id long, shingles binary")
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    monkeypatch.setattr(op8, "materialize", lambda df, name: (written.append(name), df.persist())[1])
+    assert [tuple(r) for r in op8.confirmed(pairs, sets).collect()] == [(1, 2)] and not written
+    monkeypatch.setattr(op8, "MAX_BROADCAST_IDS", 1)
+    assert [tuple(r) for r in op8.confirmed(pairs, sets).collect()] == [(1, 2)] and len(written) == 2
