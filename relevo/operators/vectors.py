@@ -266,30 +266,85 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, qkey: str = "qu
 MAX_CONTEXTS = 20_000
 
 
+#: Word positions whose neighbours a task counts at a time.
+MAX_PLACES = 500_000
+
+
+def _flat(col):
+    """Codes of the words of a list column, the words, and for each place where its text begins and ends."""
+    import numpy as np
+    col = col.combine_chunks() if hasattr(col, "chunks") else col
+    col = col.drop_null()
+    words = col.flatten().dictionary_encode()
+    n = np.diff(np.asarray(col.offsets))
+    ends = np.cumsum(n)
+    return np.asarray(words.indices).astype(np.int64), words.dictionary, np.repeat(ends - n, n), np.repeat(ends, n)
+
+
+def _neighbours(window: int):
+    """(word, n): how many words stand at most ``window`` words away from a word of a batch."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            code, words, lo, hi = _flat(batch.column("w"))
+            at = np.arange(len(code))
+            n = np.bincount(code, weights=np.minimum(at - lo, window) + np.minimum(hi - 1 - at, window), minlength=len(words)).astype(np.int64)
+            yield pa.record_batch([words.filter(pa.array(n > 0)), pa.array(n[n > 0])], names=["word", "n"])
+    return run
+
+
+def _context_counts(window: int, known):
+    """(word, col, n): how often the contexts ``known`` (word, col) stand at most ``window`` words away from a word of a batch."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def run(batches):
+        names = pa.array([w for w, _ in known.value], pa.string())
+        cols = np.array([c for _, c in known.value] + [-1], dtype=np.int64)
+        m = max(len(names), 1)
+        for batch in batches:
+            code, words, _, hi = _flat(batch.column("w"))
+            col = cols[np.asarray(pc.index_in(words, value_set=names).fill_null(-1))][code]
+            for start in range(0, len(code), MAX_PLACES):
+                at = np.arange(start, min(start + MAX_PLACES, len(code)))
+                keys = []
+                for d in range(1, window + 1):
+                    a = at[at + d < hi[at]]
+                    for x, y in ((a, a + d), (a + d, a)):
+                        x, y = x[col[y] >= 0], y[col[y] >= 0]
+                        keys.append(code[x] * m + col[y])
+                key, n = np.unique(np.concatenate(keys), return_counts=True)
+                yield pa.record_batch([words.take(pa.array(key // m)), pa.array(key % m, pa.int32()), pa.array(n, pa.int64())], names=["word", "col", "n"])
+    return run
+
+
 def context_weights(texts: DataFrame, col: str = "text", window: int = 5, max_contexts: int = MAX_CONTEXTS, shift: float = 1.0,
                     smooth: float = 0.75) -> tuple[DataFrame, int]:
     """((word, cols, vals), number of contexts): for every word of the distinct texts its positive weights log(p(word, context) / (p(word) p'(context))) -
     log(shift), where context words stand at most ``window`` words away and p' flattens their shares by the power ``smooth``.
 
-    Neighbours come from slices of a text's words, without a join; counts are added before and after one shuffle by (word, context)."""
+    How many neighbours a word has follows from where it stands, so only neighbours that are contexts are counted: in numpy, over
+    slices of the words of a batch, and added before and after one shuffle by (word, context)."""
     from relevo.operators.topn import fits
-    from relevo.session import materialize
+    from relevo.session import bounded_batches, materialize
 
     rows = texts.select(F.sha2(F.col(col), 256).alias("h"), F.split(F.trim(F.col(col)), r"\s+").alias("w")).withColumn("row", F.monotonically_increasing_id())
     rows = materialize(rows, "words")
     first = rows.groupBy("h").agg(F.min("row").alias("row")).select("row")
-    docs = rows.join(first, "row", "left_semi").select(F.filter("w", lambda x: x != "").alias("w"))
-    n = F.size("w")
-    pairs = [F.arrays_zip(F.slice("w", F.lit(1), F.greatest(n - d, F.lit(0))).alias("a"), F.slice("w", F.lit(1 + d), F.greatest(n - d, F.lit(0))).alias("b")) for d in range(1, window + 1)]
-    one = docs.select(F.explode(F.flatten(F.array(*pairs))).alias("p")).groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    both = one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
-    counts = materialize(both.groupBy(F.col("a").alias("word"), F.col("b").alias("context")).agg(F.sum("n").alias("n")), "word-pairs")
-    per_word = materialize(counts.groupBy("word").agg(F.sum("n").alias("of_word")), "word-counts")
+    docs = materialize(rows.join(first, "row", "left_semi").select(F.filter("w", lambda x: x != "").alias("w")), "distinct-words")
+    bounded_batches(docs.sparkSession)
+    per_word = docs.mapInArrow(_neighbours(window), "word string, n long").groupBy("word").agg(F.sum("n").alias("of_word"))
+    per_word = materialize(per_word, "word-counts")
     by = per_word.orderBy(F.desc("of_word"), "word").limit(max_contexts)
     contexts = by.agg(F.array_sort(F.collect_list("word")).alias("w")).select(F.posexplode("w").alias("col", "context"))  # at most max_contexts words
     contexts = materialize(contexts.join(per_word.withColumnRenamed("word", "context"), "context").withColumnRenamed("of_word", "of_context"), "word-contexts")
     sums = contexts.agg(F.sum(F.pow(F.col("of_context").cast("double"), smooth)).alias("flat"), F.count("*").alias("n")).first()
-    both = counts.join(F.broadcast(contexts), "context").join(F.broadcast(per_word) if fits(per_word, 200_000) else per_word, "word")
+    known = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in contexts.select("context", "col").collect()])
+    counts = docs.mapInArrow(_context_counts(window, known), "word string, col int, n long").groupBy("word", "col").agg(F.sum("n").alias("n"))
+    both = counts.join(F.broadcast(contexts), "col").join(F.broadcast(per_word) if fits(per_word, 200_000) else per_word, "word")
     value = F.log(F.col("n") / F.col("of_word") * F.lit(float(sums["flat"] or 1.0)) / F.pow(F.col("of_context").cast("double"), smooth)) - math.log(shift)
     kept = both.select("word", "col", value.alias("v")).where("v > 0")
     out = kept.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("col", "v"))).alias("x"))  # a word's contexts are bounded

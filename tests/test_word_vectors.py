@@ -80,3 +80,28 @@ def test_pair_vectors_dense_and_joined_agree(spark, monkeypatch):
     monkeypatch.setattr(vx, "MAX_VECTORS", 1)
     assert one == run() and plan == ["dense"] and len(one) == 8 - 1
     assert any(x[1] > 0 for x in one)
+
+
+def test_only_pairs_with_contexts_are_counted(spark):
+    """A batch gives a row per word and context that it meets, however many other neighbours the word has."""
+    import pyarrow as pa
+    r = random.Random(4)
+    texts = [[r.choice("abcdefghij") for _ in range(r.choice([0, 1, 2, 9, 40]))] for _ in range(25)] + [None]
+    batch = pa.record_batch([pa.array(texts, pa.list_(pa.string()))], names=["w"])
+    near, total = Counter(), Counter()
+    for t in texts:
+        for i, a in enumerate(t or []):
+            for j, b in enumerate(t):
+                if 0 < abs(i - j) <= 3:
+                    near[a, b] += 1
+                    total[a] += 1
+    got = {x["word"]: x["n"] for b in vx._neighbours(3)([batch]) for x in b.to_pylist()}
+    assert got == total
+    for places in (500_000, 7):
+        vx.MAX_PLACES, old = places, vx.MAX_PLACES
+        counts = Counter()
+        for b in vx._context_counts(3, type("Known", (), {"value": [("b", 0), ("z", 1), ("g", 2)]}))([batch]):
+            for x in b.to_pylist():
+                counts[x["word"], "bzg"[x["col"]]] += x["n"]
+        vx.MAX_PLACES = old
+        assert counts == Counter({k: n for k, n in near.items() if k[1] in "bg"})
