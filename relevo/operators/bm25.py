@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from relevo.functions import text as tx
 from relevo.operators.topn import fits, top_n_per_group
-from relevo.session import checkpoint_dir, materialize
+from relevo.session import bounded_batches, checkpoint_dir, materialize
 
 # Query-word tables up to this many rows are broadcast to the postings scan; beyond
 # it the join shuffles on ``term`` and AQE splits skewed (frequent-word) partitions.
@@ -44,6 +44,8 @@ BROADCAST_QUERY_TERMS = 200_000
 #: Documents of a block (a power of two), and queries that meet a block at a time.
 BLOCK_DOCS = 4096
 QUERY_BLOCK = 512
+#: Words at which a block ends before it has so many documents: a task holds one block.
+BLOCK_WORDS = 2_000_000
 #: Block rows per bucket aimed at, and the bounds of the number of buckets.
 BUCKET_ROWS = 500_000
 MIN_BUCKETS, MAX_BUCKETS = 32, 4096
@@ -75,16 +77,75 @@ def _bucket(term, buckets: int):
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def _block_rows(block_docs: int, block_words: int):
+    """Rows of blocks of documents (product_uid, dl, toks), in the order in which they come; a block ends at ``block_docs`` documents or
+    with the one that reaches ``block_words`` words."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    def listed(starts, values):
+        return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), values)
+
+    def rows(parts, block):
+        t = pa.Table.from_batches(parts).combine_chunks()
+        toks = t.column("toks").chunk(0)
+        words = toks.flatten().dictionary_encode(null_encoding="encode")
+        slot = np.repeat(np.arange(len(t)), np.diff(np.asarray(toks.offsets)))
+        key, tf = np.unique(np.asarray(words.indices).astype(np.int64) * block_docs + slot, return_counts=True)
+        term, slot = key // block_docs, key % block_docs
+        starts = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, dtype=np.int64)
+        own, dl = t.column("dl").chunk(0), np.asarray(t.column("dl").chunk(0).fill_null(0))
+        least = np.minimum.reduceat(dl[slot], starts)
+        unknown = np.minimum.reduceat(np.asarray(own.is_null())[slot], starts)  # documents without a text have no length, and no word but null
+        at = pa.array(slot)
+        return pa.record_batch([words.dictionary.take(pa.array(term[starts])), pa.array(np.full(len(starts), block)), pa.array(np.diff(np.append(starts, len(term))), pa.int32()),
+                                pa.array(np.maximum.reduceat(tf, starts), pa.int64()), pa.array(least, pa.int32(), mask=unknown), listed(starts, pa.array(slot, pa.int16())),
+                                listed(starts, t.column("product_uid").chunk(0).take(at)), listed(starts, pa.array(tf, pa.int32())), listed(starts, own.take(at))],
+                               names=["term", "block", "n", "max_tf", "min_dl", "slots", "uids", "tfs", "dls"])
+
+    def run(batches):
+        block = TaskContext.get().partitionId() << 21
+        parts, docs, words = [], 0, 0
+        for batch in batches:
+            size, at = np.diff(np.asarray(batch.column("toks").offsets)), 0
+            while at < batch.num_rows:
+                ends = words + np.cumsum(size[at:at + block_docs - docs])
+                n = min(len(ends), int(np.searchsorted(ends, block_words)) + 1)
+                parts.append(batch.slice(at, n))
+                docs, words, at = docs + n, int(ends[n - 1]), at + n
+                if docs == block_docs or words >= block_words:
+                    yield rows(parts, block)
+                    parts, docs, words, block = [], 0, 0, block + 1
+        if parts:
+            yield rows(parts, block)
+    return run
+
+
+def posting_rows(docs: DataFrame, uid: str, text: str, buckets: int, files: int) -> DataFrame:
+    """The rows of POSTINGS, dealt by bucket and file and sorted. Documents lie in blocks by length, where they are; only block rows
+    move, as short lists of numbers."""
+    bounded_batches(docs.sparkSession)
+    toks = F.split(F.col("text"), " ")
+    d = docs.select(F.col(uid).cast("long").alias("product_uid"), F.col(text).alias("text"))
+    d = d.withColumn("dl", F.size(toks)).sortWithinPartitions("dl", "product_uid")
+    d = d.select("product_uid", "dl", F.coalesce(toks, F.array(F.lit(None).cast("string"))).alias("toks"))
+    rows = d.mapInArrow(_block_rows(BLOCK_DOCS, BLOCK_WORDS), "term string, block long, n int, max_tf long, min_dl int, "
+                        "slots array<smallint>, uids array<long>, tfs array<int>, dls array<int>")
+    rows = rows.withColumn("bucket", _bucket("term", buckets)).withColumn("file", F.pmod("block", F.lit(files)))
+    rows = rows.repartition("bucket", "file").sortWithinPartitions("bucket", "term", "block")
+    zipped = F.arrays_zip("slots", "uids", "tfs", "dls").cast("array<struct<slot:int,product_uid:long,tf:long,dl:int>>")
+    return rows.select("term", "block", "n", "max_tf", "min_dl", zipped.alias("docs"), "bucket")
+
+
 def build_okapi(docs: DataFrame, uid: str = "product_uid", text: str = "text",
                 k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, path: str | None = None) -> Bm25Index:
     """R3 index over ``docs(uid, text)``, written under ``path`` (default: a new folder of the
     checkpoint folder); ``text`` is already cleaned and ``uid`` unique.
 
-    The text is cleaned and tokenized once. Postings move twice: to count a document's words (not where documents are
-    already dealt by id), and to lie by bucket; a frequent term is one row per block of documents, dealt over the
+    The text is cleaned and tokenized once. Tasks count the words of a block of documents where they are read, and
+    the block rows move once, to lie by bucket; a frequent term is one row per block of documents, dealt over the
     files of its bucket. Every statistic is an aggregate of the block rows.
-    ``explode_outer`` (a split never returns an empty array) keeps Spark from inferring a filter
-    that re-evaluates the whole cleaning expression.
     """
     spark = docs.sparkSession
     path = path or f"{checkpoint_dir(spark).rstrip('/')}/bm25-{uuid.uuid4().hex[:12]}"
@@ -92,19 +153,8 @@ def build_okapi(docs: DataFrame, uid: str = "product_uid", text: str = "text",
     # a bucket's number comes before any count is known: one per BUCKET_ROWS at about 8 block rows a document
     buckets = max(MIN_BUCKETS, min(MAX_BUCKETS, n_docs * 8 // BUCKET_ROWS))
     files = max(1, n_docs * 8 // (buckets * BUCKET_ROWS))
-    toks = docs.select(F.col(uid).alias("product_uid"), F.split(F.col(text), " ").alias("toks"))
-    toks = toks.select("product_uid", F.size("toks").alias("dl"), "toks").sortWithinPartitions("dl", "product_uid")
-    toks = toks.withColumn("number", F.monotonically_increasing_id())
-    occ = toks.select("product_uid", "number", "dl", F.explode_outer("toks").alias("term"))
-    tf = occ.groupBy("term", "product_uid", "number", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    block = F.shiftright("number", BLOCK_DOCS.bit_length() - 1)
-    tf = tf.withColumn("block", block).withColumn("bucket", _bucket("term", buckets)).withColumn("file", F.pmod("block", F.lit(files)))
-    doc = F.struct((F.col("number") % BLOCK_DOCS).cast("int").alias("slot"), "product_uid", "tf", "dl")
-    rows = (tf.repartition("bucket", "file").groupBy("bucket", "file", "term", "block")
-            .agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"),
-                 F.sort_array(F.collect_list(doc)).alias("docs")))
-    (rows.drop("file").sortWithinPartitions("bucket", "term", "block")
-     .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
+    rows = posting_rows(docs, uid, text, buckets, files)
+    rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     blocks = spark.read.schema(POSTINGS).parquet(f"{path}/postings")
 
     cf = F.aggregate("docs", F.lit(0).cast("long"), lambda s, d: s + d["tf"])

@@ -232,3 +232,24 @@ def test_padding_reads_the_search_once(spark):
     out = bm25.pad_zero_scores(top, q, spark.createDataFrame([(i,) for i in range(9)], "product_uid long"), 2)
     assert sorted(map(tuple, out.select("query_id", "product_uid", "rank").collect())) == [(1, 0, 2), (1, 7, 1), (2, 0, 1), (2, 1, 2)]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("product_uid#") and "padded-top" in "".join(out.inputFiles())
+
+
+def test_postings_move_once_as_block_rows(spark, monkeypatch):
+    corpus = zipf_corpus(6, 200) + ["", "  a  a "]
+    docs = spark.createDataFrame(list(enumerate(corpus)) + [(900, None), (None, "a b a")], "product_uid long, text string").repartition(2)
+    monkeypatch.setattr(bm25, "BLOCK_DOCS", 64)
+    for words in (2_000_000, 300):
+        monkeypatch.setattr(bm25, "BLOCK_WORDS", words)
+        rows = bm25.posting_rows(docs, "product_uid", "text", 4, 1)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 2 and "Aggregate" not in plan  # one of them is the repartition above
+        got = rows.collect()
+        want = {(i, w): t.split(" ").count(w) for i, t in [*enumerate(corpus), (None, "a b a")] for w in t.split(" ")} | {(900, None): 1}
+        assert {(d.product_uid, r.term): d.tf for r in got for d in r.docs} == want and sum(r.n for r in got) == len(want)
+        size = {}
+        for r in got:
+            known = [d.dl for d in r.docs if d.dl is not None]
+            assert len(r.docs) == r.n <= 64 and r.max_tf == max(d.tf for d in r.docs) and r.min_dl == (min(known) if known else None)
+            for d in r.docs:
+                size.setdefault(r.block, {})[d.slot] = d.dl or 0
+        assert all(sum(x.values()) < words + max(x.values()) for x in size.values())
