@@ -353,7 +353,7 @@ def context_weights(texts: DataFrame, col: str = "text", window: int = 5, max_co
 
 def fit_word_vectors(texts: DataFrame, col: str = "text", size: int = 100, window: int = 5, power: int = 5, **weights) -> DataFrame:
     """V7: (word, vector) of every word that has a context, by factoring the words' context weights: neighbours are words of like contexts, as with
-    the source's trained vectors, but values differ. Words are rows of a distributed matrix; no vocabulary is ever collected."""
+    the source's trained vectors, but values differ. Words are rows of a distributed matrix; only the contexts are ever collected."""
     from relevo.operators import svd
 
     rows, n = context_weights(texts, col, window, **weights)
