@@ -94,7 +94,6 @@ def pair_vector_features(pairs: DataFrame, products: DataFrame, vectors: DataFra
     from pyspark.ml.stat import Summarizer
 
     from relevo.functions import text as tx
-    from relevo.operators.topn import fits
     from relevo.session import materialize
 
     words = lambda df, c: df.select(F.explode(F.array_distinct(tx.split_ws(c))).alias("w"))
@@ -109,7 +108,7 @@ def pair_vector_features(pairs: DataFrame, products: DataFrame, vectors: DataFra
         c = df.where("cnt > 0").groupBy(key).agg(m.alias("m"), F.sum("cnt").alias("cnt"))
         return c.select(key, F.transform(vector_to_array("m"), lambda x: x / F.col("cnt")).alias(f"c_{key}"))
 
-    q_side, f_side = _dense_sides(qw, fw, known) if fits(known, MAX_VECTORS) else _joined_sides(qw, fw, known)
+    q_side, f_side = _dense_sides(qw, fw, known) if _held(known) else _chunked_sides(qw, fw, known)
     top = q_side.where("n > 0").groupBy("pair_id", "product_uid").agg((F.sum("s") / F.sum("n")).alias("best"))
     both = (pairs.select("pair_id", "product_uid").join(top.drop("product_uid"), "pair_id", "left")
             .join(mean(q_side, "pair_id"), "pair_id", "left").join(mean(f_side, "product_uid"), "product_uid", "left"))
@@ -119,90 +118,119 @@ def pair_vector_features(pairs: DataFrame, products: DataFrame, vectors: DataFra
                        F.coalesce(cosine(a, b), zero).alias(f"w2v_n_similarity_{suffix}"), F.coalesce(mse(a, b), zero).alias(f"w2v_centroid_rmse_{suffix}"))
 
 
-#: Vectors that every task may hold; more are joined to the words.
-MAX_VECTORS = 100_000
+#: Vectors of 64 numbers that every task may hold (410 MB); of longer ones fewer. More are brought to chunks of rows.
+MAX_VECTORS = 800_000
+
+#: Rows of a chunk that has its vectors sent.
+CHUNK_ROWS = 1024
+
+
+def _held(known: DataFrame) -> bool:
+    """Whether every task may hold the vectors ``known``."""
+    from relevo.operators.topn import fits
+    first = known.first()
+    return first is None or fits(known, MAX_VECTORS * 64 // max(64, len(first["vector"])))
 
 
 def _dense_sides(qw: DataFrame, fw: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """For ``qw`` (pair_id, product_uid, ids) and ``fw`` (product_uid, ids), with at most MAX_VECTORS vectors ``known``:
+    """For ``qw`` (pair_id, product_uid, ids) and ``fw`` (product_uid, ids), with vectors ``known`` that a task may hold:
     (pair_id, product_uid, s, n, total, cnt): the summed largest cosines of the n words of a search, and the sum of their cnt vectors;
     (product_uid, words, total, cnt): the distinct words of a field and the sum of its vectors. A pair is one row and one matrix product."""
-    import numpy as np
-    import pyarrow as pa
+    sent = known.sparkSession.sparkContext.broadcast(_unit_vectors(known.toArrow()))
+
+    def with_vectors(rows, of, schema):
+        return rows.mapInArrow(lambda batches: (of(batch, *sent.value) for batch in batches), schema)
+    return _sides(qw, fw, with_vectors)
 
+
+def _chunked_sides(qw: DataFrame, fw: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sides of ``_dense_sides`` for any number of vectors: rows are dealt to chunks, and a chunk's task is sent the vectors of its words."""
     from relevo.session import materialize
 
-    t = known.toArrow()
-    ids = np.asarray(t.column("word_id").combine_chunks(), dtype=np.int64)
-    vecs = np.array(t.column("vector").to_pylist(), dtype=float).reshape(len(ids), -1)
+    def with_vectors(rows, of, schema):
+        rows = materialize(rows.withColumn("chunk", F.expr(f"monotonically_increasing_id() div {CHUNK_ROWS}")), "vector-chunks")
+        lists = [F.coalesce(c, F.array().cast("array<long>")) for c in ("ids", "words") if c in rows.columns]
+        need = rows.select("chunk", F.explode(F.array_distinct(F.concat(*lists))).alias("word_id")).distinct()
+        need = need.join(known.hint("merge"), "word_id").select(F.col("chunk").alias("of_chunk"), "word_id", "vector")
+
+        def chunk(left, right):
+            import pyarrow as pa
+            vectors = _unit_vectors(right)
+            return pa.Table.from_batches([of(batch, *vectors) for batch in left.combine_chunks().to_batches()])
+        return rows.groupBy("chunk").cogroup(need.groupBy("of_chunk")).applyInArrow(chunk, schema)
+    return _sides(qw, fw, with_vectors)
+
+
+def _unit_vectors(t):
+    """Sorted word ids of a table (word_id, vector), their unit vectors and the vectors' lengths."""
+    import numpy as np
+
+    ids = t.column("word_id").to_numpy().astype(np.int64)
+    vecs = t.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
+    vecs = vecs.reshape(len(ids), -1) if len(ids) else np.zeros((0, 1))
     order = np.argsort(ids, kind="stable")
+    ids, vecs = ids[order], vecs[order]
     length = np.sqrt((vecs * vecs).sum(axis=1, keepdims=True))
-    sent = known.sparkSession.sparkContext.broadcast((ids[order], (vecs / np.where(length == 0, 1.0, length))[order], length[order]))
+    vecs /= np.where(length == 0, 1.0, length)
+    return ids, vecs, length
+
+
+def _sides(qw: DataFrame, fw: DataFrame, with_vectors) -> tuple[DataFrame, DataFrame]:
+    """The sides of ``_dense_sides``; ``with_vectors(rows, of, schema)`` hands batches of ``rows`` to ``of(batch, ids, unit, size)`` with the vectors of their words."""
+    from relevo.session import materialize
 
     def lists(col):
+        import numpy as np
         return np.asarray(col.offsets), np.asarray(col.values.fill_null(-1), dtype=np.int64)
 
-    def rows_of(word):
+    def rows_of(word, ids):
         """Rows of the vectors of words, and how many each has (a word_id may have several)."""
-        lo, hi = np.searchsorted(sent.value[0], word, "left"), np.searchsorted(sent.value[0], word, "right")
+        import numpy as np
+        lo, hi = np.searchsorted(ids, word, "left"), np.searchsorted(ids, word, "right")
         n = hi - lo
         return np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), n
 
     def listed(parts, kind):
+        import numpy as np
+        import pyarrow as pa
         return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate([*parts, np.zeros(0, dtype=np.int64 if kind == pa.int64() else float)]), kind))
 
-    def field(batches):
-        _, unit, size = sent.value
-        for batch in batches:
-            at, word = lists(batch.column("ids"))
-            words, totals, cnt = [], [], []
-            for i in range(batch.num_rows):
-                own, times = np.unique(word[at[i]:at[i + 1]], return_counts=True)
-                r, n = rows_of(own)
-                words.append(own[n > 0])
-                each = np.repeat(times, n)
-                totals.append((each * size[r, 0]) @ unit[r])
-                cnt.append(int(each.sum()))
-            yield pa.record_batch([batch.column("product_uid"), listed(words, pa.int64()), listed(totals, pa.float64()), pa.array(cnt, pa.int64())], names=["product_uid", "words", "total", "cnt"])
-
-    def search(batches):
-        _, unit, size = sent.value
-        for batch in batches:
-            at, word = lists(batch.column("ids"))
-            f_at, f_word = lists(batch.column("words"))
-            s, totals, cnt = np.zeros(batch.num_rows), [], []
-            for i in range(batch.num_rows):
-                r, n = rows_of(word[at[i]:at[i + 1]])
-                totals.append(size[r, 0] @ unit[r])
-                cnt.append(len(r))
-                f, _ = rows_of(f_word[f_at[i]:f_at[i + 1]])
-                if len(r) and len(f):
-                    most = (unit[r] @ unit[f].T).max(axis=1)
-                    s[i] = np.maximum.reduceat(most, (np.cumsum(n) - n)[n > 0]).sum()  # words without a vector add 0
-            yield pa.record_batch([batch.column("pair_id"), batch.column("product_uid"), pa.array(s), pa.array(np.diff(at).astype(np.int64)), listed(totals, pa.float64()), pa.array(cnt, pa.int64())],
-                                  names=["pair_id", "product_uid", "s", "n", "total", "cnt"])
+    def field(batch, ids, unit, size):
+        import numpy as np
+        import pyarrow as pa
+        at, word = lists(batch.column("ids"))
+        words, totals, cnt = [], [], []
+        for i in range(batch.num_rows):
+            own, times = np.unique(word[at[i]:at[i + 1]], return_counts=True)
+            r, n = rows_of(own, ids)
+            words.append(own[n > 0])
+            each = np.repeat(times, n)
+            totals.append((each * size[r, 0]) @ unit[r])
+            cnt.append(int(each.sum()))
+        return pa.record_batch([batch.column("product_uid"), listed(words, pa.int64()), listed(totals, pa.float64()), pa.array(cnt, pa.int64())], names=["product_uid", "words", "total", "cnt"])
+
+    def search(batch, ids, unit, size):
+        import numpy as np
+        import pyarrow as pa
+        at, word = lists(batch.column("ids"))
+        f_at, f_word = lists(batch.column("words"))
+        s, totals, cnt = np.zeros(batch.num_rows), [], []
+        for i in range(batch.num_rows):
+            r, n = rows_of(word[at[i]:at[i + 1]], ids)
+            totals.append(size[r, 0] @ unit[r])
+            cnt.append(len(r))
+            f, _ = rows_of(f_word[f_at[i]:f_at[i + 1]], ids)
+            if len(r) and len(f):
+                most = (unit[r] @ unit[f].T).max(axis=1)
+                s[i] = np.maximum.reduceat(most, (np.cumsum(n) - n)[n > 0]).sum()  # words without a vector add 0
+        return pa.record_batch([batch.column("pair_id"), batch.column("product_uid"), pa.array(s), pa.array(np.diff(at).astype(np.int64)), listed(totals, pa.float64()), pa.array(cnt, pa.int64())],
+                               names=["pair_id", "product_uid", "s", "n", "total", "cnt"])
 
     uid, pid = dict(qw.dtypes)["product_uid"], dict(qw.dtypes)["pair_id"]
-    f_side = materialize(fw.mapInArrow(field, f"product_uid {dict(fw.dtypes)['product_uid']}, words array<long>, total array<double>, cnt long"), "field-vectors")
+    f_side = materialize(with_vectors(fw, field, f"product_uid {dict(fw.dtypes)['product_uid']}, words array<long>, total array<double>, cnt long"), "field-vectors")
     words = f_side.groupBy("product_uid").agg(F.flatten(F.collect_list("words")).alias("words"))  # a product's rows, one as a rule
     q_side = qw.join(words, "product_uid", "left").select("pair_id", "product_uid", "ids", "words")
-    return materialize(q_side.mapInArrow(search, f"pair_id {pid}, product_uid {uid}, s double, n long, total array<double>, cnt long"), "search-vectors"), f_side
-
-
-def _joined_sides(qw: DataFrame, fw: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The sides of ``_dense_sides`` (one row per word; ``total`` is its vector) with vectors joined to the words, for any number of vectors."""
-    length = norm(F.col("vector"))
-    unit = known.select("word_id", "vector", F.when(length == 0, F.col("vector")).otherwise(F.transform("vector", lambda x: x / length)).alias("unit"))
-    qw = qw.select("pair_id", "product_uid", F.explode("ids").alias("word_id"))
-    fw = fw.select("product_uid", F.explode("ids").alias("word_id"))
-    x = qw.select("product_uid", "word_id").distinct().join(unit.hint("merge"), "word_id").select("product_uid", "word_id", F.col("unit").alias("u"))
-    y = fw.distinct().join(unit.hint("merge"), "word_id").select("product_uid", F.col("unit").alias("v"))
-    best = x.join(y, "product_uid").groupBy("product_uid", "word_id").agg(F.max(dot(F.col("u"), F.col("v"))).alias("m"))
-    cos = qw.join(best, ["product_uid", "word_id"], "left").select("pair_id", "product_uid", F.coalesce("m", F.lit(0.0)).alias("s"), F.lit(1).cast("long").alias("n"),
-                                                                 F.lit(None).cast("array<double>").alias("total"), F.lit(0).cast("long").alias("cnt"))
-    one = F.lit(1).cast("long").alias("cnt")
-    own = qw.join(known.hint("merge"), "word_id").select("pair_id", "product_uid", F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n"), F.col("vector").alias("total"), one)
-    return cos.unionByName(own), fw.join(known.hint("merge"), "word_id").select("product_uid", F.col("vector").alias("total"), one)
+    return materialize(with_vectors(q_side, search, f"pair_id {pid}, product_uid {uid}, s double, n long, total array<double>, cnt long"), "search-vectors"), f_side
 
 
 #: Cosines that a task of ``nearest`` holds at a time: 16 MB, and a few copies of it.

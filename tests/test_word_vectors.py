@@ -82,6 +82,23 @@ def test_pair_vectors_dense_and_joined_agree(spark, monkeypatch):
     assert any(x[1] > 0 for x in one)
 
 
+def test_more_vectors_than_a_task_holds_make_no_row_per_word(spark, monkeypatch):
+    """100,000 vectors of 64 numbers and more are held by the tasks; beyond what they hold a pair still is one row, as is a field."""
+    seen = []
+    known = spark.createDataFrame([(0, [0.5] * 128)], "word_id long, vector array<double>")
+    monkeypatch.setattr("relevo.operators.topn.fits", lambda df, n: seen.append(n) or True)
+    assert vx._held(known) and seen[0] * 128 >= 6 * 102_564 * 64
+    monkeypatch.undo()
+    monkeypatch.setattr(vx, "MAX_VECTORS", 1)
+    monkeypatch.setattr(vx, "CHUNK_ROWS", 2)
+    known = spark.createDataFrame([(i, [float(i + 1), 1.0]) for i in range(7)], "word_id long, vector array<double>")
+    assert not vx._held(known)
+    qw = spark.createDataFrame([(1, 1, [0, 1, 2]), (2, 1, [3, 3, 9]), (3, 2, []), (4, 5, [6]), (5, 1, None)], "pair_id long, product_uid long, ids array<long>")
+    fw = spark.createDataFrame([(1, [0, 0, 5, 8]), (2, []), (3, None), (4, [1])], "product_uid long, ids array<long>")
+    plans = [[sorted(map(str, side.collect())) for side in plan(qw.coalesce(1), fw.coalesce(1), known)] for plan in (vx._dense_sides, vx._chunked_sides)]
+    assert plans[0] == plans[1] and [len(side) for side in plans[1]] == [5, 4]
+
+
 def test_only_pairs_with_contexts_are_counted(spark):
     """A batch gives a row per word and context that it meets, however many other neighbours the word has."""
     import pyarrow as pa
