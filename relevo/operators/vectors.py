@@ -233,8 +233,29 @@ def _sides(qw: DataFrame, fw: DataFrame, with_vectors) -> tuple[DataFrame, DataF
     return materialize(with_vectors(q_side, search, f"pair_id {pid}, product_uid {uid}, s double, n long, total array<double>, cnt long"), "search-vectors"), f_side
 
 
-#: Cosines that a task of ``nearest`` holds at a time: 16 MB, and a few copies of it.
-MAX_CELLS = 2_000_000
+#: Cosines that a task of ``nearest`` holds at a time: 32 MB in single precision, and a quarter of it to mark those wanted.
+MAX_CELLS = 8_000_000
+
+#: Vectors whose cosines to all queries begin the search of a task; after them, as many at a time as it has seen.
+FIRST_ROWS = 1024
+
+#: Pairs whose exact cosines are taken at a time.
+MAX_EXACT = 50_000
+
+
+def _ranked(of, cos, keys, k: int):
+    """The rows (query, cosine, key) that are among the ``k`` of their query with the largest cosines, ties by key; sorted by query."""
+    import numpy as np
+
+    order = np.lexsort((-cos, of))
+    of, cos, keys = of[order], cos[order], keys[order]
+    same = (of[1:] == of[:-1]) & (cos[1:] == cos[:-1])
+    if same.any():  # only keys of equal cosines are compared
+        at = np.flatnonzero(np.append(same, False) | np.append(False, same))
+        run = np.cumsum(np.concatenate([[True], ~same]))[at]
+        keys[at] = keys[at][np.lexsort((np.unique(keys[at], return_inverse=True)[1], run))]
+    keep = np.arange(len(of)) - np.searchsorted(of, of) < k
+    return of[keep], cos[keep], keys[keep]
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, qkey: str = "query_id",
@@ -243,48 +264,71 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, qkey: str = "qu
     """O3: the k vectors most similar (cosine, rounded to 9 places; ties by key) to each query vector (exact).
 
     A stated query set against all vectors, in blocks: at most ``max_broadcast`` query vectors are broadcast at a
-    time, and each task multiplies them with a batch of vectors, at most ``cells`` products at a time, and keeps k rows
-    per query and batch. No pair becomes a row, the vector table is read once per block, and the final k come from a salted two-step window.
+    time, and each task multiplies them with a batch of vectors, at most ``cells`` products at a time, in single precision. Pairs
+    that by its error bound may be among the k best of what the task has seen are taken again in double precision, and a task brings k rows
+    per query. No pair becomes a row, the vector table is read once per block, and the final k come from a salted two-step window.
     """
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
+
+    from relevo.session import bounded_batches, materialize
 
-    q = queries.select(qkey, qvec)
+    q = materialize(queries.select(qkey, qvec), "nearest-queries")
     n = q.count()
     blocks = max(1, -(-n // max_broadcast))
     types = dict(queries.dtypes) | {"_key": dict(vectors.dtypes)[key]}
     spark = queries.sparkSession
+    bounded_batches(spark)
 
-    def unit(rows):
-        m = np.array(rows, dtype=float).reshape(len(rows), -1)
+    def unit(col):
+        col = col.combine_chunks() if hasattr(col, "chunks") else col
+        if col.null_count:
+            raise ValueError("a vector is null")
+        m = col.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(col), -1)
         length = np.sqrt((m * m).sum(axis=1, keepdims=True))
         return m / np.where(length == 0, 1.0, length)
 
     def search(block):
         def run(batches):
             ids, mat = block.value
-            for pdf in batches:
-                if not len(pdf) or not len(ids):
+            best = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)
+            if not len(ids):
+                return
+            single, seen, kind = mat.astype(np.float32), 0, None
+            # single precision: as many roundings as numbers and a few more, of products that add up to 1 at most
+            slack = (mat.shape[1] + 8) * 2.0 ** -23 + 1e-9
+            for batch in batches:
+                if not batch.num_rows:
                     continue
-                keys = pdf[key].to_numpy()
-                order = np.argsort(keys, kind="stable")  # ties go to the smaller key
-                keys, vecs = keys[order], unit(pdf[vec].tolist())[order]
-                width = max(1, cells // len(keys))
-                for lo in range(0, len(ids), width):
-                    cos = np.round(vecs @ mat[lo:lo + width].T, 9)
-                    least = np.partition(cos, -k, axis=0)[-k] if len(keys) > k else np.full(cos.shape[1], -np.inf)
-                    row, of = np.nonzero(cos >= least)     # k of each query, and what equals the last of them
-                    best = np.lexsort((row, -cos[row, of], of))
-                    row, of = row[best], of[best]
-                    best = np.arange(len(of)) - np.searchsorted(of, of) < k
-                    yield pd.DataFrame({qkey: ids[lo:lo + width][of[best]], key: keys[row[best]], "cosine": cos[row[best], of[best]]})
+                all_keys, vecs, kind = batch.column(key), unit(batch.column(vec)), batch.column(key).type
+                all_keys, lo = np.array(all_keys.to_pylist(), dtype=object), 0
+                while lo < len(vecs):
+                    part, keys = vecs[lo:lo + max(FIRST_ROWS, seen)], all_keys[lo:lo + max(FIRST_ROWS, seen)]
+                    lo, seen = lo + len(part), seen + len(part)
+                    least = np.full(len(ids), -np.inf)
+                    full = np.bincount(best[0], minlength=len(ids)) >= k
+                    least[full] = best[1][np.searchsorted(best[0], np.flatnonzero(full), side="right") - 1] - slack
+                    low, found = part.astype(np.float32), [best]
+                    width = max(1, cells // len(part))
+                    for at in range(0, len(ids), width):
+                        cos, bound = low @ single[at:at + width].T, least[at:at + width]
+                        if not full[at:at + width].all() and len(part) > k:
+                            bound = np.maximum(bound, np.partition(cos, -k, axis=0)[-k] - 2 * slack)
+                        row, of = np.divmod(np.flatnonzero(cos >= bound.astype(np.float32)), cos.shape[1])
+                        for i in range(0, len(row), MAX_EXACT):
+                            r, o = row[i:i + MAX_EXACT], of[i:i + MAX_EXACT] + at
+                            found.append(_ranked(o, np.round(np.einsum("ij,ij->i", part[r], mat[o]), 9), keys[r], k))
+                    best = _ranked(*map(np.concatenate, zip(*found, strict=True)), k)
+            for i in range(0, len(best[0]), MAX_EXACT):
+                of, cos, keys = (x[i:i + MAX_EXACT] for x in best)
+                yield pa.record_batch([ids.take(pa.array(of)), pa.array(keys, kind), pa.array(cos)], names=[qkey, key, "cosine"])
         return run
 
     out = None
     for b in range(blocks):
-        rows = (q if blocks == 1 else q.where(F.pmod(F.xxhash64(qkey), F.lit(blocks)) == b)).collect()  # about max_broadcast rows
-        block = spark.sparkContext.broadcast((np.array([r[0] for r in rows], dtype=object if types[qkey] == "string" else None), unit([r[1] for r in rows]) if rows else None))
-        s = vectors.select(key, vec).mapInPandas(search(block), f"{qkey} {types[qkey]}, {key} {types['_key']}, cosine double")
+        rows = (q if blocks == 1 else q.where(F.pmod(F.xxhash64(qkey), F.lit(blocks)) == b)).toArrow()  # about max_broadcast rows
+        block = spark.sparkContext.broadcast((rows.column(qkey).combine_chunks(), unit(rows.column(qvec)) if len(rows) else None))
+        s = vectors.select(key, vec).mapInArrow(search(block), f"{qkey} {types[qkey]}, {key} {types['_key']}, cosine double")
         part = top_n_per_group(s, qkey, [F.desc("cosine"), F.asc(key)], k, salt_cols=[key])
         out = part if out is None else out.unionByName(part)
     return out
@@ -356,7 +400,6 @@ def context_weights(texts: DataFrame, col: str = "text", window: int = 5, max_co
 
     How many neighbours a word has follows from where it stands, so only neighbours that are contexts are counted: in numpy, over
     slices of the words of a batch, and added before and after one shuffle by (word, context)."""
-    from relevo.operators.topn import fits
     from relevo.session import bounded_batches, materialize
 
     rows = texts.select(F.sha2(F.col(col), 256).alias("h"), F.split(F.trim(F.col(col)), r"\s+").alias("w")).withColumn("row", F.monotonically_increasing_id())
@@ -370,13 +413,41 @@ def context_weights(texts: DataFrame, col: str = "text", window: int = 5, max_co
     contexts = by.agg(F.array_sort(F.collect_list("word")).alias("w")).select(F.posexplode("w").alias("col", "context"))  # at most max_contexts words
     contexts = materialize(contexts.join(per_word.withColumnRenamed("word", "context"), "context").withColumnRenamed("of_word", "of_context"), "word-contexts")
     sums = contexts.agg(F.sum(F.pow(F.col("of_context").cast("double"), smooth)).alias("flat"), F.count("*").alias("n")).first()
-    known = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in contexts.select("context", "col").collect()])
+    of = sorted(((r["context"], r["col"], r["of_context"]) for r in contexts.collect()), key=lambda r: r[1])
+    send = docs.sparkSession.sparkContext.broadcast
+    known, flat = send([r[:2] for r in of]), send([r[2] for r in of])
     counts = docs.mapInArrow(_context_counts(window, known), "word string, col int, n long").groupBy("word", "col").agg(F.sum("n").alias("n"))
-    both = counts.join(F.broadcast(contexts), "col").join(F.broadcast(per_word) if fits(per_word, 200_000) else per_word, "word")
-    value = F.log(F.col("n") / F.col("of_word") * F.lit(float(sums["flat"] or 1.0)) / F.pow(F.col("of_context").cast("double"), smooth)) - math.log(shift)
-    kept = both.select("word", "col", value.alias("v")).where("v > 0")
-    out = kept.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("col", "v"))).alias("x"))  # a word's contexts are bounded
-    return materialize(out.select("word", F.transform("x", lambda e: e["col"]).alias("cols"), F.transform("x", lambda e: e["v"]).alias("vals")), "word-rows"), sums["n"]
+    # what a word has of neighbours comes as one more entry, so counts are not joined to words
+    both = counts.unionByName(per_word.select("word", F.lit(-1).alias("col"), F.col("of_word").alias("n")))
+    lists = both.groupBy("word").agg(F.collect_list(F.struct("col", "n")).alias("x"))  # a word's contexts are bounded
+    weights = lists.mapInArrow(_weights(flat, float(sums["flat"] or 1.0), smooth, shift), "word string, cols array<int>, vals array<double>")
+    return materialize(weights, "word-rows"), sums["n"]
+
+
+def _weights(of_context, total: float, smooth: float, shift: float):
+    """(word, cols, vals): the positive weights, by context, of words with the lists ``x`` (col, n) of their contexts and, as col -1, of all their neighbours."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        flat = np.array(of_context.value, dtype=float) ** smooth
+        for batch in batches:
+            x = batch.column("x")
+            row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(x.offsets)))
+            entry = x.flatten()
+            col, n = np.asarray(entry.field("col")).astype(np.int64), np.asarray(entry.field("n"))
+            of_word = np.zeros(batch.num_rows)
+            of_word[row[col < 0]] = n[col < 0]
+            row, col, n = row[col >= 0], col[col >= 0], n[col >= 0]
+            v = np.log(n / of_word[row] * total / flat[col]) - math.log(shift)
+            row, col, v = row[v > 0], col[v > 0], v[v > 0]
+            order = np.lexsort((col, row))
+            row, col, v = row[order], col[order], v[order]
+            words, count = np.unique(row, return_counts=True)
+            ends = pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32())
+            yield pa.record_batch([batch.column("word").take(pa.array(words)), pa.ListArray.from_arrays(ends, pa.array(col, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(v))],
+                                  names=["word", "cols", "vals"])
+    return run
 
 
 def fit_word_vectors(texts: DataFrame, col: str = "text", size: int = 100, window: int = 5, power: int = 5, **weights) -> DataFrame:

@@ -82,6 +82,34 @@ def test_pair_vectors_dense_and_joined_agree(spark, monkeypatch):
     assert any(x[1] > 0 for x in one)
 
 
+def test_nearest_brings_k_rows_per_query_and_task(spark, monkeypatch):
+    """Exact over many small steps, with ties of equal vectors told by key; a task brings k rows per query, however many batches it reads."""
+    r = np.random.default_rng(5)
+    vecs = r.normal(size=(900, 6))
+    vecs[100:160] = vecs[100]
+    vecs[7] = 0.0
+    names = [f"w{i:04d}" for i in r.permutation(900)]
+    v = spark.createDataFrame([(n, [float(y) for y in x]) for n, x in zip(names, vecs)], "word_id string, vector array<double>").repartition(2)
+    q = spark.createDataFrame([(n, [float(y) for y in x]) for n, x in zip(names[90:190], vecs[90:190])], "query_id string, qvec array<double>")
+    monkeypatch.setattr(vx, "FIRST_ROWS", 16)
+    monkeypatch.setattr(vx, "MAX_EXACT", 50)
+    brought = []
+    real = vx.top_n_per_group
+    monkeypatch.setattr(vx, "top_n_per_group", lambda s, *a, **b: brought.append(s.count()) or real(s, *a, **b))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = {}
+        for x in vx.nearest(q, v, 4, cells=2000).collect():
+            got.setdefault(x.query_id, []).append((x["rank"], x.word_id, x.cosine))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    unit = vecs / np.maximum(np.linalg.norm(vecs, axis=1, keepdims=True), 1e-300)
+    for i in range(90, 190):
+        want = sorted(((-round(float(c), 9), n) for c, n in zip(unit @ unit[i], names)))[:4]
+        assert [(n, c) for _, n, c in sorted(got[names[i]])] == [(n, pytest.approx(-c, abs=2e-9)) for c, n in want]
+    assert brought == [100 * 4 * 2]
+
+
 def test_more_vectors_than_a_task_holds_make_no_row_per_word(spark, monkeypatch):
     """100,000 vectors of 64 numbers and more are held by the tasks; beyond what they hold a pair still is one row, as is a field."""
     seen = []
